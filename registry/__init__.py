@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("store",)
+FAMILIES = ("store", "validation", "evaluation", "monitoring")
 
 
 def all_registries():
