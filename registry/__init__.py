@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("store", "validation", "evaluation", "monitoring")
+FAMILIES = ("store", "validation", "evaluation", "monitoring", "timeseries")
 
 
 def all_registries():
