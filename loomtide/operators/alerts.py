@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtide.functions.columns import epoch_seconds
-from loomtide.operators.ordered import carry_forward
+from loomtide.operators.ordered import HOT_ROWS, carry_forward, hot_keys
 
 
 @dataclass(frozen=True)
@@ -95,14 +95,16 @@ def alert_states(
     A stretch breaks where the condition is false, and at gaps longer than ``max_gap_seconds`` if given.
     """
     on = F.coalesce(F.col(active), F.lit(False))
+    heavy = hot_keys(evaluations, keys, HOT_ROWS)
     seen = carry_forward(
-        evaluations, keys, ts, {"_before": F.struct(F.col(ts).alias("t"), on.alias("on"))}, include_current=False
+        evaluations, keys, ts, {"_before": F.struct(F.col(ts).alias("t"), on.alias("on"))}, include_current=False,
+        heavy=heavy,
     )
     fresh = F.col("_before").isNull() | ~F.col("_before.on")
     if max_gap_seconds is not None:
         fresh = fresh | (epoch_seconds(F.col(ts)) - epoch_seconds(F.col("_before.t")) > max_gap_seconds)
     held = carry_forward(
-        seen.withColumn("_rise", F.when(on & fresh, F.col(ts))), keys, ts, {"_start": F.col("_rise")}
+        seen.withColumn("_rise", F.when(on & fresh, F.col(ts))), keys, ts, {"_start": F.col("_rise")}, heavy=heavy
     )
     wait = F.lit(for_seconds) if isinstance(for_seconds, int) else for_seconds
     age = epoch_seconds(F.col(ts)) - epoch_seconds(F.col("_start"))

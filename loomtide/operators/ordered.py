@@ -148,18 +148,20 @@ def carry_forward(
     include_current: bool = True,
     spread: Column | None = None,
     hot_rows: int | None = HOT_ROWS,
+    heavy: tuple[DataFrame, int] | None = None,
 ) -> DataFrame:
     """Add, for each named expression, its last non-null value at or before the row (per key, in time order).
 
     ``include_current=False`` looks strictly at earlier rows. Rows for which ``spread`` is true only read values;
     those of one instant may therefore be divided over several slices. Rows with a null key must not occur unless
-    they are few. ``hot_rows=None`` skips the search for hot keys where the caller knows that there are none.
+    they are few. ``hot_rows=None`` skips the search for hot keys where the caller knows that there are none;
+    ``heavy`` hands over the result of an earlier ``hot_keys``.
     """
     keys = list(keys)
     columns = df.columns
     by_time = [F.col(order), *[F.col(t) for t in tie_breaks]]
     last_row = W.currentRow if include_current else -1
-    heavy, n_heavy = hot_keys(df, keys, hot_rows) if hot_rows else (None, 0)
+    heavy, n_heavy = heavy or (hot_keys(df, keys, hot_rows) if hot_rows else (None, 0))
     if not n_heavy:
         frame = W.partitionBy(*keys).orderBy(*by_time).rowsBetween(W.unboundedPreceding, last_row)
         return df.select(*columns, *[F.last(v, ignorenulls=True).over(frame).alias(n) for n, v in values.items()])
