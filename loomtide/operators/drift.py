@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from loomtide.functions.columns import present, quoted, ratio
 from loomtide.functions.stats import chi_square_p, kolmogorov_p, normal_p
-from loomtide.operators.ordered import running_totals
+from loomtide.operators.ordered import HOT_ROWS, hot_keys, per_column, running_totals
 
 REFERENCE, CURRENT = "reference", "current"
 
@@ -47,10 +47,14 @@ def _category_statistics() -> dict[str, Column]:
     }
 
 
-def numeric_drift(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), dataset: str = "dataset") -> DataFrame:
+def numeric_drift(
+    df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), dataset: str = "dataset", hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """Exact two-sample statistics of numeric columns; missing values are left out."""
     keys = [*by, "column_name"]
-    ordered = running_totals(_pair_counts(df, columns, by, dataset, True), keys, "value", ["n_ref", "n_cur"])
+    heavy = per_column(hot_keys(df, by, hot_rows), columns)
+    counts = _pair_counts(df, columns, by, dataset, True)
+    ordered = running_totals(counts, keys, "value", ["n_ref", "n_cur"], heavy, hot_rows)
     gap = F.abs(
         ratio(F.col("cum_n_ref"), F.col("total_n_ref")) - ratio(F.col("cum_n_cur"), F.col("total_n_cur"))
     )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtide.functions.columns import ratio
-from loomtide.operators.ordered import running_totals
+from loomtide.operators.ordered import HOT_ROWS, hot_keys, running_totals
 
 
 def confusion_matrix(df: DataFrame, label: str, prediction: str, by: Sequence[str] = ()) -> DataFrame:
@@ -79,7 +79,9 @@ def class_report(matrix: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def roc_auc(df: DataFrame, is_positive: Column, score: str, by: Sequence[str] = ()) -> DataFrame:
+def roc_auc(
+    df: DataFrame, is_positive: Column, score: str, by: Sequence[str] = (), hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """Exact area under the ROC curve: the share of (positive, negative) pairs in right order, ties counting half.
 
     Computed from prefix sums over distinct scores; null when a group lacks one of the two classes.
@@ -90,7 +92,7 @@ def roc_auc(df: DataFrame, is_positive: Column, score: str, by: Sequence[str] =
         .groupBy(*by, F.col(score).cast("double").alias("_score"))
         .agg(F.sum(one).alias("pos"), F.sum(1 - one).alias("neg"))
     )
-    ordered = running_totals(counts, by, "_score", ["pos", "neg"])
+    ordered = running_totals(counts, by, "_score", ["pos", "neg"], hot_keys(df, by, hot_rows), hot_rows)
     below = F.col("cum_neg") - F.col("neg") + F.col("neg") / F.lit(2.0)
     pairs = F.max("total_pos").cast("double") * F.max("total_neg")
     return ordered.groupBy(*by).agg(

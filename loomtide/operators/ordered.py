@@ -2,13 +2,15 @@
 
 Two building blocks:
 
-* ``running_totals`` - prefix sums over (group, value) count tables. Each group is cut at approximate quantiles
-  into slices; slices are summed independently and shifted by the totals of the slices before them. Quantiles,
-  rank tests, curves and exact-size cuts are all small aggregations on top of it.
+* ``running_totals`` - prefix sums over (group, value) count tables. Groups with more than ``hot_rows`` rows are cut
+  at approximate quantiles into slices; slices are summed independently and shifted by the totals of the slices
+  before them. Quantiles, rank tests and curves are small aggregations on top of it.
 * ``carry_forward`` - "last seen value" per key in time order. Keys with more than ``hot_rows`` rows are cut into
   time slices, and the last value of the slices before is carried in from a table that has one row per slice.
 
-The cut points only decide where work runs; results are exact whatever they are.
+The cut points only decide where work runs; results are exact whatever they are. Hot groups are counted first, which
+costs one pre-combined pass over the key columns. There are at most rows/hot_rows of them (200 thousand for 10^12 rows)
+with about rows/hot_rows cut points in all; these tables are broadcast when that count says they are small.
 """
 
 from __future__ import annotations
@@ -19,8 +21,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomtide.session import parallelism
-
 BLOCK = 32
 HOT_ROWS = 5_000_000
 HOT_CUTS = 1024
@@ -39,51 +39,86 @@ def _slice_of(edges: Column, value: Column) -> Column:
     return block * BLOCK + F.size(F.filter(inside, lambda e: e <= value))
 
 
-def _quantile_cuts(column: str, parts: int) -> Column:
+def _quantile_cuts(column: str, parts: int, where: str | None = None) -> Column:
     """Approximate quantiles that divide a column into ``parts``.
 
     The fractions are written as one folded string: a thousand separate literals slow down every planning step.
     """
     fractions = ",".join(repr(i / parts) for i in range(1, parts))
     accuracy = max(10_000, 20 * parts)
-    return F.expr(f"percentile_approx(`{column}`, cast(split('{fractions}', ',') as array<double>), {accuracy})")
+    kept = f" FILTER (WHERE {where})" if where else ""
+    return F.expr(f"percentile_approx(`{column}`, cast(split('{fractions}', ',') as array<double>), {accuracy}){kept}")
 
 
 def running_totals(
-    counts: DataFrame, groups: Sequence[str], value: str, sums: Sequence[str], slices: int | None = None
+    counts: DataFrame, groups: Sequence[str], value: str, sums: Sequence[str], heavy: tuple[DataFrame, int],
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add ``cum_<s>`` (inclusive prefix sum), ``total_<s>`` (whole group) and ``next_value`` to a count table.
 
-    ``counts`` holds one row per (groups, value); groups and value are never null.
+    ``counts`` holds one row per (groups, value). ``heavy`` is the result of ``hot_keys`` on the rows that were
+    counted: those groups are cut into slices, the others fit into a task each.
     """
-    n = slices or parallelism(counts.sparkSession)
     groups = list(groups)
+    hot, n_hot = heavy
+    if not n_hot:
+        w = W.partitionBy(*(groups or [F.lit(0)])).orderBy(value)
+        upto, whole = w.rowsBetween(W.unboundedPreceding, W.currentRow), w.rowsBetween(
+            W.unboundedPreceding, W.unboundedFollowing
+        )
+        return counts.select(
+            *counts.columns,
+            *[F.sum(s).over(whole).alias(f"total_{s}") for s in sums],
+            *[F.sum(s).over(upto).alias(f"cum_{s}") for s in sums],
+            F.lead(value).over(w).alias("next_value"),
+        )
+
+    small = F.broadcast if n_hot * HOT_CUTS <= BROADCAST_CUTS else (lambda side: side)
     base, keys = (counts, groups) if groups else (counts.withColumn("_all", F.lit(0)), ["_all"])
-    per_group = base.groupBy(*keys).agg(
-        _with_blocks(_quantile_cuts(value, n)).alias("_edges"), *[F.sum(s).alias(f"total_{s}") for s in sums]
+    # the filter is always true; it keeps the counted columns in this branch, whose shuffle is then reused
+    kept = " + ".join(f"`{s}`" for s in sums) + " >= 0"
+    cuts = (
+        base.join(small(hot), keys)
+        .groupBy(*keys)
+        .agg(_quantile_cuts(value, HOT_CUTS, kept).alias("_cuts"), F.first("_n").alias("_n"))
+        .select(*keys, _with_blocks(_thinned("_cuts", hot_rows)).alias("_edges"))
+    )
+    sliced = base.join(small(cuts), keys, "left").select(
+        *base.columns,
+        F.col("_edges").isNotNull().alias("_hot"),
+        F.when(F.col("_edges").isNull(), F.lit(0)).otherwise(_slice_of(F.col("_edges"), F.col(value))).alias("_slice"),
     )
-    sliced = base.join(per_group, keys).withColumn("_slice", _slice_of(F.col("_edges"), F.col(value))).drop("_edges")
     across = W.partitionBy(*keys).orderBy("_slice")
     before = across.rowsBetween(W.unboundedPreceding, -1)
+    every = across.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    # one row per slice of a hot group
     offsets = (
-        sliced.groupBy(*keys, "_slice")
+        sliced.where("_hot")
+        .groupBy(*keys, "_slice")
         .agg(F.min(value).alias("_first"), *[F.sum(s).alias(f"_sum_{s}") for s in sums])
         .select(
             *keys,
             "_slice",
             F.lead("_first").over(across).alias("_next_first"),
-            *[F.coalesce(F.sum(f"_sum_{s}").over(before), F.lit(0)).alias(f"_before_{s}") for s in sums],
+            *[F.sum(f"_sum_{s}").over(before).alias(f"_before_{s}") for s in sums],
+            *[F.sum(f"_sum_{s}").over(every).alias(f"_whole_{s}") for s in sums],
         )
     )
     inside = W.partitionBy(*keys, "_slice").orderBy(value)
     upto = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
-    out = sliced.join(offsets, [*keys, "_slice"]).select(
+    own = inside.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    return sliced.join(small(offsets), [*keys, "_slice"], "left").select(
         *counts.columns,
-        *[f"total_{s}" for s in sums],
-        *[(F.sum(s).over(upto) + F.col(f"_before_{s}")).alias(f"cum_{s}") for s in sums],
+        *[F.coalesce(F.col(f"_whole_{s}"), F.sum(s).over(own)).alias(f"total_{s}") for s in sums],
+        *[(F.sum(s).over(upto) + F.coalesce(F.col(f"_before_{s}"), F.lit(0))).alias(f"cum_{s}") for s in sums],
         F.coalesce(F.lead(value).over(inside), F.col("_next_first")).alias("next_value"),
     )
-    return out
+
+
+def _thinned(cuts: str, hot_rows: int) -> Column:
+    """Every n-th cut point only, so that slices hold about ``hot_rows`` rows (needs the row count as ``_n``)."""
+    every = F.greatest(F.lit(1), F.floor(F.lit(HOT_CUTS * hot_rows) / F.col("_n"))).cast("int")
+    return F.filter(cuts, lambda e, i: (i + 1) % every == 0)
 
 
 def value_counts(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
@@ -108,20 +143,37 @@ def quantiles_from_totals(ordered: DataFrame, groups: Sequence[str], value: str,
     return ordered.groupBy(*groups).agg(*aggs)
 
 
-def exact_quantiles(df: DataFrame, groups: Sequence[str], value: str, probabilities: dict[str, float]) -> DataFrame:
+def exact_quantiles(
+    df: DataFrame, groups: Sequence[str], value: str, probabilities: dict[str, float], hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """Exact quantiles of ``value`` per group; the built-in exact percentile keeps a group's values in one buffer."""
-    ordered = running_totals(value_counts(df, groups, value), groups, value, ["n"])
+    heavy = hot_keys(df, groups, hot_rows)
+    ordered = running_totals(value_counts(df, groups, value), groups, value, ["n"], heavy, hot_rows)
     return quantiles_from_totals(ordered, groups, value, probabilities)
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int) -> tuple[DataFrame, int]:
-    """Keys with more than ``hot_rows`` rows, and how many there are (counted here, by one pre-combined pass)."""
+def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> tuple[DataFrame, int]:
+    """Keys with more than ``hot_rows`` rows, and how many there are.
+
+    They are counted here, in one pass over the key columns that is combined before its shuffle. Without keys the
+    whole table is one group, named by a constant ``_all``.
+    """
+    if not keys:
+        total = df.count()
+        return df.sparkSession.createDataFrame([(0, total)], "_all int, _n long"), int(total > hot_rows)
     heavy = (
         df.select(*keys).dropna().groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
     )
     return heavy, heavy.count()
 
 
+def per_column(heavy: tuple[DataFrame, int], columns: Sequence[str]) -> tuple[DataFrame, int]:
+    """Hot groups of a table melted into (column_name, value): every hot group of the table, once per column."""
+    hot, n = heavy
+    names = F.explode(F.array(*[F.lit(c) for c in columns])).alias("column_name")
+    return hot.drop("_all").select("*", names), n * len(columns)
+
+
 def hot_key_cuts(df: DataFrame, heavy: DataFrame, keys: Sequence[str], order: str, hot_rows: int) -> DataFrame:
     """Time cut points of the hot keys, about ``hot_rows`` rows apart.
 
@@ -134,8 +186,7 @@ def hot_key_cuts(df: DataFrame, heavy: DataFrame, keys: Sequence[str], order: st
         .groupBy(*keys)
         .agg(_quantile_cuts(order, HOT_CUTS).alias("_cuts"), F.first("_n").alias("_n"))
     )
-    every = F.greatest(F.lit(1), F.floor(F.lit(HOT_CUTS * hot_rows) / F.col("_n"))).cast("int")
-    return cuts.select(*keys, _with_blocks(F.filter("_cuts", lambda e, i: (i + 1) % every == 0)).alias("_edges"))
+    return cuts.select(*keys, _with_blocks(_thinned("_cuts", hot_rows)).alias("_edges"))
 
 
 def carry_forward(

@@ -17,7 +17,7 @@ from loomtide.functions.columns import (
     quoted,
     ratio,
 )
-from loomtide.operators.ordered import quantiles_from_totals, running_totals
+from loomtide.operators.ordered import HOT_ROWS, hot_keys, per_column, quantiles_from_totals, running_totals
 
 COLUMNS_PER_PASS = 100
 
@@ -115,14 +115,14 @@ def class_counts(df: DataFrame, target: str, by: Sequence[str] = ()) -> DataFram
     """Rows and share per target value."""
     counts = df.groupBy(*by, target).agg(F.count(F.lit(1)).alias("n"))
     if not by:
-        return counts.join(counts.agg(F.sum("n").alias("_all")), how="cross").select(
-            target, "n", ratio(F.col("n"), F.col("_all")).alias("share")
-        )
+        return counts.select(target, "n", ratio(F.col("n"), F.lit(df.count())).alias("share"))
     totals = counts.groupBy(*by).agg(F.sum("n").alias("_all"))
     return counts.join(totals, list(by)).select(*by, target, "n", ratio(F.col("n"), F.col("_all")).alias("share"))
 
 
-def quality_summary(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+def quality_summary(
+    df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """Per group and column: count, missing, distinct, most common value, mean, deviation, range, exact quartiles.
 
     Built on one table of value counts; ties for the most common value go to the smaller text.
@@ -155,7 +155,7 @@ def quality_summary(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (
         .groupBy(*keys, "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    ordered = running_totals(values, keys, "value", ["n"])
+    ordered = running_totals(values, keys, "value", ["n"], per_column(hot_keys(df, by, hot_rows), numbers), hot_rows)
     quartiles = quantiles_from_totals(ordered, keys, "value", {"q25": 0.25, "median": 0.5, "q75": 0.75})
     moments = values.groupBy(*keys).agg(
         (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"),

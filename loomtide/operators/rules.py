@@ -296,8 +296,8 @@ def quality_report(df: DataFrame, checks: DataFrame) -> DataFrame:
     verdict = checks.agg(
         F.count(F.lit(1)).alias("checks"), F.count_if(~F.col("passed")).alias("failed_checks"),
         F.bool_and("passed").alias("passed"),
-    )
-    return dataset_summary(df).join(verdict, how="cross")
+    ).first()
+    return dataset_summary(df).select("*", *[F.lit(verdict[c]).alias(c) for c in ("checks", "failed_checks", "passed")])
 
 
 def column_families(df: DataFrame) -> DataFrame:

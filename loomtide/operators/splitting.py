@@ -28,11 +28,11 @@ def _cut_hashes(hashed: DataFrame, groups: Sequence[str], ranks: Callable[[Colum
     keys = list(groups)
     prefix = F.substring("_hash", 1, PREFIX_DIGITS)
     counts = hashed.groupBy(*keys, prefix.alias("_prefix")).agg(F.count(F.lit(1)).alias("_n"))
-    totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
-    joined = counts.join(totals, keys) if keys else counts.join(totals, how="cross")
     # at most 16^4 rows per group
-    across = W.partitionBy(*(keys or [F.lit(0)])).orderBy("_prefix").rowsBetween(W.unboundedPreceding, W.currentRow)
-    placed = joined.withColumn("_upto", F.sum("_n").over(across))
+    across = W.partitionBy(*(keys or [F.lit(0)])).orderBy("_prefix")
+    upto = across.rowsBetween(W.unboundedPreceding, W.currentRow)
+    every = across.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    placed = counts.withColumn("_upto", F.sum("_n").over(upto)).withColumn("_total", F.sum("_n").over(every))
     wanted = F.array(*[F.struct(F.lit(i).alias("cut"), r.cast("long").alias("rank")) for i, r in enumerate(ranks(F.col("_total")))])
     slices = (
         placed.select(*keys, "_prefix", (F.col("_upto") - F.col("_n")).alias("_before"), "_upto", F.inline(wanted))
