@@ -1,0 +1,35 @@
+"""Seeded sample tables for trying things out; created by Spark, of any size."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def sample_table(spark: SparkSession, rows: int, features: int, task: str = "classification", seed: int = 42) -> DataFrame:
+    """Features in turn normal, one of A/B/C, uniform 0..100; target a class 0..2 or normal around 50."""
+    columns: list[Column] = []
+    for i in range(features):
+        draw = (
+            F.randn(seed + i),
+            F.element_at(F.array(F.lit("A"), F.lit("B"), F.lit("C")), (F.floor(F.rand(seed + i) * 3) + 1).cast("int")),
+            F.rand(seed + i) * 100,
+        )[i % 3]
+        columns.append(draw.alias(f"feature_{i}"))
+    if task == "classification":
+        target = F.floor(F.rand(seed + features) * 3).cast("int")
+    elif task == "regression":
+        target = F.randn(seed + features) * 10 + 50
+    else:
+        raise ValueError(f"unknown task {task}")
+    return spark.range(rows).select(*columns, target.alias("target"))
+
+
+def sample_feature_rows(spark: SparkSession, rows: int, features: int, entity: str = "user_id", seed: int = 42) -> DataFrame:
+    """Feature rows of entities 1..rows, one minute apart."""
+    start = F.unix_timestamp(F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    return spark.range(1, rows + 1).select(
+        F.col("id").alias(entity),
+        *[F.randn(seed + i).alias(f"feature_{i + 1}") for i in range(features)],
+        F.timestamp_seconds(start + F.col("id") * 60).cast("timestamp_ntz").alias("event_timestamp"),
+    )
