@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("store", "validation", "evaluation", "monitoring", "timeseries", "features", "modelling", "ingest")
+FAMILIES = ("store", "validation", "evaluation", "monitoring", "timeseries", "features", "modelling", "ingest", "streams")
 
 
 def all_registries():
