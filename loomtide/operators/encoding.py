@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomtide.functions.columns import categorical_columns, numeric_columns, present, quoted
-from loomtide.operators.ordered import exact_quantiles
+from loomtide.operators.ordered import column_quantiles
 from loomtide.session import parallelism, shared_folder
 
 MAX_WIDE = 1000
@@ -35,10 +35,8 @@ def _minmax(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, flo
 
 
 def _robust(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:
-    melted = df.select(*[present(df, c).cast("double").alias(c) for c in columns]).unpivot(
-        [], list(columns), "column_name", "value"
-    )
-    found = exact_quantiles(melted, ["column_name"], "value", {"q1": 0.25, "q2": 0.5, "q3": 0.75}).collect()
+    values = df.select(*[present(df, c).cast("double").alias(c) for c in columns])
+    found = column_quantiles(values, columns, {"q1": 0.25, "q2": 0.5, "q3": 0.75}).collect()
     return {row["column_name"]: (row["q2"], row["q3"] - row["q1"]) for row in found}
 
 

@@ -144,10 +144,11 @@ def quantiles_from_totals(ordered: DataFrame, groups: Sequence[str], value: str,
 
 
 def exact_quantiles(
-    df: DataFrame, groups: Sequence[str], value: str, probabilities: dict[str, float], hot_rows: int = HOT_ROWS
+    df: DataFrame, groups: Sequence[str], value: str, probabilities: dict[str, float], hot_rows: int = HOT_ROWS,
+    heavy: tuple[DataFrame, int] | None = None,
 ) -> DataFrame:
     """Exact quantiles of ``value`` per group; the built-in exact percentile keeps a group's values in one buffer."""
-    heavy = hot_keys(df, groups, hot_rows)
+    heavy = heavy or hot_keys(df, groups, hot_rows)
     ordered = running_totals(value_counts(df, groups, value), groups, value, ["n"], heavy, hot_rows)
     return quantiles_from_totals(ordered, groups, value, probabilities)
 
@@ -174,6 +175,15 @@ def per_column(heavy: tuple[DataFrame, int], columns: Sequence[str]) -> tuple[Da
     return hot.drop("_all").select("*", names), n * len(columns)
 
 
+def column_quantiles(
+    df: DataFrame, columns: Sequence[str], probabilities: dict[str, float], hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Exact quantiles of several double columns, one row per column; the table's row count says whether it is hot."""
+    melted = df.select(*columns).unpivot([], list(columns), "column_name", "value")
+    heavy = per_column(hot_keys(df, [], hot_rows), columns)
+    return exact_quantiles(melted, ["column_name"], "value", probabilities, hot_rows, heavy)
+
+
 def hot_key_cuts(df: DataFrame, heavy: DataFrame, keys: Sequence[str], order: str, hot_rows: int) -> DataFrame:
     """Time cut points of the hot keys, about ``hot_rows`` rows apart.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loomtide.functions.columns import present, ratio
 from loomtide.functions.stats import fisher_p
-from loomtide.operators.ordered import exact_quantiles
+from loomtide.operators.ordered import column_quantiles
 
 
 def f_classif(df: DataFrame, features: Sequence[str], target: str, with_p: bool = False) -> DataFrame:
@@ -54,11 +54,9 @@ def f_regression(df: DataFrame, features: Sequence[str], target: str, with_p: bo
 
 
 def _bin_edges(df: DataFrame, columns: Sequence[str], bins: int) -> dict[str, list[float]]:
-    melted = df.select(*[present(df, c).cast("double").alias(c) for c in columns]).unpivot(
-        [], list(columns), "column_name", "value"
-    )
+    values = df.select(*[present(df, c).cast("double").alias(c) for c in columns])
     wanted = {f"q{i}": i / bins for i in range(1, bins)}
-    rows = exact_quantiles(melted, ["column_name"], "value", wanted).collect()
+    rows = column_quantiles(values, columns, wanted).collect()
     return {row["column_name"]: [row[q] for q in wanted] for row in rows}
 
 
@@ -74,8 +72,8 @@ def mutual_info(
 
     def binned(name: str):
         value = present(df, name).cast("double")
-        bin_no = F.size(F.filter(F.array(*[F.lit(e) for e in edges[name]]), lambda e: value > e))
-        return F.when(value.isNotNull(), bin_no).cast("string")
+        bin_no = sum(((value > F.lit(e)).cast("int") for e in edges[name]), F.lit(0))
+        return bin_no.cast("string")
 
     y = F.col(target).cast("string") if discrete_target else binned(target)
     joint = (

@@ -133,11 +133,15 @@ scores AS (SELECT cum.model_name, cum.column_name, 'wasserstein' AS method,
   UNION ALL SELECT model_name, column_name, 'jensen_shannon', {_JS} FROM ct GROUP BY ALL)"""
 
 
+def _scored(stats: DataFrame, method) -> DataFrame:
+    return drift.drift_scores(stats, method, by=["model_name"], methods=["wasserstein", "jensen_shannon"])
+
+
 def _distance_scores(spark: SparkSession, folder: str) -> DataFrame:
     stats = drift.drift_statistics(order_features(spark, folder), NUMERIC, CATEGORICAL, ["model_name"])
     number = (F.col("kind") == "numeric") & (F.col("n_distinct") > drift.FEW_VALUES)
     method = F.when(number, "wasserstein").otherwise("jensen_shannon")
-    return drift.drift_scores(stats, method, by=["model_name"])
+    return _scored(stats, method)
 
 
 @REG.add(
@@ -323,11 +327,15 @@ def check_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 @REG.add(
     "critical_alerts",
-    f"""WITH {_SCORES_SQL}, x AS ({_SUMMARY_SQL}) SELECT model_name, round(drift_share, 6) AS drift_share, number_of_drifted_columns,
+    f"""WITH {_SCORES_SQL}, x AS ({_SUMMARY_SQL.replace("FROM scores", "FROM scores WHERE column_name IN ('order_day', 'order_year', 'label')")})
+ SELECT model_name, round(drift_share, 6) AS drift_share, number_of_drifted_columns,
   replace(drifted_columns, ',', ', ') AS drifted_features FROM x WHERE dataset_drift AND drift_share > 0.5""",
 )
 def critical_alerts(spark: SparkSession, folder: str) -> DataFrame:
-    found = drift.drift_summary(_distance_scores(spark, folder), ["model_name"])
+    """Models watched by three columns, of which two drift."""
+    stats = drift.drift_statistics(order_features(spark, folder), ["order_day"], ["order_year", "label"], ["model_name"])
+    method = F.when(F.col("kind") == "numeric", "wasserstein").otherwise("jensen_shannon")
+    found = drift.drift_summary(_scored(stats, method), ["model_name"])
     runs = found.withColumn(
         "health_status", health.health_status(F.col("dataset_drift"), F.col("drift_share"), F.lit(0.0))
     )

@@ -261,12 +261,6 @@ def quarantined_rows(spark: SparkSession, folder: str) -> DataFrame:
     return bad.select("event_id", "event_type", "value", F.to_json("broken_rules").alias("broken_rules"))
 
 
-@REG.add("schema_diff", "SELECT * FROM (VALUES ('vec_id','ok','bigint','bigint',true), ('embedding','type_mismatch','array<double>','array<float>',true), ('label','ok','int','int',true), ('score','missing','double',NULL,false)) t(column_name, status, expected, actual, passed) WHERE (SELECT count(*) FROM embeddings) > 0")
-def schema_diff(spark: SparkSession, folder: str) -> DataFrame:
-    expected = {"vec_id": "bigint", "embedding": "array<double>", "label": "int", "score": "double"}
-    return rules.schema_check(table(spark, folder, "embeddings"), expected)
-
-
 def _summary_sql() -> str:
     half = "CASE WHEN ts < TIMESTAMP '2024-01-16' THEN 'reference' ELSE 'current' END AS dataset"
     src = f"(SELECT *, {half} FROM events)"
