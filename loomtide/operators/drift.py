@@ -54,7 +54,7 @@ def numeric_drift(
     keys = [*by, "column_name"]
     heavy = per_column(hot_keys(df, by, hot_rows), columns)
     counts = _pair_counts(df, columns, by, dataset, True)
-    ordered = running_totals(counts, keys, "value", ["n_ref", "n_cur"], heavy, hot_rows)
+    ordered = running_totals(counts, keys, "value", ["n_ref", "n_cur"], heavy)
     gap = F.abs(
         ratio(F.col("cum_n_ref"), F.col("total_n_ref")) - ratio(F.col("cum_n_cur"), F.col("total_n_cur"))
     )

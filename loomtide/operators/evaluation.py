@@ -92,7 +92,7 @@ def roc_auc(
         .groupBy(*by, F.col(score).cast("double").alias("_score"))
         .agg(F.sum(one).alias("pos"), F.sum(1 - one).alias("neg"))
     )
-    ordered = running_totals(counts, by, "_score", ["pos", "neg"], hot_keys(df, by, hot_rows), hot_rows)
+    ordered = running_totals(counts, by, "_score", ["pos", "neg"], hot_keys(df, by, hot_rows))
     below = F.col("cum_neg") - F.col("neg") + F.col("neg") / F.lit(2.0)
     pairs = F.max("total_pos").cast("double") * F.max("total_neg")
     return ordered.groupBy(*by).agg(

@@ -9,22 +9,23 @@ Two building blocks:
   time slices, and the last value of the slices before is carried in from a table that has one row per slice.
 
 The cut points only decide where work runs; results are exact whatever they are. Hot groups are counted first, which
-costs one pre-combined pass over the key columns. There are at most rows/hot_rows of them (200 thousand for 10^12 rows)
-with about rows/hot_rows cut points in all; these tables are broadcast when that count says they are small.
+costs one pre-combined pass over the key columns. There are at most rows/hot_rows of them, with about
+rows/hot_rows cut points in all; these tables are broadcast when the measured number says that they are small.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 BLOCK = 32
-HOT_ROWS = 5_000_000
-HOT_CUTS = 1024
-BROADCAST_CUTS = 4_000_000
+HOT_ROWS = 2_000_000
+HOT_CUTS = 2048
+BROADCAST_CUTS = 2_000_000
 
 
 def _with_blocks(edges: Column) -> Column:
@@ -51,8 +52,7 @@ def _quantile_cuts(column: str, parts: int, where: str | None = None) -> Column:
 
 
 def running_totals(
-    counts: DataFrame, groups: Sequence[str], value: str, sums: Sequence[str], heavy: tuple[DataFrame, int],
-    hot_rows: int = HOT_ROWS,
+    counts: DataFrame, groups: Sequence[str], value: str, sums: Sequence[str], heavy: Hot
 ) -> DataFrame:
     """Add ``cum_<s>`` (inclusive prefix sum), ``total_<s>`` (whole group) and ``next_value`` to a count table.
 
@@ -60,8 +60,7 @@ def running_totals(
     counted: those groups are cut into slices, the others fit into a task each.
     """
     groups = list(groups)
-    hot, n_hot = heavy
-    if not n_hot:
+    if not heavy.slices:
         w = W.partitionBy(*(groups or [F.lit(0)])).orderBy(value)
         upto, whole = w.rowsBetween(W.unboundedPreceding, W.currentRow), w.rowsBetween(
             W.unboundedPreceding, W.unboundedFollowing
@@ -73,15 +72,15 @@ def running_totals(
             F.lead(value).over(w).alias("next_value"),
         )
 
-    small = F.broadcast if n_hot * HOT_CUTS <= BROADCAST_CUTS else (lambda side: side)
+    small = heavy.small
     base, keys = (counts, groups) if groups else (counts.withColumn("_all", F.lit(0)), ["_all"])
     # the filter is always true; it keeps the counted columns in this branch, whose shuffle is then reused
     kept = " + ".join(f"`{s}`" for s in sums) + " >= 0"
     cuts = (
-        base.join(small(hot), keys)
+        base.join(small(heavy.groups), keys)
         .groupBy(*keys)
         .agg(_quantile_cuts(value, HOT_CUTS, kept).alias("_cuts"), F.first("_n").alias("_n"))
-        .select(*keys, _with_blocks(_thinned("_cuts", hot_rows)).alias("_edges"))
+        .select(*keys, _with_blocks(_thinned("_cuts", heavy.hot_rows)).alias("_edges"))
     )
     sliced = base.join(small(cuts), keys, "left").select(
         *base.columns,
@@ -132,47 +131,66 @@ def value_counts(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
 
 def quantiles_from_totals(ordered: DataFrame, groups: Sequence[str], value: str, probabilities: dict[str, float]) -> DataFrame:
     """Exact linear-interpolated quantiles from ``running_totals`` over a column ``n``."""
-    aggs = []
+    needed, aggs = F.lit(False), []
+    start, end = F.col("cum_n") - F.col("n"), F.col("cum_n")
     for name, p in probabilities.items():
         position = (F.col("total_n") - 1) * F.lit(p)
         low, high = F.floor(position), F.ceil(position)
-        covers = lambda at: (F.col("cum_n") - F.col("n") <= at) & (at < F.col("cum_n"))
-        lo, hi = F.max(F.when(covers(low), F.col(value))), F.max(F.when(covers(high), F.col(value)))
-        weight = F.max(position - low)
-        aggs.append((lo + weight * (hi - lo)).alias(name))
-    return ordered.groupBy(*groups).agg(*aggs)
+        needed = needed | ((start <= high) & (low < end))
+        lo = F.max(F.when((start <= low) & (low < end), F.col(value)))
+        hi = F.max(F.when((start <= high) & (high < end), F.col(value)))
+        aggs.append((lo + F.max(position - low) * (hi - lo)).alias(name))
+    # at most two rows per group and quantile reach the aggregation
+    return ordered.where(needed).groupBy(*groups).agg(*aggs)
 
 
 def exact_quantiles(
     df: DataFrame, groups: Sequence[str], value: str, probabilities: dict[str, float], hot_rows: int = HOT_ROWS,
-    heavy: tuple[DataFrame, int] | None = None,
+    heavy: Hot | None = None,
 ) -> DataFrame:
     """Exact quantiles of ``value`` per group; the built-in exact percentile keeps a group's values in one buffer."""
     heavy = heavy or hot_keys(df, groups, hot_rows)
-    ordered = running_totals(value_counts(df, groups, value), groups, value, ["n"], heavy, hot_rows)
+    ordered = running_totals(value_counts(df, groups, value), groups, value, ["n"], heavy)
     return quantiles_from_totals(ordered, groups, value, probabilities)
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> tuple[DataFrame, int]:
-    """Keys with more than ``hot_rows`` rows, and how many there are.
+@dataclass(frozen=True)
+class Hot:
+    """Groups with more than ``hot_rows`` rows, with their row count as ``_n``, and how many slices they give."""
 
-    They are counted here, in one pass over the key columns that is combined before its shuffle. Without keys the
-    whole table is one group, named by a constant ``_all``.
+    groups: DataFrame
+    slices: int
+    hot_rows: int
+
+    def small(self, side: DataFrame) -> DataFrame:
+        """Broadcast a table that has a row or a cut point per slice, if the measured number of slices allows it."""
+        return F.broadcast(side) if self.slices <= BROADCAST_CUTS else side
+
+
+def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> Hot:
+    """Find the hot groups, in one pass over the key columns that is combined before its shuffle.
+
+    Without keys the whole table is one group, named by a constant ``_all``.
     """
     if not keys:
         total = df.count()
-        return df.sparkSession.createDataFrame([(0, total)], "_all int, _n long"), int(total > hot_rows)
+        one = df.sparkSession.createDataFrame([(0, total)], "_all int, _n long")
+        return Hot(one, _slices(total, hot_rows) if total > hot_rows else 0, hot_rows)
     heavy = (
         df.select(*keys).dropna().groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
     )
-    return heavy, heavy.count()
+    parts = F.least(F.lit(HOT_CUTS), F.ceil(F.col("_n") / F.lit(hot_rows)))
+    return Hot(heavy, heavy.agg(F.coalesce(F.sum(parts), F.lit(0))).first()[0], hot_rows)
+
+
+def _slices(rows: int, hot_rows: int) -> int:
+    return min(HOT_CUTS, -(-rows // hot_rows))
 
 
-def per_column(heavy: tuple[DataFrame, int], columns: Sequence[str]) -> tuple[DataFrame, int]:
+def per_column(heavy: Hot, columns: Sequence[str]) -> Hot:
     """Hot groups of a table melted into (column_name, value): every hot group of the table, once per column."""
-    hot, n = heavy
     names = F.explode(F.array(*[F.lit(c) for c in columns])).alias("column_name")
-    return hot.drop("_all").select("*", names), n * len(columns)
+    return Hot(heavy.groups.drop("_all").select("*", names), heavy.slices * len(columns), heavy.hot_rows)
 
 
 def column_quantiles(
@@ -181,10 +199,10 @@ def column_quantiles(
     """Exact quantiles of several double columns, one row per column; the table's row count says whether it is hot."""
     melted = df.select(*columns).unpivot([], list(columns), "column_name", "value")
     heavy = per_column(hot_keys(df, [], hot_rows), columns)
-    return exact_quantiles(melted, ["column_name"], "value", probabilities, hot_rows, heavy)
+    return exact_quantiles(melted, ["column_name"], "value", probabilities, heavy=heavy)
 
 
-def hot_key_cuts(df: DataFrame, heavy: DataFrame, keys: Sequence[str], order: str, hot_rows: int) -> DataFrame:
+def hot_key_cuts(df: DataFrame, heavy: Hot, keys: Sequence[str], order: str) -> DataFrame:
     """Time cut points of the hot keys, about ``hot_rows`` rows apart.
 
     There are at most rows/hot_rows hot keys and about as many cut points in all. Cut points repeat where one
@@ -192,11 +210,11 @@ def hot_key_cuts(df: DataFrame, heavy: DataFrame, keys: Sequence[str], order: st
     """
     cuts = (
         df.select(*keys, order)
-        .join(heavy, list(keys))
+        .join(heavy.small(heavy.groups), list(keys))
         .groupBy(*keys)
         .agg(_quantile_cuts(order, HOT_CUTS).alias("_cuts"), F.first("_n").alias("_n"))
     )
-    return cuts.select(*keys, _with_blocks(_thinned("_cuts", hot_rows)).alias("_edges"))
+    return cuts.select(*keys, _with_blocks(_thinned("_cuts", heavy.hot_rows)).alias("_edges"))
 
 
 def carry_forward(
@@ -209,7 +227,7 @@ def carry_forward(
     include_current: bool = True,
     spread: Column | None = None,
     hot_rows: int | None = HOT_ROWS,
-    heavy: tuple[DataFrame, int] | None = None,
+    heavy: Hot | None = None,
 ) -> DataFrame:
     """Add, for each named expression, its last non-null value at or before the row (per key, in time order).
 
@@ -222,13 +240,14 @@ def carry_forward(
     columns = df.columns
     by_time = [F.col(order), *[F.col(t) for t in tie_breaks]]
     last_row = W.currentRow if include_current else -1
-    heavy, n_heavy = heavy or (hot_keys(df, keys, hot_rows) if hot_rows else (None, 0))
-    if not n_heavy:
+    if heavy is None and hot_rows:
+        heavy = hot_keys(df, keys, hot_rows)
+    if heavy is None or not heavy.slices:
         frame = W.partitionBy(*keys).orderBy(*by_time).rowsBetween(W.unboundedPreceding, last_row)
         return df.select(*columns, *[F.last(v, ignorenulls=True).over(frame).alias(n) for n, v in values.items()])
 
-    small = F.broadcast if n_heavy * HOT_CUTS <= BROADCAST_CUTS else (lambda side: side)
-    cuts = hot_key_cuts(df, small(heavy), keys, order, hot_rows)
+    small = heavy.small
+    cuts = hot_key_cuts(df, heavy, keys, order)
     at = _slice_of(F.col("_edges"), F.col(order))
     same = F.size(F.filter(F.col("_edges")["fine"], lambda e: e == F.col(order)))
     hot_slice = at

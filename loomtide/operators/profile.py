@@ -155,7 +155,7 @@ def quality_summary(
         .groupBy(*keys, "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    ordered = running_totals(values, keys, "value", ["n"], per_column(hot_keys(df, by, hot_rows), numbers), hot_rows)
+    ordered = running_totals(values, keys, "value", ["n"], per_column(hot_keys(df, by, hot_rows), numbers))
     quartiles = quantiles_from_totals(ordered, keys, "value", {"q25": 0.25, "median": 0.5, "q75": 0.75})
     moments = values.groupBy(*keys).agg(
         (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"),
