@@ -44,14 +44,17 @@ def monitoring_run(
     by: Sequence[str] = ("model_name",),
     dataset: str = "dataset",
     average: str = "macro",
+    method: Column | None = None,
+    methods: Sequence[str] = tuple(drift.DRIFT_METHODS),
 ) -> DataFrame:
     """One monitoring record per model: drift, missing values, performance against the reference, health.
 
-    ``df`` holds reference and current rows of every model; performance is left out without a label column.
+    ``method`` and ``methods`` override the automatic choice of the drift method. ``df`` holds reference and current rows of every model; performance is left out without a label column.
     """
     by = list(by)
     current = df.where(F.col(dataset) == drift.CURRENT)
-    scores = drift.drift_scores(drift.drift_statistics(df, numeric, categorical, by, dataset), by=by)
+    statistics = drift.drift_statistics(df, numeric, categorical, by, dataset)
+    scores = drift.drift_scores(statistics, method, by=by, methods=methods)
     record = drift.drift_summary(scores, by)
     gaps = profile.missing_values(current, [*numeric, *categorical], by)
     record = gaps.join(record, by, "left")

@@ -133,15 +133,18 @@ scores AS (SELECT cum.model_name, cum.column_name, 'wasserstein' AS method,
   UNION ALL SELECT model_name, column_name, 'jensen_shannon', {_JS} FROM ct GROUP BY ALL)"""
 
 
+def _distance():
+    number = (F.col("kind") == "numeric") & (F.col("n_distinct") > drift.FEW_VALUES)
+    return F.when(number, "wasserstein").otherwise("jensen_shannon")
+
+
 def _scored(stats: DataFrame, method) -> DataFrame:
     return drift.drift_scores(stats, method, by=["model_name"], methods=["wasserstein", "jensen_shannon"])
 
 
 def _distance_scores(spark: SparkSession, folder: str) -> DataFrame:
     stats = drift.drift_statistics(order_features(spark, folder), NUMERIC, CATEGORICAL, ["model_name"])
-    number = (F.col("kind") == "numeric") & (F.col("n_distinct") > drift.FEW_VALUES)
-    method = F.when(number, "wasserstein").otherwise("jensen_shannon")
-    return _scored(stats, method)
+    return _scored(stats, _distance())
 
 
 @REG.add(
@@ -225,7 +228,8 @@ _HEALTH = """CASE WHEN dataset_drift AND drift_share > 0.5 THEN 'critical' WHEN
 )
 def monitoring_run(spark: SparkSession, folder: str) -> DataFrame:
     out = health.monitoring_run(
-        order_features(spark, folder), F.lit("2002-01-01").cast("timestamp_ntz"), NUMERIC, CATEGORICAL, "label", "prediction"
+        order_features(spark, folder), F.lit("2002-01-01").cast("timestamp_ntz"), NUMERIC, CATEGORICAL, "label", "prediction",
+        method=_distance(), methods=["wasserstein", "jensen_shannon"],
     ).drop("run_ts", "model_type", "drifted_columns", "current_precision", "current_recall")
     return rounded(rounded(out, 4, ["performance_degradation"]))
 
@@ -334,8 +338,7 @@ def check_summary(spark: SparkSession, folder: str) -> DataFrame:
 def critical_alerts(spark: SparkSession, folder: str) -> DataFrame:
     """Models watched by three columns, of which two drift."""
     stats = drift.drift_statistics(order_features(spark, folder), ["order_day"], ["order_year", "label"], ["model_name"])
-    method = F.when(F.col("kind") == "numeric", "wasserstein").otherwise("jensen_shannon")
-    found = drift.drift_summary(_scored(stats, method), ["model_name"])
+    found = drift.drift_summary(_scored(stats, _distance()), ["model_name"])
     runs = found.withColumn(
         "health_status", health.health_status(F.col("dataset_drift"), F.col("drift_share"), F.lit(0.0))
     )
@@ -391,7 +394,8 @@ def regression_degradation(spark: SparkSession, folder: str) -> DataFrame:
         .alias("dataset"),
     )
     out = health.monitoring_run(
-        lines, F.lit("2002-01-01").cast("timestamp_ntz"), ["l_discount"], [], "target", "prediction", "regression"
+        lines, F.lit("2002-01-01").cast("timestamp_ntz"), ["l_discount"], [], "target", "prediction", "regression",
+        method=_distance(), methods=["wasserstein", "jensen_shannon"],
     )
     return rounded(rounded(
         out.select("model_name", "current_rmse", "current_mae", "current_r2", "reference_r2", "performance_degradation"),

@@ -271,9 +271,9 @@ def _summary_sql() -> str:
         parts.append(f"""SELECT a.dataset, '{c}' AS column_name, a.n, a.n_missing, a.n_distinct, t.top_value, t.top_count,
           a.mean, a.min_value, a.max_value, a.std, a.q25, a.median, a.q75 FROM
         (SELECT dataset, count(*) AS n, count(*) - count({c}) AS n_missing, count(DISTINCT {c}) AS n_distinct,
-          {stat(f'round(avg({c}), 6)')} AS mean, {stat(f'min({c})')} AS min_value, {stat(f'max({c})')} AS max_value,
-          {stat(f'round(stddev_samp({c}), 6)')} AS std, {stat(f'round(quantile_cont({c}, 0.25), 6)')} AS q25,
-          {stat(f'round(quantile_cont({c}, 0.5), 6)')} AS median, {stat(f'round(quantile_cont({c}, 0.75), 6)')} AS q75
+          {stat(f'round(avg({c}), 8)')} AS mean, {stat(f'min({c})')} AS min_value, {stat(f'max({c})')} AS max_value,
+          {stat(f'round(stddev_samp({c}), 8)')} AS std, {stat(f'round(quantile_cont({c}, 0.25), 8)')} AS q25,
+          {stat(f'round(quantile_cont({c}, 0.5), 8)')} AS median, {stat(f'round(quantile_cont({c}, 0.75), 8)')} AS q75
          FROM {src} GROUP BY dataset) a JOIN
         (SELECT dataset, {text} AS top_value, count(*) AS top_count FROM {src} GROUP BY 1, 2
          QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY count(*) DESC, {text}) = 1) t ON a.dataset = t.dataset""")
@@ -285,4 +285,4 @@ def quality_summary(spark: SparkSession, folder: str) -> DataFrame:
     events = table(spark, folder, "events").withColumn(
         "dataset", F.when(F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz"), "reference").otherwise("current")
     )
-    return rounded(profile.quality_summary(events, ["event_type", "value"], by=["dataset"]))
+    return rounded(profile.quality_summary(events, ["event_type", "value"], by=["dataset"]), 8)
