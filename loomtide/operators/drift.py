@@ -38,7 +38,7 @@ def _category_statistics() -> dict[str, Column]:
     gain = lambda x: F.when(x > 0, x * F.log(x / middle)).otherwise(0.0)
     both = F.col("total_n_ref") + F.col("total_n_cur")
     pooled = (F.col("n_ref") + F.col("n_cur")) / both
-    spread = F.sqrt(pooled * (1 - pooled) * both / (F.col("total_n_ref").cast("double") * F.col("total_n_cur")))
+    spread = F.sqrt(ratio(pooled * (1 - pooled) * both, F.col("total_n_ref").cast("double") * F.col("total_n_cur")))
     return {
         "chi_square": F.sum(F.try_divide((F.col("n_cur") - expected) ** 2, expected)),
         "unseen_categories": F.count_if((F.col("n_ref") == 0) & (F.col("n_cur") > 0)),
@@ -75,7 +75,12 @@ def numeric_drift(
         *[c.alias(n) for n, c in _category_statistics().items()],
     )
     return stats.join(spread, keys, "left").withColumn(
-        "wasserstein", F.try_divide(F.coalesce("_distance", F.lit(0.0)), F.greatest(F.col("ref_std"), F.lit(0.001)))
+        # null without rows on one side; a single common value has no distance
+        "wasserstein",
+        F.when(
+            (F.col("n_ref") > 0) & (F.col("n_cur") > 0),
+            F.coalesce("_distance", F.lit(0.0)) / F.greatest(F.col("ref_std"), F.lit(0.001)),
+        ),
     ).drop("_distance", "ref_std")
 
 
@@ -123,7 +128,7 @@ DRIFT_METHODS: dict[str, tuple[Callable[[], Column], bool]] = {
         ),
         True,
     ),
-    "z": (lambda: normal_p(F.coalesce("z", F.lit(0.0))), True),
+    "z": (lambda: F.when((F.col("n_ref") > 0) & (F.col("n_cur") > 0), normal_p(F.coalesce("z", F.lit(0.0)))), True),
     "wasserstein": (lambda: F.col("wasserstein"), False),
     "jensen_shannon": (lambda: F.col("jensen_shannon"), False),
 }

@@ -40,12 +40,14 @@ def f_classif(df: DataFrame, features: Sequence[str], target: str, with_p: bool
 
 def f_regression(df: DataFrame, features: Sequence[str], target: str, with_p: bool = False) -> DataFrame:
     """F of a one-feature linear fit, from the correlation with the target."""
-    y = F.col(target).cast("double")
     scores = []
     for name in features:
-        x = present(df, name).cast("double")
-        r2 = F.corr(x, y) ** 2
-        dof = F.count_if(x.isNotNull() & y.isNotNull()) - 2
+        x, y = present(df, name).cast("double"), present(df, target).cast("double")
+        both = x.isNotNull() & y.isNotNull()
+        x, y = F.when(both, x), F.when(both, y)
+        # null for a constant column, where the built-in correlation fails
+        r2 = ratio(F.covar_pop(x, y) ** 2, F.var_pop(x) * F.var_pop(y))
+        dof = F.count(x) - 2
         scores.append(
             F.struct(F.lit(name).alias("feature"), ratio(r2 * dof, 1 - r2).alias("score"), F.lit(1).alias("dof1"), dof.alias("dof2"))
         )
