@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from loomtide.functions.columns import present, quoted, ratio
 from loomtide.functions.stats import chi_square_p, kolmogorov_p, normal_p
 from loomtide.operators.ordered import HOT_ROWS, hot_keys, per_column, running_totals
+from loomtide.operators.profile import melted_moments
 
 REFERENCE, CURRENT = "reference", "current"
 
@@ -58,13 +59,10 @@ def numeric_drift(
     gap = F.abs(
         ratio(F.col("cum_n_ref"), F.col("total_n_ref")) - ratio(F.col("cum_n_cur"), F.col("total_n_cur"))
     )
-    spread = (
-        df.where(F.col(dataset) == REFERENCE)
-        .select(*by, *[present(df, c).cast("double").alias(c) for c in columns])
-        .unpivot(list(by), list(columns), "column_name", "value")
-        .groupBy(*keys)
-        .agg(F.stddev_pop("value").alias("ref_std"))
+    reference = df.where(F.col(dataset) == REFERENCE).select(
+        *by, *[present(df, c).cast("double").alias(c) for c in columns]
     )
+    spread = melted_moments(reference, columns, by, {"ref_std": F.stddev_pop})
     stats = ordered.groupBy(*keys).agg(
         F.lit("numeric").alias("kind"),
         F.max("total_n_ref").alias("n_ref"),

@@ -106,17 +106,25 @@ class Preprocessor:
                 # a constant column has no spread: it is only centred
                 self.scaling[name] = [center or 0.0, scale or 1.0]
         if self.categorical:
-            sizes = df.agg(*[F.count_distinct(quoted(c)).alias(c) for c in self.categorical]).first()
+            pairs = (
+                df.select(*[quoted(c).cast("string").alias(c) for c in self.categorical])
+                .unpivot([], self.categorical, "column_name", "value").where("value is not null").distinct()
+            )
+            sizes = {row["column_name"]: row["count"] for row in pairs.groupBy("column_name").count().collect()}
+            narrow = [c for c in self.categorical if sizes.get(c, 0) <= self.max_wide]
+            self.categories = {c: [] for c in narrow}
+            for row in pairs.where(F.col("column_name").isin(narrow)).collect():
+                self.categories[row["column_name"]].append(row["value"])
+            for found in self.categories.values():
+                found.sort()
             for name in self.categorical:
-                if sizes[name] <= self.max_wide:
-                    rows = df.select(quoted(name).cast("string").alias("v")).where("v is not null").distinct().collect()
-                    self.categories[name] = sorted(row["v"] for row in rows)
-                elif self.categorical_strategy == "onehot":
+                if name in self.categories:
+                    continue
+                if self.categorical_strategy == "onehot":
                     raise ValueError(f"{name} has {sizes[name]} categories, more columns than max_wide; use ordinal")
-                else:
-                    path = shared_folder(df.sparkSession, "dictionary")
-                    category_dictionary(df, name).write.parquet(path)
-                    self.dictionaries[name] = path
+                path = shared_folder(df.sparkSession, "dictionary")
+                category_dictionary(df, name).write.parquet(path)
+                self.dictionaries[name] = path
         self.fitted = True
         return self
 

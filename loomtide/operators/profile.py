@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -135,34 +135,33 @@ def quality_summary(
     counts = texts.groupBy(*by, "column_name", "value").agg(F.count(F.lit(1)).alias("n"))
     known = F.col("value").isNotNull()
     keys = [*by, "column_name"]
-    top_n = counts.where(known).groupBy(*keys).agg(F.max("n").alias("top_count"))
-    top = (
-        counts.where(known).join(top_n, keys).where(F.col("n") == F.col("top_count"))
-        .groupBy(*keys).agg(F.min("value").alias("top_value"), F.first("top_count").alias("top_count"))
-    )
-    shape = counts.groupBy(*keys).agg(
+    out = counts.groupBy(*keys).agg(
         F.sum("n").alias("n"),
         F.coalesce(F.sum(F.when(~known, F.col("n"))), F.lit(0)).alias("n_missing"),
         F.count("value").alias("n_distinct"),
+        F.min_by("value", F.when(known, F.struct(-F.col("n"), "value"))).alias("top_value"),
+        F.max(F.when(known, F.col("n"))).alias("top_count"),
     )
-    out = shape.join(top, keys, "left")
     if not numbers:
         return out
+    doubles = df.select(*by, *[present(df, c).cast("double").alias(c) for c in numbers])
     values = (
-        df.select(*by, *[present(df, c).cast("double").alias(c) for c in numbers])
-        .unpivot(by, numbers, "column_name", "value")
-        .where("value is not null")
-        .groupBy(*keys, "value")
-        .agg(F.count(F.lit(1)).alias("n"))
+        doubles.unpivot(by, numbers, "column_name", "value").where("value is not null")
+        .groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"))
     )
     ordered = running_totals(values, keys, "value", ["n"], per_column(hot_keys(df, by, hot_rows), numbers))
     quartiles = quantiles_from_totals(ordered, keys, "value", {"q25": 0.25, "median": 0.5, "q75": 0.75})
-    moments = values.groupBy(*keys).agg(
-        (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"),
-        F.min("value").alias("min_value"),
-        F.max("value").alias("max_value"),
-    )
-    spread = values.join(moments.select(*keys, "mean"), keys).groupBy(*keys).agg(
-        F.sqrt(ratio(F.sum(F.col("n") * (F.col("value") - F.col("mean")) ** 2), F.sum("n") - 1)).alias("std")
+    moments = melted_moments(
+        doubles, numbers, by, {"mean": F.avg, "std": F.stddev_samp, "min_value": F.min, "max_value": F.max}
     )
-    return out.join(moments, keys, "left").join(spread, keys, "left").join(quartiles, keys, "left")
+    return out.join(moments, keys, "left").join(quartiles, keys, "left")
+
+
+def melted_moments(
+    df: DataFrame, columns: Sequence[str], by: Sequence[str], functions: dict[str, Callable[[Column], Column]]
+) -> DataFrame:
+    """Aggregates of several columns, one row per group and column; the data itself is not melted."""
+    structs = [
+        F.struct(F.lit(c).alias("column_name"), *[fn(quoted(c)).alias(n) for n, fn in functions.items()]) for c in columns
+    ]
+    return df.groupBy(*by).agg(F.array(*structs).alias("_m")).select(*by, F.inline("_m"))

@@ -107,14 +107,15 @@ def rate_ratio(deltas: DataFrame, by: Sequence[str], ts: str, part: Column, rang
 def resample(samples: DataFrame, keys: Sequence[str], ts: str, value: str, step: int, lookback: int = 300) -> DataFrame:
     """Instant value at every evaluation time: the last sample within the look-back."""
     spans = _spans(lookback, step)
+    # both aggregates keep plain numbers, so they are combined in a hash map and not by sorting
     per_step = samples.groupBy(*keys, grid_index(F.col(ts), step).alias("_at")).agg(
-        F.max(F.struct(F.col(ts).alias("t"), F.col(value).alias("v"))).alias("_last")
+        F.max(ts).alias("_t"), F.max_by(value, ts).alias("_v")
     )
     return (
-        per_step.select(*keys, "_last", _seen_from("_at", spans).alias("_eval"))
+        per_step.select(*keys, "_t", "_v", _seen_from("_at", spans).alias("_eval"))
         .groupBy(*keys, "_eval")
-        .agg(F.max("_last").alias("_last"))
-        .select(*keys, grid_time(F.col("_eval"), step).alias("eval_ts"), F.col("_last.v").alias("value"))
+        .agg(F.max_by("_v", "_t").alias("value"))
+        .select(*keys, grid_time(F.col("_eval"), step).alias("eval_ts"), "value")
     )
 
 
