@@ -103,7 +103,7 @@ def duplicate_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
     per_row = df.groupBy(*(columns or df.columns)).agg(F.count(F.lit(1)).alias("_n"))
     total, extra = F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.sum(F.col("_n") - 1), F.lit(0))
     return per_row.agg(
-        total.alias("total_rows"), extra.alias("duplicate_rows"), (ratio(extra, total, 0.0) * 100).alias("duplicate_percent")
+        total.alias("total_rows"), extra.alias("duplicate_rows"), ratio(extra * 100, total, 0.0).alias("duplicate_percent")
     )
 
 

@@ -273,7 +273,7 @@ def quality_checks(
     )
     checks = [row("row_count", n >= min_rows, f">= {min_rows}", text(n))]
     for name in df.columns:
-        percent = ratio(F.count_if(missing(df, name)), n, 0.0) * 100
+        percent = ratio(F.count_if(missing(df, name)) * 100, n, 0.0)
         checks.append(
             row(f"null_percentage_{name}", percent <= max_null_percent, f"<= {max_null_percent}%",
                 F.format_string("%.2f%%", percent))

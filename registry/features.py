@@ -28,7 +28,7 @@ def _scaled(spark: SparkSession, folder: str, strategy: str) -> DataFrame:
 
 def _scale_sql(center: str, scale: str) -> str:
     out = ", ".join(
-        f"round(({c} - (SELECT {center.format(c=c)} FROM lineitem)) / (SELECT {scale.format(c=c)} FROM lineitem), 5) AS {c}" for c in NUM
+        f"round(({c} - (SELECT {center.format(c=c)} FROM lineitem)) / (SELECT {scale.format(c=c)} FROM lineitem), 5) + 0.0 AS {c}" for c in NUM
     )
     return f"SELECT {_KEYS}, {out} FROM lineitem"
 
@@ -89,7 +89,7 @@ def ordinal_large(spark: SparkSession, folder: str) -> DataFrame:
 
 @REG.add(
     "preprocessed_table",
-    f"""SELECT {_KEYS}, round((l_quantity - (SELECT avg(l_quantity) FROM lineitem)) / (SELECT stddev_pop(l_quantity) FROM lineitem), 5) AS l_quantity,
+    f"""SELECT {_KEYS}, round((l_quantity - (SELECT avg(l_quantity) FROM lineitem)) / (SELECT stddev_pop(l_quantity) FROM lineitem), 5) + 0.0 AS l_quantity,
  CASE WHEN l_returnflag = 'N' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS "l_returnflag_N",
  CASE WHEN l_returnflag = 'R' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS "l_returnflag_R", l_shipdate FROM lineitem""",
 )

@@ -79,10 +79,10 @@ def raw_view(spark: SparkSession, folder: str) -> fs.FeatureView:
     "pit_transaction_stats",
     f"""WITH {TRANSACTION_SQL}
 SELECT e.event_id, e.user_id, e.ts AS event_timestamp,
-       round(CASE WHEN s.event_timestamp + INTERVAL 1 DAY >= e.ts THEN s.amount_mean END, 6) AS amount_mean,
-       round(CASE WHEN s.event_timestamp + INTERVAL 1 DAY >= e.ts THEN s.amount_std END, 6) AS amount_std,
+       round(CASE WHEN s.event_timestamp + INTERVAL 1 DAY >= e.ts THEN s.amount_mean END, 8) AS amount_mean,
+       round(CASE WHEN s.event_timestamp + INTERVAL 1 DAY >= e.ts THEN s.amount_std END, 8) AS amount_std,
        CASE WHEN s.event_timestamp + INTERVAL 1 DAY >= e.ts THEN CAST(s.transaction_count AS DOUBLE) END AS transaction_count,
-       round(CASE WHEN s.event_timestamp + INTERVAL 1 DAY >= e.ts THEN s.days_since_last END, 6) AS days_since_last
+       round(CASE WHEN s.event_timestamp + INTERVAL 1 DAY >= e.ts THEN s.days_since_last END, 8) AS days_since_last
 FROM (SELECT * FROM events WHERE event_type = 'error') e
 ASOF LEFT JOIN stats s ON e.user_id = s.user_id AND e.ts >= s.event_timestamp""",
 )
@@ -92,7 +92,7 @@ def pit_transaction_stats(spark: SparkSession, folder: str) -> DataFrame:
         .select("event_id", "user_id", F.col("ts").alias("event_timestamp"))
     )
     out = fs.point_in_time_join(entities, [transaction_view(spark, folder)])
-    return rounded(as_doubles(out, ["transaction_count"]))
+    return rounded(as_doubles(out, ["transaction_count"]), 8)
 
 
 @REG.add(
@@ -102,13 +102,13 @@ a AS (SELECT e.event_id, e.user_id, e.ts AS event_timestamp, e.value AS label,
              CASE WHEN s.event_timestamp + INTERVAL 1 DAY >= e.ts THEN s.amount_mean END AS am,
              CASE WHEN s.event_timestamp + INTERVAL 1 DAY >= e.ts THEN CAST(s.transaction_count AS DOUBLE) END AS tc
       FROM events e ASOF LEFT JOIN stats s ON e.user_id = s.user_id AND e.ts >= s.event_timestamp)
-SELECT a.event_id, a.user_id, a.event_timestamp, a.label, round(am, 6) AS transaction_stats__amount_mean,
+SELECT a.event_id, a.user_id, a.event_timestamp, a.label, round(am, 8) AS transaction_stats__amount_mean,
        tc AS transaction_stats__transaction_count,
-       round(CASE WHEN h.event_timestamp + INTERVAL 6 HOUR >= a.event_timestamp THEN h.feature_1 END, 6)
+       round(CASE WHEN h.event_timestamp + INTERVAL 6 HOUR >= a.event_timestamp THEN h.feature_1 END, 8)
          AS model_features__feature_1,
-       round(CASE WHEN h.event_timestamp + INTERVAL 6 HOUR >= a.event_timestamp THEN h.feature_2 END, 6)
+       round(CASE WHEN h.event_timestamp + INTERVAL 6 HOUR >= a.event_timestamp THEN h.feature_2 END, 8)
          AS model_features__feature_2,
-       round(CASE WHEN h.event_timestamp + INTERVAL 6 HOUR >= a.event_timestamp THEN h.feature_5 END, 6)
+       round(CASE WHEN h.event_timestamp + INTERVAL 6 HOUR >= a.event_timestamp THEN h.feature_5 END, 8)
          AS model_features__feature_5
 FROM a ASOF LEFT JOIN hourly h ON a.user_id = h.user_id AND a.event_timestamp >= h.event_timestamp""",
 )
@@ -123,29 +123,30 @@ def pit_multi_view(spark: SparkSession, folder: str) -> DataFrame:
             "event_id", "user_id", "event_timestamp", "label", "transaction_stats__amount_mean",
             "transaction_stats__transaction_count", "model_features__feature_1", "model_features__feature_2",
             "model_features__feature_5",
-        )
+        ),
+        8,
     )
 
 
 @REG.add(
     "transaction_stats_view",
     f"""WITH {TRANSACTION_SQL}
-SELECT user_id, event_timestamp, round(amount_mean, 6) AS amount_mean, round(amount_std, 6) AS amount_std,
+SELECT user_id, event_timestamp, round(amount_mean, 8) AS amount_mean, round(amount_std, 8) AS amount_std,
        transaction_count, days_since_last FROM stats""",
 )
 def transaction_stats_view(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(transaction_view(spark, folder).source)
+    return rounded(transaction_view(spark, folder).source, 8)
 
 
 @REG.add(
     "user_profile",
     f"""WITH {PROFILE_SQL}
 SELECT user_id, event_timestamp, age_group, account_tenure_days, has_premium,
-       round(engagement_score, 6) AS engagement_score FROM profile""",
+       round(engagement_score, 8) AS engagement_score FROM profile""",
 )
 def user_profile(spark: SparkSession, folder: str) -> DataFrame:
     as_of = F.lit("2001-01-01").cast("timestamp_ntz")
-    return rounded(fs.user_profile(table(spark, folder, "customer"), table(spark, folder, "orders"), as_of))
+    return rounded(fs.user_profile(table(spark, folder, "customer"), table(spark, folder, "orders"), as_of), 8)
 
 
 @REG.add(
@@ -155,7 +156,7 @@ SELECT o_orderkey, o_custkey AS user_id, o_orderdate AS event_timestamp,
        CASE WHEN p.event_timestamp + INTERVAL 7 DAY >= o_orderdate THEN age_group END AS age_group,
        CASE WHEN p.event_timestamp + INTERVAL 7 DAY >= o_orderdate THEN CAST(account_tenure_days AS DOUBLE) END AS account_tenure_days,
        CASE WHEN p.event_timestamp + INTERVAL 7 DAY >= o_orderdate THEN CAST(has_premium AS DOUBLE) END AS has_premium,
-       round(CASE WHEN p.event_timestamp + INTERVAL 7 DAY >= o_orderdate THEN engagement_score END, 6)
+       round(CASE WHEN p.event_timestamp + INTERVAL 7 DAY >= o_orderdate THEN engagement_score END, 8)
          AS engagement_score
 FROM orders ASOF LEFT JOIN profile p ON o_custkey = p.user_id AND o_orderdate >= p.event_timestamp""",
 )
@@ -171,7 +172,7 @@ def pit_user_profile(spark: SparkSession, folder: str) -> DataFrame:
         "o_orderkey", F.col("o_custkey").alias("user_id"), F.col("o_orderdate").alias("event_timestamp")
     )
     out = fs.point_in_time_join(entities, [view])
-    return rounded(as_doubles(out, ["account_tenure_days", "has_premium"]))
+    return rounded(as_doubles(out, ["account_tenure_days", "has_premium"]), 8)
 
 
 LATEST_SQL = """

@@ -26,7 +26,7 @@ def events_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 @REG.add(
     "stream_rollup",
-    f"""WITH w AS (SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS window_start, event_type, count(*) AS n, round(avg(value), 6) AS mean_value, max(value) AS max_value
+    f"""WITH w AS (SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS window_start, event_type, count(*) AS n, round(avg(value), 8) AS mean_value, max(value) AS max_value
  FROM events GROUP BY ALL) SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, event_type, n, mean_value, max_value
  FROM w WHERE window_start + INTERVAL 1 HOUR <= {CLOSED}""",
 )
@@ -36,7 +36,7 @@ def stream_rollup(spark: SparkSession, folder: str) -> DataFrame:
         stream, "ts", "1 hour", ["event_type"],
         {"n": F.count(F.lit(1)), "mean_value": F.avg("value"), "max_value": F.max("value")},
     )
-    return rounded(core.run_to_table(rollups.flat_window(out), "rollup"))
+    return rounded(core.run_to_table(rollups.flat_window(out), "rollup"), 8)
 
 
 @REG.add(

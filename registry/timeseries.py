@@ -277,12 +277,12 @@ def canary_semi_join(spark: SparkSession, folder: str) -> DataFrame:
 @REG.add(
     "vector_or",
     f"""WITH {HOURLY_SQL}, a AS (SELECT * FROM hourly WHERE v > 60), b AS (SELECT * FROM hourly WHERE v < 70)
-SELECT event_type, hour, round(v, 6) AS v FROM a UNION ALL
-SELECT event_type, hour, round(v, 6) FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.event_type = b.event_type AND a.hour = b.hour)""",
+SELECT event_type, hour, round(v, 8) AS v FROM a UNION ALL
+SELECT event_type, hour, round(v, 8) FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.event_type = b.event_type AND a.hour = b.hour)""",
 )
 def vector_or(spark: SparkSession, folder: str) -> DataFrame:
     gauge = hourly_gauge(spark, folder)
-    return rounded(alerts.either(gauge.where("v > 60"), gauge.where("v < 70"), ["event_type", "hour"]))
+    return rounded(alerts.either(gauge.where("v > 60"), gauge.where("v < 70"), ["event_type", "hour"]), 8)
 
 
 @REG.add(
