@@ -52,6 +52,12 @@ def present(df: DataFrame, name: str) -> Column:
     return F.when(~F.isnan(col), col) if is_floating(df.schema[name].dataType) else col
 
 
+def row_draw(df: DataFrame) -> Column:
+    """A hash of the row, the same on every attempt of a task; maps cannot be hashed and are left out."""
+    names = [n for n, t in df.dtypes if "map<" not in t]
+    return F.xxhash64(*[quoted(n) for n in names]) if names else F.lit(0).cast("long")
+
+
 def ratio(numerator: Column, denominator: Column, default: float | None = None) -> Column:
     """numerator / denominator; ``default`` (null if not given) where the denominator is zero."""
     value = F.try_divide(numerator.cast("double"), denominator.cast("double"))
@@ -63,13 +69,6 @@ def epoch_seconds(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp")) / F.lit(1_000_000.0)
 
 
-def literal_map(pairs: dict[str, str]) -> Column:
-    parts: list[Column] = []
-    for key, value in pairs.items():
-        parts += [F.lit(key), F.lit(value)]
-    return F.create_map(*parts) if parts else F.create_map().cast("map<string,string>")
-
-
 def flatten_struct(df: DataFrame, separator: str = "_") -> DataFrame:
     """Replace nested struct columns by one flat column per leaf, named by its path."""
 

@@ -28,7 +28,8 @@ def _rule(name, metric, op, limit, minutes, severity, category="ml_monitoring",
     return AlertRule(name, metric, matcher, op, float(limit), minutes * 60, severity, category)
 
 
-# fixed values: the gauge rules of the alert catalogue
+# fixed values: the alert catalogue. Rules on rates, ratios and quantiles refer to samples derived with the functions in
+# series.py (named by what they hold); a rule with several rows fires when any of them does
 ALERT_RULES = (
     _rule("DataDriftDetected", "ml_data_drift_detected", "==", 1, 5, "warning"),
     _rule("HighDriftShare", "ml_data_drift_share", ">", 0.3, 5, "critical"),
@@ -46,6 +47,16 @@ ALERT_RULES = (
     _rule("KServeControllerDown", "up", "==", 0, 3, "critical", "infrastructure", job="kserve-controller"),
     _rule("InferenceServiceDown", "kserve_inference_service_status", "==", 1, 3, "critical", "ml_serving", status="False"),
     _rule("ModelDriftDetected", "ml_data_drift_detected", "==", 1, 5, "warning"),
+    _rule("MLflowHighLatency", "http_request_duration_seconds:p95_5m", ">", 2, 5, "warning", "infrastructure", job="mlflow-server"),
+    _rule("MLflowHighErrorRate", "http_requests:error_ratio_5m", ">", 0.05, 5, "critical", "infrastructure", job="mlflow-server"),
+    _rule("KServeHighErrorRate", "http_requests:error_ratio_5m", ">", 0.05, 5, "critical", "ml_serving", job="kserve"),
+    _rule("InferenceServiceHighLatency", "kserve_inference_duration_seconds:p95_5m", ">", 5, 10, "warning", "ml_serving"),
+    _rule("ModelLoadingFailure", "kserve_model_loading_failures:increase_5m", ">", 0, 1, "critical", "ml_serving"),
+    _rule("CanaryDeploymentStuck", "kserve_canary_deployment:age_seconds", ">", 3600, 5, "warning", "ml_serving"),
+    _rule("ModelRetrainingRequired", "ml_data_drift_share", ">", 0.3, 10, "warning"),
+    _rule("ModelRetrainingRequired", "ml_model_accuracy", "<", 0.7, 10, "warning"),
+    _rule("NoRecentMonitoringRuns", "ml_monitoring_runs:increase_2h", "==", 0, 120, "warning"),
+    _rule("PodCrashLooping", "kube_pod_container_status_restarts:rate_15m", ">", 0, 5, "warning", "kubernetes"),
     _rule("NodeDiskPressure", "kube_node_status_condition", "==", 1, 5, "critical", "kubernetes",
           condition="DiskPressure", status="true"),
 )
@@ -78,7 +89,7 @@ def evaluate_rules(samples: DataFrame, rules: Sequence[AlertRule] = ALERT_RULES)
         .otherwise(F.col("value") < F.col("threshold"))
     )
     return samples.join(catalogue, "metric").where(fits).select(
-        "rule", "labels", "ts", "value", active.alias("active"), "for_seconds", "severity", "category"
+        "rule", "metric", "labels", "ts", "value", active.alias("active"), "for_seconds", "severity", "category"
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomtide.functions.columns import row_draw
 from loomtide.operators.ordered import HOT_ROWS, carry_forward
 
 
@@ -77,7 +78,7 @@ def _match(
     at = F.col(entity_timestamp)
     # rows with a null key match nothing; a key of their own keeps them from meeting in one task
     no_key = F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False))
-    lone = F.when(no_key, F.xxhash64(*entities.columns)).otherwise(F.lit(0))
+    lone = F.when(no_key, row_draw(entities)).otherwise(F.lit(0).cast("long"))
     stacked = entities.select(
         *keys, lone.alias("_lone"), at.alias("_at"), F.lit(1).alias("_side"), F.struct(*carried).alias("_row")
     )

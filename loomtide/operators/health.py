@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomtide.functions.columns import literal_map
 from loomtide.operators import drift, evaluation, profile
 from loomtide.operators.ordered import carry_forward
 
@@ -225,7 +224,3 @@ def model_inventory(reference: DataFrame, model_type: str, features: int) -> Dat
 def find_model(inventory: DataFrame, name: str) -> DataFrame:
     """Models asked for by full key, or by name in any version."""
     return inventory.where((F.col("model_key") == name) | F.col("model_key").startswith(f"{name}:"))
-
-
-def label_map(**labels: str) -> Column:
-    return literal_map(labels)

@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomtide.functions.columns import row_draw
+
 BLOCK = 32
 HOT_ROWS = 2_000_000
 HOT_CUTS = 2048
@@ -252,7 +254,7 @@ def carry_forward(
     same = F.size(F.filter(F.col("_edges")["fine"], lambda e: e == F.col(order)))
     hot_slice = at
     if spread is not None:
-        draw = F.pmod(F.xxhash64(*columns), F.greatest(same, F.lit(1))).cast("int")
+        draw = F.pmod(row_draw(df), F.greatest(same, F.lit(1))).cast("int")
         hot_slice = at - F.when(spread, draw).otherwise(F.greatest(same - 1, F.lit(0)))
     sliced = df.join(small(cuts), keys, "left").select(
         *columns,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomtide.operators import encoding, evaluation, experiments, models, scoring, splitting
 from registry.common import Registry, rounded, table
-from registry.evaluation import ORDER_PREDICTIONS_SQL, _scores_sql, order_predictions
+from registry.evaluation import _scores_sql, order_predictions
 
 REG = Registry()
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtide.operators import drift, health
-from registry.common import Registry, as_doubles, rounded, table
+from registry.common import Registry, rounded, table
 from registry.evaluation import ORDER_PREDICTIONS_SQL, _scores_sql, order_predictions
 
 REG = Registry()
@@ -117,7 +117,7 @@ def js_drift(spark: SparkSession, folder: str) -> DataFrame:
 
 
 # the model-wise reference exceeds 1000 rows only from sf0.01 on; forced methods keep the SQL the same at every scale
-_SCORES_SQL = f"""{NUM_LONG_SQL.replace(FEATURES_SQL, FEATURES_SQL)},
+_SCORES_SQL = f"""{NUM_LONG_SQL},
 sd AS (SELECT model_name, column_name, stddev_pop(value) AS s FROM num WHERE dataset = 'reference' GROUP BY ALL),
 cat AS (SELECT model_name, dataset, 'label' AS column_name, label AS value FROM feats
   UNION ALL SELECT model_name, dataset, 'order_year', order_year FROM feats

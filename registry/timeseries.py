@@ -194,23 +194,23 @@ def _rule_rows() -> str:
 
 
 CATALOGUE_SQL = f"""{_SAMPLES_SQL}, rules(rule, metric, op, threshold, for_seconds, severity, category) AS (VALUES {_rule_rows()}),
-evals AS (SELECT rule, labels, ts, value, for_seconds, severity, category,
+evals AS (SELECT rule, metric, labels, ts, value, for_seconds, severity, category,
   CASE op WHEN '==' THEN value = threshold WHEN '>' THEN value > threshold ELSE value < threshold END AS active
   FROM samples JOIN rules USING (metric)),
-{_FOR_SQL.format(k="rule, labels", t="ts", gap="false")},
+{_FOR_SQL.format(k="rule, metric, labels", t="ts", gap="false")},
 states AS (SELECT *, CASE WHEN NOT active THEN 'inactive' WHEN date_diff('second', since, ts) >= for_seconds THEN 'firing' ELSE 'pending' END AS state FROM s)"""
 
 
 def catalogue_states(spark: SparkSession, folder: str) -> DataFrame:
     samples = health.metric_samples(daily_runs(spark, folder))
     evals = alerts.evaluate_rules(samples).withColumn("series", series.series_key(F.col("labels")))
-    return alerts.alert_states(evals, ["rule", "series"], "ts", for_seconds=F.col("for_seconds"))
+    return alerts.alert_states(evals, ["rule", "metric", "series"], "ts", for_seconds=F.col("for_seconds"))
 
 
-@REG.add("alert_catalogue", f"WITH {CATALOGUE_SQL} SELECT rule, labels AS series, ts, since, state, severity FROM states WHERE state <> 'inactive'")
+@REG.add("alert_catalogue", f"WITH {CATALOGUE_SQL} SELECT rule, metric, labels AS series, ts, since, state, severity FROM states WHERE state <> 'inactive'")
 def alert_catalogue(spark: SparkSession, folder: str) -> DataFrame:
     states = catalogue_states(spark, folder).where("state != 'inactive'")
-    return states.select("rule", "series", "ts", "since", "state", "severity")
+    return states.select("rule", "metric", "series", "ts", "since", "state", "severity")
 
 
 FIRING_SQL = f"""{CATALOGUE_SQL}, firing AS (SELECT CASE WHEN rule = 'HighMissingValues' THEN 'MonitoringServiceDown'

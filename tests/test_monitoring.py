@@ -125,6 +125,17 @@ def test_threshold_met_exactly_and_matchers(spark):
     assert list(row) == [False, True, True, False, False]
 
 
+def test_catalogue_on_derived_series(spark):
+    rows = [("http_requests:error_ratio_5m", {"job": job}, T0 + timedelta(minutes=5 * i), v)
+            for job, v in (("kserve", 0.2), ("mlflow-server", 0.01)) for i in range(3)]
+    rows += [("ml_model_accuracy", {"model_name": "m"}, T0 + timedelta(minutes=10 * i), 0.6) for i in range(2)]
+    samples = spark.createDataFrame(rows, "metric string, labels map<string,string>, ts timestamp_ntz, value double")
+    evals = alerts.evaluate_rules(samples).withColumn("series", series.series_key(F.col("labels")))
+    states = alerts.alert_states(evals, ["rule", "metric", "series"], "ts", for_seconds=F.col("for_seconds"))
+    got = {(r["rule"], r["series"]) for r in states.where("state = 'firing'").collect()}
+    assert got == {("KServeHighErrorRate", "job=kserve"), ("LowModelAccuracy", "model_name=m"), ("ModelRetrainingRequired", "model_name=m")}
+
+
 def test_routing_and_inhibition(spark):
     schema = "alertname string, namespace string, severity string, category string"
     df = spark.createDataFrame([

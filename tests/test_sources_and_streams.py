@@ -143,3 +143,11 @@ def test_push_schema_is_checked(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "v")).count() == 1
     with pytest.raises(ValueError, match="another type"):
         fs.check_push(rows.withColumn("v", F.lit("x")), view)
+
+
+def test_point_in_time_keeps_maps(spark):
+    e = spark.createDataFrame([(1, T0, {"a": 1}), (None, T0, {"b": 2})], "user_id int, event_timestamp timestamp_ntz, m map<string,int>")
+    f = spark.createDataFrame([(1, T0, 3.0)], "user_id int, event_timestamp timestamp_ntz, v double")
+    view = fs.FeatureView("v", ("user_id",), timedelta(0), ("v",), f)
+    got = {tuple(r["m"]): r["v"] for r in fs.point_in_time_join(e, [view]).collect()}
+    assert got == {("a",): 3.0, ("b",): None}
