@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -37,12 +35,10 @@ def parallelism(spark: SparkSession) -> int:
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder for written intermediate tables, on storage every executor sees.
 
-    The cluster names it in ``spark.checkpoint.dir``. A temporary folder is used only in local mode, where the
-    driver and its tasks share one disk.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, a folder below the warehouse is used, which
+    every executor has to reach as well.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        root = os.path.join(tempfile.gettempdir(), "loomtide-scratch")
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
