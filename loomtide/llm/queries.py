@@ -5,12 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from loomtide.llm import quality, secrets, toxicity
+from loomtide.llm import mixing, quality, secrets, sharding, toxicity
 from registry.common import Registry, table
 
 REG = Registry()
 
 
+@REG.add("op1_mix_tree")
+def op1(spark, folder):
+    found = mixing.mix(table(spark, folder, "documents"), columns=["doc_id"])
+    plan = spark.createDataFrame(
+        [(s.key, s.size, float(s.target)) for s in found.sources], "_g string, source_size long, target double"
+    )
+    return found.taken().join(F.broadcast(plan), "_g", "left").select(
+        F.col("doc.doc_id").alias("doc_id"), "size", "source_size", "target", "taken"
+    )
+
+
+@REG.add("op6_interleaved_shards")
+def op6(spark, folder):
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    docs = table(spark, folder, "documents").select(
+        "doc_id", "source", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32")
+    )
+    return sharding.interleave(docs, 16).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 @REG.add("op3_repetition_quality")
 def op3(spark, folder):
     q = F.col("quality")
