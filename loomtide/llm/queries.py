@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from loomtide.llm import mixing, quality, secrets, sharding, toxicity
+from loomtide.llm import lines, mixing, quality, secrets, sharding, toxicity, warc
+from loomtide.session import shared_folder
 from registry.common import Registry, table
 
 REG = Registry()
@@ -43,6 +44,48 @@ def op3(spark, folder):
     )
 
 
+@REG.add("op4_line_dedup", """
+with lines as (
+    select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
+           generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos
+    from documents
+),
+keyed as (
+    select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key
+    from lines
+),
+common as (
+    select key, max(doc_id) as last from keyed where length(key) >= 40 group by key having count(distinct doc_id) >= 5
+),
+marked as (
+    select k.*, c.key is not null and k.doc_id <> c.last as gone from keyed k left join common c using (key)
+)
+select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '')) as kept_sha256
+from marked group by doc_id
+""")
+def op4(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    kept = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    return lines.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2(kept, 256).alias("kept_sha256"))
+
+
+@REG.add("op7_warc_captures", """
+with pages_ as (select page_id, coalesce(html, '') as html, strlen(coalesce(html, '')) as payload_bytes from pages),
+hashed as (select page_id, payload_bytes, sha256(html) as payload_digest from pages_),
+first as (select payload_digest, min(page_id) as page_id from hashed where payload_bytes >= 100 group by 1)
+select h.page_id, h.payload_bytes, h.payload_digest,
+       case when f.page_id <> h.page_id then 'revisit' else 'response' end as record_type,
+       case when f.page_id <> h.page_id then f.page_id end as refers_to
+from hashed h left join first f using (payload_digest)
+""")
+def op7(spark, folder):
+    archive = shared_folder(spark, "warc")
+    warc.write_warc(table(spark, folder, "pages"), archive)
+    return warc.page_captures(warc.assemble(warc.read_warc(spark, archive)))
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows that no model may learn from."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
