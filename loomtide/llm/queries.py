@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from loomtide.llm import lines, mixing, quality, secrets, sharding, toxicity, warc
+from loomtide.llm import decontam, lines, mixing, quality, secrets, sharding, toxicity, warc
 from loomtide.session import shared_folder
 from registry.common import Registry, table
 
@@ -71,13 +71,24 @@ def op4(spark, folder):
     return lines.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2(kept, 256).alias("kept_sha256"))
 
 
+@REG.add("op5_suffix_decontamination")
+def op5(spark, folder):
+    found = F.col("contamination")
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    hit = decontam.n_hit(found["spans"])
+    return decontam.find_matches(docs, table(spark, folder, "benchmark")).select(
+        "doc_id", found["n_words"].alias("n_words"), hit.alias("n_hit"), F.size(found["items"]).cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", found["items"]).cast("binary"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"),
+    )
+
+
 @REG.add("op7_warc_captures", """
 with pages_ as (select page_id, coalesce(html, '') as html, strlen(coalesce(html, '')) as payload_bytes from pages),
 hashed as (select page_id, payload_bytes, sha256(html) as payload_digest from pages_),
 first as (select payload_digest, min(page_id) as page_id from hashed where payload_bytes >= 100 group by 1)
 select h.page_id, h.payload_bytes, h.payload_digest,
        case when f.page_id <> h.page_id then 'revisit' else 'response' end as record_type,
-       case when f.page_id <> h.page_id then f.page_id end as refers_to
+       (case when f.page_id <> h.page_id then f.page_id end)::double as refers_to
 from hashed h left join first f using (payload_digest)
 """)
 def op7(spark, folder):
