@@ -106,8 +106,7 @@ def held_out(doc_id: Column) -> Column:
 def op9(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
     labels = table(spark, folder, "labels").filter(~held_out(F.col("doc_id"))).select("doc_id", "toxic")
-    model = toxicity.fit(docs.join(labels, "doc_id"))
-    return toxicity.score(docs, model).select(
+    return toxicity.score(docs, toxicity.fit(docs, labels)).select(
         "doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted"
     )
 

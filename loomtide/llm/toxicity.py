@@ -97,27 +97,23 @@ class Model:
 
 
 def fit(
-    labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
     max_rows: int = MAX_TRAINING_ROWS, passes: int = 4,
 ) -> Model:
-    """Weights learnt from at most ``max_rows`` labelled rows, those with the smallest hash of their id.
+    """Weights learnt from at most ``max_rows`` labelled documents, those with the smallest hash of their id.
 
-    Only the text is an input. Rows without a label are left out; a null or empty text has the intercept only. Equal
-    ids and texts tie harmlessly: rows are ordered by hash of id and text, then label. Without labelled rows every
-    weight is zero and the intercept stays at even odds. Features are made in parallel; one task learns from them in
-    the fixed order, so reruns agree.
+    Only the text is an input. The sample is chosen among the labels, so it is small before it meets the documents and
+    no text is moved but its own. Rows without id or label, and labels without a document, are left out; a null or
+    empty text has the intercept only. A repeated id is learnt from as often as it is there, within the bound. Without
+    labelled rows every weight is zero and the intercept stays at even odds. Features are made in parallel; one task
+    learns from them in a fixed order, so reruns agree.
     """
-    rows = labelled.select(
-        F.xxhash64(F.lit("order"), F.col(id_col)).alias("_o"), F.xxhash64(F.col(text_col)).alias("_p"),
-        F.col(text_col).alias("_t"), F.col(label_col).cast("int").alias("_y"),
-    ).filter(F.col("_y").isNotNull())
-
-    # the cut on the hash is found on narrow rows, so no text is sorted
-    kept = rows.select("_o", "_p", "_y").orderBy("_o", "_p", "_y").limit(max_rows)
-    last = kept.agg(F.max(F.struct("_o", "_p", "_y"))).first()[0]
-    if last is None:
-        return Model(np.zeros(0, dtype=np.int64), np.zeros(0), 0.0)
-    rows = rows.filter(F.struct("_o", "_p", "_y") <= F.struct(*[F.lit(last[c]).cast(t) for c, t in (("_o", "long"), ("_p", "long"), ("_y", "int"))]))
+    sample = labels.select(
+        F.xxhash64(F.lit("order"), F.col(id_col)).alias("_o"), F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")
+    ).dropna(subset=["_id", "_y"]).orderBy("_o", "_id", "_y").limit(max_rows)
+    rows = docs.select(F.col(id_col).alias("_did"), F.col(text_col).alias("_t")).join(
+        F.broadcast(sample), F.col("_did") == F.col("_id")
+    ).withColumn("_p", F.xxhash64("_t"))
 
     @F.pandas_udf("array<int>")
     def slots_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
