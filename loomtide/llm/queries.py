@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from loomtide.llm import decontam, lines, mixing, quality, secrets, sharding, toxicity, warc
+from loomtide.llm import decontam, lines, mixing, neardup, quality, secrets, sharding, toxicity, warc
 from loomtide.session import shared_folder
 from registry.common import Registry, table
 
@@ -97,6 +97,11 @@ def op7(spark, folder):
     return warc.page_captures(warc.assemble(warc.read_warc(spark, archive)))
 
 
+@REG.add("op8_odd_sketch_near_duplicates")
+def op8(spark, folder):
+    return neardup.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"), shingle=2)
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows that no model may learn from."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
