@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from loomtide.llm import decontam, lines, mixing, neardup, quality, secrets, sharding, toxicity, warc
+from loomtide.llm import decontam, lines, mixing, neardup, pages, quality, secrets, sharding, toxicity, warc
 from loomtide.session import shared_folder
 from registry.common import Registry, table
 
@@ -23,6 +23,14 @@ def op1(spark, folder):
     )
 
 
+@REG.add("op2_site_style_tree")
+def op2(spark, folder):
+    text = F.col("main_text")
+    return pages.extract(table(spark, folder, "pages")).select(
+        "page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars")
+    )
+
+
 @REG.add("op6_interleaved_shards")
 def op6(spark, folder):
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
