@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtide.llm import words as W
+from loomtide.llm.ranks import column, unused
 
 WINDOW = 10
 #: Words of the benchmark that are searched at a time; a larger benchmark is searched in several blocks.
@@ -219,7 +220,7 @@ def searched(texts: list, b: Benchmark) -> pd.DataFrame:
 
 def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, block_words: int) -> list[Benchmark]:
     """The benchmark in blocks of about ``block_words`` words; no item is divided."""
-    rows = benchmark.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").alias("t"))
+    rows = benchmark.select(column(id_col).alias("i"), column(text_col).alias("t"))
     total = rows.agg(F.sum(F.regexp_count("t", F.lit(WORD)))).first()[0] or 0
     n = max(1, -(-total // block_words))
     blocks = []
@@ -273,11 +274,11 @@ def find_matches(
     words but isn't listed; repeated items count once. Ties don't matter. An empty benchmark finds nothing. Other
     columns are kept; ``contamination`` is replaced.
     """
-    text = F.col(f"`{text_col}`")
+    text = column(text_col)
     parts = [_search(b)(text) for b in benchmark_blocks(benchmark, item_col, item_text_col, window, block_words)]
     if len(parts) == 1:
         return docs.withColumn("contamination", parts[0])
-    names = [f"_found{i}" for i in range(len(parts))]
+    names = unused(docs, *[f"_found{i}" for i in range(len(parts))])
     every = {n: F.concat(*[F.col(c)[n] for c in names]) for n in ("spans", "items", "matches")}
     return docs.withColumns(dict(zip(names, parts))).withColumn("contamination", F.struct(
         F.col(names[0])["n_words"].alias("n_words"), _joined_spans(every["spans"]).alias("spans"),
@@ -291,5 +292,7 @@ def n_hit(spans: Column) -> Column:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` without any match, with their own columns."""
-    clean = find_matches(docs, benchmark, **options).filter(F.size("contamination.spans") == 0)
-    return clean.select(*[F.col(f"`{c}`") for c in docs.columns])
+    text = column(options.pop("text_col", "text")).alias("_text")
+    rows = docs.select(F.struct(*[column(c) for c in docs.columns]).alias("_row"), text)
+    clean = find_matches(rows, benchmark, text_col="_text", **options).filter(F.size("contamination.spans") == 0)
+    return clean.select(*[F.col("_row")[c].alias(c) for c in docs.columns])

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomtide.llm.ranks import stored
+from loomtide.llm.ranks import column, stored, unused
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -23,9 +23,9 @@ def line_key(line: Column) -> Column:
 
 def hashed_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
     """One row per line with a long enough key: id, hash of the whole text, position, 128-bit hash of the key."""
-    text = F.col(f"`{text_col}`")
+    text = column(text_col)
     lines = docs.select(
-        F.col(f"`{id_col}`").alias("_id"), F.xxhash64(text).alias("_text"), F.posexplode(F.split(text, "\n", -1)).alias("_pos", "_line")
+        column(id_col).alias("_id"), F.xxhash64(text).alias("_text"), F.posexplode(F.split(text, "\n", -1)).alias("_pos", "_line")
     ).select("_id", "_text", "_pos", line_key(F.col("_line")).alias("_key"))
     return lines.filter(F.length("_key") >= min_chars).select(
         "_id", "_text", "_pos", F.xxhash64("_key").alias("_h1"), F.xxhash64(F.lit("second"), "_key").alias("_h2")
@@ -58,11 +58,12 @@ def dedup_lines(
     replaced. The text is moved once. A line of very many documents is joined from a written table, so Spark can split
     its rows.
     """
+    did, dtext, at, own = unused(docs, "_did", "_dtext", "_gone", "_own")
     lines = hashed_lines(docs, id_col, text_col, min_chars)
     common = stored(common_lines(lines, min_docs).select("_h1", "_h2", "_last"), "common-lines")
     drops = (
         lines.join(common, ["_h1", "_h2"]).filter(~F.col("_id").eqNullSafe(F.col("_last")))
-        .groupBy(F.col("_id").alias("_did"), F.col("_text").alias("_dtext")).agg(F.collect_set("_pos").alias("_gone"))
+        .groupBy(F.col("_id").alias(did), F.col("_text").alias(dtext)).agg(F.collect_set("_pos").alias(at))
     )
 
     @F.pandas_udf("string")
@@ -76,14 +77,14 @@ def dedup_lines(
                 out.append(text)
             yield pd.Series(out, dtype=object)
 
-    text, gone = F.col(f"`{text_col}`"), F.col("_gone")
+    text, gone = column(text_col), F.col(at)
     keep = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    joined = docs.select(*[F.col(f"`{c}`") for c in keep], F.xxhash64(text).alias("_own")).join(
-        drops, F.col(f"`{id_col}`").eqNullSafe(F.col("_did")) & (F.col("_own") == F.col("_dtext")), "left"
+    joined = docs.select(*[column(c) for c in keep], F.xxhash64(text).alias(own)).join(
+        drops, column(id_col).eqNullSafe(F.col(did)) & (F.col(own) == F.col(dtext)), "left"
     )
     n_lines = F.coalesce(F.size(F.split(text, "\n", -1)), F.lit(1))
     n_lines = F.when(text.isNull(), 1).otherwise(n_lines).cast("long")
     return joined.select(
-        *[without(text, gone).alias(c) if c == text_col else F.col(f"`{c}`") for c in keep],
+        *[without(text, gone).alias(c) if c == text_col else column(c) for c in keep],
         n_lines.alias("n_lines"), F.coalesce(F.when(gone.isNotNull(), F.size(gone)), F.lit(0)).cast("long").alias("n_dropped"),
     )

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomtide.llm.ranks import group_key, ranked, shuffle_key, stored
+from loomtide.llm.ranks import column, group_key, ranked, shuffle_key, stored
 
 #: Blocks (documents) of an output shard; what one task draws and shuffles at a time.
 SHARD_BLOCKS = 4096
@@ -188,9 +188,9 @@ def mix(
     (all by default) travel in the struct ``doc``.
     """
     spark = docs.sparkSession
-    id_, text, source = (F.col(f"`{c}`") for c in (id_col, text_col, source_col))
+    id_, text, source = (column(c) for c in (id_col, text_col, source_col))
     rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in columns or docs.columns]).alias("doc"), group_key(source).alias("_g"), source.alias("_source"),
+        F.struct(*[column(c) for c in columns or docs.columns]).alias("doc"), group_key(source).alias("_g"), source.alias("_source"),
         word_count(text).alias("_size"), id_.alias("_id"),
         shuffle_key(f"mix{seed}", id_, F.md5(text.cast("binary"))).alias("_key"),
     )

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtide.llm import words as W
-from loomtide.llm.ranks import stored
+from loomtide.llm.ranks import column, stored, unused
 
 SHINGLE = 5
 THRESHOLD = 80
@@ -167,7 +167,7 @@ class NearDuplicates:
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, shingle: int, threshold: int) -> None:
         self.shingle, self.threshold = shingle, threshold
-        self.docs = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
+        self.docs = docs.select(column(id_col).alias("_id"), column(text_col).alias("_text"))
 
         @F.pandas_udf(SIGNATURE)
         def signed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -301,7 +301,8 @@ def near_duplicates(
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` of which ``near_duplicates`` keeps one per component; of rows that repeat an id, one."""
     labels = near_duplicates(docs, id_col, **options)
-    kept = labels.filter(F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_kept")).distinct()
+    (name,) = unused(docs, "_kept")
+    kept = labels.filter(F.col("kept") & column(id_col).isNotNull()).select(column(id_col).alias(name)).distinct()
     kept = stored(kept, "kept-ids")
-    own = docs.filter(F.col(f"`{id_col}`").isNotNull()).join(kept, F.col(f"`{id_col}`") == F.col("_kept"), "left_semi")
-    return own.dropDuplicates([id_col]).unionByName(docs.filter(F.col(f"`{id_col}`").isNull()))
+    own = docs.filter(column(id_col).isNotNull()).join(kept, column(id_col) == F.col(name), "left_semi")
+    return own.dropDuplicates([id_col]).unionByName(docs.filter(column(id_col).isNull()))

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomtide.llm.ranks import stored
+from loomtide.llm.ranks import column, stored, unused
 
 #: Branches of a site below this importance are removed; branches on fewer pages are not judged.
 MIN_IMPORTANCE = 0.35
@@ -227,7 +227,7 @@ def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
             ]
             yield pd.DataFrame(rows, columns=["host", "path", "style", "content"])
 
-    seen = pages.select(host_of(F.col(f"`{url_col}`")).alias("host"), F.col(f"`{html_col}`").alias("html")).mapInPandas(look, OBSERVED)
+    seen = pages.select(host_of(column(url_col)).alias("host"), column(html_col).alias("html")).mapInPandas(look, OBSERVED)
     kinds = F.array(F.struct(F.lit("style").alias("kind"), F.col("style").alias("value")), F.struct(F.lit("content").alias("kind"), F.col("content").alias("value")))
     counts = seen.select("host", "path", F.explode(kinds).alias("f")).groupBy("host", "path", "f.kind", "f.value").count()
     n = F.col("count").cast("double")
@@ -255,7 +255,8 @@ def extract(
     are there. An empty table gives an empty one. Other columns are kept; ``main_text`` is replaced.
     """
     tree = style_tree(pages, url_col, html_col).filter((F.col("n_pages") >= min_pages) & (F.col("importance") < min_importance))
-    low = stored(tree.groupBy(F.col("host").alias("_host")).agg(F.sort_array(F.collect_list("path")).alias("_low")), "style-tree")
+    host, branches = unused(pages, "_host", "_low")
+    low = stored(tree.groupBy(F.col("host").alias(host)).agg(F.sort_array(F.collect_list("path")).alias(branches)), "style-tree")
 
     @F.pandas_udf("string")
     def text_of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -264,6 +265,6 @@ def extract(
                 [main_text(blocks(p), frozenset(x) if x is not None else frozenset()) for p, x in zip(page, paths)], dtype=object
             )
 
-    page = F.col(f"`{html_col}`")
-    keep = [F.col(f"`{c}`") for c in pages.columns if c != "main_text"]
-    return pages.join(low, host_of(F.col(f"`{url_col}`")) == F.col("_host"), "left").select(*keep, text_of(page, F.col("_low")).alias("main_text"))
+    keep = [column(c) for c in pages.columns if c != "main_text"]
+    joined = pages.join(low, host_of(column(url_col)) == F.col(host), "left")
+    return joined.select(*keep, text_of(column(html_col), F.col(branches)).alias("main_text"))

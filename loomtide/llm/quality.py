@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtide.llm import words as W
+from loomtide.llm.ranks import column, unused
 
 #: Largest share of a text's word characters inside n-grams that repeat an earlier one, by n. Published rule values.
 NGRAM_LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
@@ -95,7 +96,8 @@ def repetition(docs: DataFrame, text_col: str = "text", limits: dict[int, float]
         for texts in batches:
             yield measures(texts.tolist(), lengths)
 
-    m = F.col("_m")
+    values, fails = unused(docs, "_measures", "_fails")
+    m = F.col(values)
     rules = [
         (f"ngram_{n}", m["dup_ngram_chars"][i] > limits[n] * m["word_chars"]) for i, n in enumerate(lengths)
     ] + [
@@ -103,13 +105,14 @@ def repetition(docs: DataFrame, text_col: str = "text", limits: dict[int, float]
     ]
     failed = F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in rules]))
     base = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > BASE_PERCENT * m["n_words"])
-    return docs.withColumn("_m", measured(F.col(text_col))).withColumn("_f", failed).withColumn(
+    return docs.withColumn(values, measured(column(text_col))).withColumn(fails, failed).withColumn(
         "quality",
-        F.struct(*[m[x.split()[0]].alias(x.split()[0]) for x in MEASURES.split(", ")], base.alias("base_failed"), F.col("_f").alias("failed"),
-                 (~base & (F.size("_f") == 0)).alias("kept")),
-    ).drop("_m", "_f")
+        F.struct(*[m[x.split()[0]].alias(x.split()[0]) for x in MEASURES.split(", ")], base.alias("base_failed"), F.col(fails).alias("failed"),
+                 (~base & (F.size(fails) == 0)).alias("kept")),
+    ).drop(values, fails)
 
 
 def quality_kept(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that ``repetition`` keeps, with their own columns."""
-    return repetition(docs, text_col).filter("quality.kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.struct(*[column(c) for c in docs.columns]).alias("_row"), column(text_col).alias("_text"))
+    return repetition(rows, "_text").filter("quality.kept").select(*[F.col("_row")[c].alias(c) for c in docs.columns])

@@ -23,6 +23,21 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until no column of ``df`` has it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def column(name: str) -> Column:
+    """The column of just this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def shuffle_key(seed: str, *parts: Column) -> Column:
     """A number of 60 bits that looks random but depends on the seed and the first part that isn't null only (MD5, as SQL has it)."""
     text = F.concat_ws("|", F.lit(seed), F.coalesce(*[p.cast("string") for p in parts], F.lit("")))
@@ -73,4 +88,4 @@ def ranked(
     if weight:
         out = out.withColumn("_before", F.col("_cell_w") + F.coalesce(F.sum(weight).over(front), F.lit(0)))
         extra += ["_before", "_weight_of"]
-    return out.select(*[F.col(f"`{c}`") for c in df.columns], *extra)
+    return out.select(*[column(c) for c in df.columns], *extra)

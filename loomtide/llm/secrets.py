@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomtide.llm.ranks import column
+
 # The patterns of the base kinds, in the order that ranks spans of equal start.
 ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII
@@ -121,7 +123,7 @@ def scan(docs: DataFrame, text_col: str = "text", limits: dict[str, float] | Non
         for texts in batches:
             yield pd.Series([found(t) for t in texts])
 
-    return docs.withColumn("secrets", spans_of(F.col(text_col)))
+    return docs.withColumn("secrets", spans_of(column(text_col)))
 
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "*") -> DataFrame:
@@ -136,4 +138,4 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "*") -> DataFram
             out.append(text)
         return pd.Series(out, dtype=object)
 
-    return docs.withColumn(text_col, masked(F.col(text_col), F.col("secrets")))
+    return docs.withColumn(text_col, masked(column(text_col), F.col("secrets")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtide.llm.ranks import group_key, ranked, shuffle_key
+from loomtide.llm.ranks import column, group_key, ranked, shuffle_key
 
 #: Steps in which fractional ranks are told apart; rows of one step are ordered by source and rank.
 FRACTION_BITS = 40
@@ -28,9 +28,9 @@ def interleave(
     doesn't need before.
     """
     keep = [c for c in docs.columns if c not in ("shard", "slot")]
-    id_, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`") if text_col in docs.columns else F.lit(None)
+    id_, text = column(id_col), column(text_col) if text_col in docs.columns else F.lit(None)
     rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"), group_key(F.col(f"`{source_col}`")).alias("_source"),
+        F.struct(*[column(c) for c in keep]).alias("_row"), group_key(column(source_col)).alias("_source"),
         shuffle_key(seed, id_, F.md5(text.cast("binary"))).alias("_key"), id_.alias("_id"),
     )
     within = ranked(rows, "_key", ["_id"], "_source")

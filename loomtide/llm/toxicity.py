@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtide.llm import words as W
+from loomtide.llm.ranks import column
 
 #: Hashed feature space; the model holds one weight per slot at most, whatever the corpus is.
 BITS = 20
@@ -109,9 +110,9 @@ def fit(
     learns from them in a fixed order, so reruns agree.
     """
     sample = labels.select(
-        F.xxhash64(F.lit("order"), F.col(id_col)).alias("_o"), F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")
+        F.xxhash64(F.lit("order"), column(id_col)).alias("_o"), column(id_col).alias("_id"), column(label_col).cast("int").alias("_y")
     ).dropna(subset=["_id", "_y"]).orderBy("_o", "_id", "_y").limit(max_rows)
-    rows = docs.select(F.col(id_col).alias("_did"), F.col(text_col).alias("_t")).join(
+    rows = docs.select(column(id_col).alias("_did"), column(text_col).alias("_t")).join(
         F.broadcast(sample), F.col("_did") == F.col("_id")
     ).withColumn("_p", F.xxhash64("_t"))
 
@@ -155,6 +156,6 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: floa
         for texts in batches:
             yield pd.Series(model.scores(texts.tolist()))
 
-    return docs.withColumn("score", scored(F.col(text_col))).withColumn(
+    return docs.withColumn("score", scored(column(text_col))).withColumn(
         "predicted", (F.col("score") >= F.lit(threshold)).cast("int")
     )

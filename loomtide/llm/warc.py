@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtide.llm.ranks import stored
+from loomtide.llm.ranks import column, stored
 
 CRLF = "\r\n"
 #: What ends a record in an archive; the text writer puts it behind each row.
@@ -52,9 +52,9 @@ def write_warc(
     metadata records name the response in WARC-Concurrent-To. Record ids are new in each run. An empty table gives an
     archive without records.
     """
-    html = F.coalesce(F.col(f"`{html_col}`"), F.lit(""))
+    html = F.coalesce(column(html_col), F.lit(""))
     rows = pages.select(
-        F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{url_col}`").alias("_url"), html.alias("_html"),
+        column(id_col).cast("long").alias("_id"), column(url_col).alias("_url"), html.alias("_html"),
         F.octet_length(html).cast("long").alias("_bytes"), F.sha2(html.cast("binary"), 256).alias("_digest"),
     )
     same = rows.filter(F.col("_bytes") >= min_revisit_bytes).groupBy(F.col("_digest").alias("_same")).agg(
