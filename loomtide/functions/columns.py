@@ -52,6 +52,20 @@ def present(df: DataFrame, name: str) -> Column:
     return F.when(~F.isnan(col), col) if is_floating(df.schema[name].dataType) else col
 
 
+def join_on(left: DataFrame, right: DataFrame, keys: Iterable[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, where null equals null; the result has the columns of the left side, then the others.
+
+    Without keys every row meets every row, for sides of one row.
+    """
+    keys = list(keys)
+    names = {k: f"_right_{i}" for i, k in enumerate(keys)}
+    renamed = right.select(*[quoted(c).alias(names.get(c, c)) for c in right.columns])
+    same = F.lit(True)
+    for key, name in names.items():
+        same = same & quoted(key).eqNullSafe(F.col(name))
+    return left.join(renamed, same, how).drop(*names.values())
+
+
 def row_draw(df: DataFrame) -> Column:
     """A hash of the row, the same on every attempt of a task; maps cannot be hashed and are left out."""
     names = [n for n, t in df.dtypes if "map<" not in t]

@@ -11,7 +11,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomtide.functions.columns import present, quoted, ratio
+from loomtide.functions.columns import join_on, present, quoted, ratio
 from loomtide.functions.stats import chi_square_p, kolmogorov_p, normal_p
 from loomtide.operators.ordered import HOT_ROWS, hot_keys, per_column, running_totals
 from loomtide.operators.profile import melted_moments
@@ -43,7 +43,9 @@ def _category_statistics() -> dict[str, Column]:
     return {
         "chi_square": F.sum(F.try_divide((F.col("n_cur") - expected) ** 2, expected)),
         "unseen_categories": F.count_if((F.col("n_ref") == 0) & (F.col("n_cur") > 0)),
-        "jensen_shannon": F.sqrt(F.greatest(F.lit(0.0), F.sum(gain(p) + gain(q)) / 2)),
+        "jensen_shannon": F.when(
+            (F.max("total_n_ref") > 0) & (F.max("total_n_cur") > 0), F.sqrt(F.greatest(F.lit(0.0), F.sum(gain(p) + gain(q)) / 2))
+        ),
         "z": F.when(F.count(F.lit(1)) == 2, F.max(F.abs(F.try_divide(p - q, spread)))),
     }
 
@@ -72,7 +74,7 @@ def numeric_drift(
         F.sum(gap * (F.col("next_value") - F.col("value"))).alias("_distance"),
         *[c.alias(n) for n, c in _category_statistics().items()],
     )
-    return stats.join(spread, keys, "left").withColumn(
+    return join_on(stats, spread, keys, "left").withColumn(
         # null without rows on one side; a single common value has no distance
         "wasserstein",
         F.when(
@@ -87,7 +89,7 @@ def categorical_drift(df: DataFrame, columns: Sequence[str], by: Sequence[str] =
     keys = [*by, "column_name"]
     counts = _pair_counts(df, columns, by, dataset, False)
     totals = counts.groupBy(*keys).agg(F.sum("n_ref").alias("total_n_ref"), F.sum("n_cur").alias("total_n_cur"))
-    return counts.join(totals, keys).groupBy(*keys).agg(
+    return join_on(counts, totals, keys).groupBy(*keys).agg(
         F.lit("categorical").alias("kind"),
         F.max("total_n_ref").alias("n_ref"),
         F.max("total_n_cur").alias("n_cur"),
@@ -131,21 +133,19 @@ DRIFT_METHODS: dict[str, tuple[Callable[[], Column], bool]] = {
     "jensen_shannon": (lambda: F.col("jensen_shannon"), False),
 }
 
-SMALL_REFERENCE = 1000
-FEW_VALUES = 5
+DEFAULT_METHODS = ("wasserstein", "jensen_shannon")
 
 
-def choose_method() -> Column:
-    """Tests for references of up to 1000 values, distances beyond; numbers with few values count as categories."""
-    small = F.col("n_ref") <= SMALL_REFERENCE
-    number = (F.col("kind") == "numeric") & (F.col("n_distinct") > FEW_VALUES)
-    return (
-        F.when(number & small, "ks")
-        .when(number, "wasserstein")
-        .when(small & (F.col("n_distinct") == 2), "z")
-        .when(small, "chi_square")
-        .otherwise("jensen_shannon")
-    )
+def method_by_kind(
+    numeric: str = DEFAULT_METHODS[0], categorical: str = DEFAULT_METHODS[1], categories: Sequence[str] = ()
+) -> Column:
+    """One method for numbers and one for categories, whatever the number of rows or values.
+
+    ``categories`` names numeric columns that count as categories. A test of significance may be named instead of a
+    distance; which one suits the size of the data is the caller's choice, so a verdict never turns with a row more.
+    """
+    number = (F.col("kind") == "numeric") & ~F.col("column_name").isin(*categories) if categories else F.col("kind") == "numeric"
+    return F.when(number, numeric).otherwise(categorical)
 
 
 def drift_scores(
@@ -154,16 +154,18 @@ def drift_scores(
     p_threshold: float = 0.05,
     distance_threshold: float = 0.1,
     by: Sequence[str] = (),
-    methods: Sequence[str] = tuple(DRIFT_METHODS),
+    methods: Sequence[str] | None = None,
 ) -> DataFrame:
     """Score and verdict per column: drift when p is below, or a distance at or above, its threshold.
 
-    ``methods`` names those that can be chosen; leaving out the tests spares their Python p-values.
+    A column without values on one side has no score and no verdict (null): it is untested. ``method`` gives the
+    method of each row, by kind of column if left out; ``methods`` names those it can be.
     """
+    methods = methods or (DEFAULT_METHODS if method is None else tuple(DRIFT_METHODS))
     for name in ("ks", "wasserstein"):
         if name not in statistics.columns:
             statistics = statistics.withColumn(name, F.lit(None).cast("double"))
-    chosen = statistics.withColumn("method", method if method is not None else choose_method())
+    chosen = statistics.withColumn("method", method if method is not None else method_by_kind())
     score, is_p = F.lit(None).cast("double"), F.lit(False)
     for name in methods:
         value, p = DRIFT_METHODS[name]
@@ -179,17 +181,19 @@ def drift_scores(
         "method",
         "drift_score",
         F.when(F.col("_p"), F.lit(p_threshold)).otherwise(F.lit(distance_threshold)).alias("threshold"),
-        F.coalesce(
-            F.when(F.col("_p"), F.col("drift_score") < p_threshold).otherwise(F.col("drift_score") >= distance_threshold),
-            F.lit(False),
-        ).alias("drift_detected"),
+        F.when(F.col("_p"), F.col("drift_score") < p_threshold)
+        .otherwise(F.col("drift_score") >= distance_threshold)
+        .alias("drift_detected"),
     )
 
 
 def drift_summary(scores: DataFrame, by: Sequence[str] = (), dataset_share: float = 0.5) -> DataFrame:
-    """Columns tested and drifted, their share, the dataset verdict and the drifted columns in order."""
-    n, drifted = F.count(F.lit(1)), F.count_if("drift_detected")
-    share = ratio(drifted, n, 0.0)
+    """Columns tested and drifted, their share, the dataset verdict and the drifted columns in order.
+
+    Untested columns count for nothing; without a tested column share and verdict are null.
+    """
+    n, drifted = F.count("drift_detected"), F.count_if("drift_detected")
+    share = ratio(drifted, n)
     return scores.groupBy(*by).agg(
         n.alias("number_of_columns"),
         drifted.alias("number_of_drifted_columns"),

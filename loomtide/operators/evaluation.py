@@ -84,11 +84,11 @@ def roc_auc(
 ) -> DataFrame:
     """Exact area under the ROC curve: the share of (positive, negative) pairs in right order, ties counting half.
 
-    Computed from prefix sums over distinct scores; null when a group lacks one of the two classes.
+    Rows without a label (``is_positive`` null) or without a score (null or NaN) are left out. Computed from prefix sums over distinct scores; null when a group lacks one of the two classes.
     """
     one = F.when(is_positive, 1).otherwise(0)
     counts = (
-        df.where(F.col(score).isNotNull())
+        df.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")) & is_positive.isNotNull())
         .groupBy(*by, F.col(score).cast("double").alias("_score"))
         .agg(F.sum(one).alias("pos"), F.sum(1 - one).alias("neg"))
     )
@@ -103,8 +103,9 @@ def roc_auc(
 
 
 def regression_metrics(df: DataFrame, target: str, prediction: str, by: Sequence[str] = ()) -> DataFrame:
-    """MSE, RMSE, MAE, R2 and, when no target is zero, MAPE; one aggregation."""
-    y, error = F.col(target).cast("double"), F.col(target) - F.col(prediction)
+    """MSE, RMSE, MAE, R2 and, when no target is zero, MAPE; one aggregation over rows with target and prediction."""
+    error = F.col(target) - F.col(prediction)
+    y = F.when(error.isNotNull(), F.col(target).cast("double"))
     mse = F.avg(error * error)
     return df.groupBy(*by).agg(
         F.count(error).alias("n"),

@@ -61,18 +61,11 @@ def winner(tested: DataFrame, name_a: str, name_b: str, significance: float = 0.
 
 
 def retrain_decision(models: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """Whether to retrain and why; an accuracy of -1 marks a failed evaluation and gives two reasons."""
+    """Whether to retrain, with the codes of the reasons; an accuracy of -1 marks a failed evaluation and gives two."""
     accuracy = F.col("current_accuracy")
     low, failed, drifted = accuracy < threshold, accuracy < 0, F.col("drift_detected")
-    reasons = F.concat_ws(
-        "; ",
-        F.when(low, F.format_string(f"Performance below threshold (%.4f < {threshold:.4f})", accuracy)),
-        F.when(failed, "Model evaluation failed - attempting retrain"),
-        F.when(drifted, "Data drift detected beyond threshold"),
-    )
-    return models.withColumn("should_retrain", low | failed | drifted).withColumn(
-        "reason", F.when(reasons == "", "No retraining needed - model performing well").otherwise(reasons)
-    )
+    codes = [F.when(low, "low_accuracy"), F.when(failed, "no_evaluation"), F.when(drifted, "drift")]
+    return models.withColumn("should_retrain", low | failed | drifted).withColumn("reasons", F.array_compact(F.array(*codes)))
 
 
 def compare_models(old: DataFrame, new: DataFrame, metric: str = "accuracy", on: Sequence[str] = ("model_name",)) -> DataFrame:
@@ -97,14 +90,8 @@ def approvals(compared: DataFrame, approved: Column, auto_deploy: Column) -> Dat
 
 
 def notification(decisions: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """Message record per model: status text and severity from drift, accuracy and the retraining decision."""
+    """Message record per model: severity from drift, accuracy and the decision, with the reasons as codes."""
     drifted, low = F.col("drift_detected"), F.col("current_accuracy") < threshold
-    status = (
-        F.when(drifted & low, "Critical: drift detected AND low accuracy")
-        .when(drifted, "Warning: drift detected")
-        .when(F.col("should_retrain"), F.format_string("Retraining triggered (accuracy: %.4f)", F.col("current_accuracy")))
-        .otherwise("No action needed")
-    )
     severity = F.when(drifted & low, "critical").when(drifted, "warning").when(F.col("should_retrain"), "info").otherwise("ok")
     deployed = F.coalesce(F.col("new_model_better"), F.lit(False))
     return decisions.select(
@@ -113,5 +100,5 @@ def notification(decisions: DataFrame, threshold: float = 0.85) -> DataFrame:
         F.when(F.col("should_retrain"), F.col("new_accuracy")).alias("new_accuracy"),
         deployed.alias("new_model_deployed"),
         severity.alias("severity"),
-        F.when(deployed, F.concat(status, F.lit(" - New model deployed"))).otherwise(status).alias("status_text"),
+        F.concat_ws(",", "reasons", F.when(deployed, "deployed")).alias("codes"),
     )

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomtide.functions.columns import join_on
 from loomtide.operators import drift, evaluation, profile
 from loomtide.operators.ordered import carry_forward
 
@@ -15,7 +16,10 @@ MODEL = ("model_name", "model_version")
 
 
 def health_status(dataset_drift: Column, drift_share: Column, degradation: Column) -> Column:
-    """critical, warning or healthy from the drift share (only with dataset drift), then from degradation."""
+    """critical, warning or healthy from the drift share (only with dataset drift), then from degradation.
+
+    Without a drift verdict and without a degradation nothing is known: unknown, never healthy.
+    """
     drifted = F.coalesce(dataset_drift, F.lit(False))
     share, loss = F.coalesce(drift_share, F.lit(0.0)), F.coalesce(degradation, F.lit(0.0))
     return (
@@ -23,6 +27,7 @@ def health_status(dataset_drift: Column, drift_share: Column, degradation: Colum
         .when(drifted & (share > 0.3), "warning")
         .when(loss > 20, "critical")
         .when(loss > 10, "warning")
+        .when(dataset_drift.isNull() & degradation.isNull(), "unknown")
         .otherwise("healthy")
     )
 
@@ -44,11 +49,12 @@ def monitoring_run(
     dataset: str = "dataset",
     average: str = "macro",
     method: Column | None = None,
-    methods: Sequence[str] = tuple(drift.DRIFT_METHODS),
+    methods: Sequence[str] | None = None,
 ) -> DataFrame:
     """One monitoring record per model: drift, missing values, performance against the reference, health.
 
-    ``method`` and ``methods`` override the automatic choice of the drift method. ``df`` holds reference and current rows of every model; performance is left out without a label column.
+    ``method`` and ``methods`` are those of ``drift_scores``. ``df`` holds reference and current rows of every model, a
+    null name is a model; performance is left out without a label column. What could not be tested stays null.
     """
     by = list(by)
     current = df.where(F.col(dataset) == drift.CURRENT)
@@ -56,7 +62,7 @@ def monitoring_run(
     scores = drift.drift_scores(statistics, method, by=by, methods=methods)
     record = drift.drift_summary(scores, by)
     gaps = profile.missing_values(current, [*numeric, *categorical], by)
-    record = gaps.join(record, by, "left")
+    record = join_on(gaps, record, by, "left")
     performance: list[Column] = []
     loss = F.lit(None).cast("double")
     if label and prediction and label in df.columns:
@@ -72,7 +78,7 @@ def monitoring_run(
             *[side(n, drift.CURRENT).alias(f"current_{n}") for n in names],
             side(main, drift.REFERENCE).alias(f"reference_{main}"),
         )
-        record = record.join(wide, by, "left")
+        record = join_on(record, wide, by, "left")
         loss = evaluation.degradation(F.col(f"reference_{main}"), F.col(f"current_{main}"))
         performance = [F.col(f"current_{n}") for n in names] + [F.col(f"reference_{main}")]
     return record.select(
@@ -80,8 +86,8 @@ def monitoring_run(
         run_ts.alias("run_ts"),
         F.lit(model_type).alias("model_type"),
         F.col("n_rows").alias("samples_analyzed"),
-        F.coalesce("dataset_drift", F.lit(False)).alias("dataset_drift"),
-        F.coalesce("drift_share", F.lit(0.0)).alias("drift_share"),
+        "dataset_drift",
+        "drift_share",
         F.coalesce("number_of_drifted_columns", F.lit(0)).alias("number_of_drifted_columns"),
         "drifted_columns",
         "share_missing",
@@ -176,7 +182,7 @@ def check_summary(runs: DataFrame) -> DataFrame:
 
 def check_list(models: DataFrame, runs: DataFrame) -> DataFrame:
     """Every registered model with its run; models without data are marked skipped instead of getting made-up data."""
-    return models.join(runs, "model_name", "left").withColumn(
+    return join_on(models, runs, ["model_name"], "left").withColumn(
         "status", F.when(F.col("health_status").isNull(), "skipped").otherwise("completed")
     )
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomtide.functions.columns import row_draw
+from loomtide.functions.columns import join_on, row_draw
 
 BLOCK = 32
 HOT_ROWS = 2_000_000
@@ -79,12 +79,12 @@ def running_totals(
     # the filter is always true; it keeps the counted columns in this branch, whose shuffle is then reused
     kept = " + ".join(f"`{s}`" for s in sums) + " >= 0"
     cuts = (
-        base.join(small(heavy.groups), keys)
+        join_on(base, small(heavy.groups), keys)
         .groupBy(*keys)
         .agg(_quantile_cuts(value, HOT_CUTS, kept).alias("_cuts"), F.first("_n").alias("_n"))
         .select(*keys, _with_blocks(_thinned("_cuts", heavy.hot_rows)).alias("_edges"))
     )
-    sliced = base.join(small(cuts), keys, "left").select(
+    sliced = join_on(base, small(cuts), keys, "left").select(
         *base.columns,
         F.col("_edges").isNotNull().alias("_hot"),
         F.when(F.col("_edges").isNull(), F.lit(0)).otherwise(_slice_of(F.col("_edges"), F.col(value))).alias("_slice"),
@@ -108,7 +108,7 @@ def running_totals(
     inside = W.partitionBy(*keys, "_slice").orderBy(value)
     upto = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
     own = inside.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    return sliced.join(small(offsets), [*keys, "_slice"], "left").select(
+    return join_on(sliced, small(offsets), [*keys, "_slice"], "left").select(
         *counts.columns,
         *[F.coalesce(F.col(f"_whole_{s}"), F.sum(s).over(own)).alias(f"total_{s}") for s in sums],
         *[(F.sum(s).over(upto) + F.coalesce(F.col(f"_before_{s}"), F.lit(0))).alias(f"cum_{s}") for s in sums],
@@ -179,7 +179,7 @@ def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> Ho
         one = df.sparkSession.createDataFrame([(0, total)], "_all int, _n long")
         return Hot(one, _slices(total, hot_rows) if total > hot_rows else 0, hot_rows)
     heavy = (
-        df.select(*keys).dropna().groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
+        df.select(*keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
     )
     parts = F.least(F.lit(HOT_CUTS), F.ceil(F.col("_n") / F.lit(hot_rows)))
     return Hot(heavy, heavy.agg(F.coalesce(F.sum(parts), F.lit(0))).first()[0], hot_rows)
@@ -211,8 +211,7 @@ def hot_key_cuts(df: DataFrame, heavy: Hot, keys: Sequence[str], order: str) ->
     instant holds many rows.
     """
     cuts = (
-        df.select(*keys, order)
-        .join(heavy.small(heavy.groups), list(keys))
+        join_on(df.select(*keys, order), heavy.small(heavy.groups), keys)
         .groupBy(*keys)
         .agg(_quantile_cuts(order, HOT_CUTS).alias("_cuts"), F.first("_n").alias("_n"))
     )
@@ -234,8 +233,7 @@ def carry_forward(
     """Add, for each named expression, its last non-null value at or before the row (per key, in time order).
 
     ``include_current=False`` looks strictly at earlier rows. Rows for which ``spread`` is true only read values;
-    those of one instant may therefore be divided over several slices. Rows with a null key must not occur unless
-    they are few. ``hot_rows=None`` skips the search for hot keys where the caller knows that there are none;
+    those of one instant may therefore be divided over several slices. A null key is a key. ``hot_rows=None`` skips the search for hot keys where the caller knows that there are none;
     ``heavy`` hands over the result of an earlier ``hot_keys``.
     """
     keys = list(keys)
@@ -256,7 +254,7 @@ def carry_forward(
     if spread is not None:
         draw = F.pmod(row_draw(df), F.greatest(same, F.lit(1))).cast("int")
         hot_slice = at - F.when(spread, draw).otherwise(F.greatest(same - 1, F.lit(0)))
-    sliced = df.join(small(cuts), keys, "left").select(
+    sliced = join_on(df, small(cuts), keys, "left").select(
         *columns,
         F.col("_edges").isNotNull().alias("_hot"),
         F.when(F.col("_edges").isNull(), F.lit(0)).otherwise(hot_slice).alias("_slice"),
@@ -271,7 +269,7 @@ def carry_forward(
         .select(*keys, "_slice", *[F.last(f"_l_{n}", ignorenulls=True).over(across).alias(f"_c_{n}") for n in values])
     )
     frame = W.partitionBy(*keys, "_slice").orderBy(*by_time).rowsBetween(W.unboundedPreceding, last_row)
-    return sliced.join(small(carried), [*keys, "_slice"], "left").select(
+    return join_on(sliced, small(carried), [*keys, "_slice"], "left").select(
         *columns,
         *[F.coalesce(F.last(f"_v_{n}", ignorenulls=True).over(frame), F.col(f"_c_{n}")).alias(n) for n in values],
     )

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from loomtide.functions.columns import (
     categorical_columns,
     is_floating,
+    join_on,
     missing,
     numeric_columns,
     present,
@@ -114,10 +115,8 @@ def deduplicate(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
 def class_counts(df: DataFrame, target: str, by: Sequence[str] = ()) -> DataFrame:
     """Rows and share per target value."""
     counts = df.groupBy(*by, target).agg(F.count(F.lit(1)).alias("n"))
-    if not by:
-        return counts.select(target, "n", ratio(F.col("n"), F.lit(df.count())).alias("share"))
     totals = counts.groupBy(*by).agg(F.sum("n").alias("_all"))
-    return counts.join(totals, list(by)).select(*by, target, "n", ratio(F.col("n"), F.col("_all")).alias("share"))
+    return join_on(counts, totals, by).select(*by, target, "n", ratio(F.col("n"), F.col("_all")).alias("share"))
 
 
 def quality_summary(
@@ -154,7 +153,7 @@ def quality_summary(
     moments = melted_moments(
         doubles, numbers, by, {"mean": F.avg, "std": F.stddev_samp, "min_value": F.min, "max_value": F.max}
     )
-    return out.join(moments, keys, "left").join(quartiles, keys, "left")
+    return join_on(join_on(out, moments, keys, "left"), quartiles, keys, "left")
 
 
 def melted_moments(

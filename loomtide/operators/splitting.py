@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomtide.functions.columns import join_on
+
 PREFIX_DIGITS = 4
-LOCAL_CUTS = 100_000
 
 
 def row_hash(key: str | Sequence[str], seed: int) -> Column:
@@ -24,7 +25,7 @@ def row_hash(key: str | Sequence[str], seed: int) -> Column:
 
 
 def _cut_hashes(hashed: DataFrame, groups: Sequence[str], ranks: Callable[[Column], list[Column]]) -> DataFrame:
-    """Per group the hash at each wanted rank (rank 0: none)."""
+    """Per group the hash at each wanted rank, in order; a rank of 0 gives the empty text, which is below every hash."""
     keys = list(groups)
     prefix = F.substring("_hash", 1, PREFIX_DIGITS)
     counts = hashed.groupBy(*keys, prefix.alias("_prefix")).agg(F.count(F.lit(1)).alias("_n"))
@@ -39,11 +40,13 @@ def _cut_hashes(hashed: DataFrame, groups: Sequence[str], ranks: Callable[[Colum
         .where((F.col("rank") > F.col("_before")) & (F.col("rank") <= F.col("_upto")))
         .select(*keys, "_prefix", "cut", (F.col("rank") - F.col("_before")).alias("_need"))
     )
-    ranked = hashed.select(*keys, "_hash", prefix.alias("_prefix")).join(slices, [*keys, "_prefix"]).withColumn(
+    ranked = join_on(hashed.select(*keys, "_hash", prefix.alias("_prefix")), slices, [*keys, "_prefix"]).withColumn(
         "_rank", F.row_number().over(W.partitionBy(*keys, "_prefix", "cut").orderBy("_hash"))
     )
-    return ranked.where("_rank = _need").groupBy(*keys).agg(
-        # as many entries as there are cuts
+    found = ranked.where("_rank = _need").select(*keys, "_hash")
+    none = placed.groupBy(*keys).agg(F.max("_total").alias("_total")).select(*keys, F.inline(wanted)).where("rank = 0")
+    # as many entries as there are cuts
+    return found.unionByName(none.select(*keys, F.lit("").alias("_hash"))).groupBy(*keys).agg(
         F.array_sort(F.collect_list("_hash")).alias("_cuts")
     )
 
@@ -57,16 +60,9 @@ def assign_parts(
     h = row_hash(key, seed)
     hashed = df.select(*groups, h.alias("_hash"))
     cuts = _cut_hashes(hashed, groups, ranks)
-    part = lambda edges: F.size(F.filter(edges, lambda e: h > e)).cast("int")
-    if not groups:
-        row = cuts.first()
-        edges = list(row["_cuts"]) if row else []
-        return df.withColumn(name, part(F.array(*[F.lit(e) for e in edges])) if edges else F.lit(0))
-    found = cuts.limit(LOCAL_CUTS + 1).collect()
-    if len(found) <= LOCAL_CUTS:
-        cuts = F.broadcast(df.sparkSession.createDataFrame(found, cuts.schema))
-    edges = F.coalesce("_cuts", F.array().cast("array<string>"))
-    return df.join(cuts, groups, "left").select(*df.columns, part(edges).alias(name))
+    # without groups the cuts are one row; with groups Spark joins them by their size
+    joined = join_on(df, cuts if groups else F.broadcast(cuts), groups, "left")
+    return joined.select(*df.columns, F.size(F.filter("_cuts", lambda e: h > e)).cast("int").alias(name))
 
 
 def random_split(df: DataFrame, key: str | Sequence[str], test_size: float = 0.2, seed: int = 42) -> DataFrame:

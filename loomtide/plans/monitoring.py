@@ -18,13 +18,14 @@ def run_checks(
     """Check every model of the ``models`` table against its reference and return one record per model.
 
     ``data`` holds the reference and current rows of all models; models without current rows get status skipped.
-    With ``history`` the records are appended there, by date.
+    With ``history`` the records are written there, a folder per date and run: a repeated run replaces its own, and only
+    that folder is read back.
     """
     runs = health.monitoring_run(data, run_ts, numeric, categorical, label, prediction, model_type)
     if history is None:
         return health.check_list(models, runs)
     spark = data.sparkSession
-    write_table(runs.withColumn("run_date", F.to_date("run_ts")), history, "parquet", mode="append", partition_by=["run_date"])
-    stamp = spark.range(1).select(run_ts.alias("t")).first()["t"]
-    written = spark.read.parquet(history).where(F.col("run_ts") == F.lit(stamp)).drop("run_date")
+    day, key = spark.range(1).select(F.date_format(run_ts, "yyyy-MM-dd"), F.unix_micros(run_ts.cast("timestamp"))).first()
+    write_table(runs, f"{history}/run_date={day}/run={key}", "parquet", mode="overwrite")
+    written = spark.read.schema(runs.schema).parquet(f"{history}/run_date={day}/run={key}")
     return health.check_list(models, written)

@@ -145,6 +145,19 @@ def roc_auc_tied_scores(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@REG.add(
+    "roc_auc_null_labels",
+    _AUC_SQL.format(s="l_extendedprice").replace("FROM lineitem)", "FROM lineitem WHERE l_returnflag <> 'N' AND l_quantity > 3)"),
+)
+def roc_auc_null_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows without a label, and those whose score is null or not a number, are left out; tiny slices."""
+    lines = table(spark, folder, "lineitem").select(
+        "l_linestatus", F.nullif("l_returnflag", F.lit("N")).alias("flag"),
+        F.when(F.col("l_quantity") > 3, F.col("l_extendedprice")).when(F.col("l_quantity") > 1, float("nan")).alias("score"),
+    )
+    return rounded(ev.roc_auc(lines, F.col("flag") == "R", "score", ["l_linestatus"], hot_rows=500))
+
+
 _REG_SQL = """count(*) AS n, round(avg((target - prediction) * (target - prediction)), 4) AS mse,
  round(sqrt(avg((target - prediction) * (target - prediction))), 4) AS rmse, round(avg(abs(target - prediction)), 4) AS mae,
  round(1 - avg((target - prediction) * (target - prediction)) / var_pop(target), 4) AS r2,
@@ -156,6 +169,15 @@ def regression_metrics(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(ev.regression_metrics(price_predictions(spark, folder), "target", "prediction", ["l_returnflag"]), 4)
 
 
+@REG.add(
+    "regression_metrics_null_predictions",
+    f"WITH {PRICE_PREDICTIONS_SQL} SELECT l_returnflag, {_REG_SQL} FROM priced WHERE target >= 20000 GROUP BY 1",
+)
+def regression_metrics_null_predictions(spark: SparkSession, folder: str) -> DataFrame:
+    priced = price_predictions(spark, folder).withColumn("prediction", F.when(F.col("target") >= 20000, F.col("prediction")))
+    return rounded(ev.regression_metrics(priced, "target", "prediction", ["l_returnflag"]), 4)
+
+
 @REG.add(
     "error_report",
     f"""WITH {PRICE_PREDICTIONS_SQL}, e AS (SELECT *, prediction - target AS err FROM priced)

@@ -202,6 +202,18 @@ def stratified_split(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.stratified_split(orders, "o_orderkey", "o_orderstatus")
 
 
+@REG.add(
+    "stratified_split_null_class",
+    f"""WITH o AS (SELECT o_orderkey, nullif(o_orderstatus, 'F') AS o_orderstatus FROM orders),
+r AS (SELECT o_orderkey, o_orderstatus, {_RANK.format(p="PARTITION BY o_orderstatus")} AS k,
+  ceil(count(*) OVER (PARTITION BY o_orderstatus) * 0.2::DOUBLE) AS t, count(*) OVER (PARTITION BY o_orderstatus) AS n FROM o)
+SELECT o_orderkey, o_orderstatus, CASE WHEN k <= t THEN 'test' WHEN k <= t + ceil((n - t) * (0.1::DOUBLE / (1 - 0.2::DOUBLE))) THEN 'validation' ELSE 'train' END AS split FROM r""",
+)
+def stratified_split_null_class(spark: SparkSession, folder: str) -> DataFrame:
+    orders = table(spark, folder, "orders").select("o_orderkey", F.nullif("o_orderstatus", F.lit("F")).alias("o_orderstatus"))
+    return splitting.stratified_split(orders, "o_orderkey", "o_orderstatus")
+
+
 @REG.add(
     "cv_folds",
     f"""WITH r AS (SELECT o_orderkey, {_RANK.format(p="")} AS k, count(*) OVER () AS n FROM orders)

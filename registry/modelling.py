@@ -179,9 +179,8 @@ acc AS (SELECT model_name, dataset, sum(tp) / sum(support) AS accuracy FROM scor
 o AS (SELECT a.model_name, CASE WHEN a.model_name LIKE '1%' THEN -1 WHEN a.model_name LIKE '2%' THEN 0.9 ELSE a.accuracy END AS current_accuracy, b.accuracy AS new_accuracy,
   a.model_name NOT LIKE '3%' AND a.model_name NOT LIKE '2%' AS drift_detected FROM acc a JOIN acc b ON a.model_name = b.model_name AND a.dataset = 'reference' AND b.dataset = 'current'),
 dec AS (SELECT *, current_accuracy < 0.85 OR drift_detected AS should_retrain,
-  concat_ws('; ', CASE WHEN current_accuracy < 0.85 THEN printf('Performance below threshold (%.4f < 0.8500)', current_accuracy) END,
-   CASE WHEN current_accuracy < 0 THEN 'Model evaluation failed - attempting retrain' END,
-   CASE WHEN drift_detected THEN 'Data drift detected beyond threshold' END) AS why FROM o)"""
+  concat_ws(',', CASE WHEN current_accuracy < 0.85 THEN 'low_accuracy' END, CASE WHEN current_accuracy < 0 THEN 'no_evaluation' END,
+   CASE WHEN drift_detected THEN 'drift' END) AS why FROM o)"""
 
 
 def model_table(spark: SparkSession, folder: str) -> DataFrame:
@@ -202,10 +201,11 @@ def model_table(spark: SparkSession, folder: str) -> DataFrame:
 
 @REG.add(
     "retrain_decision",
-    f"WITH {MODELS_SQL} SELECT model_name, should_retrain, CASE WHEN why = '' THEN 'No retraining needed - model performing well' ELSE why END AS reason FROM dec",
+    f"WITH {MODELS_SQL} SELECT model_name, should_retrain, why AS reasons FROM dec",
 )
 def retrain_decision(spark: SparkSession, folder: str) -> DataFrame:
-    return experiments.retrain_decision(model_table(spark, folder)).select("model_name", "should_retrain", "reason")
+    decided = experiments.retrain_decision(model_table(spark, folder))
+    return decided.select("model_name", "should_retrain", F.concat_ws(",", "reasons").alias("reasons"))
 
 
 def _compared(spark: SparkSession, folder: str) -> DataFrame:
@@ -234,9 +234,7 @@ def model_compare(spark: SparkSession, folder: str) -> DataFrame:
 SELECT model_name, round(current_accuracy, 6) AS current_accuracy, drift_detected, should_retrain AS retraining_triggered,
  round(CASE WHEN should_retrain THEN new_accuracy END, 6) AS new_accuracy, better AS new_model_deployed,
  CASE WHEN drift_detected AND current_accuracy < 0.85 THEN 'critical' WHEN drift_detected THEN 'warning' WHEN should_retrain THEN 'info' ELSE 'ok' END AS severity,
- CASE WHEN drift_detected AND current_accuracy < 0.85 THEN 'Critical: drift detected AND low accuracy' WHEN drift_detected THEN 'Warning: drift detected'
-  WHEN should_retrain THEN printf('Retraining triggered (accuracy: %.4f)', current_accuracy) ELSE 'No action needed' END
-  || CASE WHEN better THEN ' - New model deployed' ELSE '' END AS status_text FROM x""",
+ concat_ws(',', nullif(why, ''), CASE WHEN better THEN 'deployed' END) AS codes FROM x""",
 )
 def notification_record(spark: SparkSession, folder: str) -> DataFrame:
     decided = experiments.retrain_decision(model_table(spark, folder))

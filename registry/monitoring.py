@@ -72,6 +72,17 @@ def ks_drift(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@REG.add(
+    "ks_drift_sliced",
+    f"""WITH {NUM_LONG_SQL}
+SELECT nullif(model_name, '1-URGENT') AS model_name, column_name, round(max(abs(fr - fc)), 6) AS ks FROM cum GROUP BY ALL""",
+)
+def ks_drift_sliced(spark: SparkSession, folder: str) -> DataFrame:
+    """Every model is a hot key, cut into slices; one has no name."""
+    stats = drift.numeric_drift(unnamed_model(spark, folder), NUMERIC, ["model_name"], hot_rows=200)
+    return rounded(stats.select("model_name", "column_name", "ks"))
+
+
 @REG.add(
     "wasserstein_drift",
     f"""WITH {NUM_LONG_SQL}, sd AS (SELECT model_name, column_name, stddev_pop(value) AS s FROM num
@@ -116,7 +127,6 @@ def js_drift(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(stats.select("model_name", "column_name", "jensen_shannon"))
 
 
-# the model-wise reference exceeds 1000 rows only from sf0.01 on; forced methods keep the SQL the same at every scale
 _SCORES_SQL = f"""{NUM_LONG_SQL},
 sd AS (SELECT model_name, column_name, stddev_pop(value) AS s FROM num WHERE dataset = 'reference' GROUP BY ALL),
 cat AS (SELECT model_name, dataset, 'label' AS column_name, label AS value FROM feats
@@ -134,8 +144,7 @@ scores AS (SELECT cum.model_name, cum.column_name, 'wasserstein' AS method,
 
 
 def _distance():
-    number = (F.col("kind") == "numeric") & (F.col("n_distinct") > drift.FEW_VALUES)
-    return F.when(number, "wasserstein").otherwise("jensen_shannon")
+    return drift.method_by_kind(categories=["price_band"])
 
 
 def _scored(stats: DataFrame, method) -> DataFrame:
@@ -197,10 +206,24 @@ def document_source_drift(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(drift.categorical_drift(docs, ["lang", "source"]).select("column_name", "n_distinct", "jensen_shannon"))
 
 
-@REG.add("drift_tests_auto")
+# one model without a name; methods by kind of column
+_DEFAULT_SCORES_SQL = _SCORES_SQL.replace("\n  WHERE cum.column_name <> 'price_band' GROUP BY ALL", " GROUP BY ALL").replace(
+    "\n  UNION ALL SELECT model_name, dataset, 'price_band', CAST(price_band AS VARCHAR) FROM feats", ""
+)
+
+
+def unnamed_model(spark: SparkSession, folder: str) -> DataFrame:
+    return order_features(spark, folder).withColumn("model_name", F.nullif("model_name", F.lit("1-URGENT")))
+
+
+@REG.add(
+    "drift_tests_auto",
+    f"""WITH {_DEFAULT_SCORES_SQL} SELECT nullif(model_name, '1-URGENT') AS model_name, column_name, method, round(score, 6) AS drift_score,
+ CAST(0.1 AS DOUBLE) AS threshold, score >= 0.1 AS drift_detected FROM scores""",
+)
 def drift_tests_auto(spark: SparkSession, folder: str) -> DataFrame:
-    """Automatic choice of the method, with p-values from the special functions (checked in the tests)."""
-    stats = drift.drift_statistics(order_features(spark, folder), NUMERIC, CATEGORICAL, ["model_name"])
+    """Methods by kind of column, a model without a name included."""
+    stats = drift.drift_statistics(unnamed_model(spark, folder), NUMERIC, CATEGORICAL, ["model_name"])
     return rounded(drift.drift_scores(stats, by=["model_name"]))
 
 
@@ -234,6 +257,24 @@ def monitoring_run(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(rounded(out, 4, ["performance_degradation"]))
 
 
+_DEFAULT_RUN_SQL = _RUN_SQL.replace(_SCORES_SQL, _DEFAULT_SCORES_SQL)
+
+
+@REG.add(
+    "monitoring_run_default",
+    f"""WITH {_DEFAULT_RUN_SQL} SELECT nullif(model_name, '1-URGENT') AS model_name, samples_analyzed, dataset_drift, round(drift_share, 6) AS drift_share,
+ number_of_drifted_columns, share_missing, round(current_accuracy, 6) AS current_accuracy, round(current_f1, 6) AS current_f1,
+ round(reference_f1, 6) AS reference_f1, round(performance_degradation, 4) AS performance_degradation,
+ {_HEALTH} AS health_status FROM run""",
+)
+def monitoring_run_default(spark: SparkSession, folder: str) -> DataFrame:
+    """The run as jobs get it without options, on models of which one has no name."""
+    out = health.monitoring_run(
+        unnamed_model(spark, folder), F.lit("2002-01-01").cast("timestamp_ntz"), NUMERIC, CATEGORICAL, "label", "prediction"
+    ).drop("run_ts", "model_type", "drifted_columns", "current_precision", "current_recall")
+    return rounded(rounded(out, 4, ["performance_degradation"]))
+
+
 RUNS_SQL = """
 runs AS (SELECT event_type AS model_name, '1.0' AS model_version, date_trunc('day', ts)::TIMESTAMP AS run_ts, count(*) AS samples_analyzed,
   avg(CASE WHEN value > 60 THEN 1.0 ELSE 0.0 END) AS drift_share, avg(CASE WHEN value > 60 THEN 1.0 ELSE 0.0 END) >= 0.3 AS dataset_drift,

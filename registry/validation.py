@@ -123,6 +123,19 @@ def class_balance(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(profile.class_counts(table(spark, folder, "labels"), "toxic", by=["quality"]))
 
 
+@REG.add(
+    "class_balance_null_group",
+    """WITH l AS (SELECT nullif(l_returnflag, 'R') AS l_returnflag, nullif(l_linestatus, 'O') AS l_linestatus FROM lineitem)
+       SELECT l_returnflag, l_linestatus, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY l_returnflag), 6) AS share
+       FROM l GROUP BY l_returnflag, l_linestatus""",
+)
+def class_balance_null_group(spark: SparkSession, folder: str) -> DataFrame:
+    lines = table(spark, folder, "lineitem").select(
+        F.nullif("l_returnflag", F.lit("R")).alias("l_returnflag"), F.nullif("l_linestatus", F.lit("O")).alias("l_linestatus")
+    )
+    return rounded(profile.class_counts(lines, "l_linestatus", by=["l_returnflag"]))
+
+
 _DERIVED = {"o_orderkey": "n", "o_custkey": "n", "o_orderstatus": "s", "o_totalprice": "n", "o_orderpriority": "s"}
 
 

@@ -29,7 +29,8 @@ def pairs(spark):
 
 def test_auto_methods_and_verdicts(pairs):
     stats = drift.drift_statistics(pairs, ["x"], ["c", "b"], ["model_name"])
-    got = {(r["model_name"], r["column_name"]): r for r in drift.drift_scores(stats, by=["model_name"]).collect()}
+    tests = F.when(F.col("column_name") == "b", "z").otherwise(drift.method_by_kind("ks", "chi_square"))
+    got = {(r["model_name"], r["column_name"]): r for r in drift.drift_scores(stats, tests, by=["model_name"]).collect()}
     assert got["calm", "x"]["method"] == "ks" and got["calm", "c"]["method"] == "chi_square" and got["calm", "b"]["method"] == "z"
     assert not any(r["drift_detected"] for (m, _), r in got.items() if m == "calm")
     assert got["moved", "x"]["drift_detected"] and got["moved", "c"]["drift_detected"] and not got["moved", "b"]["drift_detected"]
@@ -47,6 +48,8 @@ def test_monitoring_of_all_models_at_once(spark, pairs, tmp_path):
     assert got["silent"]["status"] == "skipped"
     assert health.check_summary(out).first().asDict() == {"total": 3, "completed": 2, "healthy": 1, "warning": 0, "critical": 1, "errors": 0}
     monitoring.run_checks(models, pairs, F.lit(T0 + timedelta(hours=1)), ["x"], [], history=str(tmp_path / "runs")).count()
+    for _ in range(2):  # a repeated run replaces its records
+        monitoring.run_checks(models, pairs, F.lit(T0 + timedelta(hours=1)), ["x"], [], history=str(tmp_path / "runs")).count()
     history = spark.read.parquet(str(tmp_path / "runs"))
     assert history.groupBy("model_name").count().where("count = 2").count() == 2
     health.export_latest_json(history, str(tmp_path / "latest"))
@@ -58,7 +61,7 @@ def test_monitoring_of_all_models_at_once(spark, pairs, tmp_path):
 @pytest.mark.parametrize("drifted, share, loss, want", [
     (True, 0.51, 0, "critical"), (True, 0.31, 0, "warning"), (True, 0.5, 0, "warning"), (True, 0.3, 0, "healthy"),
     (False, 0.9, 0, "healthy"), (False, 0.9, 20.1, "critical"), (None, None, 20.0, "warning"), (None, None, 10.0, "healthy"),
-    (True, 0.2, 11.0, "warning"), (None, None, None, "healthy"),
+    (True, 0.2, 11.0, "warning"), (None, None, None, "unknown"), (False, 0.0, None, "healthy"),
 ])
 def test_health_limits(spark, drifted, share, loss, want):
     row = spark.createDataFrame([(drifted, share, None if loss is None else float(loss))], "d boolean, s double, l double")
@@ -67,7 +70,9 @@ def test_health_limits(spark, drifted, share, loss, want):
 
 def test_empty_current_is_no_drift(pairs):
     stats = drift.drift_statistics(pairs.where("dataset = 'reference'"), ["x"], ["c"], ["model_name"])
-    assert not any(r["drift_detected"] for r in drift.drift_scores(stats, by=["model_name"]).collect() if r["drift_score"] is None)
+    scores = drift.drift_scores(stats, by=["model_name"])
+    assert all(r["drift_score"] is None and r["drift_detected"] is None for r in scores.collect())
+    assert {tuple(r) for r in drift.drift_summary(scores, ["model_name"]).select("number_of_columns", "drift_share", "dataset_drift").collect()} == {(0, None, None)}
 
 
 def test_metrics_edge_cases(spark):
@@ -161,6 +166,4 @@ def test_experiment_decisions(spark):
     row = experiments.winner(few, "old", "new").first()
     assert (row["better_model"], row["p_value"], row["t"]) == ("none", 1.0, None)
     models = spark.createDataFrame([("m", -1.0, True)], "model_name string, current_accuracy double, drift_detected boolean")
-    reason = experiments.retrain_decision(models).first()["reason"]
-    assert reason == ("Performance below threshold (-1.0000 < 0.8500); Model evaluation failed - attempting retrain; "
-                      "Data drift detected beyond threshold")
+    assert experiments.retrain_decision(models).first()["reasons"] == ["low_accuracy", "no_evaluation", "drift"]
