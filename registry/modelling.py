@@ -92,6 +92,79 @@ def cv_scores(spark: SparkSession, folder: str) -> DataFrame:
     return evaluation.cross_validation_summary(scores, ["mse", "mae", "r2"])
 
 
+@REG.add(
+    "cv_scores_one_feature",
+    """WITH k AS (SELECT l_quantity AS x, l_extendedprice AS y, row_number() OVER (ORDER BY md5('42:' || l_orderkey || ':' || l_linenumber || ':' || l_partkey)) AS i,
+  count(*) OVER () AS n FROM lineitem),
+d AS (SELECT x, y, CASE WHEN i > ceil(n * 2::DOUBLE / 3) THEN 2 WHEN i > ceil(n * 1::DOUBLE / 3) THEN 1 ELSE 0 END AS fold FROM k),
+m AS (SELECT f.fold, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM d, range(3) f(fold) WHERE d.fold <> f.fold GROUP BY f.fold),
+e AS (SELECT d.fold, avg((y - a - b * x) ** 2) AS mse, avg(abs(y - a - b * x)) AS mae, 1 - avg((y - a - b * x) ** 2) / var_pop(y) AS r2
+  FROM d JOIN m ON d.fold = m.fold GROUP BY d.fold)
+SELECT round(avg(mse) / 1e6, 3) AS cv_mse_mean, round(avg(mae), 2) AS cv_mae_mean, round(avg(r2), 5) AS cv_r2_mean, round(stddev_pop(r2), 5) AS cv_r2_std FROM e""",
+)
+def cv_scores_one_feature(spark: SparkSession, folder: str) -> DataFrame:
+    scores = models.cross_validate(lines(spark, folder), KEY, ["l_quantity"], "l_extendedprice", "regression", "linear", folds=3)
+    out = evaluation.cross_validation_summary(scores, ["mse", "mae", "r2"]).withColumn("cv_mse_mean", F.col("cv_mse_mean") / 1e6)
+    out = rounded(rounded(rounded(out, 3, ["cv_mse_mean"]), 2, ["cv_mae_mean"]), 5, ["cv_r2_mean", "cv_r2_std"])
+    return out.select("cv_mse_mean", "cv_mae_mean", "cv_r2_mean", "cv_r2_std")
+
+
+@REG.add(
+    "batch_score_checks",
+    """SELECT count(*) AS n_rows, 0::BIGINT AS n_bad_sum, 0::BIGINT AS n_bad_range, 0::BIGINT AS n_bad_gate, 0::BIGINT AS n_unknown_class FROM lineitem""",
+)
+def batch_score_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """Every line is scored; probabilities sum to one, the gate looks at the largest, classes are those of the data."""
+    scored = batch_score(spark, folder)
+    shares = [F.col(c) for c in scored.columns if c.startswith("probability_class_")]
+    total, largest = sum(shares[1:], shares[0]), F.greatest(*shares)
+    return scored.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(F.abs(total - 1.0) > 1e-9).alias("n_bad_sum"),
+        F.count_if((F.least(*shares) < 0) | (largest > 1)).alias("n_bad_range"),
+        F.count_if(F.abs(F.col("max_probability") - largest) > 1e-12).alias("n_bad_gate"),
+        F.count_if(~F.col("prediction").isin("A", "N", "R")).alias("n_unknown_class"),
+    )
+
+
+@REG.add(
+    "prediction_interval_checks",
+    """SELECT ceil(count(*) * 0.2::DOUBLE)::BIGINT AS n_rows, 0::BIGINT AS n_inverted, 0::BIGINT AS n_negative_std, true AS covers_most_predictions FROM lineitem""",
+)
+def prediction_interval_checks(spark: SparkSession, folder: str) -> DataFrame:
+    low, mid, high = F.col("lower_bound"), F.col("prediction"), F.col("upper_bound")
+    inside = (low - 1e-6 <= mid) & (mid <= high + 1e-6)
+    return prediction_intervals(spark, folder).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(low > high).alias("n_inverted"),
+        F.count_if(F.col("prediction_std") < 0).alias("n_negative_std"),
+        (F.count_if(inside) >= 0.99 * F.count(F.lit(1))).alias("covers_most_predictions"),
+    )
+
+
+@REG.add(
+    "feature_importance_checks",
+    "SELECT 4::BIGINT AS n_features, true AS sums_to_one, 'l_quantity' AS first, count(*) > 0 AS any_row FROM lineitem",
+)
+def feature_importance_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """Price follows quantity, so a forest ranks it first."""
+    return feature_importance(spark, folder).agg(
+        F.count(F.lit(1)).alias("n_features"), (F.abs(F.sum("importance") - 1.0) < 1e-9).alias("sums_to_one"),
+        F.max_by("feature", "importance").alias("first"), (F.count(F.lit(1)) > 0).alias("any_row"),
+    )
+
+
+@REG.add(
+    "train_score_rf_checks",
+    """SELECT ceil(count(*) * 0.2::DOUBLE)::BIGINT AS n, true AS in_range, true AS beats_guessing FROM lineitem""",
+)
+def train_score_rf_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """Metrics are shares of the test rows, and no worse than a third, what guessing one of three flags gives."""
+    scores = [F.col(c) for c in ("accuracy", "precision", "recall", "f1")]
+    inside = F.lit(True)
+    for c in scores:
+        inside = inside & (c >= 0) & (c <= 1)
+    return train_score_rf(spark, folder).select("n", inside.alias("in_range"), (F.col("accuracy") > 0.3).alias("beats_guessing"))
+
+
 @REG.add(
     "cv_summary",
     """WITH f AS (SELECT o_orderpriority, md5('7:' || o_orderkey) AS h, o_totalprice AS y, o_custkey * 100 AS p FROM orders),

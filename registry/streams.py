@@ -139,3 +139,13 @@ def stream_score(spark: SparkSession, folder: str) -> DataFrame:
     stream = events_stream(spark, folder)
     prepared = prep.transform(stream.select("event_id", "value", "user_id", "event_type"), keep=["event_id"])
     return core.run_to_table(fitted.predict(prepared).select("event_id", "prediction", "probabilities"), "scored")
+
+
+@REG.add("stream_score_checks", "SELECT count(*) AS n_rows, count(DISTINCT event_id) AS n_events, 0::BIGINT AS n_bad_sum FROM events")
+def stream_score_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """Every event is scored once, with probabilities that sum to one."""
+    total = F.aggregate("probabilities", F.lit(0.0), lambda a, b: a + b)
+    return stream_score(spark, folder).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.countDistinct("event_id").alias("n_events"),
+        F.count_if(F.abs(total - 1.0) > 1e-9).alias("n_bad_sum"),
+    )

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from loomtide.operators import encoding, models, scoring, selection, splitting
 from loomtide.plans.inference import run_inference
 from loomtide.plans.training import TrainingConfig, run_training
-from loomtide.sources.synthetic import sample_feature_rows, sample_table
 
 
 @pytest.fixture(scope="module")
@@ -166,12 +165,3 @@ def test_failed_validation_warns_or_stops(spark, table):
     config = TrainingConfig("target", ["id"], algorithm="logistic_regression", fail_on_validation_error=True)
     with pytest.raises(ValueError, match="validation failed"):
         run_training(spark, broken, config, "strict")
-
-
-def test_synthetic_tables(spark):
-    df = sample_table(spark, 90, 4)
-    assert df.columns == ["feature_0", "feature_1", "feature_2", "feature_3", "target"]
-    assert {r[0] for r in df.select("feature_1").distinct().collect()} == {"A", "B", "C"}
-    assert {r[0] for r in df.select("target").distinct().collect()} == {0, 1, 2}
-    assert sample_table(spark, 50, 1, "regression").count() == 50
-    assert sample_feature_rows(spark, 5, 2).columns == ["user_id", "feature_1", "feature_2", "event_timestamp"]
