@@ -21,6 +21,9 @@ SAMPLES = BANDS * ROWS
 #: Bits of an odd sketch. A pair is ruled out if the estimate is so far below the threshold (more than 5 deviations).
 SKETCH_BITS = 512
 SKETCH_SLACK = 0.25
+#: Nodes and shingles on each side of a cell in which two components are compared.
+CELL_NODES = 64
+CELL_SHINGLES = 40_000
 #: Shingles that are permuted together, to stay in the processor's cache.
 CHUNK = 1 << 15
 
@@ -152,14 +155,40 @@ def _sketches(x: str) -> list[str]:
     return [f"{x}{i}" for i in range(SKETCH_BITS // 64)]
 
 
+def differing(a: str = "a_", b: str = "b_") -> Column:
+    """Bits in which the odd sketches of two nodes differ."""
+    bits = [F.bit_count(F.col(a + s).bitwiseXOR(F.col(b + s))) for s in _sketches("s")]
+    return sum(bits[1:], bits[0])
+
+
 def may_link(threshold: int, a: str = "a_", b: str = "b_") -> Column:
     """Whether sizes and odd sketches of two nodes allow the similarity."""
     least = max(0.0, threshold / 100 - SKETCH_SLACK)
     most = SKETCH_BITS / 2 * (1 - exp(-4 * SAMPLES * (1 - least) / SKETCH_BITS))
-    differ = sum((F.bit_count(F.col(a + s).bitwiseXOR(F.col(b + s))) for s in _sketches("s")[1:]),
-                 F.bit_count(F.col(a + "s0").bitwiseXOR(F.col(b + "s0"))))
     small, large = F.least(a + "n", b + "n"), F.greatest(a + "n", b + "n")
-    return (100 * small >= threshold * large) & (differ <= int(most) + 1)
+    return (100 * small >= threshold * large) & (differing(a, b) <= int(most) + 1)
+
+
+def block_links(cell: pd.DataFrame, k: int, threshold: int) -> pd.DataFrame:
+    """For each node on the left of a cell, a link to a node on its right, if there is one."""
+    sets = dict(zip(cell["node"], shingle_sets(cell["_text"].tolist(), k)))
+    left, right = cell.loc[cell["side"] == 0, "node"], cell.loc[cell["side"] == 1, "node"]
+    found = []
+    if len(left) and len(right):
+        size = np.array([len(sets[y]) for y in right])
+        values = np.concatenate([sets[y] for y in right])
+        order = np.argsort(values)
+        values, owner = values[order], np.repeat(np.arange(len(right)), size)[order]
+        for x in left:
+            own = sets[x]
+            lo, hi = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
+            n = hi - lo
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+            both = np.bincount(owner[at], minlength=len(right))
+            hit = np.flatnonzero((both > 0) & (100 * both >= threshold * (len(own) + size - both)))
+            if len(hit):
+                found.append((x, right.iloc[hit[0]]))
+    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
 
 class NearDuplicates:
@@ -190,78 +219,113 @@ class NearDuplicates:
             "nodes",
         )
         in_bands = self.sets.select(F.explode("bands").alias("bucket"), "node")
-        heads = in_bands.groupBy(F.col("bucket").alias("_b")).agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
-        heads = stored(heads.filter("lo < hi"), "shared-buckets")
-        #: Every node of a bucket that other nodes share. Copies may be there more than once.
-        self.members = stored(in_bands.join(heads, F.col("bucket") == F.col("_b")).drop("_b"), "bucket-members")
+        shared = in_bands.groupBy(F.col("bucket").alias("_b")).agg(
+            F.min("node").alias("_lo"), F.max("node").alias("_hi"), F.count("*").alias("_rows")
+        )
+        shared = stored(shared.filter("_lo < _hi").select("_b", "_rows"), "shared-buckets")
+        #: The nodes of each bucket that several nodes share, with the bucket's number of rows.
+        self.members = stored(
+            in_bands.join(shared, F.col("bucket") == F.col("_b")).groupBy("bucket", "node").agg(F.min("_rows").alias("rows")),
+            "bucket-members",
+        )
 
     def described(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) with the columns of both nodes, where the similarity is possible."""
         for x in "ab":
             side = self.nodes.select(*[F.col(c).alias(f"{x}_{c}") for c in ("node", "n", *_sketches("s"))])
             pairs = pairs.join(side, F.col(x) == F.col(f"{x}_node"))
-        return pairs.filter(may_link(self.threshold)).select("a", "b")
+        return pairs.filter(may_link(self.threshold))
 
-    def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """The pairs that the whole shingle sets confirm. Each node's text is fetched once."""
-        pairs = stored(pairs, "candidates")
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        wanted = wanted.join(self.nodes.select("node", F.col("rep").alias("_id")), "node")
+    def texts(self, nodes: DataFrame) -> DataFrame:
+        """(node, _text) of some nodes, a text for each."""
+        wanted = nodes.distinct().join(self.nodes.select("node", F.col("rep").alias("_id")), "node")
         wanted = wanted.join(self.rows.select("node", "_id", "_hash"), ["node", "_id"]).distinct()
         wanted = stored(wanted.select("node", F.col("_id").alias("_wid"), F.col("_hash").alias("_whash")), "wanted")
-        texts = self.docs.join(
-            wanted, (F.col("_id") == F.col("_wid")) & (F.xxhash64("_text") == F.col("_whash"))
-        ).select("node", "_text").dropDuplicates(["node"])
-        texts = stored(texts, "texts")
+        texts = self.docs.join(wanted, (F.col("_id") == F.col("_wid")) & (F.xxhash64("_text") == F.col("_whash")))
+        return stored(texts.select("node", "_text").dropDuplicates(["node"]), "texts")
+
+    def confirmed(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        """The pairs that the whole shingle sets confirm."""
         for x in "ab":
-            pairs = pairs.join(texts.select(F.col("node").alias(f"{x}_node"), F.col("_text").alias(f"{x}_text")), F.col(x) == F.col(f"{x}_node"))
-        return stored(pairs.filter(self.same("a_text", "b_text")).select("a", "b"), "links")
+            side = texts.select(F.col("node").alias(f"{x}_node"), F.col("_text").alias(f"{x}_text"))
+            pairs = pairs.join(side, F.col(x) == F.col(f"{x}_node"))
+        return pairs.filter(self.same("a_text", "b_text")).select("a", "b")
 
     def first_links(self) -> DataFrame:
-        """Each node's link to the least head of its buckets that is similar enough by the sketches."""
-        lo = self.members.select(F.col("lo").alias("a"), F.col("node").alias("b"))
-        hi = self.members.select(F.col("hi").alias("a"), F.col("node").alias("b"))
-        stars = self.described(lo.union(hi).filter("a <> b").distinct())
-        return self.confirmed(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-
-    def open_pairs(self, comps: DataFrame | None) -> DataFrame:
-        """All possible pairs of nodes that share a bucket but no component yet.
+        """Each node's link to the most similar head of its buckets, by the sketches, if the sets confirm it.
 
-        In each bucket the nodes outside of its largest component are paired with all nodes of other components; a
-        bucket within one component gives none, however large it is.
+        The head of a bucket is the node whose buckets have most rows: of a group of near copies, the one with the
+        fewest changes, to which most others are similar enough.
         """
-        members = self.members.select("bucket", "node").distinct()
-        if comps is not None:
-            members = members.join(comps.select(F.col("node").alias("_n"), "comp"), F.col("node") == F.col("_n"), "left").select(
-                "bucket", "node", F.coalesce("comp", "node").alias("comp")
-            )
-        else:
-            members = members.withColumn("comp", F.col("node"))
-        sizes = members.groupBy("bucket", "comp").count()
-        main = sizes.groupBy(F.col("bucket").alias("_b")).agg(
-            F.max(F.struct("count", "comp"))["comp"].alias("main"), F.count("*").alias("_comps")
-        ).filter("_comps > 1").select("_b", "main")
-        main = stored(main, "open-buckets")
-        open_ = members.join(main, F.col("bucket") == F.col("_b")).drop("_b")
+        weight = self.members.groupBy(F.col("node").alias("_n")).agg(F.sum("rows").alias("_weight"))
+        weighed = self.members.join(weight, F.col("node") == F.col("_n"))
+        heads = weighed.groupBy(F.col("bucket").alias("_b")).agg(F.max(F.struct("_weight", "node"))["node"].alias("a"))
+        stars = self.members.join(stored(heads, "heads"), F.col("bucket") == F.col("_b")).filter("a <> node")
+        stars = self.described(stars.select("a", F.col("node").alias("b")).distinct())
+        nearest = stars.groupBy("b").agg(F.min(F.struct(differing().alias("_d"), "a"))["a"].alias("a"))
+        pairs = stored(nearest.select("a", "b"), "candidates")
+        texts = self.texts(pairs.select(F.col("a").alias("node")).union(pairs.select("b")))
+        return stored(self.confirmed(pairs, texts), "links")
+
+    def other_links(self, comps: DataFrame) -> DataFrame:
+        """Links between components of which nodes share a bucket; all that are needed to join what can be joined.
+
+        Nodes that are alone are compared in pairs. A node of the smaller of two components is compared with all of the
+        larger, in cells of bounded size, and one link to it is enough. So the work grows with the nodes that the first
+        round has left over, not with the square of a group of copies.
+        """
+        placed = self.members.select("bucket", "node").join(
+            comps.select(F.col("node").alias("_n"), "comp"), F.col("node") == F.col("_n"), "left"
+        ).select("bucket", "node", F.coalesce("comp", "node").alias("comp"), F.col("comp").isNull().alias("alone"))
+        open_ = placed.groupBy(F.col("bucket").alias("_b")).agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).filter("_lo < _hi")
+        open_ = stored(open_.select("_b"), "open-buckets")
+        placed = stored(placed.join(open_, F.col("bucket") == F.col("_b")).drop("_b"), "open-members")
+
         data = self.nodes.select(F.col("node").alias("_n"), "n", *_sketches("s"))
-        open_ = stored(open_.join(data, F.col("node") == F.col("_n")).drop("_n"), "open-members")
-        a, b = (open_.select(*[F.col(c).alias(f"{x}_{c}") for c in open_.columns]) for x in ("a", "b"))
-        once = (F.col("b_comp") == F.col("b_main")) | (F.col("a_node") < F.col("b_node"))
-        pairs = a.filter("a_comp <> a_main").join(
-            b, (F.col("a_bucket") == F.col("b_bucket")) & (F.col("a_comp") != F.col("b_comp")) & once & may_link(self.threshold)
+        alone = placed.filter("alone").select("bucket", "node").join(data, F.col("node") == F.col("_n")).drop("_n")
+        alone = stored(alone, "alone")
+        a, b = (alone.select(*[F.col(c).alias(f"{x}_{c}") for c in alone.columns]) for x in ("a", "b"))
+        pairs = a.join(b, (F.col("a_bucket") == F.col("b_bucket")) & (F.col("a_node") < F.col("b_node")) & may_link(self.threshold))
+        pairs = stored(pairs.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct(), "pairs")
+
+        sizes = comps.groupBy(F.col("comp").alias("_c")).agg(F.count("*").alias("size"))
+        sized = placed.join(sizes, F.col("comp") == F.col("_c"), "left").select("bucket", "node", "comp", F.coalesce("size", F.lit(1)).alias("size"))
+        larger = sized.filter("size > 1").select(F.col("bucket").alias("_b"), F.col("comp").alias("into"), F.col("size").alias("_size")).distinct()
+        order = F.struct("size", "comp") < F.struct("_size", "into")
+        visits = stored(
+            sized.join(larger, (F.col("bucket") == F.col("_b")) & (F.col("comp") != F.col("into")) & order).select("node", "into").distinct(),
+            "visits",
         )
-        return pairs.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
+        hosts = comps.join(visits.select("into").distinct(), F.col("comp") == F.col("into"), "left_semi")
+        hosts = stored(hosts.select("node", F.col("comp").alias("into")), "visited")
+        sides = []
+        for side, rows in ((0, visits), (1, hosts)):
+            shingles = rows.join(data.select("_n", "n"), F.col("node") == F.col("_n"))
+            cuts = F.ceil(F.greatest(F.count("*") / CELL_NODES, F.sum("n") / CELL_SHINGLES)).cast("int")
+            sides.append(shingles.groupBy(F.col("into").alias("_c")).agg(cuts.alias(f"_cuts{side}")))
+        grid = stored(sides[0].join(sides[1], "_c"), "grid")
+        cells = []
+        for side, rows in ((0, visits), (1, hosts)):
+            own, across = (F.col(f"_cuts{x}") for x in (side, 1 - side))
+            at = F.pmod(F.xxhash64("node"), own).cast("int").alias(f"_at{side}")
+            every = F.explode(F.sequence(F.lit(0), across - 1)).alias(f"_at{1 - side}")
+            cut = rows.join(grid, F.col("into") == F.col("_c")).select("into", "node", F.lit(side).alias("side"), at, every)
+            cells.append(cut.select("into", "_at0", "_at1", "side", "node"))
+        nodes = [visits.select("node"), hosts.select("node"), pairs.select(F.col("a").alias("node")), pairs.select("b")]
+        texts = self.texts(nodes[0].union(nodes[1]).union(nodes[2]).union(nodes[3]))
+        filled = cells[0].union(cells[1]).join(texts.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n")).drop("_n")
+        k, threshold = self.shingle, self.threshold
+        across = filled.groupBy("into", "_at0", "_at1").applyInPandas(lambda cell: block_links(cell, k, threshold), "a long, b long")
+        return stored(self.confirmed(pairs, texts).unionByName(across), "more-links")
 
     def labels(self) -> DataFrame:
         """(node, component_id) for every set of shingles."""
         links = self.first_links()
-        comps = None if links.isEmpty() else stored(components(links), "components")
-        more = self.confirmed(self.open_pairs(comps))
+        comps = stored(components(links), "components")
+        more = self.other_links(comps)
         if not more.isEmpty():
             comps = stored(components(links.unionByName(more)), "components")
         nodes = self.nodes.select("node", "rep")
-        if comps is None:
-            return nodes.select("node", F.col("rep").alias("component_id"))
         joined = nodes.join(comps.select(F.col("node").alias("_n"), "comp"), F.col("node") == F.col("_n"), "left")
         joined = joined.select("node", "rep", F.coalesce("comp", "node").alias("comp"))
         least = joined.groupBy(F.col("comp").alias("_c")).agg(F.min("rep").alias("component_id"))
@@ -278,9 +342,10 @@ def near_duplicates(
     union; ``component_id`` is the smallest id that links lead to, ``kept`` whether the row has it.
 
     Equal sets are one node. Nodes that share one of 32 bands of MinHash values are candidates; a pair at the threshold
-    shares none with a chance of 5e-8. First each node is tried against the heads of its buckets, and components are
-    formed; then all pairs that share a bucket across components. A group of near copies so costs one comparison per
-    member. Odd sketches, parity bitmaps of the MinHash values whose XOR counts their differences, rule out the pairs
+    shares none with a chance of 5e-8. First each node is tried against the head of one of its buckets, and components
+    are formed. Then what shares a bucket across components is compared, all of it, in cells of bounded size. A group of
+    near copies so costs one comparison per member, and one per member for each cell of nodes that the first round left
+    over. Odd sketches, parity bitmaps of the MinHash values whose XOR counts their differences, rule out the pairs
     that are clearly apart; the others are decided on their full sets.
 
     Null and empty texts, and texts of white space, have no set and are linked with nothing. A row without an id is
