@@ -71,6 +71,18 @@ def category_dictionary(df: DataFrame, column: str) -> DataFrame:
     return values.join(F.broadcast(offsets), "_part").select("value", (F.col("_offset") + rank - 1).alias("code"))
 
 
+def onehot_pairs(df: DataFrame, key: Sequence[str], column: str) -> DataFrame:
+    """One-hot encoding for any number of categories: (key, position, 1.0) for each row's one column that isn't zero.
+
+    Positions are those of the categories in sorted order without the first, which is all zeros like a missing value.
+    """
+    codes = category_dictionary(df, column).where("code > 0").select(
+        F.col("value").alias("_value"), (F.col("code") - 1).alias("position")
+    )
+    rows = df.select(*key, quoted(column).cast("string").alias("_of")).where("_of is not null")
+    return rows.join(codes, F.col("_of") == F.col("_value")).select(*key, "position", F.lit(1.0).alias("value"))
+
+
 @dataclass
 class Preprocessor:
     """Scales numeric columns, encodes categorical ones and passes the rest through, in this order."""
@@ -105,7 +117,12 @@ class Preprocessor:
                 center, scale = found.get(name, (None, None))
                 # a constant column has no spread: it is only centred
                 self.scaling[name] = [center or 0.0, scale or 1.0]
-        if self.categorical:
+        if self.categorical and self.categorical_strategy != "onehot":
+            # one plan for any number of categories: a written dictionary that is joined
+            for name in self.categorical:
+                self.dictionaries[name] = shared_folder(df.sparkSession, "dictionary")
+                category_dictionary(df, name).write.parquet(self.dictionaries[name])
+        elif self.categorical:
             pairs = (
                 df.select(*[quoted(c).cast("string").alias(c) for c in self.categorical])
                 .unpivot([], self.categorical, "column_name", "value").where("value is not null").distinct()
@@ -118,13 +135,8 @@ class Preprocessor:
             for found in self.categories.values():
                 found.sort()
             for name in self.categorical:
-                if name in self.categories:
-                    continue
-                if self.categorical_strategy == "onehot":
-                    raise ValueError(f"{name} has {sizes[name]} categories, more columns than max_wide; use ordinal")
-                path = shared_folder(df.sparkSession, "dictionary")
-                category_dictionary(df, name).write.parquet(path)
-                self.dictionaries[name] = path
+                if name not in self.categories:
+                    raise ValueError(f"{name} has {sizes[name]} categories, more columns than max_wide; use onehot_pairs or ordinal")
         self.fitted = True
         return self
 
@@ -161,14 +173,10 @@ class Preprocessor:
             value = quoted(name).cast("string")
             if name in self.dictionaries:
                 out.append(F.coalesce(F.col(f"_code_{name}"), F.lit(-1)).cast("double").alias(name))
-            elif self.categorical_strategy == "onehot":
+            else:
                 out += [
                     F.when(value == v, 1.0).otherwise(0.0).alias(f"{name}_{v}") for v in self.categories[name][1:]
                 ]
-            else:
-                known = F.array(*[F.lit(v) for v in self.categories[name]]).cast("array<string>")
-                position = F.coalesce(F.array_position(known, value), F.lit(0)) - 1
-                out.append(position.cast("double").alias(name))
         return df.select(*out, *[quoted(c) for c in self.remainder if c not in keep])
 
     def fit_transform(self, df: DataFrame, exclude: Sequence[str] = (), keep: Sequence[str] = ()) -> DataFrame:

@@ -183,6 +183,15 @@ def best_percentile(spark: SparkSession, folder: str) -> DataFrame:
 _RANK = "row_number() OVER ({p} ORDER BY md5('42:' || o_orderkey))"
 
 
+@REG.add(
+    "onehot_sparse",
+    """WITH r AS (SELECT c_custkey, dense_rank() OVER (ORDER BY c_name) - 2 AS position FROM customer)
+SELECT c_custkey, position, CAST(1 AS DOUBLE) AS value FROM r WHERE position >= 0""",
+)
+def onehot_sparse(spark: SparkSession, folder: str) -> DataFrame:
+    return encoding.onehot_pairs(table(spark, folder, "customer"), ["c_custkey"], "c_name")
+
+
 @REG.add(
     "random_split",
     f"""SELECT o_orderkey, CASE WHEN {_RANK.format(p="")} <= ceil((SELECT count(*) FROM orders) * 0.2::DOUBLE) THEN 'test' ELSE 'train' END AS split FROM orders""",
