@@ -137,11 +137,13 @@ def materialize(view: FeatureView, start: Column, end: Column) -> DataFrame:
 
 
 def materialize_incremental(view: FeatureView, snapshot: DataFrame, since: Column, end: Column) -> DataFrame:
-    """Merge the rows of [since, end) into an older snapshot; a newer timestamp always wins."""
+    """Merge the rows of [since, end) into an older snapshot; a newer timestamp always wins.
+
+    At equal times the row of the new interval does: within it the view's tie break has already decided.
+    """
     delta = materialize(view, since, end)
-    return latest_per_key(
-        snapshot.select(delta.columns).unionByName(delta), view.keys, view.timestamp, view.features
-    )
+    both = snapshot.select(*delta.columns, F.lit(0).alias("_round")).unionByName(delta.withColumn("_round", F.lit(1)))
+    return latest_per_key(both, view.keys, view.timestamp, view.features, ("_round",))
 
 
 def online_lookup(entity_rows: DataFrame, snapshot: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
@@ -160,12 +162,18 @@ def check_push(rows: DataFrame, view: FeatureView) -> DataFrame:
     return rows.select(*wanted)
 
 
-def append_to_view(rows: DataFrame, view: FeatureView, path: str) -> None:
-    """Append pushed rows to the view's offline table, partitioned by event date."""
+def append_to_view(rows: DataFrame, view: FeatureView, path: str, push_id: str | None = None) -> None:
+    """Add pushed rows to the view's offline table, partitioned by event date.
+
+    With ``push_id`` the rows go to partitions of that push, which a repeated push overwrites instead of doubling.
+    """
+    dated = check_push(rows, view).withColumn("event_date", F.to_date(F.col(view.timestamp)))
+    if push_id is None:
+        dated.write.mode("append").partitionBy("event_date").parquet(path)
+        return
     (
-        check_push(rows, view)
-        .withColumn("event_date", F.to_date(F.col(view.timestamp)))
-        .write.mode("append").partitionBy("event_date").parquet(path)
+        dated.withColumn("push_id", F.lit(push_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy("push_id", "event_date").parquet(path)
     )
 
 

@@ -22,7 +22,9 @@ INPUT = {"featuresCol": "_features", "labelCol": "_label"}
 
 
 def _forest(kind: type, p: dict) -> Estimator:
-    extra = {"minInstancesPerNode": p["min_samples_split"]} if "min_samples_split" in p else {}
+    if "min_samples_split" in p:
+        raise ValueError("Spark's trees bound the rows of a leaf, not of a split: give min_samples_leaf")
+    extra = {"minInstancesPerNode": p["min_samples_leaf"]} if "min_samples_leaf" in p else {}
     return kind(numTrees=p.get("n_estimators", 100), maxDepth=p.get("max_depth", 10), seed=p.get("random_state", 42), **INPUT, **extra)
 
 

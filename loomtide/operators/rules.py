@@ -224,11 +224,12 @@ test_suite_summary.__test__ = False
 
 
 def require_valid(results: DataFrame) -> DataFrame:
-    """Return the results, or raise when any rule failed (at most 20 are named)."""
-    failed = results.where(~F.col("success")).orderBy("rule_id").limit(20).collect()
-    if failed:
-        named = ", ".join(f"{row['kind']}({row['column_name'] or ''})" for row in failed)
-        raise ValidationFailed(f"validation failed: {named}")
+    """Return the results, or raise when any rule failed, with their number; the first 20 are named."""
+    failed = results.where(~F.col("success"))
+    first = failed.orderBy("rule_id").limit(20).collect()
+    if first:
+        named = ", ".join(f"{row['kind']}({row['column_name'] or ''})" for row in first)
+        raise ValidationFailed(f"validation failed, {failed.count()} rules: {named}")
     return results
 
 

@@ -141,6 +141,13 @@ def test_push_schema_is_checked(spark, tmp_path):
     view = fs.FeatureView("v", ("user_id",), None, ("v",), rows)
     fs.append_to_view(rows, view, str(tmp_path / "v"))
     assert spark.read.parquet(str(tmp_path / "v")).count() == 1
+    for _ in range(2):  # a repeated push counts once
+        fs.append_to_view(rows, view, str(tmp_path / "pushes"), push_id="p1")
+    fs.append_to_view(rows, view, str(tmp_path / "pushes"), push_id="p2")
+    assert spark.read.parquet(str(tmp_path / "pushes")).count() == 2
+    newer = fs.FeatureView("v", ("user_id",), None, ("v",), rows.withColumn("v", F.lit(-5.0)))
+    start, end = (F.lit(T0 + timedelta(days=d)).cast("timestamp_ntz") for d in (-1, 1))
+    assert fs.materialize_incremental(newer, rows, start, end).first()["v"] == -5.0
     with pytest.raises(ValueError, match="another type"):
         fs.check_push(rows.withColumn("v", F.lit("x")), view)
 
