@@ -170,11 +170,24 @@ def may_link(threshold: int, a: str = "a_", b: str = "b_") -> Column:
 
 
 def block_links(cell: pd.DataFrame, k: int, threshold: int) -> pd.DataFrame:
-    """For each node on the left of a cell, a link to a node on its right, if there is one."""
+    """Links between the left (side 0) and right nodes of a cell, as many as join all that they can join.
+
+    Nodes of side 1 are one component already; those of side 2 are alone like those on the left.
+    """
+    cell = cell.sort_values(["side", "node"])
     sets = dict(zip(cell["node"], shingle_sets(cell["_text"].tolist(), k)))
-    left, right = cell.loc[cell["side"] == 0, "node"], cell.loc[cell["side"] == 1, "node"]
-    found = []
-    if len(left) and len(right):
+    left = cell.loc[cell["side"] == 0, "node"].tolist()
+    right = cell.loc[cell["side"] > 0, "node"].tolist()
+    members = int((cell["side"] == 1).sum())
+    found: list[tuple[int, int]] = []
+    root: dict[int, int] = {}
+
+    def top(node: int) -> int:
+        while root.setdefault(node, node) != node:
+            node = root[node]
+        return node
+
+    if left and right:
         size = np.array([len(sets[y]) for y in right])
         values = np.concatenate([sets[y] for y in right])
         order = np.argsort(values)
@@ -185,9 +198,14 @@ def block_links(cell: pd.DataFrame, k: int, threshold: int) -> pd.DataFrame:
             n = hi - lo
             at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
             both = np.bincount(owner[at], minlength=len(right))
-            hit = np.flatnonzero((both > 0) & (100 * both >= threshold * (len(own) + size - both)))
-            if len(hit):
-                found.append((x, right.iloc[hit[0]]))
+            hits = np.flatnonzero((both > 0) & (100 * both >= threshold * (len(own) + size - both)))
+            inside = np.searchsorted(hits, members)
+            for j in [*hits[: min(1, inside)], *hits[inside:]]:
+                y = right[j]
+                host = right[0] if j < members else y  # the component counts as its first member
+                if top(x) != top(host):
+                    root[top(x)] = top(host)
+                    found.append((x, y))
     return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
 
@@ -236,12 +254,15 @@ class NearDuplicates:
             pairs = pairs.join(side, F.col(x) == F.col(f"{x}_node"))
         return pairs.filter(may_link(self.threshold))
 
-    def texts(self, nodes: DataFrame) -> DataFrame:
-        """(node, _text) of some nodes, a text for each."""
+    def texts(self, nodes: DataFrame, everywhere: bool = False) -> DataFrame:
+        """(node, _text) of some nodes, a text for each; ``everywhere``: of a part of the corpus that grows with it."""
         wanted = nodes.distinct().join(self.nodes.select("node", F.col("rep").alias("_id")), "node")
         wanted = wanted.join(self.rows.select("node", "_id", "_hash"), ["node", "_id"]).distinct()
         wanted = stored(wanted.select("node", F.col("_id").alias("_wid"), F.col("_hash").alias("_whash")), "wanted")
-        texts = self.docs.join(wanted, (F.col("_id") == F.col("_wid")) & (F.xxhash64("_text") == F.col("_whash")))
+        # the wanted rows grow with the corpus, so this is a merge join at every size
+        texts = self.docs.join(
+            wanted.hint("merge") if everywhere else wanted, (F.col("_id") == F.col("_wid")) & (F.xxhash64("_text") == F.col("_whash"))
+        )
         return stored(texts.select("node", "_text").dropDuplicates(["node"]), "texts")
 
     def confirmed(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -252,40 +273,54 @@ class NearDuplicates:
         return pairs.filter(self.same("a_text", "b_text")).select("a", "b")
 
     def first_links(self) -> DataFrame:
-        """Each node's link to the most similar head of its buckets, by the sketches, if the sets confirm it.
+        """Each node's links to the heaviest and to the most similar head of its buckets, if the sets confirm them.
 
-        The head of a bucket is the node whose buckets have most rows: of a group of near copies, the one with the
-        fewest changes, to which most others are similar enough.
+        A node's weight is the number of rows in its buckets, the head of a bucket its heaviest node: of a group of near
+        copies, the one with the fewest changes, to which most others are similar enough. The most similar head, by the
+        sketches, takes up nodes that are far from it.
         """
         weight = self.members.groupBy(F.col("node").alias("_n")).agg(F.sum("rows").alias("_weight"))
         weighed = self.members.join(weight, F.col("node") == F.col("_n"))
-        heads = weighed.groupBy(F.col("bucket").alias("_b")).agg(F.max(F.struct("_weight", "node"))["node"].alias("a"))
-        stars = self.members.join(stored(heads, "heads"), F.col("bucket") == F.col("_b")).filter("a <> node")
-        stars = self.described(stars.select("a", F.col("node").alias("b")).distinct())
-        nearest = stars.groupBy("b").agg(F.min(F.struct(differing().alias("_d"), "a"))["a"].alias("a"))
-        pairs = stored(nearest.select("a", "b"), "candidates")
-        texts = self.texts(pairs.select(F.col("a").alias("node")).union(pairs.select("b")))
-        return stored(self.confirmed(pairs, texts), "links")
+        heads = weighed.groupBy(F.col("bucket").alias("_b")).agg(F.max(F.struct("_weight", "node")).alias("_head"))
+        heads = stored(heads.select("_b", F.col("_head.node").alias("a"), F.col("_head._weight").alias("weight")), "heads")
+        stars = self.members.join(heads, F.col("bucket") == F.col("_b")).filter("a <> node")
+        stars = self.described(stars.select("a", F.col("node").alias("b"), "weight").distinct())
+        chosen = stored(stars.groupBy("b").agg(
+            F.min(F.struct(differing().alias("_d"), "a"))["a"].alias("_near"), F.max(F.struct("weight", "a"))["a"].alias("_heavy")
+        ), "chosen-heads")
+        #: The heaviest head of each node that has one it may be linked to.
+        self.heaviest = chosen.select("b", "_heavy")
+        pairs = chosen.select(F.explode(F.array_distinct(F.array("_near", "_heavy"))).alias("a"), "b")
+        pairs = stored(pairs, "candidates")
+        self.fetched = self.texts(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), everywhere=True)
+        return stored(self.confirmed(pairs, self.fetched), "links")
 
     def other_links(self, comps: DataFrame) -> DataFrame:
         """Links between components of which nodes share a bucket; all that are needed to join what can be joined.
 
-        Nodes that are alone are compared in pairs. A node of the smaller of two components is compared with all of the
-        larger, in cells of bounded size, and one link to it is enough. So the work grows with the nodes that the first
-        round has left over, not with the square of a group of copies.
+        A node of the smaller of two components is compared with all of the larger, in cells of bounded size. A node that
+        is alone is at home with the component of its heaviest head, so that its cells hold the other nodes at home there
+        as well; only lone nodes with different homes are compared in pairs. So the work grows with the nodes that the
+        first round has left over, not with the square of a group of copies.
         """
-        placed = self.members.select("bucket", "node").join(
-            comps.select(F.col("node").alias("_n"), "comp"), F.col("node") == F.col("_n"), "left"
-        ).select("bucket", "node", F.coalesce("comp", "node").alias("comp"), F.col("comp").isNull().alias("alone"))
+        homes = self.heaviest.join(comps.select(F.col("node").alias("_n"), F.col("comp").alias("home")), F.col("_heavy") == F.col("_n"))
+        at = self.nodes.select("node").join(comps.select(F.col("node").alias("_n"), "comp"), F.col("node") == F.col("_n"), "left")
+        at = at.join(homes.select("b", "home"), F.col("node") == F.col("b"), "left").select(
+            F.col("node").alias("_n"), F.coalesce("comp", "node").alias("comp"), F.col("comp").isNull().alias("alone"),
+            F.coalesce("comp", "home", "node").alias("home"),
+        )
+        at = stored(at, "placed")
+        placed = self.members.select("bucket", "node").join(at, F.col("node") == F.col("_n")).drop("_n")
         open_ = placed.groupBy(F.col("bucket").alias("_b")).agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).filter("_lo < _hi")
         open_ = stored(open_.select("_b"), "open-buckets")
         placed = stored(placed.join(open_, F.col("bucket") == F.col("_b")).drop("_b"), "open-members")
 
         data = self.nodes.select(F.col("node").alias("_n"), "n", *_sketches("s"))
-        alone = placed.filter("alone").select("bucket", "node").join(data, F.col("node") == F.col("_n")).drop("_n")
+        alone = placed.filter("alone").select("bucket", "node", "home").join(data, F.col("node") == F.col("_n")).drop("_n")
         alone = stored(alone, "alone")
         a, b = (alone.select(*[F.col(c).alias(f"{x}_{c}") for c in alone.columns]) for x in ("a", "b"))
-        pairs = a.join(b, (F.col("a_bucket") == F.col("b_bucket")) & (F.col("a_node") < F.col("b_node")) & may_link(self.threshold))
+        apart = (F.col("a_node") < F.col("b_node")) & (F.col("a_home") != F.col("b_home"))
+        pairs = a.join(b, (F.col("a_bucket") == F.col("b_bucket")) & apart & may_link(self.threshold))
         pairs = stored(pairs.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct(), "pairs")
 
         sizes = comps.groupBy(F.col("comp").alias("_c")).agg(F.count("*").alias("size"))
@@ -296,8 +331,9 @@ class NearDuplicates:
             sized.join(larger, (F.col("bucket") == F.col("_b")) & (F.col("comp") != F.col("into")) & order).select("node", "into").distinct(),
             "visits",
         )
-        hosts = comps.join(visits.select("into").distinct(), F.col("comp") == F.col("into"), "left_semi")
-        hosts = stored(hosts.select("node", F.col("comp").alias("into")), "visited")
+        hosts = at.select(F.col("_n").alias("node"), F.col("home").alias("into"), F.when(F.col("alone"), 2).otherwise(1).alias("side"))
+        hosts = stored(hosts.join(visits.select("into").distinct(), "into", "left_semi"), "visited")
+        visits = visits.withColumn("side", F.lit(0))
         sides = []
         for side, rows in ((0, visits), (1, hosts)):
             shingles = rows.join(data.select("_n", "n"), F.col("node") == F.col("_n"))
@@ -307,12 +343,13 @@ class NearDuplicates:
         cells = []
         for side, rows in ((0, visits), (1, hosts)):
             own, across = (F.col(f"_cuts{x}") for x in (side, 1 - side))
-            at = F.pmod(F.xxhash64("node"), own).cast("int").alias(f"_at{side}")
+            part = F.pmod(F.xxhash64("node"), own).cast("int").alias(f"_at{side}")
             every = F.explode(F.sequence(F.lit(0), across - 1)).alias(f"_at{1 - side}")
-            cut = rows.join(grid, F.col("into") == F.col("_c")).select("into", "node", F.lit(side).alias("side"), at, every)
+            cut = rows.join(grid, F.col("into") == F.col("_c")).select("into", "node", "side", part, every)
             cells.append(cut.select("into", "_at0", "_at1", "side", "node"))
         nodes = [visits.select("node"), hosts.select("node"), pairs.select(F.col("a").alias("node")), pairs.select("b")]
-        texts = self.texts(nodes[0].union(nodes[1]).union(nodes[2]).union(nodes[3]))
+        wanted = nodes[0].union(nodes[1]).union(nodes[2]).union(nodes[3]).distinct()
+        texts = self.fetched.union(self.texts(wanted.join(self.fetched.select("node"), "node", "left_anti")))
         filled = cells[0].union(cells[1]).join(texts.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n")).drop("_n")
         k, threshold = self.shingle, self.threshold
         across = filled.groupBy("into", "_at0", "_at1").applyInPandas(lambda cell: block_links(cell, k, threshold), "a long, b long")
@@ -342,7 +379,7 @@ def near_duplicates(
     union; ``component_id`` is the smallest id that links lead to, ``kept`` whether the row has it.
 
     Equal sets are one node. Nodes that share one of 32 bands of MinHash values are candidates; a pair at the threshold
-    shares none with a chance of 5e-8. First each node is tried against the head of one of its buckets, and components
+    shares none with a chance of 5e-8. First each node is tried against two heads of its buckets, and components
     are formed. Then what shares a bucket across components is compared, all of it, in cells of bounded size. A group of
     near copies so costs one comparison per member, and one per member for each cell of nodes that the first round left
     over. Odd sketches, parity bitmaps of the MinHash values whose XOR counts their differences, rule out the pairs
