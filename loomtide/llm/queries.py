@@ -11,8 +11,49 @@ from registry.common import Registry, table
 
 REG = Registry()
 
+# A-Z to lower case, and the two kinds of words, in SQL
+LOWERED = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ALNUM_WORDS = f"regexp_extract_all({LOWERED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+WORDS = f"regexp_extract_all({LOWERED}, '[^\\x20\\x09-\\x0D]+')"
 
-@REG.add("op1_mix_tree")
+
+OP1_SQL = """
+with d as (
+    select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as size,
+           ('0x' || substr(md5(concat('mix20|', doc_id)), 1, 15))::bigint as k
+    from documents
+),
+s as (
+    select source, sum(size)::bigint as source_size, (row_number() over (order by source nulls last) - 1) % 3 + 1 as w
+    from d group by source
+),
+o as (select *, row_number() over (order by source_size::double / w, source nulls last) as i from s),
+c as (
+    select *, sum(source_size) over () as total, sum(w) over () as parts,
+           coalesce(sum(3 * source_size) over front, 0) as size_before, coalesce(sum(w) over front, 0) as w_before
+    from o window front as (order by i rows between unbounded preceding and 1 preceding)
+),
+f as (
+    select *, bool_and((total - size_before) * w > 3 * source_size * (parts - w_before)) over (order by i) as is_full from c
+),
+r as (
+    select *, (total - coalesce(sum(3 * source_size) filter (is_full) over (), 0))::bigint as rest,
+           (parts - coalesce(sum(w) filter (is_full) over (), 0))::bigint as rest_parts
+    from f
+),
+t as (
+    select source, source_size, case when is_full then 3.0 * source_size else (rest * w)::double / rest_parts end::double as target,
+           case when is_full then 3 * source_size else (rest * w) // rest_parts end as words
+    from r
+),
+b as (select *, sum(size) over (partition by source order by k, doc_id) - size as before from d)
+select doc_id, size, source_size, target,
+       case when size = 0 then 0 else (words // source_size) * size + greatest(0, least(size, words % source_size - before)) end::bigint as taken
+from b join t on b.source is not distinct from t.source
+"""
+
+
+@REG.add("op1_mix_tree", OP1_SQL)
 def op1(spark, folder):
     found = mixing.mix(table(spark, folder, "documents"), columns=["doc_id"])
     plan = spark.createDataFrame(
@@ -79,7 +120,30 @@ def op4(spark, folder):
     return lines.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2(kept, 256).alias("kept_sha256"))
 
 
-@REG.add("op5_suffix_decontamination")
+OP5_SQL = f"""
+with d as (select doc_id, {ALNUM_WORDS.format('text')} as w from documents),
+items as (select item_id, w, least(10, len(w)) as n from (select item_id, {ALNUM_WORDS.format('text')} as w from benchmark) where len(w) > 0),
+windows as (
+    select distinct item_id, n, array_to_string(list_slice(w, i, i + n - 1), ' ') as k
+    from (select *, unnest(range(1, len(w) - n + 2)) as i from items)
+),
+found as (
+    select doc_id, i, n, array_to_string(list_slice(w, i, i + n - 1), ' ') as k
+    from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from d, (select distinct n from items))
+),
+hits as (select doc_id, i, n, item_id from found join windows using (n, k)),
+covered as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from hits) group by 1),
+named as (
+    select doc_id, count(distinct item_id) as n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as ids
+    from hits group by 1
+)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+       sha256(coalesce(ids, '')) as items_sha256, n_hit is not null as contaminated
+from d left join covered using (doc_id) left join named using (doc_id)
+"""
+
+
+@REG.add("op5_suffix_decontamination", OP5_SQL)
 def op5(spark, folder):
     found = F.col("contamination")
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -105,7 +169,27 @@ def op7(spark, folder):
     return warc.page_captures(warc.assemble(warc.read_warc(spark, archive)))
 
 
-@REG.add("op8_odd_sketch_near_duplicates")
+OP8_SQL = f"""
+with recursive d as (select doc_id, {WORDS.format('text')} as w from documents),
+shingles as (
+    select distinct doc_id, case when len(w) = 1 then w[1] else w[i] || ' ' || w[i + 1] end as s
+    from (select *, unnest(range(1, greatest(len(w), 2))) as i from d where len(w) > 0)
+),
+sizes as (select doc_id, count(*) as n from shingles group by 1),
+common as (
+    select a.doc_id as x, b.doc_id as y, count(*) as c from shingles a join shingles b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2
+),
+links as (
+    select x, y from common join sizes p on p.doc_id = x join sizes q on q.doc_id = y where 100 * c >= 80 * (p.n + q.n - c)
+),
+edges as (select x, y from links union all select y, x from links),
+reached as (select doc_id, doc_id as other from documents union select r.doc_id, y from reached r join edges on x = other)
+select r.doc_id, coalesce(any_value(n), 0) as n_shingles, min(other) as component_id, r.doc_id = min(other) as kept
+from reached r left join sizes using (doc_id) group by r.doc_id
+"""
+
+
+@REG.add("op8_odd_sketch_near_duplicates", OP8_SQL)
 def op8(spark, folder):
     return neardup.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"), shingle=2)
 
