@@ -26,7 +26,8 @@ from loomtide.functions.columns import join_on, row_draw
 
 BLOCK = 32
 HOT_ROWS = 2_000_000
-HOT_CUTS = 2048
+#: Cut points of a hot group at least, before they are thinned; a larger group gets as many as it needs.
+FINE_CUTS = 2048
 BROADCAST_CUTS = 2_000_000
 
 
@@ -81,8 +82,8 @@ def running_totals(
     cuts = (
         join_on(base, small(heavy.groups), keys)
         .groupBy(*keys)
-        .agg(_quantile_cuts(value, HOT_CUTS, kept).alias("_cuts"), F.first("_n").alias("_n"))
-        .select(*keys, _with_blocks(_thinned("_cuts", heavy.hot_rows)).alias("_edges"))
+        .agg(_quantile_cuts(value, heavy.cuts, kept).alias("_cuts"), F.first("_n").alias("_n"))
+        .select(*keys, _with_blocks(_thinned("_cuts", heavy)).alias("_edges"))
     )
     sliced = join_on(base, small(cuts), keys, "left").select(
         *base.columns,
@@ -116,9 +117,9 @@ def running_totals(
     )
 
 
-def _thinned(cuts: str, hot_rows: int) -> Column:
+def _thinned(cuts: str, heavy: Hot) -> Column:
     """Every n-th cut point only, so that slices hold about ``hot_rows`` rows (needs the row count as ``_n``)."""
-    every = F.greatest(F.lit(1), F.floor(F.lit(HOT_CUTS * hot_rows) / F.col("_n"))).cast("int")
+    every = F.greatest(F.lit(1), F.floor(F.lit(heavy.cuts * heavy.hot_rows) / F.col("_n"))).cast("int")
     return F.filter(cuts, lambda e, i: (i + 1) % every == 0)
 
 
@@ -158,11 +159,13 @@ def exact_quantiles(
 
 @dataclass(frozen=True)
 class Hot:
-    """Groups with more than ``hot_rows`` rows, with their row count as ``_n``, and how many slices they give."""
+    """Groups with more than ``hot_rows`` rows, with their row count as ``_n``, how many slices they give, and how many
+    cut points the largest needs."""
 
     groups: DataFrame
     slices: int
     hot_rows: int
+    cuts: int = FINE_CUTS
 
     def small(self, side: DataFrame) -> DataFrame:
         """Broadcast a table that has a row or a cut point per slice, if the measured number of slices allows it."""
@@ -177,22 +180,20 @@ def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> Ho
     if not keys:
         total = df.count()
         one = df.sparkSession.createDataFrame([(0, total)], "_all int, _n long")
-        return Hot(one, _slices(total, hot_rows) if total > hot_rows else 0, hot_rows)
+        parts = -(-total // hot_rows)
+        return Hot(one, parts if total > hot_rows else 0, hot_rows, max(FINE_CUTS, parts))
     heavy = (
         df.select(*keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
     )
-    parts = F.least(F.lit(HOT_CUTS), F.ceil(F.col("_n") / F.lit(hot_rows)))
-    return Hot(heavy, heavy.agg(F.coalesce(F.sum(parts), F.lit(0))).first()[0], hot_rows)
-
-
-def _slices(rows: int, hot_rows: int) -> int:
-    return min(HOT_CUTS, -(-rows // hot_rows))
+    parts = F.ceil(F.col("_n") / F.lit(hot_rows))
+    slices, most = heavy.agg(F.coalesce(F.sum(parts), F.lit(0)), F.coalesce(F.max(parts), F.lit(0))).first()
+    return Hot(heavy, int(slices), hot_rows, max(FINE_CUTS, int(most)))
 
 
 def per_column(heavy: Hot, columns: Sequence[str]) -> Hot:
     """Hot groups of a table melted into (column_name, value): every hot group of the table, once per column."""
     names = F.explode(F.array(*[F.lit(c) for c in columns])).alias("column_name")
-    return Hot(heavy.groups.drop("_all").select("*", names), heavy.slices * len(columns), heavy.hot_rows)
+    return Hot(heavy.groups.drop("_all").select("*", names), heavy.slices * len(columns), heavy.hot_rows, heavy.cuts)
 
 
 def column_quantiles(
@@ -213,9 +214,9 @@ def hot_key_cuts(df: DataFrame, heavy: Hot, keys: Sequence[str], order: str) ->
     cuts = (
         join_on(df.select(*keys, order), heavy.small(heavy.groups), keys)
         .groupBy(*keys)
-        .agg(_quantile_cuts(order, HOT_CUTS).alias("_cuts"), F.first("_n").alias("_n"))
+        .agg(_quantile_cuts(order, heavy.cuts).alias("_cuts"), F.first("_n").alias("_n"))
     )
-    return cuts.select(*keys, _with_blocks(_thinned("_cuts", heavy.hot_rows)).alias("_edges"))
+    return cuts.select(*keys, _with_blocks(_thinned("_cuts", heavy)).alias("_edges"))
 
 
 def carry_forward(
