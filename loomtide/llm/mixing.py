@@ -124,7 +124,8 @@ class Mix:
         words = F.when(F.col("_budget").isNull(), F.col("_size")).otherwise(
             F.least(F.col("_size"), F.col("_budget") - F.col("_before"))
         )
-        return self.draws.join(self.blocks, ["_g", "_rank"]).select(
+        # draws come out of few rows of a range, so Spark would take them for small
+        return self.draws.hint("merge").join(self.blocks, ["_g", "_rank"]).select(
             "shard", "slot", "epoch", words.cast("long").alias("n_words"), "doc"
         )
 
@@ -134,7 +135,7 @@ class Mix:
             F.least(F.col("_size"), F.col("_budget") - F.col("_before"))
         )
         per_block = self.draws.groupBy("_g", "_rank").agg(F.count("*").alias("_draws"), F.max("_budget").alias("_budget"))
-        joined = self.blocks.join(per_block, ["_g", "_rank"], "left")
+        joined = self.blocks.join(per_block.hint("merge"), ["_g", "_rank"], "left")
         full = F.coalesce(F.col("_draws"), F.lit(0)) - F.when(F.col("_budget").isNull(), 0).otherwise(1)
         last = F.when(F.col("_budget").isNull(), 0).otherwise(words)
         return joined.select(
