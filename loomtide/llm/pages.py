@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 from loomtide.llm.ranks import column, stored, unused
 
-#: Branches of a site below this importance are removed; branches on fewer pages are not judged.
+#: Branches of a site below this importance are removed; on fewer pages their importance is shrunk towards 1.
 MIN_IMPORTANCE = 0.35
 MIN_PAGES = 8
+#: Inside article and main, which name the text, this many times as many pages are asked for.
+INSIDE_PAGES = 2
 
 # Element names of HTML by what they do to text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -96,15 +98,15 @@ def _signature(name: str, rest: str, in_article: bool) -> tuple[str, bool]:
     return (f"{name}.{label}" if label else name), noise
 
 
-def blocks(page: str | None) -> list[tuple[str, bool, str, str]]:
-    """The text blocks of a page in order: (path, known noise, kind of place, text with white space joined).
+def blocks(page: str | None) -> list[tuple[str, bool, str, str, int]]:
+    """The text blocks of a page in order: (path, known noise, kind of place, text with white space joined, root).
 
-    The place is ``article``, ``main`` or empty. Known noise are elements that never hold main text, and those whose
+    The place is ``article``, ``main`` or empty; the first ``root`` characters of the path are those of its element. Known noise are elements that never hold main text, and those whose
     class, id or role names such a part. Unclosed and wrongly nested elements are closed as browsers do it.
     """
-    out: list[tuple[str, bool, str, str]] = []
+    out: list[tuple[str, bool, str, str, int]] = []
     stack = [Node("", "", False, False, 0)]
-    place = [""]
+    place = [("", 0)]
     text: list[str] = []
 
     def flush() -> None:
@@ -112,7 +114,8 @@ def blocks(page: str | None) -> list[tuple[str, bool, str, str]]:
             joined = BLANK.sub(" ", html.unescape("".join(text))).strip()
             text.clear()
             if joined:
-                out.append((stack[-1].path, stack[-1].noise, place[-1], joined))
+                kind, root = place[-1]
+                out.append((stack[-1].path, stack[-1].noise, kind, joined, root))
 
     def close_to(depth: int) -> None:
         if any(n.block for n in stack[depth:]):
@@ -162,13 +165,16 @@ def blocks(page: str | None) -> list[tuple[str, bool, str, str]]:
             end = re.compile(rf"</{name}\s*>", re.IGNORECASE).search(page, at)
             at = end.end() if end else len(page)
             continue
-        top, inside = stack[-1], place[-1]
+        top, (inside, root) = stack[-1], place[-1]
         label, noise = _signature(name, token["rest"], top.article)
         noise = top.noise or noise or name in HIDDEN or (name == "header" and not inside)
+        path = f"{top.path}/{label}" if block else top.path
         if name == "article" or name == "main" or 'role="main"' in token["rest"]:
-            inside = "article" if name == "article" or inside == "article" else "main"
-        stack.append(Node(name, f"{top.path}/{label}" if block else top.path, noise, inside == "article", block))
-        place.append(inside)
+            kind = "article" if name == "article" or inside == "article" else "main"
+            if kind != inside:
+                inside, root = kind, len(path)
+        stack.append(Node(name, path, noise, inside == "article", block))
+        place.append((inside, root))
     flush()
     return out
 
@@ -179,12 +185,24 @@ def branch_paths(path: str) -> list[str]:
     return ["/".join(parts[: i + 1]) for i in range(1, len(parts))]
 
 
-def main_text(found: list[tuple[str, bool, str, str]], low: frozenset[str]) -> str:
-    """The blocks that aren't noise, of the article if there is one, else of main, else of the page."""
+def inner_branches(block: tuple[str, bool, str, str, int]) -> list[str]:
+    """The branches below its article or main element that a block lies in; in the tree they are named by that kind."""
+    path, _, kind, _, root = block
+    return [f"{kind}:{b}" for b in branch_paths(path) if len(b) > root]
+
+
+def leaf_of(block: tuple[str, bool, str, str, int]) -> str:
+    """A block of an article or main element as a branch of its own, by its path and text."""
+    return f"{block[2]}:{block[0]}#{_long(block[3])}"
+
+
+def main_text(found: list[tuple[str, bool, str, str, int]], low: frozenset[str]) -> str:
+    """The blocks that aren't noise or in ``low`` branches, of the article if there is one, else of main, else of the page."""
     clean = [b for b in found if not b[1]]
     for kind in ("article", "main"):
         if any(b[2] == kind for b in clean):
-            return "\n\n".join(b[3] for b in clean if b[2] == kind)
+            own = [b for b in clean if b[2] == kind]
+            return "\n\n".join(b[3] for b in own if not low or low.isdisjoint([*inner_branches(b), leaf_of(b)]))
     return "\n\n".join(b[3] for b in clean if not low or low.isdisjoint(branch_paths(b[0])))
 
 
@@ -192,52 +210,84 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][-+.a-zA-Z0-9]*://([^/?#\s]*)", 1), F.lit("")))
 
 
-OBSERVED = "host string, path string, style long, content long"
+OBSERVED = "host string, path string, kind string, value long, copy long"
 
 
 def _long(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
 
 
-def observed(host: str, found: list[tuple[str, bool, str, str]]) -> dict[str, tuple[str, str]]:
-    """Of each branch of a page outside of articles: its style (the order of its blocks' paths) and its content."""
+def observed(found: list[tuple[str, bool, str, str, int]]) -> list[tuple[str, str, int, int | None]]:
+    """(branch, kind, value, copy) of a page: of each branch its style (the order of its blocks' paths) and its content.
+
+    The branches below an article or main element are apart from those of the page around it. They leave known noise
+    out, have the texts of their single blocks as well, and ``copy``, a digest of the page's main text.
+    """
     styles: dict[str, list] = {}
-    for path, _, kind, text in found:
+    inner: dict[str, list] = {}
+    texts = set()
+    for block in found:
+        path, noise, kind, text, _ = block
         if kind != "article":
             for branch in branch_paths(path):
                 styles.setdefault(branch, []).append((path[len(branch) :], text))
-    return {b: ("|".join(dict.fromkeys(p for p, _ in x)), "\n".join(t for _, t in x)) for b, x in styles.items()}
-
-
-def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+        if kind and not noise:
+            for branch in inner_branches(block):
+                inner.setdefault(branch, []).append((path[len(branch) - len(kind) - 1 :], text))
+            texts.add((f"{kind}:{path}", _long(text)))
+    copy = _long(main_text(found, frozenset())) if texts else None
+    rows = [(branch, "text", text, copy) for branch, text in texts]
+    # a path that has blocks of its own is counted even if it is the article's, for its blocks to be compared with
+    for branch in {b for b, _ in texts} - inner.keys():
+        rows.append((branch, "page", 0, copy))
+    for of, own in ((styles, None), (inner, copy)):
+        for branch, x in of.items():
+            rows.append((branch, "style", _long("|".join(dict.fromkeys(p for p, _ in x))), own))
+            rows.append((branch, "content", _long("\n".join(t for _, t in x)), own))
+    return rows
+
+
+def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_count: int = 2) -> DataFrame:
     """The style trees of all sites, a row per branch: host, path, n_pages, presentation, content, importance.
 
     The pages of a host are merged by the paths of their elements (names with class and id). ``presentation`` is the
     entropy of the styles in which a branch is laid out, ``content`` that of what stands in it, both over the pages
     that have the branch and as a share of the most possible: 0 if all pages agree, 1 if no two do. ``importance`` is the
-    larger of them: text that the site repeats in one layout is noise. Articles have no rows, they are never judged.
+    larger of them: text that the site repeats in one layout is noise.
+
+    Branches below an article or main element have ``article:`` or ``main:`` before their path. There, pages of one
+    main text count once: a site that shows an article at several addresses doesn't repeat its parts. A block that stands
+    beside others of its path is a branch as well (path, ``#`` and its text's digest) if ``min_count`` pages hold it;
+    its ``content`` is the share of the pages with the path that don't, its ``presentation`` null.
     Counts are combined before they are moved, so a large host is no hot key.
     """
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [
-                (host, path, _long(style), _long(content))
-                for host, page in zip(batch["host"], batch["html"]) for path, (style, content) in observed(host, blocks(page)).items()
-            ]
-            yield pd.DataFrame(rows, columns=["host", "path", "style", "content"])
+            rows = [(host, *row) for host, page in zip(batch["host"], batch["html"]) for row in observed(blocks(page))]
+            out = pd.DataFrame(rows, columns=["host", "path", "kind", "value", "copy"])
+            yield out.astype({"copy": "Int64"})
 
     seen = pages.select(host_of(column(url_col)).alias("host"), column(html_col).alias("html")).mapInPandas(look, OBSERVED)
-    kinds = F.array(F.struct(F.lit("style").alias("kind"), F.col("style").alias("value")), F.struct(F.lit("content").alias("kind"), F.col("content").alias("value")))
-    counts = seen.select("host", "path", F.explode(kinds).alias("f")).groupBy("host", "path", "f.kind", "f.value").count()
+    # n counts pages outside of articles; inside, the rows of copies are one row before they are counted
+    once = seen.groupBy("host", "path", "kind", "value", "copy").count()
+    weight = F.when(F.col("copy").isNull(), F.col("count")).otherwise(F.lit(1))
+    counts = stored(once.groupBy("host", "path", "kind", "value").agg(F.sum(weight).alias("count")), "style-counts")
     n = F.col("count").cast("double")
-    per = counts.groupBy("host", "path", "kind").agg(F.sum(n).alias("pages"), F.sum(n * F.log2(n)).alias("terms"))
+    per = counts.filter(F.col("kind") != "text").groupBy("host", "path", "kind").agg(F.sum(n).alias("pages"), F.sum(n * F.log2(n)).alias("terms"))
     entropy = F.when(F.col("pages") <= 1, 1.0).otherwise((F.log2("pages") - F.col("terms") / F.col("pages")) / F.log2("pages"))
-    return per.groupBy("host", "path").agg(
+    paths = per.groupBy("host", "path").agg(
         F.max("pages").cast("long").alias("n_pages"),
         F.max(F.when(F.col("kind") == "style", entropy)).alias("presentation"),
         F.max(F.when(F.col("kind") == "content", entropy)).alias("content"),
-    ).withColumn("importance", F.greatest("presentation", "content"))
+    )
+    texts = counts.filter((F.col("kind") == "text") & (F.col("count") >= min_count)).select("host", "path", "value", "count")
+    leaves = texts.join(paths.select("host", "path", "n_pages"), ["host", "path"]).select(
+        "host", F.concat("path", F.lit("#"), F.col("value").cast("string")).alias("path"), "n_pages",
+        F.lit(None).cast("double").alias("presentation"), (1 - F.col("count") / F.col("n_pages")).alias("content"),
+    )
+    every = paths.filter(F.col("content").isNotNull()).unionByName(leaves)
+    return every.withColumn("importance", F.greatest("presentation", "content"))
 
 
 def extract(
@@ -248,13 +298,19 @@ def extract(
 
     Blocks have their character references decoded and white space joined; they stand in page order, an empty line
     between them. If a page has articles (or else a main element) outside of noise, its text is theirs; otherwise all
-    that isn't noise, without the branches that the style tree of the host finds on at least ``min_pages`` pages with an
-    importance below ``min_importance``. These branches are a small written table per host; Spark joins it by its size.
+    that isn't noise. In each case the branches are left out whose importance in the style tree of the host is below
+    ``min_importance``. On fewer than ``min_pages`` pages, inside article and main ``INSIDE_PAGES`` times as many, half
+    of the missing pages are taken to agree with no other, so that few pages have to agree more. These branches are a
+    small written table per host; Spark joins it by its size.
 
     Null and empty pages have an empty text. Pages without a host share one tree. Repeated pages count as often as they
-    are there. An empty table gives an empty one. Other columns are kept; ``main_text`` is replaced.
+    are there, but once inside article and main. An empty table gives an empty one. Other columns are kept;
+    ``main_text`` is replaced.
     """
-    tree = style_tree(pages, url_col, html_col).filter((F.col("n_pages") >= min_pages) & (F.col("importance") < min_importance))
+    asked = F.when(F.col("path").startswith("/"), min_pages).otherwise(INSIDE_PAGES * min_pages)
+    unseen = F.greatest(asked - F.col("n_pages"), F.lit(0)) / 2
+    judged = (F.col("n_pages") * F.col("importance") + unseen) / (F.col("n_pages") + unseen)
+    tree = style_tree(pages, url_col, html_col).filter(judged < min_importance)
     host, branches = unused(pages, "_host", "_low")
     low = stored(tree.groupBy(F.col("host").alias(host)).agg(F.sort_array(F.collect_list("path")).alias(branches)), "style-tree")
 

@@ -378,6 +378,24 @@ def test_style_tree_removes_what_a_site_repeats(spark):
     assert pages.extract(df.limit(0)).count() == 0
 
 
+def test_style_tree_judges_inside_articles_and_on_few_pages(spark):
+    def page(i, tail="", around="article"):
+        return f"<body><{around}><h1>{sentence(i, 4)}</h1><p>{sentence(500 + i, 20)}<p>By the staff{tail}<div><p>Get our letter</div></{around}>"
+
+    text = lambda i: sentence(i, 4) + "\n\n" + sentence(500 + i, 20)
+    rows = [(i, f"http://a.example/{i}", page(i)) for i in range(12)]
+    rows += [(100 + i, f"http://m.example/{i}", page(100 + i, around="main")) for i in range(12)]
+    rows += [(200 + i, f"http://few.example/{i}", f"<div class=lead>Welcome</div><div class=body><p>{sentence(i, 9)}</div>") for i in range(5)]
+    # one article at many addresses, and one site with few: nothing is repeated there
+    rows += [(300 + i, f"http://copies.example/{i}", f"<nav>{i}</nav>" + page(300)) for i in range(20)]
+    rows += [(400 + i, f"http://little.example/{i}", page(400 + i)) for i in range(4)]
+    got = {r[0]: r[1] for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).select("page_id", "main_text").collect()}
+    whole = lambda i: text(i) + "\n\nBy the staff\n\nGet our letter"
+    assert all(got[i] == text(i) for i in [*range(12), *range(100, 112)])
+    assert all(got[200 + i] == sentence(i, 9) for i in range(5))
+    assert all(got[300 + i] == whole(300) for i in range(20)) and all(got[i] == whole(i) for i in range(400, 404))
+
+
 def test_op2_gives_the_articles(spark, small):
     import html
 
