@@ -22,19 +22,26 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "entropy")
 
-#: Strings that may be keys: long runs of the characters of encoded bytes that hold a digit.
+#: Strings that may be keys: long runs of the characters of encoded bytes.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-DIGIT = re.compile(r"[0-9]")
+SEPARATORS = "+/_=-"
+#: Candidates without digits and words with a number, which letters alone tell from names.
+WORDS_ONLY = re.compile(r"[A-Za-z+/_=-]+$|[A-Za-z]+[0-9]{1,4}$")
 WINDOW = 20
 #: Bits per character that a window has to reach, by the class of the candidate's characters.
 ENTROPY_LIMITS = {"hex": 3.0, "alnum": 3.6, "base64": 3.7}
+#: What a window of ``WORDS_ONLY`` has to reach: bits per character, letters of either case, changes between the cases.
+WORDS_LIMIT = 3.7
+CASE_LETTERS = 5
+CASE_CHANGES = 5
+#: Changes that names with single capitals don't reach.
+MANY_CHANGES = 12
 #: Candidates that are known not to be secrets.
 ALLOWED = tuple(re.compile(x) for x in (
     r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",  # UUID
     r"[0-9_=+/-]+$",  # numbers, phone numbers, rules
     r"(?i).*(example|sample|placeholder|your[_-]|xxxx)",
-    r"(?:[a-z]+[/_-])+[a-z0-9]*$",  # paths and names in lower case
-    r"[A-Za-z]+[0-9]{1,4}$",  # a word with a number
+    r"(?:[a-z]+[/_-])+[a-z]*[0-9]{0,4}$",  # paths and names in lower case, the last part with a number
 ))
 
 _TERM = [0.0] + [k * log2(k) for k in range(1, WINDOW + 1)]
@@ -46,9 +53,19 @@ def char_class(text: str) -> str:
     return "alnum" if text.isalnum() else "base64"
 
 
-def hot_ranges(text: str, limit: float, window: int = WINDOW) -> list[tuple[int, int]]:
+def mixed_case(text: str) -> bool:
+    """Whether letters of both cases alternate as in random strings; names have few of one case, few changes or capitals one by one."""
+    upper = [c.isupper() for c in text if c.isalpha()]
+    changes = sum(a != b for a, b in zip(upper, upper[1:]))
+    together = any(a and b for a, b in zip(upper, upper[1:]))
+    return min(sum(upper), len(upper) - sum(upper)) >= CASE_LETTERS and changes >= (CASE_CHANGES if together else MANY_CHANGES)
+
+
+def hot_ranges(text: str, limit: float, window: int = WINDOW, mixed: bool = False) -> list[tuple[int, int]]:
     """Joined windows whose entropy reaches the limit; a text shorter than a window is one window.
 
+    With ``mixed``, windows that aren't of mixed case don't count.
+
     Going one character on changes two counts, so the sum of c*log2(c) is kept up to date instead of counted anew.
     """
     n = min(window, len(text))
@@ -64,7 +81,7 @@ def hot_ranges(text: str, limit: float, window: int = WINDOW) -> list[tuple[int,
             k = counts[old]
             counts[old] = k - 1
             total += term[k - 1] - term[k]
-        if i >= n - 1 and log2(n) - total / n >= limit - 1e-12:
+        if i >= n - 1 and log2(n) - total / n >= limit - 1e-12 and (not mixed or mixed_case(text[i - n + 1 : i + 1])):
             a = i - n + 1
             if found and a <= found[-1][1]:
                 found[-1] = (found[-1][0], i + 1)
@@ -85,16 +102,33 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found, key=lambda s: (s[0], s[2]))
 
 
+def uncovered(start: int, end: int, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The parts of a candidate outside of base spans that are long enough, without a separator where they were cut."""
+    parts, at = [], start
+    for s, e, _ in base:
+        if s < end and at < e:
+            if at < s:
+                parts.append((at, s))
+            at = max(at, e)
+    if at < end:
+        parts.append((at, end))
+    cut = [(a + (a > start and text[a] in SEPARATORS), z - (z < end and text[z - 1] in SEPARATORS)) for a, z in parts]
+    return [(a, z) for a, z in cut if z - a >= WINDOW]
+
+
 def entropy_spans(text: str, base: list[tuple[int, int, int]], limits: dict[str, float]) -> list[tuple[int, int, int]]:
     """Spans of high entropy outside of base spans, without allow-listed candidates."""
     found = []
     for m in CANDIDATE.finditer(text):
-        word = m.group()
-        if not DIGIT.search(word) or any(a.match(word) for a in ALLOWED):
-            continue
-        if any(s < m.end() and m.start() < e for s, e, _ in base):
-            continue
-        found += [(m.start() + a, m.start() + b, 3) for a, b in hot_ranges(word, limits[char_class(word)])]
+        for start, end in uncovered(m.start(), m.end(), text, base):
+            word = text[start:end]
+            if any(a.match(word) for a in ALLOWED):
+                continue
+            if WORDS_ONLY.match(word):
+                hot = hot_ranges(word, max(WORDS_LIMIT, limits[char_class(word)]), mixed=True)
+            else:
+                hot = hot_ranges(word, limits[char_class(word)])
+            found += [(start + a, start + b, 3) for a, b in hot]
     return found
 
 
@@ -102,9 +136,10 @@ def scan(docs: DataFrame, text_col: str = "text", limits: dict[str, float] | Non
     """``docs`` with ``secrets``: array of struct(kind, start, end), by start, then kind; offsets are code points.
 
     Kinds ``assign``, ``access`` and ``hex`` are the leftmost non-overlapping matches of fixed patterns in the whole
-    text. ``entropy`` spans are added: candidate strings with a digit, outside of those matches and not on the
+    text. ``entropy`` spans are added: candidate strings, or what those matches leave uncovered of them, not on the
     allow-list, in which a sliding window of 20 characters reaches the entropy limit of their class (hex, alphanumeric,
-    base64); overlapping windows are one span.
+    base64); overlapping windows are one span. Without digits, or with a few at the end of a word only, a window has to
+    be of mixed case as well.
 
     A null or empty text has no spans. Each row is judged alone, so ties and repeated rows don't matter. Other columns
     are kept whatever their names; one named ``secrets`` is replaced.
