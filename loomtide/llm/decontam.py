@@ -18,6 +18,8 @@ WINDOW = 10
 BLOCK_WORDS = 2_000_000
 #: Suffixes of one shard's suffix array.
 SHARD_SUFFIXES = 400_000
+#: Pairs of a place in a text and a place in an item that are looked at together.
+PAIRS_TOGETHER = 1_000_000
 
 MATCHES = (
     "struct<n_words: long, spans: array<struct<start: long, end: long>>, items: array<string>, "
@@ -31,7 +33,8 @@ class Benchmark:
     """A block of the benchmark: its vocabulary, and its distinct windows in order with the items that hold them.
 
     ``windows`` has the numbers of words in the sorted ``vocabulary``, from 1; a window shorter than the widest is
-    filled up with zeros. ``holders`` and ``at`` (where in the item) belong to window w from ``offset[w]`` on.
+    filled up with zeros. ``holders`` and ``at`` (where in the item) belong to window w from ``offset[w]`` on, as do
+    ``before`` and ``after``, the windows one word earlier and later in that item (-1: none).
     """
 
     items: list[str | None]
@@ -42,6 +45,8 @@ class Benchmark:
     offset: np.ndarray
     holders: np.ndarray
     at: np.ndarray
+    before: np.ndarray
+    after: np.ndarray
 
     @classmethod
     def of(cls, ids: list, texts: list, window: int) -> Benchmark:
@@ -68,17 +73,23 @@ class Benchmark:
             lengths.append(np.full(len(block), n))
         if not rows:
             none = np.zeros(0, dtype=np.int64)
-            return cls([], vocabulary, vocabulary, np.zeros((0, window), dtype=np.int32), none, np.zeros(1, dtype=np.int64), none, none)
+            return cls([], vocabulary, vocabulary, np.zeros((0, window), dtype=np.int32), none, np.zeros(1, dtype=np.int64), none, none, none, none)
         stacked, holder, where = np.concatenate(rows), np.concatenate(holders), np.concatenate(at)
         order = np.lexsort([where, holder, *[stacked[:, k] for k in range(window - 1, -1, -1)]])
         stacked, holder, where = stacked[order], holder[order], where[order]
         new = np.ones(len(stacked), dtype=bool)
         new[1:] = (stacked[1:] != stacked[:-1]).any(axis=1)
         offset = np.append(np.flatnonzero(new), len(stacked))
+        number = (np.cumsum(new) - 1).astype(np.int32)
+        along = np.lexsort([where, holder])
+        same = holder[along[1:]] == holder[along[:-1]]
+        before, after = np.full(len(along), -1, dtype=np.int32), np.full(len(along), -1, dtype=np.int32)
+        before[along[1:][same]] = number[along[:-1][same]]
+        after[along[:-1][same]] = number[along[1:][same]]
         return cls(
             [None if i is None else str(i) for i in ids], vocabulary,
             np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, dtype=np.uint64),
-            stacked[new], (stacked[new] > 0).sum(axis=1), offset, holder, where,
+            stacked[new], (stacked[new] > 0).sum(axis=1), offset, holder, where, before, after,
         )
 
 
@@ -156,6 +167,33 @@ def spans_of(start: np.ndarray, end: np.ndarray) -> list[dict]:
     return out
 
 
+def runs_of(window: np.ndarray, start: np.ndarray, b: Benchmark) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, n_words, item, item_start) of a text's longest runs, each window taken at every place that holds it.
+
+    Windows that follow each other in the text and in one item are one run. A pair of places begins a run if the window
+    before it in the item isn't before it in the text, and ends it likewise; begins and ends of a diagonal (start less
+    place in the item) alternate. Only these are kept, pairs are looked at in parts.
+    """
+    key = np.sort(start * len(b.windows) + window)
+    n = b.offset[window + 1] - b.offset[window]
+    upto = np.cumsum(n)
+    first, last, lo = [], [], 0
+    while lo < len(window):
+        hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] - n[lo] + PAIRS_TOGETHER, side="right")))
+        hit = np.repeat(np.arange(lo, hi), n[lo:hi])
+        place = np.arange(len(hit)) - (upto - n)[hit] + (upto - n)[lo] + b.offset[window[hit]]
+        lo = hi
+        for kept, beside, step in ((first, b.before[place], -1), (last, b.after[place], 1)):
+            wanted = (start[hit] + step) * len(b.windows) + beside
+            found = np.searchsorted(key, wanted)
+            edge = (beside < 0) | (key[np.minimum(found, len(key) - 1)] != wanted)
+            at = place[edge]
+            kept.append(np.stack([b.holders[at], start[hit][edge] - b.at[at], start[hit][edge], b.length[window[hit]][edge]]))
+    head, tail = np.concatenate(first, axis=1), np.concatenate(last, axis=1)
+    head, tail = head[:, np.lexsort(head[2::-1])], tail[:, np.lexsort(tail[2::-1])]
+    return head[2], tail[2] + tail[3] - head[2], head[0], head[2] - head[1]
+
+
 def describe(shard: Shard, b: Benchmark, out: dict[int, tuple]) -> None:
     """Per text with matches: (spans, items, matches), into ``out``."""
     if not len(shard.text):
@@ -167,28 +205,16 @@ def describe(shard: Shard, b: Benchmark, out: dict[int, tuple]) -> None:
     order = np.lexsort([start, text])
     window, text, start = window[order], text[order], start[order]
     end = start + b.length[window]
-    # the first item that holds the window tells which runs of windows are one match
-    item, there = b.holders[b.offset[window]], b.at[b.offset[window]]
-    runs = np.lexsort([start, start - there, item, text])
-    goes_on = np.zeros(len(runs), dtype=bool)
-    i, j = runs[:-1], runs[1:]
-    goes_on[1:] = (text[i] == text[j]) & (item[i] == item[j]) & (start[j] == start[i] + 1) & (there[j] == there[i] + 1)
-    heads = np.flatnonzero(~goes_on)
-    tails = np.append(heads[1:], len(runs)) - 1
-    match_text, head, tail = text[runs[heads]], runs[heads], runs[tails]
-    cut = np.flatnonzero(np.diff(text, prepend=-1))
-    match_cut = np.searchsorted(match_text, text[cut], side="left")
-    match_end = np.searchsorted(match_text, text[cut], side="right")
-    for k, a in enumerate(cut):
-        z = cut[k + 1] if k + 1 < len(cut) else len(text)
-        held = np.unique(np.concatenate([b.holders[b.offset[q] : b.offset[q + 1]] for q in np.unique(window[a:z])]))
+    cut = np.append(np.flatnonzero(np.diff(text, prepend=-1)), len(text))
+    for a, z in zip(cut[:-1], cut[1:]):
+        run_start, n_words, item, there = runs_of(window[a:z], start[a:z], b)
         found = [
-            {"start": int(start[h]), "n_words": int(end[t] - start[h]), "item": b.items[item[h]], "item_start": int(there[h])}
-            for h, t in zip(head[match_cut[k] : match_end[k]], tail[match_cut[k] : match_end[k]])
+            {"start": int(s), "n_words": int(n), "item": i, "item_start": int(t)}
+            for s, n, i, t in dict.fromkeys(zip(run_start, n_words, [b.items[i] for i in item], there))
         ]
-        found.sort(key=lambda m: (m["start"], -m["n_words"]))
+        found.sort(key=lambda m: (m["start"], -m["n_words"], m["item"] is None, m["item"] or "", m["item_start"]))
         out[int(text[a])] = (
-            spans_of(start[a:z], end[a:z]), sorted({b.items[i] for i in held if b.items[i] is not None}), found
+            spans_of(start[a:z], end[a:z]), sorted({b.items[i] for i in np.unique(item) if b.items[i] is not None}), found
         )
 
 
@@ -263,8 +289,7 @@ def find_matches(
     Words are runs of digits, ASCII letters and characters beyond ASCII, A-Z lower-cased. A window is ``window``
     consecutive words of an item, or a shorter item whole. ``spans`` are the words of the document inside any
     occurrence of a window, ``items`` the ids (as strings, in order) of all items with a window that occurs, ``matches``
-    the longest verbatim runs with their places in document and item; a window that several items hold counts for the
-    first of them there.
+    the longest verbatim runs with their places in document and item, for every item and every place in it.
 
     Every batch of documents is a shard or several: the suffixes of their words that can begin a window are sorted to
     the window's length, and every window of the benchmark is found by binary search. A benchmark beyond
@@ -282,7 +307,7 @@ def find_matches(
     every = {n: F.concat(*[F.col(c)[n] for c in names]) for n in ("spans", "items", "matches")}
     return docs.withColumns(dict(zip(names, parts))).withColumn("contamination", F.struct(
         F.col(names[0])["n_words"].alias("n_words"), _joined_spans(every["spans"]).alias("spans"),
-        F.array_sort(F.array_distinct(every["items"])).alias("items"), F.array_sort(every["matches"]).alias("matches"),
+        F.array_sort(F.array_distinct(every["items"])).alias("items"), F.array_sort(F.array_distinct(every["matches"])).alias("matches"),
     )).drop(*names)
 
 

@@ -273,6 +273,43 @@ def test_matches_against_brute_force(spark, edge, block_words):
     assert nothing.count() == 0 and decontam.decontaminated(docs.limit(0), benchmark).count() == 0
 
 
+def longest_runs(text, items, window=10):
+    """Every maximal run of equal words of a text and an item, at least a window or a shorter item long."""
+    w, out = alnum(text), []
+    for i, other in items:
+        v = alnum(other)
+        for p in range(len(w)):
+            for q in range(len(v)):
+                if w[p] == v[q] and not (p and q and w[p - 1] == v[q - 1]):
+                    n = 0
+                    while p + n < len(w) and q + n < len(v) and w[p + n] == v[q + n]:
+                        n += 1
+                    if n >= min(window, len(v)):
+                        out.append((p, n, str(i), q))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("together", [1_000_000, 7])
+def test_matches_of_all_items_that_share_words(spark, monkeypatch, together):
+    monkeypatch.setattr(decontam, "PAIRS_TOGETHER", together)
+    head, phrase = sentence(1, 14), sentence(2, 11)
+    items = [
+        (1, f"{head} {sentence(3, 12)}"), (2, f"{head} {sentence(4, 12)}"), (3, f"{head} {sentence(4, 12)}"),
+        (4, f"{phrase} and {phrase}"), (5, "x " * 12), (6, "q r"), (7, "q r"),
+    ]
+    docs = [(1, f"so {items[1][1]} end q r"), (2, f"{phrase} {items[3][1]}"), (3, "x " * 25), (4, f"{head} y {head}"), (5, "none")]
+    found = decontam.find_matches(
+        spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), spark.createDataFrame(items, "item_id long, text string")
+    )
+    local = decontam.searched([t for _, t in docs], decontam.Benchmark.of([i for i, _ in items], [t for _, t in items], 10))
+    want = [longest_runs(t, items) for _, t in docs]
+    assert [sorted(tuple(m.values()) for m in x) for x in local["matches"]] == [sorted((p, n, i, q) for p, n, i, q in x) for x in want]
+    got = {r["doc_id"]: sorted(map(tuple, r["contamination"]["matches"])) for r in found.collect()}
+    twice = decontam.Benchmark.of([i for i, _ in items] * 2, [t for _, t in items] * 2, 10)
+    assert decontam.searched([t for _, t in docs], twice)["matches"].tolist() == local["matches"].tolist()
+    assert got == {i: x for (i, _), x in zip(docs, want)} and (1, 26, "2", 0) in got[1] and (1, 26, "3", 0) in got[1]
+
+
 def test_op5(spark, small, documents):
     items = pairs(spark.read.parquet(f"{small}/benchmark.parquet"), "item_id", "text")
     want = {i: (n, len(h), len(x), hashlib.sha256(",".join(x).encode()).hexdigest(), bool(h)) for i, n, h, x in contaminated(pairs(documents, "doc_id", "text"), items)}
