@@ -16,7 +16,7 @@ from loomtide.llm.ranks import column, group_key, ranked, shuffle_key, stored
 #: Blocks (documents) of an output shard; what one task draws and shuffles at a time.
 SHARD_BLOCKS = 4096
 MAX_EPOCHS = 3
-#: Above this many blocks a split is drawn from the normal approximation, which is as good there.
+#: From this many blocks on a split is drawn by ``large_draw``, as numpy's draws end at 10**9.
 EXACT_DRAWS = 10**8
 
 
@@ -46,6 +46,20 @@ def targets(sizes: dict, weights: dict, total: int | None = None, most: int = MA
     return out
 
 
+def large_draw(c: int, rest: int, left: int, low: int, high: int, rng: np.random.Generator) -> int:
+    """A hypergeometric draw of any size, by inversion around the mode; beyond 12 deviations and 60 nothing is left in floats."""
+    every = c + rest
+    mode = min(high, max(low, (left + 1) * (c + 1) // (every + 2)))
+    width = 60 + int(12 * (left * (c / every) * (rest / every) * ((every - left) / max(1, every - 1))) ** 0.5)
+    first, last = max(low, mode - width), min(high, mode + width)
+    k = np.arange(first, last, dtype=np.int64)
+    # p(k + 1) / p(k)
+    steps = np.log((c - k).astype(float)) + np.log((left - k).astype(float)) - np.log((k + 1).astype(float)) - np.log((rest - left + k + 1).astype(float))
+    terms = np.concatenate([[0.0], np.cumsum(steps)])
+    upto = np.cumsum(np.exp(terms - terms.max()))
+    return first + min(int(np.searchsorted(upto, rng.random() * upto[-1], side="right")), len(upto) - 1)
+
+
 def split(counts: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
     """How many of each colour are among n balls drawn from the counts without putting back."""
     out, left, rest = np.zeros(len(counts), dtype=np.int64), n, int(counts.sum())
@@ -57,10 +71,7 @@ def split(counts: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
         elif c + rest < EXACT_DRAWS:
             k = int(rng.hypergeometric(c, rest, left))
         else:
-            every = c + rest
-            mean = left * c / every
-            spread = (mean * (rest / every) * ((every - left) / max(1, every - 1))) ** 0.5
-            k = min(high, max(low, round(rng.normal(mean, spread))))
+            k = large_draw(c, rest, left, low, high, rng)
         out[i], left = k, left - k
     return out
 

@@ -354,6 +354,22 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 <table><tr><td>1<td>2<tr><td>3</table><p>5 < 6 &eacute;&#233;&#x1F642;</p><div hidden>h</div></article></main><footer>F</footer>"""
 
 
+def test_large_draws_follow_the_law():
+    import math
+
+    import numpy as np
+
+    rng, n = np.random.default_rng(1), 4000
+    rare = np.array([mixing.split(np.array([3, 10**10]), 2 * 10**9, rng)[0] for _ in range(n)])
+    for k in range(4):  # as good as binomial at this size
+        assert abs((rare == k).mean() - math.comb(3, k) * 0.2**k * 0.8 ** (3 - k)) < 0.03
+    small = np.array([mixing.large_draw(30, 50, 20, 0, 20, rng) for _ in range(n)])
+    for k in range(21):
+        assert abs((small == k).mean() - math.comb(30, k) * math.comb(50, 20 - k) / math.comb(80, 20)) < 0.03
+    big = np.array([mixing.split(np.array([10**9, 10**9]), 10**9, rng)[0] for _ in range(20)])
+    assert abs(big - 5 * 10**8).max() < 6 * 11_181
+
+
 def test_page_text():
     want = "A & b\n\nOne two bold <x> three\n\nFour\n\na\n\nb\n\n1\n\n2\n\n3\n\n5 < 6 éé🙂"
     assert pages.main_text(pages.blocks(PAGE), frozenset()) == want
