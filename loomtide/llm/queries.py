@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from loomtide.llm import decontam, lines, mixing, neardup, pages, quality, secrets, sharding, toxicity, warc
+from loomtide.llm import audit, decontam, lines, mixing, neardup, pages, quality, secrets, sharding, toxicity, warc
 from loomtide.session import shared_folder
 from registry.common import Registry, table
 
@@ -226,3 +226,48 @@ def op10(spark, folder):
         *[_count(found, kind).alias(f"n_{kind}") for kind in secrets.KINDS],
         F.sha2(spans_text(base).cast("binary"), 256).alias("base_sha256"), spans_text(found).alias("spans"),
     )
+
+
+OP12_SQL = """
+with recursive d as (
+    select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t,
+           regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w
+    from documents
+),
+said as (select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic from labels group by 1),
+firsts as (select t, min(doc_id) as lowest from d group by 1),
+masks as (
+    select part, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic,
+           (len(w) < 100)::int + 2 * (100 * len(list_distinct(w)) < 80 * len(w))::int
+           + 4 * (100 * len(regexp_extract_all(t, '[A-Z]')) > 10 * length(t))::int
+           + 8 * regexp_matches(t, '[#$%&*|]')::int + 16 * coalesce(d.doc_id > lowest, false)::int as mask
+    from d join firsts using (t) left join said using (doc_id)
+),
+cells as (select part, mask, count(*) as n, sum(good)::bigint as good, sum(toxic)::bigint as toxic from masks group by 1, 2),
+grown as (
+    select '' as p, 0 as step, 0 as applied, 0 as bit
+    union all
+    select p || c, step + 1, applied | bit, 1 << (instr('ABCDE', c)::int - 1)
+    from grown, (select unnest(['A', 'B', 'C', 'D', 'E']) as c) where instr(p, c) = 0
+),
+steps as (
+    select part, p, step, bit,
+           coalesce(sum(n) filter (mask & (applied | bit) = 0), 0)::bigint as kept,
+           coalesce(sum(n) filter (mask & bit <> 0 and mask & applied = 0), 0)::bigint as removed,
+           coalesce(sum(n) filter (mask & bit <> 0 and mask & applied <> 0), 0)::bigint as redundant,
+           coalesce(sum(n) filter (mask = bit), 0)::bigint as unique_fails,
+           coalesce(sum(good) filter (mask & bit <> 0 and mask & applied = 0), 0)::bigint as good_lost,
+           coalesce(sum(toxic) filter (mask & bit <> 0 and mask & applied = 0), 0)::bigint as toxic_lost
+    from grown, cells where step > 0 group by part, p, step, bit
+),
+orders as (select p as filter_order from grown where step = 5)
+select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) over (partition by part, bit))::bigint as shapley
+from orders join steps on starts_with(filter_order, p)
+"""
+
+
+@REG.add("op12_filter_orders", OP12_SQL)
+def op12(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    return audit.audit(audit.mask_cells(docs, table(spark, folder, "labels").select("doc_id", "quality", "toxic")))
