@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from loomtide.llm import audit, decontam, lines, mixing, neardup, pages, quality, secrets, sharding, toxicity, warc
+from loomtide.llm import audit, collocations, decontam, lines, mixing, neardup, pages, quality, secrets, sharding, toxicity, warc
 from loomtide.session import shared_folder
 from registry.common import Registry, table
 
@@ -271,3 +271,45 @@ from orders join steps on starts_with(filter_order, p)
 def op12(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
     return audit.audit(audit.mask_cells(docs, table(spark, folder, "labels").select("doc_id", "quality", "toxic")))
+
+
+OP11_SQL = f"""
+with pieces as (
+    select coalesce(lang, 'und') as lang, unnest(string_split_regex({LOWERED.format('text')}, '[.,;:!?\\x0A-\\x0D]')) as piece
+    from documents
+),
+w as (select lang, regexp_extract_all(piece, '[^\\x20\\x09]+') as w from pieces),
+total as (select lang, sum(len(w))::bigint as n from w group by 1 having sum(len(w)) > 0),
+grams as (
+    select lang, n as words, array_to_string(list_slice(w, i, i + n - 1), ' ') as phrase
+    from (select lang, w, n, unnest(range(1, len(w) - n + 2)) as i from w, (select unnest([1, 2, 3, 4]) as n) where len(w) >= n)
+),
+f as (select lang, words, phrase, count(*) as a from grams group by 1, 2, 3 having count(*) >= 30),
+split as (select *, string_split(phrase, ' ') as p from f where words > 1),
+cuts as (
+    select lang, phrase, a, k, array_to_string(p[1:k], ' ') as front, array_to_string(p[k + 1:], ' ') as rest
+    from (select *, unnest(range(1, words)) as k from split)
+),
+scored as (
+    select c.lang, c.phrase, c.a, x.a as l, y.a as r, (2000000::hugeint * c.a // (x.a + y.a))::bigint as score
+    from cuts c join f x on x.lang = c.lang and x.phrase = front join f y on y.lang = c.lang and y.phrase = rest
+    qualify row_number() over (partition by c.lang, c.phrase order by score, k) = 1
+),
+held as (
+    select lang, array_to_string(p[i:i + m - 1], ' ') as phrase, max(a) as most
+    from (
+        select *, unnest(range(1, words - m + 2)) as i
+        from (select *, unnest(range(2, words)) as m from split where words > 2)
+    ) group by 1, 2
+),
+ranked as (
+    select s.*, row_number() over (partition by lang order by score desc, a desc, phrase) as rank
+    from scored s left join held using (lang, phrase) where most is null or 100::hugeint * most < 80::hugeint * a
+)
+select lang, rank, phrase, a, l, r, n, score from ranked join total using (lang) where rank <= 2000
+"""
+
+
+@REG.add("op11_phrase_collocations", OP11_SQL)
+def op11(spark, folder):
+    return collocations.collocations(table(spark, folder, "documents").select("doc_id", "lang", "text"))
