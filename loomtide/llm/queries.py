@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from loomtide.llm import audit, collocations, decontam, lines, mixing, neardup, pages, quality, secrets, sharding, toxicity, warc
+from loomtide.llm import audit, collocations, decontam, lines, mixing, neardup, pages, pieces, quality, secrets, sharding, toxicity, warc
 from loomtide.session import shared_folder
 from registry.common import Registry, table
 
@@ -313,3 +314,14 @@ select lang, rank, phrase, a, l, r, n, score from ranked join total using (lang)
 @REG.add("op11_phrase_collocations", OP11_SQL)
 def op11(spark, folder):
     return collocations.collocations(table(spark, folder, "documents").select("doc_id", "lang", "text"))
+
+
+@REG.add("op13_marked_words")
+def op13(spark, folder):
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    listed = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return pieces.encode(docs, model).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(pieces.decode(F.col("ids"), model).cast("binary"), 256).alias("decoded_sha256"),
+    )
