@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from loomtide.functions.columns import join_on, present, quoted, ratio
 from loomtide.functions.stats import chi_square_p, kolmogorov_p, normal_p
-from loomtide.operators.ordered import HOT_ROWS, hot_keys, per_column, running_totals
+from loomtide.operators.ordered import HOT_ROWS, Hot, hot_keys, per_column, running_totals
 from loomtide.operators.profile import melted_moments
 
 REFERENCE, CURRENT = "reference", "current"
@@ -50,21 +50,16 @@ def _category_statistics() -> dict[str, Column]:
     }
 
 
-def numeric_drift(
-    df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), dataset: str = "dataset", hot_rows: int = HOT_ROWS
-) -> DataFrame:
-    """Exact two-sample statistics of numeric columns; missing values are left out."""
-    keys = [*by, "column_name"]
-    heavy = per_column(hot_keys(df, by, hot_rows), columns)
-    counts = _pair_counts(df, columns, by, dataset, True)
+def numeric_statistics(counts: DataFrame, keys: Sequence[str], spread: DataFrame, heavy: Hot) -> DataFrame:
+    """Exact two-sample statistics from counts (keys, value, n_ref, n_cur).
+
+    ``spread`` has the reference's standard deviation (``ref_std``) per key; ``heavy`` names the keys with many rows.
+    """
+    keys = list(keys)
     ordered = running_totals(counts, keys, "value", ["n_ref", "n_cur"], heavy)
     gap = F.abs(
         ratio(F.col("cum_n_ref"), F.col("total_n_ref")) - ratio(F.col("cum_n_cur"), F.col("total_n_cur"))
     )
-    reference = df.where(F.col(dataset) == REFERENCE).select(
-        *by, *[present(df, c).cast("double").alias(c) for c in columns]
-    )
-    spread = melted_moments(reference, columns, by, {"ref_std": F.stddev_pop})
     stats = ordered.groupBy(*keys).agg(
         F.lit("numeric").alias("kind"),
         F.max("total_n_ref").alias("n_ref"),
@@ -84,10 +79,22 @@ def numeric_drift(
     ).drop("_distance", "ref_std")
 
 
-def categorical_drift(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), dataset: str = "dataset") -> DataFrame:
-    """Two-sample statistics of categorical columns over the union of their categories."""
-    keys = [*by, "column_name"]
-    counts = _pair_counts(df, columns, by, dataset, False)
+def numeric_drift(
+    df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), dataset: str = "dataset", hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Exact two-sample statistics of numeric columns; missing values are left out."""
+    heavy = per_column(hot_keys(df, by, hot_rows), columns)
+    counts = _pair_counts(df, columns, by, dataset, True)
+    reference = df.where(F.col(dataset) == REFERENCE).select(
+        *by, *[present(df, c).cast("double").alias(c) for c in columns]
+    )
+    spread = melted_moments(reference, columns, by, {"ref_std": F.stddev_pop})
+    return numeric_statistics(counts, [*by, "column_name"], spread, heavy)
+
+
+def categorical_statistics(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Two-sample statistics from counts (keys, value, n_ref, n_cur) over the union of the categories."""
+    keys = list(keys)
     totals = counts.groupBy(*keys).agg(F.sum("n_ref").alias("total_n_ref"), F.sum("n_cur").alias("total_n_cur"))
     return join_on(counts, totals, keys).groupBy(*keys).agg(
         F.lit("categorical").alias("kind"),
@@ -98,6 +105,11 @@ def categorical_drift(df: DataFrame, columns: Sequence[str], by: Sequence[str] =
     )
 
 
+def categorical_drift(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), dataset: str = "dataset") -> DataFrame:
+    """Two-sample statistics of categorical columns over the union of their categories."""
+    return categorical_statistics(_pair_counts(df, columns, by, dataset, False), [*by, "column_name"])
+
+
 def drift_statistics(
     df: DataFrame,
     numeric: Sequence[str] = (),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from loomtide.operators import encoding, models, rules
 from loomtide.session import shared_folder
-from loomtide.streaming import alert_state, core, feature_push, rollups
+from loomtide.streaming import alert_state, core, drift_windows, feature_push, rollups
 from registry.common import Registry, rounded, table
 
 REG = Registry()
@@ -83,6 +83,56 @@ def stream_push(spark: SparkSession, folder: str) -> DataFrame:
     return push.snapshot(spark)
 
 
+#: Events in three files: by time, but of ten one comes a file later than it should and one two files later. The mark
+#: that closes windows in one batch turns rows away in the next: only the third file has rows that come too late.
+FILES_SQL = """arrived AS (SELECT *, least(3, CASE WHEN ts < TIMESTAMP '2024-01-11' THEN 1 WHEN ts < TIMESTAMP '2024-01-21' THEN 2 ELSE 3 END
+  + CASE event_id % 10 WHEN 3 THEN 1 WHEN 7 THEN 2 ELSE 0 END) AS f FROM events),
+marks AS (SELECT max(ts) FILTER (f = 1) - INTERVAL 10 MINUTE AS first_mark, max(ts) - INTERVAL 10 MINUTE AS last_mark FROM arrived)"""
+
+
+def three_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The events as a stream of three files, one per trigger; rows of the first two thirds partly come late."""
+    arrived = shared_folder(spark, "arrived")
+    ts = lambda day: F.lit(f"2024-01-{day}").cast("timestamp_ntz")
+    own = F.when(F.col("ts") < ts(11), 1).when(F.col("ts") < ts(21), 2).otherwise(3)
+    late = F.when(F.col("event_id") % 10 == 3, 1).when(F.col("event_id") % 10 == 7, 2).otherwise(0)
+    events = table(spark, folder, "events").withColumn("_file", F.least(F.lit(3), own + late))
+    # one after the other: the file source takes older files first
+    for i in (1, 2, 3):
+        events.where(F.col("_file") == i).drop("_file").coalesce(1).write.parquet(f"{arrived}/{i}")
+    return core.read_stream(spark, f"{arrived}/*/*.parquet", events.drop("_file").schema, files_per_trigger=1)
+
+
+REFERENCE_END = "2024-01-04"
+
+
+@REG.add(
+    "stream_drift_windows",
+    f"""WITH {FILES_SQL},
+kept AS (SELECT time_bucket(INTERVAL 1 DAY, ts) AS w, event_type, value FROM arrived, marks
+  WHERE f < 3 OR time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY > first_mark),
+cur AS (SELECT * FROM kept WHERE w + INTERVAL 1 DAY <= (SELECT last_mark FROM marks)),
+ref AS (SELECT event_type, value FROM events WHERE ts < TIMESTAMP '{REFERENCE_END}'),
+slots AS (SELECT DISTINCT w FROM cur),
+num AS (SELECT w, value, sum(r) AS r, sum(c) AS c FROM (SELECT w, value, 0 AS r, 1 AS c FROM cur
+  UNION ALL SELECT w, value, 1, 0 FROM slots, ref) GROUP BY ALL),
+cum AS (SELECT w, sum(r) OVER o / sum(r) OVER p AS fr, sum(c) OVER o / sum(c) OVER p AS fc, lead(value) OVER o - value AS d
+  FROM num WINDOW o AS (PARTITION BY w ORDER BY value), p AS (PARTITION BY w)),
+cat AS (SELECT w, r / sum(r) OVER p AS p, c / sum(c) OVER p AS q FROM (SELECT w, event_type, sum(r) AS r, sum(c) AS c FROM
+  (SELECT w, event_type, 0 AS r, 1 AS c FROM cur UNION ALL SELECT w, event_type, 1, 0 FROM slots, ref) GROUP BY ALL)
+  WINDOW p AS (PARTITION BY w)),
+scores AS (SELECT w, 'value' AS column_name, 'wasserstein' AS method, sum(abs(fr - fc) * d) / (SELECT stddev_pop(value) FROM ref) AS score FROM cum GROUP BY w
+  UNION ALL SELECT w, 'event_type', 'jensen_shannon', sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * ln(p / ((p + q) / 2)) ELSE 0 END
+ + CASE WHEN q > 0 THEN q * ln(q / ((p + q) / 2)) ELSE 0 END) / 2)) FROM cat GROUP BY w)
+SELECT w AS window_start, column_name, method, round(score, 6) AS drift_score, CAST(0.1 AS DOUBLE) AS threshold, score >= 0.1 AS drift_detected FROM scores""",
+)
+def stream_drift_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """Days of a stream against the first three days; rows that come after their day was closed don't count."""
+    reference = table(spark, folder, "events").where(F.col("ts") < F.lit(REFERENCE_END).cast("timestamp_ntz"))
+    job = drift_windows.DriftWindows(shared_folder(spark, "drift"), reference, ["value"], ["event_type"])
+    return rounded(job.run(core.with_event_time(three_files(spark, folder), "ts", DELAY), "ts", "1 day"))
+
+
 @REG.add("stream_dedup", "SELECT DISTINCT user_id, ts FROM events")
 def stream_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Every event sent twice, kept once."""

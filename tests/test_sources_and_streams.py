@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from loomtide.operators import drift
 from loomtide.operators import feature_store as fs
 from loomtide.sources import catalog, files
 from loomtide.streaming import alert_state, core, drift_windows, feature_push, rollups
@@ -127,13 +128,38 @@ def test_alert_life_cycle_over_batches(spark, tmp_path):
 
 def test_drift_of_closed_windows(spark, tmp_path):
     at = lambda m: T0 + timedelta(minutes=m)
-    reference = spark.createDataFrame([(float(i % 50),) for i in range(300)], "x double")
-    parts = [[(at(i % 60), float(i % 50)) for i in range(200)], [(at(60 + i % 60), float(i % 50 + 80)) for i in range(200)], [(at(200), 1.0)]]
-    stream = batches(spark, str(tmp_path / "in"), parts, "ts timestamp_ntz, x double")
-    job = drift_windows.DriftWindows(str(tmp_path / "drift"), reference, "ts", 3600, 600, numeric=["x"])
-    core.run_batches(stream, job, "drift")
-    got = {r["window_start"]: r["drift_detected"] for r in job.scores(spark).collect()}
-    assert got == {at(0): False, at(60): True}
+    reference = spark.createDataFrame([(float(i % 50), "ab"[i % 2]) for i in range(300)], "x double, c string")
+    parts = [
+        [(at(i % 60), float(i % 50), "ab"[i % 2]) for i in range(200)],
+        [(at(60 + i % 60), float(i % 50 + 80), "b") for i in range(200)] + [(at(70), None, None), (at(71), float("nan"), "a")],
+        [(at(200), 1.0, "a")],
+        [(at(5), 1e9, "late"), (at(201), 1.0, "a")],
+    ]
+    stream = batches(spark, str(tmp_path / "in"), parts, "ts timestamp_ntz, x double, c string")
+    job = drift_windows.DriftWindows(str(tmp_path / "drift"), reference, ["x"], ["c"])
+    got = {(r["window_start"], r["column_name"]): r for r in job.run(core.with_event_time(stream, "ts", "10 minutes"), "ts", "1 hour").collect()}
+    assert {k: r["drift_detected"] for k, r in got.items()} == {
+        (at(0), "x"): False, (at(0), "c"): False, (at(60), "x"): True, (at(60), "c"): True,
+    }
+    # the scores are those of the rows themselves; the late row of the first window was turned away
+    both = reference.withColumn("dataset", F.lit("reference")).unionByName(
+        spark.createDataFrame([(x, c) for _, x, c in parts[0]], "x double, c string").withColumn("dataset", F.lit("current"))
+    )
+    plain = {r["column_name"]: r["drift_score"] for r in drift.drift_scores(drift.drift_statistics(both, ["x"], ["c"])).collect()}
+    assert plain == pytest.approx({c: got[at(0), c]["drift_score"] for c in "xc"})
+
+
+def test_drift_windows_without_rows(spark, tmp_path):
+    reference = spark.createDataFrame([(1.0,)], "x double")
+    schema = "ts timestamp_ntz, x double"
+    job = drift_windows.DriftWindows(str(tmp_path / "drift"), reference, ["x"])
+    first = [[], [(T0, 1.0)], [(T0 + timedelta(hours=5), None)], [(T0 + timedelta(hours=9), 2.0)]]
+    out = job.run(core.with_event_time(batches(spark, str(tmp_path / "in"), first, schema), "ts", "1 minute"), "ts", "1 hour")
+    assert [r["window_start"] for r in out.collect()] == [T0]  # a window without values is none
+    job(spark.createDataFrame([], drift_windows.closed_counts(
+        spark.createDataFrame([], schema).withColumn("ts", F.col("ts").cast("timestamp")), "ts", "1 hour", ["x"], []
+    ).schema), 99)
+    assert job.scores(spark).count() == 1
 
 
 def test_push_schema_is_checked(spark, tmp_path):
