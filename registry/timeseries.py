@@ -7,6 +7,7 @@ value is a latency; hourly means are gauges; suppliers are pods with requests, n
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomtide.operators import alerts, series
@@ -55,6 +56,22 @@ def increase_2h(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(series.increase(deltas(spark, folder), ["event_type"], "ts", 7200, 900).drop("rate"))
 
 
+@REG.add(
+    "increase_fine_grid",
+    f"""WITH {COUNTER_SQL}, b AS (SELECT event_type, CAST(ceil(epoch_us(ts) / 15000000.0) AS BIGINT) AS i, sum(delta) AS x FROM d GROUP BY ALL),
+g AS (SELECT event_type, i + o AS e, sum(x) AS x FROM b, range(0, 480) t(o) GROUP BY ALL)
+SELECT event_type, CAST(date_trunc('day', make_timestamp(e * 15000000)) AS TIMESTAMP) AS day, count(*) AS evaluations,
+ round(avg(x), 6) AS mean_increase, round(CAST(max(x) AS DOUBLE), 6) AS max_increase FROM g GROUP BY ALL""",
+)
+def increase_fine_grid(spark: SparkSession, folder: str) -> DataFrame:
+    """The increase over two hours at every 15 seconds, by day."""
+    fine = series.increase(deltas(spark, folder), ["event_type"], "ts", 7200, 15)
+    day = F.date_trunc("day", "eval_ts").cast("timestamp_ntz").alias("day")
+    return rounded(fine.groupBy("event_type", day).agg(
+        F.count(F.lit(1)).alias("evaluations"), F.avg("increase").alias("mean_increase"), F.max("increase").alias("max_increase"),
+    ))
+
+
 @REG.add(
     "error_ratio",
     f"WITH {COUNTER_SQL}, " + _grid_sql(3600, 300, "round(CASE WHEN sum(x) > 0 THEN sum(bad) / sum(x) END, 6) AS ratio"),
@@ -99,6 +116,52 @@ def hist_quantile(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(series.histogram_quantile(buckets, ["event_type", "hour"], {"p50": 0.5, "p95": 0.95, "p99": 0.99}))
 
 
+def _rate_quantiles_sql(edges: list[float]) -> str:
+    n = len(edges) + 1
+    columns = lambda expr: ", ".join(expr.format(i=i) for i in range(n))
+    fell = " OR ".join(f"c{i} < lag(c{i}) OVER w" for i in range(n))
+    ends = [*map(str, edges), "'infinity'::DOUBLE"]
+    long = " UNION ALL ".join(f"SELECT event_type, e, {ends[i]}::DOUBLE AS le, x{i} AS n FROM g" for i in range(n))
+    counts = ", ".join(
+        f"count(*) FILTER (value <= {ends[i]}) AS k{i}" if i < n - 1 else f"count(*) AS k{i}" for i in range(n)
+    )
+    quantile = lambda p: f"""q{p} AS (SELECT event_type, e, CASE WHEN le = 'infinity'::DOUBLE THEN l0 ELSE coalesce(l0, 0) + (le - coalesce(l0, 0))
+  * CASE WHEN n = n0 THEN 0 ELSE (0.{p} * t - n0) / (n - n0) END END AS v FROM lined WHERE n >= 0.{p} * t AND t > 0
+  QUALIFY row_number() OVER (PARTITION BY event_type, e ORDER BY le) = 1)"""
+    return f"""WITH quarter AS (SELECT event_type, time_bucket(INTERVAL 15 MINUTE, ts) AS q, {counts} FROM events GROUP BY ALL),
+c AS (SELECT event_type, q AS ts, {columns("sum(k{i}) OVER w AS c{i}")} FROM quarter
+  WINDOW w AS (PARTITION BY event_type, date_trunc('day', q) ORDER BY q)),
+d AS (SELECT event_type, ts, {columns(f"CASE WHEN lag(c{{i}}) OVER w IS NULL THEN 0 WHEN {fell} THEN c{{i}} ELSE c{{i}} - lag(c{{i}}) OVER w END AS x{{i}}")}
+  FROM c WINDOW w AS (PARTITION BY event_type ORDER BY ts)),
+b AS (SELECT event_type, CAST(ceil(epoch_us(ts) / 900000000.0) AS BIGINT) AS i, {columns("sum(x{i}) AS x{i}")} FROM d GROUP BY ALL),
+g AS (SELECT event_type, i + o AS e, {columns("sum(x{i}) AS x{i}")} FROM b, range(0, 8) t(o) GROUP BY ALL),
+long AS ({long}),
+lined AS (SELECT *, coalesce(lag(n) OVER w, 0) AS n0, lag(le) OVER w AS l0, max(n) OVER (PARTITION BY event_type, e) AS t FROM long
+  WINDOW w AS (PARTITION BY event_type, e ORDER BY le)),
+{quantile("50")}, {quantile("95")}, {quantile("99")}
+SELECT event_type, make_timestamp(e * 900000000) AS eval_ts, round(q50.v, 6) AS p50, round(q95.v, 6) AS p95, round(q99.v, 6) AS p99
+FROM (SELECT DISTINCT event_type, e FROM g) LEFT JOIN q50 USING (event_type, e) LEFT JOIN q95 USING (event_type, e) LEFT JOIN q99 USING (event_type, e)"""
+
+
+def histogram_counters(spark: SparkSession, folder: str) -> DataFrame:
+    """Counters of an exported histogram: cumulative counts of an event type's latencies by edge, read every 15 minutes,
+    of a process that is restarted every day."""
+    quarter = F.window(F.col("ts").cast("timestamp"), "15 minutes")["start"].cast("timestamp_ntz").alias("ts")
+    names = [f"c{i}" for i in range(len(EDGES) + 1)]
+    counts = [F.count_if(F.col("value") <= e).alias(n) for e, n in zip(EDGES, names)] + [F.count(F.lit(1)).alias(names[-1])]
+    per_quarter = table(spark, folder, "events").groupBy("event_type", quarter).agg(*counts)
+    since_start = W.partitionBy("event_type", F.to_date("ts")).orderBy("ts").rowsBetween(W.unboundedPreceding, W.currentRow)
+    return per_quarter.select("event_type", "ts", F.array(*[F.sum(n).over(since_start) for n in names]).alias("counts"))
+
+
+@REG.add("hist_quantile_rate", _rate_quantiles_sql(EDGES))
+def hist_quantile_rate(spark: SparkSession, folder: str) -> DataFrame:
+    """Quantiles of what the buckets grew by over two hours, every 15 minutes."""
+    grown = series.bucket_deltas(histogram_counters(spark, folder), ["event_type"], "ts", "counts")
+    buckets = series.bucket_increase(grown, ["event_type"], "ts", EDGES, 7200, 900)
+    return rounded(series.histogram_quantile(buckets, ["event_type", "eval_ts"], {"p50": 0.5, "p95": 0.95, "p99": 0.99}))
+
+
 @REG.add(
     "instant_vector",
     """SELECT event_type, user_id, ts, value FROM events WHERE ts <= TIMESTAMP '2024-01-20 12:00:00' AND ts > TIMESTAMP '2024-01-20 00:00:00'
