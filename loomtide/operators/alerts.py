@@ -3,17 +3,124 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomtide.functions.columns import epoch_seconds
-from loomtide.operators.ordered import HOT_ROWS, carry_forward, hot_keys
+from loomtide.operators.series import series_key
+
+
+@dataclass(frozen=True)
+class Compare:
+    """A comparison of the samples of a metric whose labels fit; ``any`` holds for every such sample.
+
+    Matcher values are equal or, beginning with ``~``, anchored patterns. ``age`` compares the seconds since the time that
+    the sample's value names.
+    """
+
+    metric: str
+    op: str = "any"
+    limit: float = 0.0
+    matcher: dict[str, str] = field(default_factory=dict)
+    age: bool = False
+
+
+@dataclass(frozen=True)
+class Or:
+    """Holds for a label set if any part does."""
+
+    parts: tuple[Compare, ...]
+
+
+@dataclass(frozen=True)
+class AndOn:
+    """Holds for a label set of the left side if a label set of the right side with the same ``labels`` holds."""
+
+    left: Compare | Or
+    right: Compare | Or
+    labels: tuple[str, ...]
+
+
+@dataclass(frozen=True)
+class Alert:
+    """A condition that fires after it has held for some time."""
+
+    group: str
+    name: str
+    when: Compare | Or | AndOn
+    for_seconds: int
+    severity: str
+    category: str | None
+
+
+def _alert(group, name, when, minutes, severity, category="ml_monitoring") -> Alert:
+    return Alert(group, name, when, minutes * 60, severity, category)
+
+
+def _is(metric, op, limit, **matcher) -> Compare:
+    return Compare(metric, op, float(limit), matcher)
+
+
+# fixed values: the alert catalogue. Conditions on rates, ratios and quantiles refer to samples derived with the functions
+# in series.py, named by what they hold. Names repeat between groups, with other limits
+CATALOGUE = (
+    _alert("monitoring", "DataDriftDetected", _is("ml_data_drift_detected", "==", 1), 5, "warning"),
+    _alert("monitoring", "HighDriftShare", _is("ml_data_drift_share", ">", 0.3), 5, "critical"),
+    _alert("monitoring", "ModelHealthCritical", _is("ml_model_health_status", "==", 2), 5, "critical"),
+    _alert("monitoring", "ModelHealthWarning", _is("ml_model_health_status", "==", 1), 15, "warning"),
+    _alert("monitoring", "ModelPerformanceDegraded", _is("ml_performance_degradation_percent", ">", 10), 10, "warning"),
+    _alert("monitoring", "ModelPerformanceSeverelyDegraded", _is("ml_performance_degradation_percent", ">", 20), 5, "critical"),
+    _alert("monitoring", "LowModelAccuracy", _is("ml_model_accuracy", "<", 0.7), 10, "warning"),
+    _alert("monitoring", "HighMissingValues", _is("ml_missing_values_share", ">", 0.1), 5, "warning"),
+    _alert("monitoring", "MonitoringServiceDown", _is("up", "==", 0, job="evidently-monitoring"), 5, "critical"),
+    _alert("monitoring", "NoRecentMonitoringRuns", _is("ml_monitoring_runs:increase_2h", "==", 0), 120, "warning"),
+    _alert("mlops", "MLflowDown", _is("up", "==", 0, job="mlflow-server"), 2, "critical", "infrastructure"),
+    _alert("mlops", "MLflowHighLatency", _is("http_request_duration_seconds:p95_5m", ">", 2, job="mlflow-server"), 5, "warning", "infrastructure"),
+    _alert("mlops", "MLflowHighErrorRate", _is("http_requests:error_ratio_5m", ">", 0.05, job="mlflow-server"), 5, "critical", "infrastructure"),
+    _alert("mlops", "PostgreSQLDown", _is("up", "==", 0, job="mlflow-postgresql"), 1, "critical", "infrastructure"),
+    _alert("mlops", "PostgreSQLHighConnections", _is("pg_stat_activity_count", ">", 80, datname="mlflow"), 5, "warning", "infrastructure"),
+    _alert("mlops", "PostgreSQLReplicationLag", _is("pg_stat_replication_flush_lag_seconds", ">", 30), 5, "warning", "infrastructure"),
+    _alert("mlops", "KServeControllerDown", _is("up", "==", 0, job="kserve-controller"), 3, "critical", "infrastructure"),
+    _alert("mlops", "InferenceServiceDown", _is("kserve_inference_service_status", "==", 1, status="False"), 3, "critical", "ml_serving"),
+    _alert("mlops", "KServeHighErrorRate", _is("http_requests:error_ratio_5m", ">", 0.05, job="kserve"), 5, "critical", "ml_serving"),
+    _alert("mlops", "InferenceServiceHighLatency", _is("kserve_inference_duration_seconds:p95_5m", ">", 5), 10, "warning", "ml_serving"),
+    _alert("mlops", "ModelDriftDetected", _is("ml_data_drift_detected", "==", 1), 5, "warning"),
+    _alert("mlops", "ModelRetrainingRequired", Or((_is("ml_data_drift_share", ">", 0.3), _is("ml_model_accuracy", "<", 0.7))), 10, "warning"),
+    _alert("mlops", "PodCrashLooping", _is("kube_pod_container_status_restarts:rate_15m", ">", 0), 5, "warning", "kubernetes"),
+    _alert("mlops", "PodPendingLong", _is("kube_pod_status_phase", "==", 1, phase="Pending"), 15, "warning", "kubernetes"),
+    _alert("mlops", "NodeDiskPressure", _is("kube_node_status_condition", "==", 1, condition="DiskPressure", status="true"), 5, "critical", "kubernetes"),
+    _alert("mlflow", "MLflowServerDown", _is("up", "==", 0, job="mlflow-server-metrics"), 5, "critical", None),
+    _alert("mlflow", "MLflowHighLatency", _is("http_request_duration_seconds:p95_5m", ">", 2, job="mlflow-server-metrics"), 10, "warning", None),
+    _alert("mlflow", "MLflowHighErrorRate", _is("http_requests:error_ratio_5m", ">", 0.1, job="mlflow-server-metrics"), 5, "warning", None),
+    _alert("mlflow", "PostgreSQLDown", _is("up", "==", 0, job="postgres-metrics"), 2, "critical", None),
+    _alert("mlflow", "PostgreSQLHighConnections", _is("pg_connections:usage", ">", 0.8), 5, "warning", None),
+    _alert("kserve", "KServeControllerDown", _is("up", "==", 0, job="kserve-controller-metrics"), 5, "critical", None),
+    _alert("kserve", "InferenceServiceDown", _is("up", "==", 0, job="kserve-inference-metrics"), 2, "warning", None),
+    _alert("kserve", "InferenceServiceHighLatency", _is("kserve_request_duration_seconds:p95_5m", ">", 1), 10, "warning", None),
+    _alert("kserve", "InferenceServiceHighErrorRate", _is("kserve_requests:error_ratio_5m", ">", 0.05), 5, "warning", None),
+    _alert("kserve", "ModelLoadingFailure", _is("kserve_model_loading_failures:increase_5m", ">", 0), 1, "critical", None),
+    _alert("kserve", "CanaryDeploymentStuck", AndOn(
+        Compare("kserve_canary_traffic_percent", matcher={"traffic_percent": "10"}),
+        Compare("kserve_canary_deployment_start_time", ">", 3600.0, age=True), ("inference_service",),
+    ), 5, "warning", None),
+)
+
+
+def _leaves(node: Compare | Or) -> tuple[Compare, ...]:
+    if isinstance(node, Compare):
+        return (node,)
+    if isinstance(node, Or) and all(isinstance(p, Compare) for p in node.parts):
+        return node.parts
+    raise ValueError("a side of a condition is a comparison or several joined by or")
 
 
 @dataclass(frozen=True)
 class AlertRule:
+    """One comparison with its own timer."""
+
     name: str
     metric: str
     matcher: dict[str, str]
@@ -24,41 +131,10 @@ class AlertRule:
     category: str
 
 
-def _rule(name, metric, op, limit, minutes, severity, category="ml_monitoring", **matcher) -> AlertRule:
-    return AlertRule(name, metric, matcher, op, float(limit), minutes * 60, severity, category)
-
-
-# fixed values: the alert catalogue. Rules on rates, ratios and quantiles refer to samples derived with the functions in
-# series.py (named by what they hold); a rule with several rows fires when any of them does
-ALERT_RULES = (
-    _rule("DataDriftDetected", "ml_data_drift_detected", "==", 1, 5, "warning"),
-    _rule("HighDriftShare", "ml_data_drift_share", ">", 0.3, 5, "critical"),
-    _rule("ModelHealthCritical", "ml_model_health_status", "==", 2, 5, "critical"),
-    _rule("ModelHealthWarning", "ml_model_health_status", "==", 1, 15, "warning"),
-    _rule("ModelPerformanceDegraded", "ml_performance_degradation_percent", ">", 10, 10, "warning"),
-    _rule("ModelPerformanceSeverelyDegraded", "ml_performance_degradation_percent", ">", 20, 5, "critical"),
-    _rule("LowModelAccuracy", "ml_model_accuracy", "<", 0.7, 10, "warning"),
-    _rule("HighMissingValues", "ml_missing_values_share", ">", 0.1, 5, "warning"),
-    _rule("MonitoringServiceDown", "up", "==", 0, 5, "critical", job="evidently-monitoring"),
-    _rule("MLflowDown", "up", "==", 0, 2, "critical", "infrastructure", job="mlflow-server"),
-    _rule("PostgreSQLDown", "up", "==", 0, 1, "critical", "infrastructure", job="mlflow-postgresql"),
-    _rule("PostgreSQLHighConnections", "pg_stat_activity_count", ">", 80, 5, "warning", "infrastructure", datname="mlflow"),
-    _rule("PostgreSQLReplicationLag", "pg_stat_replication_flush_lag_seconds", ">", 30, 5, "warning", "infrastructure"),
-    _rule("KServeControllerDown", "up", "==", 0, 3, "critical", "infrastructure", job="kserve-controller"),
-    _rule("InferenceServiceDown", "kserve_inference_service_status", "==", 1, 3, "critical", "ml_serving", status="False"),
-    _rule("ModelDriftDetected", "ml_data_drift_detected", "==", 1, 5, "warning"),
-    _rule("MLflowHighLatency", "http_request_duration_seconds:p95_5m", ">", 2, 5, "warning", "infrastructure", job="mlflow-server"),
-    _rule("MLflowHighErrorRate", "http_requests:error_ratio_5m", ">", 0.05, 5, "critical", "infrastructure", job="mlflow-server"),
-    _rule("KServeHighErrorRate", "http_requests:error_ratio_5m", ">", 0.05, 5, "critical", "ml_serving", job="kserve"),
-    _rule("InferenceServiceHighLatency", "kserve_inference_duration_seconds:p95_5m", ">", 5, 10, "warning", "ml_serving"),
-    _rule("ModelLoadingFailure", "kserve_model_loading_failures:increase_5m", ">", 0, 1, "critical", "ml_serving"),
-    _rule("CanaryDeploymentStuck", "kserve_canary_deployment:age_seconds", ">", 3600, 5, "warning", "ml_serving"),
-    _rule("ModelRetrainingRequired", "ml_data_drift_share", ">", 0.3, 10, "warning"),
-    _rule("ModelRetrainingRequired", "ml_model_accuracy", "<", 0.7, 10, "warning"),
-    _rule("NoRecentMonitoringRuns", "ml_monitoring_runs:increase_2h", "==", 0, 120, "warning"),
-    _rule("PodCrashLooping", "kube_pod_container_status_restarts:rate_15m", ">", 0, 5, "warning", "kubernetes"),
-    _rule("NodeDiskPressure", "kube_node_status_condition", "==", 1, 5, "critical", "kubernetes",
-          condition="DiskPressure", status="true"),
+#: The catalogue's single comparisons of the monitoring and platform groups; an ``or`` gives one rule for each part.
+ALERT_RULES = tuple(
+    AlertRule(a.name, c.metric, c.matcher, c.op, c.limit, a.for_seconds, a.severity, a.category)
+    for a in CATALOGUE if a.group in ("monitoring", "mlops") and not isinstance(a.when, AndOn) for c in _leaves(a.when)
 )
 
 RULE_SCHEMA = (
@@ -93,6 +169,60 @@ def evaluate_rules(samples: DataFrame, rules: Sequence[AlertRule] = ALERT_RULES)
     )
 
 
+LEAF_SCHEMA = (
+    "rule_no int, leaf int, metric string, matcher map<string,string>, op string, limit double, age boolean, "
+    "on array<string>"
+)
+
+
+def evaluate_conditions(samples: DataFrame, catalogue: Sequence[Alert] = CATALOGUE) -> DataFrame:
+    """Whether each alert's whole condition holds, one truth value per alert, label set and time.
+
+    ``samples`` has ts, metric, labels and value. Columns: ``group``, ``rule``, ``series`` (labels as text), ``ts``,
+    ``active``, ``for_seconds``, ``severity``, ``category``. Each sample meets the comparisons of its metric once (they are
+    literals of some dozens of rows, hence broadcast); the comparisons that hold for a label set are bits of one number,
+    and the tree is evaluated on it. Only ``and on`` looks at other label sets, those with the same ``on`` labels.
+    """
+    spark = samples.sparkSession
+    leaves, rules = [], []
+    for no, alert in enumerate(catalogue):
+        sides = (alert.when.left, alert.when.right) if isinstance(alert.when, AndOn) else (alert.when,)
+        on, masks, at = list(alert.when.labels) if len(sides) > 1 else None, [0, 0], 0
+        for i, side in enumerate(sides):
+            for c in _leaves(side):
+                masks[i] |= 1 << at
+                leaves.append((no, at, c.metric, c.matcher, c.op, c.limit, c.age, on))
+                at += 1
+        rules.append((no, alert.group, alert.name, *masks, alert.for_seconds, alert.severity, alert.category))
+    fits = F.forall(F.map_entries("matcher"), lambda e: _label_fits(F.coalesce(F.try_element_at(F.col("labels"), e["key"]), F.lit("")), e["value"]))
+    compared = F.when(F.col("age"), epoch_seconds(F.col("ts")) - F.col("value")).otherwise(F.col("value"))
+    holds = (
+        F.when(F.col("op") == "any", True).when(F.col("op") == "==", compared == F.col("limit"))
+        .when(F.col("op") == ">", compared > F.col("limit")).when(F.col("op") == "<", compared < F.col("limit"))
+    )
+    bit = F.call_function("shiftleft", F.lit(1), F.col("leaf"))
+    key = F.concat_ws("\u0001", F.transform("on", lambda n: F.coalesce(F.try_element_at(F.col("labels"), n), F.lit(""))))
+    seen = samples.join(F.broadcast(spark.createDataFrame(leaves, LEAF_SCHEMA)), "metric").where(fits).select(
+        "rule_no", series_key(F.col("labels")).alias("series"), F.when(F.col("on").isNotNull(), key).alias("_on"), "ts",
+        bit.alias("_seen"), F.when(holds, bit).otherwise(0).alias("_bits"),
+    ).groupBy("rule_no", "series", "_on", "ts").agg(F.bit_or("_seen").alias("_seen"), F.bit_or("_bits").alias("_bits"))
+    table = spark.createDataFrame(
+        rules, "rule_no int, group string, rule string, left int, right int, for_seconds long, severity string, category string"
+    )
+    known = seen.join(F.broadcast(table), "rule_no")
+    left = F.col("_bits").bitwiseAND(F.col("left")) != 0
+    other = F.max(F.col("_bits").bitwiseAND(F.col("right")) != 0).over(W.partitionBy("rule_no", "_on", "ts"))
+    alone = known.where(F.col("_on").isNull()).withColumn("active", left)
+    joined = known.where(F.col("_on").isNotNull()).withColumn("active", left & other)
+    out = alone.unionByName(joined.where(F.col("_seen").bitwiseAND(F.col("left")) != 0))
+    return out.select("group", "rule", "series", "ts", "active", "for_seconds", "severity", "category")
+
+
+def _label_fits(value: Column, wanted: Column) -> Column:
+    pattern = F.concat(F.lit("^(?:"), F.substring(wanted, F.lit(2), F.length(wanted)), F.lit(")$"))
+    return F.when(wanted.startswith("~"), F.regexp_like(value, pattern)).otherwise(value == wanted)
+
+
 def alert_states(
     evaluations: DataFrame,
     keys: Sequence[str],
@@ -103,19 +233,20 @@ def alert_states(
 ) -> DataFrame:
     """Add ``since`` (start of the unbroken active stretch) and ``state``: inactive, pending or firing.
 
-    A stretch breaks where the condition is false, and at gaps longer than ``max_gap_seconds`` if given.
+    A stretch breaks where the condition is false, and at gaps longer than ``max_gap_seconds`` if given. There is one
+    row per key and evaluation time, so a key has as many rows as the period has evaluations, however much was measured:
+    one shuffle and one sort serve both looks back, and nothing runs before the result is asked for.
     """
     on = F.coalesce(F.col(active), F.lit(False))
-    heavy = hot_keys(evaluations, keys, HOT_ROWS)
-    seen = carry_forward(
-        evaluations, keys, ts, {"_before": F.struct(F.col(ts).alias("t"), on.alias("on"))}, include_current=False,
-        heavy=heavy,
-    )
+    order = W.partitionBy(*keys).orderBy(ts)
+    before = F.lag(F.struct(F.col(ts).alias("t"), on.alias("on"))).over(order)
+    seen = evaluations.withColumn("_before", before)
     fresh = F.col("_before").isNull() | ~F.col("_before.on")
     if max_gap_seconds is not None:
         fresh = fresh | (epoch_seconds(F.col(ts)) - epoch_seconds(F.col("_before.t")) > max_gap_seconds)
-    held = carry_forward(
-        seen.withColumn("_rise", F.when(on & fresh, F.col(ts))), keys, ts, {"_start": F.col("_rise")}, heavy=heavy
+    rise = F.when(on & fresh, F.col(ts))
+    held = seen.withColumn("_rise", rise).withColumn(
+        "_start", F.last("_rise", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
     )
     wait = F.lit(for_seconds) if isinstance(for_seconds, int) else for_seconds
     age = epoch_seconds(F.col(ts)) - epoch_seconds(F.col("_start"))

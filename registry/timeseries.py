@@ -276,6 +276,98 @@ def alert_catalogue(spark: SparkSession, folder: str) -> DataFrame:
     return states.select("rule", "metric", "series", "ts", "since", "state", "severity")
 
 
+_FLAG = "CASE WHEN v > 45 THEN 1.0 ELSE 0.0 END"
+_DOWN = "CASE WHEN v > 60 THEN 0.0 ELSE 1.0 END"
+
+#: Samples of every metric the catalogue names, made from the hourly mean (v) and the time (t) of each event type.
+METRIC_ROLES = (
+    ("ml_data_drift_detected", {}, _FLAG),
+    ("ml_data_drift_share", {}, "v / 150"),
+    ("ml_model_health_status", {}, "CASE WHEN v > 55 THEN 2.0 WHEN v > 45 THEN 1.0 ELSE 0.0 END"),
+    ("ml_performance_degradation_percent", {}, "v - 35"),
+    ("ml_model_accuracy", {}, "1.0 - v / 180"),
+    ("ml_missing_values_share", {}, "v / 500"),
+    ("ml_monitoring_runs:increase_2h", {}, "CASE WHEN v > 45 THEN 0.0 ELSE 2.0 END"),
+    *[("up", {"job": job}, _DOWN) for job in (
+        "evidently-monitoring", "mlflow-server", "mlflow-postgresql", "kserve-controller", "mlflow-server-metrics",
+        "postgres-metrics", "kserve-controller-metrics", "kserve-inference-metrics", "unwatched",
+    )],
+    *[("http_request_duration_seconds:p95_5m", {"job": job}, "v / 25") for job in ("mlflow-server", "mlflow-server-metrics", "other")],
+    *[("http_requests:error_ratio_5m", {"job": job}, "v / 700") for job in ("mlflow-server", "kserve", "mlflow-server-metrics")],
+    ("pg_stat_activity_count", {"datname": "mlflow"}, "v * 1.5"), ("pg_stat_activity_count", {"datname": "postgres"}, "v * 9"),
+    ("pg_stat_replication_flush_lag_seconds", {}, "v - 20"),
+    ("pg_connections:usage", {}, "v / 60"),
+    ("kserve_inference_service_status", {"status": "False"}, _FLAG), ("kserve_inference_service_status", {"status": "True"}, _FLAG),
+    ("kserve_inference_duration_seconds:p95_5m", {}, "v / 9"),
+    ("kserve_request_duration_seconds:p95_5m", {}, "v / 50"),
+    ("kserve_requests:error_ratio_5m", {}, "v / 900"),
+    ("kserve_model_loading_failures:increase_5m", {}, "CASE WHEN v > 50 THEN v - 50 ELSE 0.0 END"),
+    ("kube_pod_container_status_restarts:rate_15m", {}, "CASE WHEN v > 55 THEN 0.5 ELSE 0.0 END"),
+    ("kube_pod_status_phase", {"phase": "Pending"}, _FLAG), ("kube_pod_status_phase", {"phase": "Running"}, _FLAG),
+    ("kube_node_status_condition", {"condition": "DiskPressure", "status": "true"}, _FLAG),
+    ("kube_node_status_condition", {"condition": "DiskPressure", "status": "unknown"}, _FLAG),
+    ("kserve_canary_traffic_percent", {"traffic_percent": "10"}, "10.0"), ("kserve_canary_traffic_percent", {"traffic_percent": "50"}, "50.0"),
+    ("kserve_canary_deployment_start_time", {"pod": "a"}, "t - v * 70"), ("kserve_canary_deployment_start_time", {"pod": "b"}, "t - v * 65"),
+)
+
+
+def role_samples(spark: SparkSession, folder: str) -> DataFrame:
+    """A sample of each role per event type and hour; the type is the label ``inference_service``."""
+    gauge = hourly_gauge(spark, folder).withColumn("t", F.unix_timestamp(F.col("hour").cast("timestamp")).cast("double"))
+    rows = []
+    for metric, extra, value in METRIC_ROLES:
+        labels = [F.lit("inference_service"), F.col("event_type"), *[F.lit(x) for pair in extra.items() for x in pair]]
+        rows.append(F.struct(F.lit(metric).alias("metric"), F.create_map(*labels).alias("labels"), F.expr(value).cast("double").alias("value")))
+    return gauge.select(F.col("hour").alias("ts"), F.inline(F.array(*rows)))
+
+
+def _condition_sql() -> str:
+    def side(no, node, name):
+        out = []
+        for c in alerts._leaves(node):
+            value = "epoch(ts) - value" if c.age else "value"
+            holds = "true" if c.op == "any" else f"{value} {c.op} {c.limit}"
+            fits = "".join(f" AND labels['{k}'] = '{v}'" for k, v in c.matcher.items())
+            out.append(f"SELECT {no} AS no, '{name}' AS side, series, labels['inference_service'] AS service, ts, {holds} AS holds FROM samples WHERE metric = '{c.metric}'{fits}")
+        return out
+
+    roles = " UNION ALL ".join(
+        f"SELECT '{metric}' AS metric, MAP {{'inference_service': event_type{''.join(f', {k!r}: {x!r}' for k, x in extra.items())}}} AS labels, "
+        f"'{','.join(sorted(f'{k}={x}' for k, x in [*extra.items(), ('inference_service', '@')]))}' AS pattern, event_type, hour AS ts, CAST({value} AS DOUBLE) AS value "
+        "FROM (SELECT *, epoch(hour) AS t FROM hourly)"
+        for metric, extra, value in METRIC_ROLES
+    )
+    leaves, rules = [], []
+    for no, a in enumerate(alerts.CATALOGUE):
+        both = isinstance(a.when, alerts.AndOn)
+        leaves += side(no, a.when.left, "left") + side(no, a.when.right, "right") if both else side(no, a.when, "left")
+        rules.append(f"({no}, '{a.group}', '{a.name}', {a.for_seconds}, '{a.severity}', {both})")
+    return f"""{HOURLY_SQL}, roles AS ({roles}),
+samples AS (SELECT *, replace(pattern, '@', event_type) AS series FROM roles),
+leaves AS ({" UNION ALL ".join(leaves)}),
+rules(no, grp, rule, for_seconds, severity, needs_right) AS (VALUES {", ".join(rules)}),
+rights AS (SELECT no, service, ts, bool_or(holds) AS holds FROM leaves WHERE side = 'right' GROUP BY ALL),
+lefts AS (SELECT no, service, series, ts, bool_or(holds) AS holds FROM leaves WHERE side = 'left' GROUP BY ALL),
+evals AS (SELECT grp, rule, series, lefts.ts, for_seconds, severity, lefts.holds AND (NOT needs_right OR coalesce(rights.holds, false)) AS active
+  FROM lefts JOIN rules USING (no) LEFT JOIN rights ON lefts.no = rights.no AND lefts.service = rights.service AND lefts.ts = rights.ts)"""
+
+
+@REG.add(
+    "alert_catalogue_all",
+    f"""WITH {_condition_sql()},
+{_FOR_SQL.format(k="grp, rule, series", t="ts", gap="false")}
+SELECT grp AS rule_group, rule, series, ts, since, severity, CASE WHEN date_diff('second', since, ts) >= for_seconds THEN 'firing' ELSE 'pending' END AS state
+FROM s WHERE active""",
+)
+def alert_catalogue_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Every alert of the catalogue: label matchers, ``or`` with one timer, ``and on`` with an age."""
+    evals = alerts.evaluate_conditions(role_samples(spark, folder))
+    states = alerts.alert_states(evals, ["group", "rule", "series"], "ts", for_seconds=F.col("for_seconds"))
+    return states.where("state != 'inactive'").select(
+        F.col("group").alias("rule_group"), "rule", "series", "ts", "since", "severity", "state"
+    )
+
+
 FIRING_SQL = f"""{CATALOGUE_SQL}, firing AS (SELECT CASE WHEN rule = 'HighMissingValues' THEN 'MonitoringServiceDown'
    WHEN rule LIKE 'ModelHealth%' THEN 'ModelHealth' ELSE rule END AS alertname,
    split_part(split_part(labels, ',', 1), '=', 2) || '-' || (day(ts) % 4) AS namespace, severity, category, ts FROM states WHERE state = 'firing')"""

@@ -141,6 +141,38 @@ def test_catalogue_on_derived_series(spark):
     assert got == {("KServeHighErrorRate", "job=kserve"), ("LowModelAccuracy", "model_name=m"), ("ModelRetrainingRequired", "model_name=m")}
 
 
+def test_conditions_are_trees(spark):
+    at = lambda m: T0 + timedelta(minutes=m)
+    rows = [("ml_data_drift_share", {"model_name": "m"}, at(i), v) for i, v in ((0, 0.5), (10, 0.1), (20, 0.1), (30, None))]
+    rows += [("ml_model_accuracy", {"model_name": "m"}, at(i), v) for i, v in ((10, 0.6), (20, 0.9))]
+    rows += [("kserve_canary_traffic_percent", {"traffic_percent": p, "inference_service": s}, at(i), float(p))
+             for p, s in (("10", "a"), ("10", "b"), ("50", "a"), ("10", "c")) for i in (0, 10)]
+    start = at(-61).timestamp()
+    rows += [("kserve_canary_deployment_start_time", {"inference_service": "a", "pod": "x"}, at(i), start) for i in (0, 10)]
+    rows += [("kserve_canary_deployment_start_time", {"inference_service": "a", "pod": "y"}, at(i), start + 9e3) for i in (0, 10)]
+    rows += [("kserve_canary_deployment_start_time", {"inference_service": "b"}, at(i), start + 300) for i in (0, 10)]
+    samples = spark.createDataFrame(rows, "metric string, labels map<string,string>, ts timestamp_ntz, value double")
+    evals = alerts.evaluate_conditions(samples)
+    states = alerts.alert_states(evals, ["group", "rule", "series"], "ts", for_seconds=F.col("for_seconds"))
+    got = {}
+    for r in states.orderBy("ts").collect():
+        got.setdefault((r["rule"], r["series"]), []).append(r["state"])
+    # one timer over both parts: drift at first, accuracy after that
+    assert got["ModelRetrainingRequired", "model_name=m"] == ["pending", "firing", "inactive", "inactive"]
+    canary = {k[1]: v for k, v in got.items() if k[0] == "CanaryDeploymentStuck"}
+    assert canary == {
+        "inference_service=a,traffic_percent=10": ["pending", "firing"],
+        "inference_service=b,traffic_percent=10": ["inactive", "pending"],
+        "inference_service=c,traffic_percent=10": ["inactive", "inactive"],
+    }
+    own = alerts.Alert("g", "n", alerts.Compare("m", ">", 1.0, {"job": "~a.c", "zone": ""}), 0, "warning", None)
+    other = [("m", {"job": j}, at(0), 2.0) for j in ("abc", "xabc", "ac")] + [("m", {"job": "abc", "zone": "z"}, at(0), 2.0)]
+    found = alerts.evaluate_conditions(spark.createDataFrame(other, samples.schema), [own]).collect()
+    assert [(r["series"], r["active"]) for r in found] == [("job=abc", True)]
+    with pytest.raises(ValueError):
+        alerts.evaluate_conditions(samples, [alerts.Alert("g", "n", alerts.Or((alerts.Or(()),)), 0, "warning", None)])
+
+
 def test_routing_and_inhibition(spark):
     schema = "alertname string, namespace string, severity string, category string"
     df = spark.createDataFrame([
