@@ -1,214 +1,193 @@
-"""Phrase collocations by Toivonen's method: a sample proposes frequent phrases, full passes count them and their border.
+"""Phrase collocations by Toivonen's method: a sample proposes frequent phrases, a full pass counts them and their border.
 
 A phrase can only be frequent if its first and its last words without the other end are. What a sample finds frequent
-is proposed. A full pass counts, exactly, the proposed phrases and their negative border: phrases that are not proposed
-although both of their parts are. A border phrase that turns out frequent is a failure of the sample; it is added, and
-another pass counts what the border gained by it. With no failure left every frequent phrase has been counted.
-
-Proposed phrases grow with the corpus, so they are looked up in a bitmap of bounded size. A chance hit in it counts a
-phrase more than needed and changes no result.
+is proposed. A full pass counts the proposed phrases and their negative border: phrases that are not proposed although
+both of their parts are. A border phrase that turns out frequent is a failure of the sample. Every frequent phrase that
+was not proposed holds a failure (the shortest such part of it is one), so failures start an expansion pass, which
+counts every phrase that holds one and whose other parts can be frequent; after it the result is closed.
+
+Proposed phrases, and those of the expansion, are counted by their words. The border is far larger, and of its phrases
+only those matter that are frequent, so it is counted by 64-bit hashes: two phrases that share one can only make a
+failure too many. Proposed phrases grow with the corpus; tasks look them up in a bitmap of bounded size, where a chance
+hit counts a phrase more than needed and changes no result.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from loomtide.llm.ranks import column, stored
-from loomtide.llm.words import STEP, mixed
+from loomtide.llm.words import STEP, mixed, words
 
 MIN_COUNT = 30
 MAX_WORDS = 4
 TOP = 2000
 COVERED_PERCENT = 80
 #: One row in so many proposes phrases, those found this share of the expected times there.
-SAMPLE_ONE_IN = 16
-SAMPLE_SHARE = 0.8
-#: Words a task counts together.
-BLOCK_WORDS = 1 << 20
-#: The bitmap has 16 bits per proposed phrase, up to 2**24 numbers of 64 bits (128 MB, 67 million phrases).
+SAMPLE_ONE_IN = 8
+SAMPLE_SHARE = 0.6
+#: Characters of texts whose phrases a task adds up together; a longer text is a block of its own.
+BLOCK_CHARS = 1 << 22
+#: The bitmap has about 16 bits per proposed phrase, up to 2**24 numbers of 64 bits (128 MB, 67 million phrases).
 MAX_BITMAP = 24
 #: Pieces of a language's candidates that are ranked apart before their best ones meet.
 TOP_SLICES = 64
 
-#: A-Z to lower case, tabs to spaces, ends of pieces to line feeds.
-FOLD = bytes.maketrans(
-    b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz \n\n\n\n\n\n\n\n\n"
-)
-TOKEN = re.compile(rb"[^ \n]+|\n")
-BREAK = -1
-COUNTS = "lang string, words int, phrase string, count long"
-
-
-def word_hash(lang: str, word: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(lang.encode() + b"\n" + word, digest_size=8).digest(), "little")
-
-
-def joined_hash(front: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Hash of a phrase from that of its front and that of its last word."""
-    return mixed(front * STEP + last)
-
-
-@F.pandas_udf("long")
-def phrase_hash(langs: pd.Series, phrases: pd.Series) -> pd.Series:
-    known: dict[tuple[str, str], np.uint64] = {}
-    out = np.zeros(len(langs), dtype=np.uint64)
-    for i, (lang, phrase) in enumerate(zip(langs, phrases)):
-        found = None
-        for word in phrase.split(" "):
-            h = known.get((lang, word))
-            if h is None:
-                h = known[lang, word] = np.array([word_hash(lang, word.encode())], dtype=np.uint64)
-            found = h if found is None else joined_hash(found, h)
-        out[i] = found[0]
-    return pd.Series(out.view(np.int64))
-
+#: Characters that end a piece, and those that only separate words.
+ENDS = b".,;:!?\n\x0b\x0c\r"
+BLANK = b" \t"
+WORD = np.array([b not in ENDS + BLANK for b in range(256)], dtype=bool)
+END = np.array([b in ENDS for b in range(256)], dtype=bool)
+LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+#: ``phrase`` is the language, a line feed and the words joined by spaces, or null for what is counted by hash only.
+COUNTS = "h long, phrase string, count long"
+SHIFTS = (0, 6, 12, 18)
 
-class _Codes(dict):
-    """Numbers of the words of one language, given in the order of their first sight."""
 
-    def __init__(self, lang: str, names: list) -> None:
-        super().__init__({b"\n": BREAK})
-        self.lang, self.names = lang, names
-
-    def __missing__(self, word: bytes) -> int:
-        code = self[word] = len(self.names)
-        self.names.append((self.lang, word))
-        return code
+def lang_hash(lang: str) -> np.uint64:
+    return np.uint64(int.from_bytes(hashlib.blake2b(lang.encode("utf-8", "replace"), digest_size=8).digest(), "little"))
 
 
 def has(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Which hashes may be in the bitmap: four bits of one number each."""
-    bits = np.uint64(64 - (len(bitmap) - 1).bit_length())
+    width = np.uint64(64 - (len(bitmap) - 1).bit_length())
     mask = np.zeros(len(h), dtype=np.uint64)
-    for shift in (0, 6, 12, 18):
+    for shift in SHIFTS:
         mask |= np.uint64(1) << ((h >> np.uint64(shift)) & np.uint64(63))
-    return bitmap[h >> bits] & mask == mask
+    return bitmap[h >> width] & mask == mask
+
+
+def _among(bitmap: np.ndarray, h: np.ndarray, valid: np.ndarray) -> np.ndarray:
+    """Which of the valid phrases may be in the bitmap."""
+    at = np.flatnonzero(valid)
+    out = np.zeros(len(valid), dtype=bool)
+    out[at[has(bitmap, h[at])]] = True
+    return out
 
 
-def _block_counts(
-    parts: list[np.ndarray], names: list, max_words: int, known: np.ndarray | None, wanted: np.ndarray | None
+def _rows(h: np.ndarray, phrases: list | None, count: np.ndarray) -> pa.RecordBatch:
+    phrase = pa.nulls(len(h), pa.string()) if phrases is None else pa.array(phrases, pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), phrase, pa.array(count.astype(np.int64))], names=["h", "phrase", "count"])
+
+
+def block_counts(
+    texts: list, langs: list, max_words: int, proposed: np.ndarray | None, failed: np.ndarray | None
 ) -> Iterator[pa.RecordBatch]:
-    """Counts of a block's phrases. See ``counted``."""
-    w = np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
-    if not len(names):
+    """Counts of the phrases of some texts. See ``counted``."""
+    found = words(texts, WORD)
+    own = {lang: lang_hash(lang) for lang in set(langs)}
+    in_lang = np.array([own[lang] for lang in langs], dtype=np.uint64)
+    if proposed is not None and failed is None:
+        total = dict.fromkeys(own, 0)
+        for lang, n in zip(langs, found.per_text().tolist()):
+            total[lang] += n
+        yield _rows(np.zeros(len(total), dtype=np.uint64), [lang + "\n" for lang in total], np.array(list(total.values())))
+    if not len(found.start):
         return
-    langs = np.array([lang for lang, _ in names], dtype=object)
-    text = np.array([word.decode() for _, word in names], dtype=object)
-    schema = pa.schema([("lang", pa.string()), ("words", pa.int32()), ("phrase", pa.string()), ("count", pa.int64())])
-
-    def batch(lang, n, phrase, count):
-        return pa.RecordBatch.from_arrays([
-            pa.array(lang, pa.string()), pa.array(np.full(len(count), n, dtype=np.int32)), pa.array(phrase, pa.string()),
-            pa.array(count, pa.int64()),
-        ], schema=schema)
-
-    def bits(bitmap, h, valid):
-        """Which of the valid phrases may be in the bitmap; without one, all of them."""
-        if bitmap is None:
-            return valid
-        at = np.flatnonzero(valid)
-        out = np.zeros(len(valid), dtype=bool)
-        out[at[has(bitmap, h[at])]] = True
-        return out
-
-    if known is None:
-        seen = np.bincount(w[w != BREAK], minlength=len(names))
-        yield batch(langs, 1, text, seen)
-        total = pd.Series(seen).groupby(langs).sum()
-        yield batch(list(total.index), 0, [""] * len(total), total.to_numpy())
-    # the places of words, their hashes, and the numbers of the phrases that begin there
-    own = np.array([word_hash(lang, word) for lang, word in names], dtype=np.uint64)
-    ids, n_names = w, len(names)
-    first = np.where(w == BREAK, np.uint64(0), own[w])
-    h, inside = first, w != BREAK
-    in_wanted = bits(wanted, h, inside)
-    in_known = bits(known, h, inside) if known is not None else None
-    for n in range(2, max_words + 1):
-        if len(in_wanted) < 2:
-            return
-        last = w[n - 1 :]
-        valid = in_wanted[:-1] & in_wanted[1:] & (last != BREAK)
-        before = None if in_known is None else in_known[:-1] & in_known[1:] & (last != BREAK)
-        at = np.flatnonzero(valid)
-        if not len(at):
-            return
-        key = ids[at] * n_names + last[at]
-        _, where, inverse, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-        ids = np.full(len(valid), BREAK, dtype=np.int64)
-        ids[at] = inverse
-        fresh = np.arange(len(where)) if before is None else np.flatnonzero(~before[at[where]])
-        start = at[where[fresh]]
-        phrase = text[w[start]]
-        for k in range(1, n):
-            phrase = phrase + " " + text[w[start + k]]
-        yield batch(langs[w[start]], n, phrase, count[fresh])
-        if n == max_words:
-            return
-        h = joined_hash(h[:-1], first[n - 1 :])
-        in_wanted = bits(wanted, h, valid)
-        if before is not None:
-            in_known = bits(known, h, before)
-
-
-def counted(rows: DataFrame, max_words: int, known=None, wanted=None) -> DataFrame:
-    """Exact counts of phrases by language: ``lang``, ``words``, ``phrase``, ``count``.
-
-    ``wanted`` and ``known`` are broadcast bitmaps of phrases. Phrases of two or more words are counted if both of their
-    parts are wanted, unless both are known: those were counted by an earlier pass. Single words, and per language the
-    number of all words (``words`` 0), are only counted if nothing is known yet. Without bitmaps everything is counted.
-
-    A task adds up blocks of about a million words before rows leave it.
+    ends = np.cumsum(END[found.buffer], dtype=np.int32)
+    # words that the next one follows within the same piece; texts are laid end to end with a line feed between them
+    followed = ends[found.start[1:]] == ends[found.end[:-1] - 1]
+    low = found.buffer.tobytes().translate(LOWER)
+    first = mixed(found.hash ^ in_lang[found.text])
+
+    def by_words(at: np.ndarray, n: int) -> pa.RecordBatch:
+        key, where, count = np.unique(h[at], return_index=True, return_counts=True)
+        phrases = []
+        for i in at[where].tolist():
+            spans = zip(found.start[i : i + n].tolist(), found.end[i : i + n].tolist())
+            phrases.append(langs[found.text[i]] + "\n" + b" ".join([low[a:b] for a, b in spans]).decode())
+        return _rows(key, phrases, count)
+
+    def by_hash(at: np.ndarray) -> pa.RecordBatch:
+        key, count = np.unique(h[at], return_counts=True)
+        return _rows(key, None, count)
+
+    def of_parts(parts: np.ndarray, n: int) -> np.ndarray:
+        """Phrases in one piece of which both parts are marked."""
+        return parts[:-1] & parts[1:] & followed if n == 2 else parts[:-1] & parts[1:]
+
+    # phrases whose parts are proposed, and (in the expansion) those whose parts can be frequent or hold a failure
+    h, inner, room = first, np.ones(len(first), dtype=bool), np.ones(len(first), dtype=bool)
+    for n in range(1, max_words + 1):
+        if n > 1:
+            h = mixed(h[:-1] * STEP + first[n - 1 :])
+            inner = of_parts(known, n)
+        if proposed is None:
+            known = inner
+            yield by_hash(np.flatnonzero(inner))
+            continue
+        known = _among(proposed, h, inner)
+        if failed is None:
+            yield by_words(np.flatnonzero(known), n)
+            yield by_hash(np.flatnonzero(inner & ~known))
+            continue
+        if n > 1:
+            room = of_parts(ok, n)
+        holds = _among(failed, h, room)
+        ok = holds | _among(proposed, h, room)
+        if n > 1:
+            holds = room & (holds | before[:-1] | before[1:])
+            ok |= holds
+        before = holds
+        yield by_words(np.flatnonzero(holds & ~known), n)
+
+
+def counted(rows: DataFrame, max_words: int, proposed=None, failed=None) -> DataFrame:
+    """Counts of phrases by language: ``h``, ``phrase``, ``count``; ``rows`` has ``lang`` and ``text``.
+
+    ``proposed`` and ``failed`` are broadcast bitmaps. Without either, as for the sample, every phrase is counted by hash.
+    With ``proposed``, phrases whose parts are both proposed (single words always) are counted: the proposed ones by
+    their words, the others by hash; and all words of a language, as an empty phrase. With ``failed`` too, phrases are
+    counted by their words that hold a failed one and whose parts are proposed or hold one as well, if they were not
+    counted so before.
+
+    A task adds up blocks of about four million characters before rows leave it.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        old, new = known.value if known is not None else None, wanted.value if wanted is not None else None
-        codes: dict[str, _Codes] = {}
-        names: list = []
-        parts: list[np.ndarray] = []
-        size = 0
+        maps = [m.value if m is not None else None for m in (proposed, failed)]
+        langs, texts, size = [], [], 0
         for found in batches:
             for lang, text in zip(found.column(0).to_pylist(), found.column(1)):
                 text = text.as_py()
-                tokens = TOKEN.findall(text.encode("utf-8", "replace").translate(FOLD)) if text else []
-                if not tokens:
+                if not text:
                     continue
-                if lang not in codes:
-                    codes[lang] = _Codes(lang, names)
-                tokens.append(b"\n")
-                parts.append(np.fromiter(map(codes[lang].__getitem__, tokens), dtype=np.int64, count=len(tokens)))
-                size += len(tokens)
-                if size >= BLOCK_WORDS:
-                    yield from _block_counts(parts, names, max_words, old, new)
-                    codes, names, parts, size = {}, [], [], 0
-        yield from _block_counts(parts, names, max_words, old, new)
+                langs.append(lang)
+                texts.append(text)
+                size += len(text)
+                if size >= BLOCK_CHARS:
+                    yield from block_counts(texts, langs, max_words, *maps)
+                    langs, texts, size = [], [], 0
+        if texts:
+            yield from block_counts(texts, langs, max_words, *maps)
 
-    return rows.mapInArrow(count, COUNTS).groupBy("lang", "words", "phrase").agg(F.sum("count").alias("count"))
+    # blocks are summed up already, and most of the border is seen once: another sum before the rows move gains little
+    return rows.mapInArrow(count, COUNTS).repartition("h").groupBy("h", "phrase").agg(F.sum("count").alias("count"))
 
 
-def bitmap(phrases: DataFrame, width: int, base: np.ndarray | None = None) -> np.ndarray:
-    """The phrases as a bitmap of ``2 ** width`` numbers of 64 bits, added to ``base``.
+def bitmap(hashes: DataFrame) -> np.ndarray:
+    """The hashes (``h``) as a bitmap of numbers of 64 bits, for every four hashes one, at most ``2 ** MAX_BITMAP``.
 
     Bits are put together by Spark; at most one row per number of the bitmap reaches the driver, however many phrases
     there are.
     """
-    h = F.col("h")
-    bits = [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, s).bitwiseAND(63).cast("int")) for s in (0, 6, 12, 18)]
+    width = min(MAX_BITMAP, max(10, (hashes.count() // 2).bit_length()))
+    bits = [
+        F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned("h", s).bitwiseAND(63).cast("int"))
+        for s in SHIFTS
+    ]
     mask = bits[0].bitwiseOR(bits[1]).bitwiseOR(bits[2]).bitwiseOR(bits[3])
-    cells = phrases.select(phrase_hash("lang", "phrase").alias("h")).select(
-        F.shiftrightunsigned(h, 64 - width).alias("at"), mask.alias("mask")
-    ).groupBy("at").agg(F.bit_or("mask").alias("mask")).toArrow()
-    out = np.zeros(1 << width, dtype=np.uint64) if base is None else base.copy()
-    at = cells.column("at").to_numpy()
-    out[at] |= cells.column("mask").to_numpy().view(np.uint64)
+    cells = hashes.select(F.shiftrightunsigned("h", 64 - width).alias("at"), mask.alias("mask"))
+    cells = cells.groupBy("at").agg(F.bit_or("mask").alias("mask")).toArrow()
+    out = np.zeros(1 << width, dtype=np.uint64)
+    out[cells.column("at").to_numpy()] = cells.column("mask").to_numpy().view(np.uint64)
     return out
 
 
@@ -223,33 +202,28 @@ def frequent_phrases(
     words at spaces and tabs; a phrase lies within one piece, and occurrences may overlap. A null language is ``und``,
     a null text has no words, repeated rows count each time. An empty table gives no rows. Other columns are ignored.
 
-    The sample decides which phrases are counted early, never a count: it may hold any rows, or none. There are at most
-    ``max_words`` passes over the texts, as the failures of each pass are longer than those of the last one.
+    The sample decides which phrases are counted early, never a count: it may hold any rows, or none. Texts are read once
+    for the sample, once to count, and once more if the sample failed.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(column(lang_col).cast("string"), F.lit("und")).alias("lang"), column(text_col).alias("text"))
-    drawn = docs.filter(F.pmod(F.xxhash64(column(id_col), column(text_col)), F.lit(one_in)) == 0).select(
-        F.coalesce(column(lang_col).cast("string"), F.lit("und")).alias("lang"), column(text_col).alias("text")
-    )
+    lang = F.coalesce(column(lang_col).cast("string"), F.lit("und")).alias("lang")
+    drawn = docs.filter(F.pmod(F.xxhash64(column(id_col), column(text_col)), F.lit(one_in)) == 0)
+    rows, drawn = (d.select(lang, column(text_col).alias("text")) for d in (docs, drawn))
     often = max(2, int(min_count / one_in * SAMPLE_SHARE))
-    short = F.col("words").between(1, max_words - 1)
-    proposed = stored(
-        counted(drawn, max_words - 1).filter(short & (F.col("count") >= often)).select("lang", "phrase"), "proposed-phrases"
+    sampled = stored(counted(drawn, max_words).filter(F.col("count") >= often).select("h"), "proposed-phrases")
+    proposed = spark.sparkContext.broadcast(bitmap(sampled))
+    enough = F.col("count") >= min_count
+    found = stored(counted(rows, max_words, proposed).filter(enough | F.col("phrase").endswith("\n")), "phrases")
+    failures = found.filter("phrase is null").select("h")
+    found = found.filter("phrase is not null")
+    if not failures.isEmpty():
+        failed = spark.sparkContext.broadcast(bitmap(failures))
+        found = found.unionByName(stored(counted(rows, max_words, proposed, failed).filter(enough), "expanded-phrases"))
+    text = F.substring_index("phrase", "\n", -1)
+    return found.select(
+        F.expr("left(phrase, length(phrase) - length(substring_index(phrase, '\\n', -1)) - 1)").alias("lang"),
+        F.when(text == "", 0).otherwise(F.size(F.split(text, " "))).alias("words"), text.alias("phrase"), "count",
     )
-    width = min(MAX_BITMAP, max(10, (proposed.count() // 2).bit_length() - 1))
-    wanted, known, found, fresh = None, None, None, proposed
-    while True:
-        wanted = bitmap(fresh, width, wanted)
-        sent = spark.sparkContext.broadcast(wanted)
-        counts = stored(
-            counted(rows, max_words, known, sent).filter((F.col("words") == 0) | (F.col("count") >= min_count)), "phrases"
-        )
-        found = counts if found is None else found.unionByName(counts)
-        failed = counts.filter(short).select("lang", "phrase").join(proposed, ["lang", "phrase"], "left_anti")
-        fresh = stored(failed, "failed-phrases")
-        if fresh.isEmpty():
-            return found
-        proposed, known = proposed.unionByName(fresh), sent
 
 
 def _decimal(col: str) -> Column:
