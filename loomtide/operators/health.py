@@ -114,7 +114,8 @@ def metric_samples(runs: DataFrame, scores: DataFrame | None = None) -> DataFram
     """Samples (ts, metric, labels, value) a monitoring history exports; absent values give no sample.
 
     Gauges show each run's value; counters are running totals over a model's runs, counted per health status for
-    the run counter.
+    the run counter. ``runs`` has one row per model and run, so a model's history is as long as its runs are many,
+    whatever they looked at.
     """
     order = W.partitionBy(*MODEL).orderBy("run_ts").rowsBetween(W.unboundedPreceding, W.currentRow)
     order_by_status = W.partitionBy(*MODEL, "health_status").orderBy("run_ts").rowsBetween(

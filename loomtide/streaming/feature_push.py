@@ -2,48 +2,31 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomtide.operators.feature_store import latest_per_key
+from loomtide.operators.snapshots import SnapshotStore
 
 
 @dataclass
 class FeaturePush:
-    """A ``foreachBatch`` function.
+    """A ``foreachBatch`` function: each batch writes its own folder in the offline table and merges into the snapshot.
 
-    Each batch writes its own folder in the offline table and its own snapshot version, built from the version
-    before it; repeating a batch after a failure rewrites the same folders. An older event never replaces a newer one.
+    Repeating a batch after a failure rewrites the same folders. An older event never replaces a newer one.
     """
 
-    path: str
-    keys: Sequence[str]
-    timestamp: str
-    features: Sequence[str]
-    tie_break: Sequence[str] = ()
+    store: SnapshotStore
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        columns = [*self.keys, self.timestamp, *self.features]
-        rows = batch.select(*columns)
-        rows.write.mode("overwrite").parquet(f"{self.path}/offline/batch={batch_id}")
+        folder = f"{self.store.path}/offline/batch={batch_id}"
+        rows = batch.select(*self.store.schema.names)
+        rows.write.mode("overwrite").parquet(folder)
         # read back what was written, so that the stream's input is computed once
-        fresh = spark.read.schema(rows.schema).parquet(f"{self.path}/offline/batch={batch_id}")
-        newest = latest_per_key(fresh, self.keys, self.timestamp, self.features, self.tie_break)
-        if batch_id > 0:
-            before = spark.read.schema(newest.schema).parquet(f"{self.path}/snapshot/version={batch_id - 1}")
-            newest = latest_per_key(
-                before.unionByName(newest), self.keys, self.timestamp, self.features, self.tie_break
-            )
-        newest.write.mode("overwrite").parquet(f"{self.path}/snapshot/version={batch_id}")
+        self.store.merge(batch.sparkSession.read.schema(rows.schema).parquet(folder), batch_id)
 
     def offline(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(f"{self.path}/offline").drop("batch")
+        return spark.read.parquet(f"{self.store.path}/offline").drop("batch")
 
     def snapshot(self, spark: SparkSession) -> DataFrame:
-        """The newest version; versions are numbered by batch."""
-        versions = spark.read.parquet(f"{self.path}/snapshot")
-        last = versions.selectExpr("max(version)").first()[0]
-        return versions.where(f"version = {last}").drop("version")
+        return self.store.read(spark)

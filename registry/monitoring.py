@@ -339,17 +339,58 @@ def metric_export(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(health.metric_samples(daily_runs(spark, folder)).withColumn("labels", F.array_join(pairs, ",")))
 
 
+FULL_RUNS_SQL = """
+full_runs AS (SELECT event_type AS model_name, '1.0' AS model_version, date_trunc('day', ts)::TIMESTAMP AS run_ts,
+  avg(CASE WHEN value < 70 THEN 1.0 ELSE 0.0 END) AS f1, avg(CASE WHEN value < 90 THEN 1.0 ELSE 0.0 END) AS prec,
+  avg(CASE WHEN value < 60 THEN 1.0 ELSE 0.0 END) AS rec, count(*) / 4.0 AS secs,
+  avg(value) / 50 AS value_score, avg(user_id % 10) / 5 AS user_score FROM events GROUP BY ALL),
+full_base AS (SELECT *, 'model_name=' || model_name || ',model_version=' || model_version AS l,
+  sum(secs) OVER (PARTITION BY model_name ORDER BY run_ts) AS total_secs, count(*) OVER (PARTITION BY model_name ORDER BY run_ts) AS n_runs
+  FROM full_runs)"""
+
+_ALL_SAMPLES_SQL = f"""{_SAMPLES_SQL}, {FULL_RUNS_SQL},
+every AS (SELECT * FROM samples
+  UNION ALL SELECT run_ts, 'ml_model_f1_score', l, f1 FROM full_base
+  UNION ALL SELECT run_ts, 'ml_model_precision', l, prec FROM full_base
+  UNION ALL SELECT run_ts, 'ml_model_recall', l, rec FROM full_base
+  UNION ALL SELECT run_ts, 'ml_monitoring_duration_seconds_sum', l, total_secs FROM full_base
+  UNION ALL SELECT run_ts, 'ml_monitoring_duration_seconds_count', l, n_runs FROM full_base
+  UNION ALL SELECT run_ts, 'ml_column_drift_score', 'column_name=value,' || l, value_score FROM full_base
+  UNION ALL SELECT run_ts, 'ml_column_drift_score', 'column_name=user,' || l, user_score FROM full_base)"""
+
+
+def full_samples(spark: SparkSession, folder: str) -> DataFrame:
+    """Samples of all exported series: daily runs with every measure, their duration and the scores of two columns."""
+    share = lambda cond: F.avg(F.when(cond, 1.0).otherwise(0.0))
+    value = F.col("value")
+    more = table(spark, folder, "events").groupBy(
+        F.col("event_type").alias("model_name"), F.date_trunc("day", "ts").cast("timestamp_ntz").alias("run_ts")
+    ).agg(
+        share(value < 70).alias("current_f1"), share(value < 90).alias("current_precision"), share(value < 60).alias("current_recall"),
+        (F.count(F.lit(1)) / 4.0).alias("duration_seconds"), (F.avg(value) / 50).alias("value_score"),
+        (F.avg(F.col("user_id") % 10) / 5).alias("user_score"),
+    )
+    runs = daily_runs(spark, folder).join(more, ["model_name", "run_ts"])
+    entry = lambda name, c: F.struct(F.lit(name).alias("column_name"), F.col(c).alias("drift_score"))
+    scores = runs.select(
+        "model_name", "model_version", "run_ts", F.inline(F.array(entry("value", "value_score"), entry("user", "user_score")))
+    )
+    return health.metric_samples(runs, scores)
+
+
+@REG.add("metric_export_full", f"WITH {_ALL_SAMPLES_SQL} SELECT ts, metric, labels, round(CAST(value AS DOUBLE), 6) AS value FROM every")
+def metric_export_full(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = F.transform(F.array_sort(F.map_entries("labels")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return rounded(full_samples(spark, folder).withColumn("labels", F.array_join(pairs, ",")))
+
+
 @REG.add(
     "exposition_lines",
-    f"""WITH {_SAMPLES_SQL} SELECT metric || '{{model_name="' || split_part(split_part(labels, ',', 1), '=', 2) || '",model_version="1.0"'
-  || CASE WHEN labels LIKE '%status=%' THEN ',status="' || split_part(labels, 'status=', 2) || '"' ELSE '' END || '}} '
-  || CAST(CAST(value AS BIGINT) AS VARCHAR) || '.0' AS line FROM samples
-  WHERE metric IN ('ml_monitoring_runs_total', 'ml_model_health_status', 'ml_data_drift_detected', 'ml_drifted_columns_count')""",
+    f"""WITH {_ALL_SAMPLES_SQL} SELECT metric || '{{' || array_to_string([split_part(x, '=', 1) || '="' || split_part(x, '=', 2) || '"' FOR x IN string_split(labels, ',')], ',')
+   || '}} ' || CAST(round(CAST(value AS DOUBLE), 4) AS VARCHAR) AS line FROM every""",
 )
 def exposition_lines(spark: SparkSession, folder: str) -> DataFrame:
-    whole = ["ml_monitoring_runs_total", "ml_model_health_status", "ml_data_drift_detected", "ml_drifted_columns_count"]
-    samples = health.metric_samples(daily_runs(spark, folder)).where(F.col("metric").isin(whole))
-    return health.exposition_lines(samples)
+    return health.exposition_lines(rounded(full_samples(spark, folder), 4))
 
 
 @REG.add(

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtide.operators import feature_store as fs
+from loomtide.operators import snapshots
+from loomtide.session import shared_folder
 from registry.common import Registry, as_doubles, rounded, table
 
 REG = Registry()
@@ -195,6 +197,16 @@ def materialize_incremental(spark: SparkSession, folder: str) -> DataFrame:
     return fs.materialize_incremental(view, old, day("2024-01-20"), day("2024-01-25"))
 
 
+@REG.add("materialize_since_mark", LATEST_SQL.format(end="TIMESTAMP '2024-01-25'"))
+def materialize_since_mark(spark: SparkSession, folder: str) -> DataFrame:
+    """Three runs, each from where the last one stopped; the last is repeated."""
+    view = raw_view(spark, folder)
+    store = snapshots.store_of(view, shared_folder(spark, "snapshot"), buckets=16)
+    for day in ("2024-01-08", "2024-01-20", "2024-01-25", "2024-01-25"):
+        out = snapshots.materialize_since_mark(view, store, F.lit(day).cast("timestamp_ntz"))
+    return out
+
+
 @REG.add(
     "online_lookup",
     f"""WITH snap AS ({LATEST_SQL.format(end="TIMESTAMP '2024-02-01'")})

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtide.operators import encoding, models, rules
+from loomtide.operators.snapshots import SnapshotStore
 from loomtide.session import shared_folder
 from loomtide.streaming import alert_state, core, drift_windows, feature_push, rollups
 from registry.common import Registry, rounded, table
@@ -67,22 +68,6 @@ def stream_quarantine(spark: SparkSession, folder: str) -> DataFrame:
     return core.run_to_table(marked, "quarantine", partition_by=["is_valid"]).select("event_id", "is_valid")
 
 
-@REG.add(
-    "stream_push",
-    """SELECT user_id, ts AS event_timestamp, value, event_type, event_id AS ingest_id FROM events
- QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""",
-)
-def stream_push(spark: SparkSession, folder: str) -> DataFrame:
-    push = feature_push.FeaturePush(
-        shared_folder(spark, "push"), ["user_id"], "event_timestamp", ["value", "event_type", "ingest_id"], ["ingest_id"]
-    )
-    stream = events_stream(spark, folder).select(
-        "user_id", F.col("ts").alias("event_timestamp"), "value", "event_type", F.col("event_id").alias("ingest_id")
-    )
-    core.run_batches(stream, push, "push-progress")
-    return push.snapshot(spark)
-
-
 #: Events in three files: by time, but of ten one comes a file later than it should and one two files later. The mark
 #: that closes windows in one batch turns rows away in the next: only the third file has rows that come too late.
 FILES_SQL = """arrived AS (SELECT *, least(3, CASE WHEN ts < TIMESTAMP '2024-01-11' THEN 1 WHEN ts < TIMESTAMP '2024-01-21' THEN 2 ELSE 3 END
@@ -103,6 +88,24 @@ def three_files(spark: SparkSession, folder: str) -> DataFrame:
     return core.read_stream(spark, f"{arrived}/*/*.parquet", events.drop("_file").schema, files_per_trigger=1)
 
 
+@REG.add(
+    "stream_push",
+    """SELECT user_id, ts AS event_timestamp, value, event_type, event_id AS ingest_id FROM events
+ QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""",
+)
+def stream_push(spark: SparkSession, folder: str) -> DataFrame:
+    """The newest event of each user, from three files of which two hold older rows than the one before."""
+    rows = three_files(spark, folder).select(
+        "user_id", F.col("ts").alias("event_timestamp"), "value", "event_type", F.col("event_id").alias("ingest_id")
+    )
+    push = feature_push.FeaturePush(SnapshotStore(
+        shared_folder(spark, "push"), ["user_id"], "event_timestamp", ["value", "event_type", "ingest_id"], rows.schema,
+        ["ingest_id"], buckets=16,
+    ))
+    core.run_batches(rows, push, "push-progress")
+    return push.snapshot(spark)
+
+
 REFERENCE_END = "2024-01-04"
 
 

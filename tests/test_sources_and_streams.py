@@ -7,8 +7,9 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from loomtide.operators import drift
+from loomtide.operators import drift, snapshots
 from loomtide.operators import feature_store as fs
+from loomtide.operators.snapshots import SnapshotStore
 from loomtide.sources import catalog, files
 from loomtide.streaming import alert_state, core, drift_windows, feature_push, rollups
 
@@ -95,12 +96,52 @@ def test_push_keeps_the_newest(spark, tmp_path):
     at = lambda m: T0 + timedelta(minutes=m)
     parts = [[(1, at(5), 1.0), (2, at(1), 2.0)], [(1, at(3), 9.0)], [(2, at(7), 3.0), (3, at(0), 4.0)]]
     stream = batches(spark, str(tmp_path / "in"), parts, "user_id int, event_timestamp timestamp_ntz, v double")
-    push = feature_push.FeaturePush(str(tmp_path / "view"), ["user_id"], "event_timestamp", ["v"])
+    store = SnapshotStore(str(tmp_path / "view"), ["user_id"], "event_timestamp", ["v"], stream.schema, buckets=4)
+    push = feature_push.FeaturePush(store)
     core.run_batches(stream, push, "push")
-    assert {r["user_id"]: r["v"] for r in push.snapshot(spark).collect()} == {1: 1.0, 2: 3.0, 3: 4.0}
+    newest = {1: 1.0, 2: 3.0, 3: 4.0}
+    assert {r["user_id"]: r["v"] for r in push.snapshot(spark).collect()} == newest
     assert push.offline(spark).count() == 5
-    push(spark.createDataFrame(parts[2], push.offline(spark).schema), 2)  # a repeated batch changes nothing
-    assert push.offline(spark).count() == 5 and push.snapshot(spark).count() == 3
+    for batch in (2, 2, 1, 2):  # repeated batches change nothing, also if the stream starts again from an older one
+        push(spark.createDataFrame(parts[batch], push.offline(spark).schema), batch)
+        assert push.offline(spark).count() == 5
+    assert {r["user_id"]: r["v"] for r in push.snapshot(spark).collect()} == newest
+
+
+def test_snapshot_rewrites_touched_buckets_only(spark, tmp_path):
+    at = lambda m: T0 + timedelta(minutes=m)
+    schema = "user_id int, event_timestamp timestamp_ntz, v double"
+    df = lambda rows: spark.createDataFrame(rows, schema)
+    store = SnapshotStore(str(tmp_path / "s"), ["user_id"], "event_timestamp", ["v"], df([]).schema, buckets=8)
+    assert store.read(spark).count() == 0 and store.mark(spark) is None and store.last_batch(spark) == -1
+    store.merge(df([(i, at(0), float(i)) for i in range(100)] + [(None, at(0), 0.0)]), 0)
+    store.merge(df([(7, at(1), -7.0), (7, at(0), 5.0)]), 1)
+    assert [p.name for p in sorted((tmp_path / "s/rows/version=1").glob("bucket=*"))] != []
+    assert len(list((tmp_path / "s/rows/version=1").glob("bucket=*"))) == 1
+    assert len(list((tmp_path / "s/rows/version=0").glob("bucket=*"))) == 8
+    store.merge(df([]), 2)
+    store.merge(df([(7, at(1), 70.0), (8, at(-1), 1.0)]), 3)  # equal times: the later batch
+    got = {r["user_id"]: r["v"] for r in store.read(spark).collect()}
+    assert got == {**{i: float(i) for i in range(100)}, 7: 70.0}
+
+
+def test_materialisation_goes_on_from_the_mark(spark, tmp_path):
+    at = lambda m: T0 + timedelta(minutes=m)
+    schema = "user_id int, event_timestamp timestamp_ntz, v double"
+    seen = []
+    view = lambda rows: fs.FeatureView("v", ("user_id",), None, ("v",), spark.createDataFrame(rows, schema))
+    rows = [(1, at(0), 1.0), (2, at(5), 2.0), (1, at(10), 3.0), (3, at(20), 4.0)]
+    store = snapshots.store_of(view(rows), str(tmp_path / "s"), 4)
+    end = lambda m: F.lit(at(m)).cast("timestamp_ntz")
+    for until in (6, 10, 11, 5):
+        out = snapshots.materialize_since_mark(view(rows), store, end(until))
+        seen.append({r["user_id"]: r["v"] for r in out.collect()})
+    assert seen == [{1: 1.0, 2: 2.0}, {1: 1.0, 2: 2.0}, {1: 3.0, 2: 2.0}, {1: 3.0, 2: 2.0}]
+    assert store.mark(spark) == at(11)
+    late = snapshots.materialize_since_mark(view(rows + [(9, at(2), 9.0)]), store, end(30))
+    assert {r["user_id"] for r in late.collect()} == {1, 2, 3}  # rows older than the mark are not looked for
+    other = snapshots.store_of(view(rows), str(tmp_path / "o"), 4)
+    assert snapshots.materialize_since_mark(view(rows), other, end(30), end(9)).count() == 2
 
 
 def test_late_rows_are_dropped_after_the_watermark(spark, tmp_path):
