@@ -128,3 +128,27 @@ def kolmogorov_p(distance: Column, n: Column, m: Column, terms: int = 100) -> Co
         lambda total, k: total + F.when(k % 2 == 1, 1.0).otherwise(-1.0) * F.exp(-2.0 * k * k * scaled * scaled),
     )
     return F.when(scaled < 0.2, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 2.0 * series)))
+
+
+def kolmogorov_exact_p(distance: Column, n: Column, m: Column) -> Column:
+    """Exact two-sided p-value of the two-sample Kolmogorov-Smirnov distance.
+
+    Every order of the n + m values is a lattice path from (0, 0) to (n, m); p is the share of paths that reach the
+    distance. Row by row, ``inside[j]`` is the share of the paths to (i, j) that stay below it, from those to its two
+    neighbours. An expression of n * m steps for each result row: meant for small samples.
+    """
+    n, m = n.cast("int"), m.cast("int")
+    limit = F.round(distance * n * m).cast("long")
+    below = lambda i, j: F.abs(i.cast("long") * m - j.cast("long") * n) < limit
+
+    def next_row(before: Column, i: Column) -> Column:
+        def cell(row: Column, j: Column) -> Column:
+            left = F.when(j == 0, 0.0).otherwise(F.element_at(row, -1))
+            share = (F.get(before, j) * i + left * j) / (i + j)
+            return F.array_append(row, F.when(below(i, j), share).otherwise(0.0))
+
+        return F.aggregate(F.sequence(F.lit(0), m), F.array().cast("array<double>"), cell)
+
+    first = F.transform(F.sequence(F.lit(0), m), lambda j: F.when(below(F.lit(0), j), 1.0).otherwise(0.0))
+    inside = F.aggregate(F.sequence(F.lit(1), n), first, next_row)
+    return F.when((n > 0) & (m > 0), F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - F.element_at(inside, -1))))

@@ -11,8 +11,10 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomtide.functions.columns import join_on, present, quoted, ratio
-from loomtide.functions.stats import chi_square_p, kolmogorov_p, normal_p
+from loomtide.functions.columns import (
+    categorical_columns, existing, feature_columns, join_on, numeric_columns, present, quoted, ratio,
+)
+from loomtide.functions.stats import chi_square_p, kolmogorov_exact_p, kolmogorov_p, normal_p
 from loomtide.operators.ordered import HOT_ROWS, Hot, hot_keys, per_column, running_totals
 from loomtide.operators.profile import melted_moments
 
@@ -110,6 +112,20 @@ def categorical_drift(df: DataFrame, columns: Sequence[str], by: Sequence[str] =
     return categorical_statistics(_pair_counts(df, columns, by, dataset, False), [*by, "column_name"])
 
 
+def compared_columns(
+    df: DataFrame, columns: Sequence[str] | None = None, target: str | None = None, prediction: str | None = None,
+    exclude: Sequence[str] = (),
+) -> tuple[list[str], list[str]]:
+    """Numeric and categorical columns to compare: those asked for that the table has, else all but target and prediction.
+
+    ``exclude`` names columns that are no features, such as keys and the dataset mark. Columns of other types are left out.
+    """
+    wanted = feature_columns(df, target, prediction) if columns is None else existing(df, columns)
+    numbers, texts = set(numeric_columns(df)), set(categorical_columns(df))
+    wanted = [c for c in wanted if c not in exclude]
+    return [c for c in wanted if c in numbers], [c for c in wanted if c in texts]
+
+
 def drift_statistics(
     df: DataFrame,
     numeric: Sequence[str] = (),
@@ -167,11 +183,13 @@ def drift_scores(
     distance_threshold: float = 0.1,
     by: Sequence[str] = (),
     methods: Sequence[str] | None = None,
+    exact_rows: int = 0,
 ) -> DataFrame:
     """Score and verdict per column: drift when p is below, or a distance at or above, its threshold.
 
     A column without values on one side has no score and no verdict (null): it is untested. ``method`` gives the
-    method of each row, by kind of column if left out; ``methods`` names those it can be.
+    method of each row, by kind of column if left out; ``methods`` names those it can be. With ``exact_rows``, the p-value
+    of ``ks`` is exact where neither side has more values than that, and the asymptotic series elsewhere.
     """
     methods = methods or (DEFAULT_METHODS if method is None else tuple(DRIFT_METHODS))
     for name in ("ks", "wasserstein"):
@@ -181,7 +199,11 @@ def drift_scores(
     score, is_p = F.lit(None).cast("double"), F.lit(False)
     for name in methods:
         value, p = DRIFT_METHODS[name]
-        score = F.when(F.col("method") == name, value()).otherwise(score)
+        found = value()
+        if name == "ks" and exact_rows:
+            few = (F.col("n_ref") <= exact_rows) & (F.col("n_cur") <= exact_rows)
+            found = F.when(few, kolmogorov_exact_p(F.col("ks"), F.col("n_ref"), F.col("n_cur"))).otherwise(found)
+        score = F.when(F.col("method") == name, found).otherwise(score)
         if p:
             is_p = is_p | (F.col("method") == name)
     scored = chosen.select(

@@ -51,3 +51,30 @@ def test_column_families(spark):
     assert columns.categorical_columns(df) == ["s", "b"]
     assert columns.feature_columns(df, "s", "d") == ["i", "b"]
     assert columns.existing(df, ["s", "zz", "i"]) == ["s", "i"]
+
+
+def test_exact_ks_p_is_the_share_of_orders(spark):
+    from itertools import combinations
+    from math import comb
+
+    from loomtide.functions.stats import kolmogorov_exact_p
+
+    def brute(n, m, d):
+        hits = 0
+        for places in combinations(range(n + m), n):
+            i = j = 0
+            most = 0.0
+            for k in range(n + m):
+                i, j = (i + 1, j) if k in places else (i, j + 1)
+                most = max(most, abs(i / n - j / m))
+            hits += most >= d - 1e-12
+        return hits / comb(n + m, n)
+
+    rows = [(n, m, k / (n * m)) for n, m in ((1, 1), (4, 3), (5, 5), (2, 7)) for k in range(0, n * m + 1)]
+    df = spark.createDataFrame([*rows, (0, 3, 0.5), (60, 55, 0.25)], "n long, m long, d double")
+    got = {(r["n"], r["m"], r["d"]): r["p"] for r in df.withColumn("p", kolmogorov_exact_p(F.col("d"), F.col("n"), F.col("m"))).collect()}
+    for n, m, d in rows:
+        assert got[n, m, d] == pytest.approx(brute(n, m, d), abs=1e-12)
+    # published: n = m = 5, D = 4/5 and 1
+    assert got[5, 5, 0.8] == pytest.approx(0.0793650794) and got[5, 5, 1.0] == pytest.approx(0.0079365079)
+    assert got[0, 3, 0.5] is None and 0 < got[60, 55, 0.25] < 0.06
