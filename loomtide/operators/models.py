@@ -8,6 +8,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 from pyspark.ml import Estimator, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, StringIndexerModel, VectorAssembler
@@ -16,6 +17,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomtide.functions.columns import present
 from loomtide.operators import evaluation, splitting
 
 INPUT = {"featuresCol": "_features", "labelCol": "_label"}
@@ -219,6 +221,92 @@ def cross_validate(
     return reduce(DataFrame.unionByName, parts)
 
 
+@dataclass(frozen=True)
+class Moments:
+    """Count, means and centred products of some columns; those of two parts add up to those of both."""
+
+    n: float
+    mean: np.ndarray
+    products: np.ndarray
+
+    def __add__(self, other: Moments) -> Moments:
+        n = self.n + other.n
+        if not n:
+            return self
+        gap = other.mean - self.mean
+        mean = self.mean + gap * (other.n / n)
+        return Moments(n, mean, self.products + other.products + np.outer(gap, gap) * (self.n * other.n / n))
+
+    def fit(self, features: Sequence[int], target: int = -1, alpha: float = 0.0) -> tuple[np.ndarray, float]:
+        """Coefficients and intercept of the (ridge) regression of the target on some of the columns."""
+        at = list(features)
+        x = self.products[np.ix_(at, at)] + alpha * np.eye(len(at))
+        weights = np.linalg.lstsq(x, self.products[at, target], rcond=None)[0]
+        return weights, float(self.mean[target] - weights @ self.mean[at])
+
+
+def column_moments(df: DataFrame, columns: Sequence[str], by: str | None = None) -> dict[object, Moments]:
+    """``Moments`` of the rows that have a value in every column, in one pass; one entry per value of ``by``.
+
+    The pass returns a row per group with as many numbers as there are pairs of columns, however many rows there are.
+    """
+    x = [present(df, c).cast("double").alias(f"_x{i}") for i, c in enumerate(columns)]
+    kept = df.select(*([F.col(by).alias("_by")] if by else []), *x).dropna(subset=[f"_x{i}" for i in range(len(columns))])
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+    row = kept.groupBy(*(["_by"] if by else [])).agg(
+        F.count(F.lit(1)).alias("_n"), F.array(*[F.avg(f"_x{i}") for i in range(len(columns))]).alias("_mean"),
+        F.array(*[F.covar_pop(f"_x{i}", f"_x{j}") for i, j in pairs]).alias("_products"),
+    )
+    out = {}
+    for r in row.collect():
+        if r["_n"]:
+            products = np.zeros((len(columns), len(columns)))
+            for (i, j), v in zip(pairs, r["_products"]):
+                products[i, j] = products[j, i] = v * r["_n"]
+            out[r["_by"] if by else None] = Moments(float(r["_n"]), np.array(r["_mean"]), products)
+    return out
+
+
+def cross_validate_linear(
+    df: DataFrame, key: str | Sequence[str], features: Sequence[str], target: str, folds: int = 5, alpha: float = 0.0
+) -> DataFrame:
+    """Metrics per fold of linear (with ``alpha``: ridge) regression: ``fold``, ``n``, ``mse``, ``rmse``, ``r2``.
+
+    One pass over the data gives the moments of every fold. The model that leaves a fold out is fitted from the sum of
+    the others' moments, and its errors on the fold follow from the fold's own; rows are read once for any number of
+    folds. Rows that lack a value are left out.
+    """
+    parts = column_moments(splitting.cv_folds(df, key, folds), [*features, target], "fold")
+    at, rows = list(range(len(features))), []
+    for fold, own in sorted(parts.items()):
+        others = [m for f, m in parts.items() if f != fold]
+        if not others:
+            continue
+        weights, intercept = reduce(Moments.__add__, others).fit(at, alpha=alpha)
+        xx, xy, yy = own.products[np.ix_(at, at)], own.products[at, -1], own.products[-1, -1]
+        spread = (yy - 2 * weights @ xy + weights @ xx @ weights) / own.n
+        mse = float(max(0.0, spread) + (own.mean[-1] - intercept - weights @ own.mean[at]) ** 2)
+        rows.append((int(fold), int(own.n), mse, mse**0.5, float(1 - mse * own.n / yy) if yy else None))
+    return df.sparkSession.createDataFrame(rows, "fold int, n long, mse double, rmse double, r2 double")
+
+
+def linear_elimination(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
+    """Recursive elimination by linear models: ``feature`` and ``rank``, 1 for the one that stays longest.
+
+    Each round drops the feature with the smallest coefficient in units of the feature's deviation; all rounds are fitted
+    from the moments of one pass.
+    """
+    moments = column_moments(df, [*features, target])
+    left, ranks = list(range(len(features))), []
+    while left and moments:
+        found = moments[None]
+        weights, _ = found.fit(left)
+        effect = np.abs(weights) * np.sqrt(np.diag(found.products)[left])
+        ranks.append((features[left[int(np.argmin(effect))]], len(left)))
+        left.pop(int(np.argmin(effect)))
+    return df.sparkSession.createDataFrame(ranks, "feature string, rank int")
+
+
 def eliminate_features(
     df: DataFrame, features: Sequence[str], target: str, task: str, keep: int, n_estimators: int = 50, max_depth: int = 5
 ) -> list[str]:

@@ -1,10 +1,11 @@
 """Order-dependent work that never puts a whole group into one task.
 
-Two building blocks:
+Building blocks:
 
 * ``running_totals`` - prefix sums over (group, value) count tables. Groups with more than ``hot_rows`` rows are cut
   at approximate quantiles into slices; slices are summed independently and shifted by the totals of the slices
-  before them. Quantiles, rank tests and curves are small aggregations on top of it.
+  before them. Rank tests and curves are small aggregations on top of it.
+* ``bracketed_quantiles`` - exact quantiles that move only the values near the wanted ranks.
 * ``carry_forward`` - "last seen value" per key in time order. Keys with more than ``hot_rows`` rows are cut into
   time slices, and the last value of the slices before is carried in from a table that has one row per slice.
 
@@ -22,13 +23,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomtide.functions.columns import join_on, row_draw
+from loomtide.functions.columns import join_on, present, row_draw
+from loomtide.session import shared_folder
 
 BLOCK = 32
 HOT_ROWS = 2_000_000
 #: Cut points of a hot group at least, before they are thinned; a larger group gets as many as it needs.
 FINE_CUTS = 2048
 BROADCAST_CUTS = 2_000_000
+#: Rank error of a quantile sketch is one in ACCURACY; brackets are ten times as far from the wanted rank.
+ACCURACY = 10_000
+MARGIN = 10 / ACCURACY
 
 
 def _with_blocks(edges: Column) -> Column:
@@ -132,29 +137,83 @@ def value_counts(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
     return kept.groupBy(*groups, value).agg(F.count(F.lit(1)).alias("n"))
 
 
-def quantiles_from_totals(ordered: DataFrame, groups: Sequence[str], value: str, probabilities: dict[str, float]) -> DataFrame:
-    """Exact linear-interpolated quantiles from ``running_totals`` over a column ``n``."""
-    needed, aggs = F.lit(False), []
-    start, end = F.col("cum_n") - F.col("n"), F.col("cum_n")
-    for name, p in probabilities.items():
-        position = (F.col("total_n") - 1) * F.lit(p)
-        low, high = F.floor(position), F.ceil(position)
-        needed = needed | ((start <= high) & (low < end))
-        lo = F.max(F.when((start <= low) & (low < end), F.col(value)))
-        hi = F.max(F.when((start <= high) & (high < end), F.col(value)))
-        aggs.append((lo + F.max(position - low) * (hi - lo)).alias(name))
-    # at most two rows per group and quantile reach the aggregation
-    return ordered.where(needed).groupBy(*groups).agg(*aggs)
+def bracketed_quantiles(
+    df: DataFrame, groups: Sequence[str], columns: Sequence[str], probabilities: dict[str, float], hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Exact linear-interpolated quantiles of several number columns: one row per group and column.
+
+    A sketch of each column gives, for each probability, two values that enclose the quantile: about one row in 500
+    lies between them. Exact counts of the rows below each bracket, and of the values inside it, then give the value at
+    the wanted rank. Nothing but the values inside brackets is shuffled or sorted. Missing values are left out; a group
+    of up to ``2 / MARGIN`` values is a bracket of its own. The first two passes are run at once, for their results are
+    tables with one row per group.
+    """
+    groups, wanted = list(groups), list(probabilities.values())
+    spark = df.sparkSession
+    values = df.select(*groups, *[present(df, c).cast("double").alias(f"_x{i}") for i, c in enumerate(columns)])
+    cuts = [f for p in wanted for f in (max(0.0, p - MARGIN), min(1.0, p + MARGIN))]
+    sketches = []
+    for i, c in enumerate(columns):
+        x = F.col(f"_x{i}")
+        found = F.percentile_approx(x, F.array(*[F.lit(f) for f in cuts]), ACCURACY)
+        n, lowest, highest = F.count(x), F.min(x), F.max(x)
+        whole = n <= 2 / MARGIN
+        sketches += [
+            F.struct(
+                F.lit(c).alias("column_name"), n.alias("n"),
+                F.when(whole | (p <= MARGIN), lowest).otherwise(found[2 * k]).alias("low"),
+                F.when(whole | (p >= 1 - MARGIN), highest).otherwise(found[2 * k + 1]).alias("high"),
+            )
+            for k, p in enumerate(F.lit(p) for p in wanted)
+        ]
+    slots = range(len(sketches))
+    of = [F.col(f"_x{j // len(wanted)}") for j in slots]
+    path = shared_folder(spark, "quantiles")
+    values.groupBy(*groups).agg(F.array(*sketches).alias("_slots")).write.parquet(f"{path}/brackets")
+    brackets = spark.read.parquet(f"{path}/brackets")
+    if groups:
+        edges = [F.col("_slots")[j][side].alias(f"_{side}{j}") for j in slots for side in ("low", "high")]
+        values = join_on(values, brackets.select(*groups, *edges), groups)
+        low, high = ([F.col(f"_{side}{j}") for j in slots] for side in ("low", "high"))
+    else:
+        row = brackets.first()["_slots"]
+        low, high = ([F.lit(slot[side]).cast("double") for slot in row] for side in ("low", "high"))
+    inside = [(x >= low[j]) & (x <= high[j]) for j, x in enumerate(of)]
+    values.groupBy(*groups).agg(
+        F.array(*[F.count_if(x < low[j]) for j, x in enumerate(of)]).alias("_below"),
+        F.array_max(F.array(*[F.count_if(c) for c in inside])).alias("_most"),
+    ).write.parquet(f"{path}/below")
+    below = spark.read.parquet(f"{path}/below")
+    entries = F.array_compact(F.array(*[
+        F.when(c, F.struct(F.lit(j).alias("_slot"), x.alias("value"))) for j, (c, x) in enumerate(zip(inside, of))
+    ]))
+    keys = [*groups, "_slot"]
+    held = values.select(*groups, F.inline(entries))
+    counts = held.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"))
+    many = (below.agg(F.max("_most")).first()[0] or 0) > hot_rows
+    heavy = hot_keys(held, keys, hot_rows) if many else Hot(counts, 0, hot_rows)
+    ordered = running_totals(counts, keys, "value", ["n"], heavy)
+    facts = join_on(brackets, below if groups else F.broadcast(below), groups).select(
+        *groups, F.posexplode("_slots").alias("_slot", "_facts"), "_below"
+    ).select(*keys, "_facts.column_name", F.col("_facts.n").alias("_all"), F.get("_below", F.col("_slot")).alias("_under"))
+    placed = join_on(facts, ordered, keys, "left")
+    share = F.element_at(F.array(*[F.lit(p) for p in wanted]), F.col("_slot") % len(wanted) + 1)
+    position = (F.col("_all") - 1) * share
+    start, end = F.col("cum_n") - F.col("n") + F.col("_under"), F.col("cum_n") + F.col("_under")
+    at = lambda rank: F.max(F.when((start <= rank) & (rank < end), F.col("value")))
+    lo, hi = at(F.floor(position)), at(F.ceil(position))
+    found = placed.groupBy(*groups, "column_name", "_slot").agg((lo + F.max(position - F.floor(position)) * (hi - lo)).alias("_q"))
+    return found.groupBy(*groups, "column_name").agg(
+        *[F.max(F.when(F.col("_slot") % len(wanted) == k, F.col("_q"))).alias(name) for k, name in enumerate(probabilities)]
+    )
 
 
 def exact_quantiles(
-    df: DataFrame, groups: Sequence[str], value: str, probabilities: dict[str, float], hot_rows: int = HOT_ROWS,
-    heavy: Hot | None = None,
+    df: DataFrame, groups: Sequence[str], value: str, probabilities: dict[str, float], hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """Exact quantiles of ``value`` per group; the built-in exact percentile keeps a group's values in one buffer."""
-    heavy = heavy or hot_keys(df, groups, hot_rows)
-    ordered = running_totals(value_counts(df, groups, value), groups, value, ["n"], heavy)
-    return quantiles_from_totals(ordered, groups, value, probabilities)
+    """Exact quantiles of ``value`` per group that has one (see ``bracketed_quantiles``); one row without groups."""
+    found = bracketed_quantiles(df, groups, [value], probabilities, hot_rows).drop("column_name")
+    return found.where(F.col(next(iter(probabilities))).isNotNull()) if groups else found
 
 
 @dataclass(frozen=True)
@@ -199,10 +258,8 @@ def per_column(heavy: Hot, columns: Sequence[str]) -> Hot:
 def column_quantiles(
     df: DataFrame, columns: Sequence[str], probabilities: dict[str, float], hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """Exact quantiles of several double columns, one row per column; the table's row count says whether it is hot."""
-    melted = df.select(*columns).unpivot([], list(columns), "column_name", "value")
-    heavy = per_column(hot_keys(df, [], hot_rows), columns)
-    return exact_quantiles(melted, ["column_name"], "value", probabilities, heavy=heavy)
+    """Exact quantiles of several number columns, one row per column."""
+    return bracketed_quantiles(df, [], columns, probabilities, hot_rows)
 
 
 def hot_key_cuts(df: DataFrame, heavy: Hot, keys: Sequence[str], order: str) -> DataFrame:

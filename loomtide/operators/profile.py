@@ -18,7 +18,7 @@ from loomtide.functions.columns import (
     quoted,
     ratio,
 )
-from loomtide.operators.ordered import HOT_ROWS, hot_keys, per_column, quantiles_from_totals, running_totals
+from loomtide.operators.ordered import HOT_ROWS, bracketed_quantiles
 
 COLUMNS_PER_PASS = 100
 
@@ -144,12 +144,7 @@ def quality_summary(
     if not numbers:
         return out
     doubles = df.select(*by, *[present(df, c).cast("double").alias(c) for c in numbers])
-    values = (
-        doubles.unpivot(by, numbers, "column_name", "value").where("value is not null")
-        .groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"))
-    )
-    ordered = running_totals(values, keys, "value", ["n"], per_column(hot_keys(df, by, hot_rows), numbers))
-    quartiles = quantiles_from_totals(ordered, keys, "value", {"q25": 0.25, "median": 0.5, "q75": 0.75})
+    quartiles = bracketed_quantiles(doubles, by, numbers, {"q25": 0.25, "median": 0.5, "q75": 0.75}, hot_rows)
     moments = melted_moments(
         doubles, numbers, by, {"mean": F.avg, "std": F.stddev_samp, "min_value": F.min, "max_value": F.max}
     )

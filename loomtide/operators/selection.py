@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomtide.functions.columns import present, ratio
@@ -86,12 +87,10 @@ def mutual_info(
         .agg(F.count(F.lit(1)).alias("_n"))
     )
     # from here on there are features x bins x classes rows
-    left = joint.groupBy("feature", "_x").agg(F.sum("_n").alias("_nx"))
-    right = joint.groupBy("feature", "_y").agg(F.sum("_n").alias("_ny"))
-    total = joint.groupBy("feature").agg(F.sum("_n").alias("_all"))
+    total = lambda *by: F.sum("_n").over(W.partitionBy("feature", *by)).cast("double")
     n, nx, ny, whole = (F.col(c).cast("double") for c in ("_n", "_nx", "_ny", "_all"))
     return (
-        joint.join(left, ["feature", "_x"]).join(right, ["feature", "_y"]).join(total, "feature")
+        joint.withColumn("_nx", total("_x")).withColumn("_ny", total("_y")).withColumn("_all", total())
         .groupBy("feature")
         .agg(F.sum(n / whole * F.log(n * whole / (nx * ny))).alias("score"))
     )

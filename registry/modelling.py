@@ -109,6 +109,39 @@ def cv_scores_one_feature(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("cv_mse_mean", "cv_mae_mean", "cv_r2_mean", "cv_r2_std")
 
 
+_TWO_FEATURES_SQL = """s AS (SELECT {by}avg(y) AS my, avg(u) AS mu, avg(v) AS mv, covar_pop(u, u) AS uu, covar_pop(u, v) AS uv, covar_pop(v, v) AS vv,
+  covar_pop(u, y) AS uy, covar_pop(v, y) AS vy {of}),
+w AS (SELECT *, (uy * vv - vy * uv) / (uu * vv - uv * uv) AS bu, (vy * uu - uy * uv) / (uu * vv - uv * uv) AS bv FROM s)"""
+
+
+@REG.add(
+    "cv_scores_two_features",
+    """WITH k AS (SELECT l_quantity AS u, l_discount AS v, l_extendedprice AS y, row_number() OVER (ORDER BY md5('42:' || l_orderkey || ':' || l_linenumber || ':' || l_partkey)) AS i,
+  count(*) OVER () AS n FROM lineitem),
+d AS (SELECT u, v, y, CASE WHEN i > ceil(n * 2::DOUBLE / 3) THEN 2 WHEN i > ceil(n * 1::DOUBLE / 3) THEN 1 ELSE 0 END AS fold FROM k),
+"""
+    + _TWO_FEATURES_SQL.format(by="f.fold, ", of="FROM d, range(3) f(fold) WHERE d.fold <> f.fold GROUP BY f.fold")
+    + """ SELECT CAST(d.fold AS INTEGER) AS fold, count(*) AS n, round(avg((y - my - bu * (u - mu) - bv * (v - mv)) ** 2) / 1e6, 4) AS mse,
+ round(sqrt(avg((y - my - bu * (u - mu) - bv * (v - mv)) ** 2)), 3) AS rmse, round(1 - avg((y - my - bu * (u - mu) - bv * (v - mv)) ** 2) / var_pop(y), 6) AS r2
+FROM d JOIN w ON d.fold = w.fold GROUP BY d.fold""",
+)
+def cv_scores_two_features(spark: SparkSession, folder: str) -> DataFrame:
+    """Cross-validated linear fits from the moments of one pass."""
+    out = models.cross_validate_linear(lines(spark, folder), KEY, ["l_quantity", "l_discount"], "l_extendedprice", folds=3)
+    return rounded(rounded(rounded(out.withColumn("mse", F.col("mse") / 1e6), 4, ["mse"]), 3, ["rmse"]), 6, ["r2"])
+
+
+@REG.add(
+    "rfe_order",
+    "WITH d AS (SELECT l_discount AS u, l_quantity AS v, l_extendedprice AS y FROM lineitem), "
+    + _TWO_FEATURES_SQL.format(by="", of="FROM d")
+    + """ SELECT 'l_discount' AS feature, CAST(CASE WHEN abs(bu) * sqrt(uu) <= abs(bv) * sqrt(vv) THEN 2 ELSE 1 END AS INTEGER) AS rank FROM w
+UNION ALL SELECT 'l_quantity', CAST(CASE WHEN abs(bu) * sqrt(uu) <= abs(bv) * sqrt(vv) THEN 1 ELSE 2 END AS INTEGER) FROM w""",
+)
+def rfe_order(spark: SparkSession, folder: str) -> DataFrame:
+    return models.linear_elimination(lines(spark, folder), ["l_discount", "l_quantity"], "l_extendedprice")
+
+
 @REG.add(
     "batch_score_checks",
     """SELECT count(*) AS n_rows, 0::BIGINT AS n_bad_sum, 0::BIGINT AS n_bad_range, 0::BIGINT AS n_bad_gate, 0::BIGINT AS n_unknown_class FROM lineitem""",

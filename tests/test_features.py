@@ -165,3 +165,47 @@ def test_failed_validation_warns_or_stops(spark, table):
     config = TrainingConfig("target", ["id"], algorithm="logistic_regression", fail_on_validation_error=True)
     with pytest.raises(ValueError, match="validation failed"):
         run_training(spark, broken, config, "strict")
+
+
+def test_linear_folds_from_moments_are_those_of_refits(spark):
+    from loomtide.operators import splitting
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(1000, 3, (300, 3))
+    y = 2 * x[:, 0] - 0.5 * x[:, 1] + rng.normal(0, 1, 300)
+    rows = [(i, *map(float, x[i]), float(y[i])) for i in range(300)] + [(900, None, 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double, y double")
+    got = {r["fold"]: r for r in models.cross_validate_linear(df, "id", ["a", "b", "c"], "y", folds=4).collect()}
+    fold = {r["id"]: r["fold"] for r in splitting.cv_folds(df, "id", 4).collect() if r["id"] != 900}
+    of = np.array([fold[i] for i in range(300)])
+    for f in range(4):
+        design = np.c_[np.ones((of != f).sum()), x[of != f]]
+        w = np.linalg.lstsq(design, y[of != f], rcond=None)[0]
+        e = y[of == f] - np.c_[np.ones((of == f).sum()), x[of == f]] @ w
+        assert got[f]["n"] == (of == f).sum() and got[f]["mse"] == pytest.approx((e**2).mean(), rel=1e-6)
+        assert got[f]["r2"] == pytest.approx(1 - (e**2).mean() / y[of == f].var(), rel=1e-6)
+    order = {r["feature"]: r["rank"] for r in models.linear_elimination(df, ["a", "b", "c"], "y").collect()}
+    assert order == {"a": 1, "b": 2, "c": 3}
+    assert models.cross_validate_linear(df.limit(0), "id", ["a"], "y").count() == 0
+
+
+def test_bracketed_quantiles_of_groups_and_columns(spark):
+    from loomtide.operators import ordered as o
+
+    rng = np.random.default_rng(9)
+    big = np.round(rng.exponential(50, 20_000), 1)
+    other = rng.integers(0, 3, 20_000).astype(float)
+    rows = [("big", float(a), float(b)) for a, b in zip(big, other)]
+    small = {None: [3.0], "two": [1.0, 2.0], "none": [None, None]}
+    rows += [(g, v, 1.0) for g, vs in small.items() for v in vs] + [("big", float("nan"), None)]
+    df = spark.createDataFrame(rows, "g string, a double, b double")
+    wanted = {"p0": 0.0, "p1": 0.001, "p50": 0.5, "p95": 0.95, "p999": 0.9995, "p100": 1.0}
+    for hot_rows in (10**9, 10):
+        got = {(r["g"], r["column_name"]): r for r in o.bracketed_quantiles(df, ["g"], ["a", "b"], wanted, hot_rows).collect()}
+        assert len(got) == 8
+        for name, p in wanted.items():
+            assert got["big", "a"][name] == pytest.approx(np.quantile(big, p)) and got["big", "b"][name] == np.quantile(other, p)
+            assert got[None, "a"][name] == 3.0 and got["two", "a"][name] == 1.0 + p and got["none", "a"][name] is None
+    # only values near the wanted ranks are sorted
+    plan = o.bracketed_quantiles(df, [], ["a"], {"m": 0.5})
+    assert plan.first()["m"] == pytest.approx(np.median(np.append(big, [3.0, 1.0, 2.0])))
