@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -48,6 +49,62 @@ def schema_changes(spark: SparkSession, known: T.StructType, found: T.StructType
     return spark.createDataFrame(rows, "column_name string, change string, old_type string, new_type string")
 
 
+#: Types in the order in which they hold each other's values without loss.
+WIDENING = (("tinyint", "smallint", "int", "bigint"), ("float", "double"))
+
+
+def wider(old: T.DataType, new: T.DataType) -> T.DataType | None:
+    """The type of the two that holds both without loss, or None if neither does."""
+    a, b = old.simpleString(), new.simpleString()
+    if a == b:
+        return old
+    for order in WIDENING:
+        if a in order and b in order:
+            return old if order.index(a) > order.index(b) else new
+    return None
+
+
+def merged_schema(known: T.StructType, found: T.StructType) -> T.StructType:
+    """``known`` with the new columns of ``found`` behind it and types widened where both allow it.
+
+    Columns that ``found`` lacks stay; a type that neither holds the other raises ``ValueError``.
+    """
+    fields, of = [], {f.name: f for f in found.fields}
+    for field in known.fields:
+        other = of.pop(field.name, None)
+        kind = field.dataType if other is None else wider(field.dataType, other.dataType)
+        if kind is None:
+            raise ValueError(f"column {field.name} changed from {field.dataType.simpleString()} to {other.dataType.simpleString()}")
+        fields.append(T.StructField(field.name, kind, True))
+    return T.StructType(fields + [T.StructField(f.name, f.dataType, True) for f in of.values()])
+
+
+def read_versions(spark: SparkSession, paths: Sequence[str], fmt: str = "parquet") -> DataFrame:
+    """Folders written with different schemas as one table: columns that a folder lacks are null, types are widened.
+
+    Each folder is read with its own schema and cast; those of one schema are one scan, so the plan grows with the number
+    of schemas and not of folders.
+    """
+    by_schema: dict[str, list[str]] = {}
+    schemas: dict[str, T.StructType] = {}
+    merged: T.StructType | None = None
+    for path in paths:
+        own = discover(spark, path, fmt)
+        schemas[own.simpleString()] = own
+        by_schema.setdefault(own.simpleString(), []).append(path)
+        merged = own if merged is None else merged_schema(merged, own)
+    if merged is None:
+        raise ValueError("no folders to read")
+    out: DataFrame | None = None
+    for key, folders in by_schema.items():
+        have = set(schemas[key].names)
+        part = spark.read.schema(schemas[key]).format(fmt).option("header", "true").load(folders).select(*[
+            (F.col(f"`{f.name}`") if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in merged.fields
+        ])
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def discover(spark: SparkSession, path: str, fmt: str) -> T.StructType:
     """Schema of the files below a path, merged over files."""
     reader = spark.read.option("recursiveFileLookup", "false")

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from loomtide.functions.columns import run_stamp, split_object_url
 from loomtide.session import shared_folder
-from loomtide.sources import files
-from registry.common import Registry, table
+from loomtide.sources import catalog, files
+from registry.common import Registry, as_doubles, table
 
 REG = Registry()
 
@@ -107,3 +107,76 @@ def json_rows(spark: SparkSession, folder: str) -> DataFrame:
         F.to_json(F.struct("event_id", "user_id", "event_type", F.from_json("props", "k int").alias("props"))).alias("value")
     )
     return rows.select(F.from_json("value", schema).alias("r")).select("r.event_id", "r.user_id", "r.event_type", F.col("r.props.k").alias("k"))
+
+
+@REG.add(
+    "schema_changes_applied",
+    """SELECT 'part' AS source, p_partkey AS id, CAST(p_size AS DOUBLE) AS whole, CAST(p_retailprice AS DOUBLE) AS fraction,
+  CASE WHEN p_partkey % 2 = 0 THEN p_brand END AS added FROM part
+UNION ALL SELECT 'embeddings', vec_id, NULL, CAST(embedding[1] AS DOUBLE), NULL FROM embeddings""",
+)
+def schema_changes_applied(spark: SparkSession, folder: str) -> DataFrame:
+    """Tables written with two schemas each: wider types and a new column in the second folder."""
+    root = shared_folder(spark, "versions")
+    part = table(spark, folder, "part")
+    price = F.col("p_retailprice").cast("double")
+    part.where("p_partkey % 2 = 1").select(
+        F.col("p_partkey").alias("id"), F.col("p_size").cast("int").alias("whole"), price.alias("fraction")
+    ).write.parquet(f"{root}/part/1")
+    part.where("p_partkey % 2 = 0").select(
+        F.col("p_partkey").alias("id"), F.col("p_size").cast("long").alias("whole"), price.alias("fraction"), F.col("p_brand").alias("added")
+    ).write.parquet(f"{root}/part/2")
+    first = table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.get("embedding", F.lit(0)).cast("float").alias("fraction"))
+    first.where("id % 2 = 1").write.parquet(f"{root}/embeddings/1")
+    first.where("id % 2 = 0").select("id", F.col("fraction").cast("double").alias("fraction")).write.parquet(f"{root}/embeddings/2")
+    frames = [
+        catalog.read_versions(spark, [f"{root}/{name}/{i}" for i in (1, 2)]).withColumn("source", F.lit(name)) for name in ("part", "embeddings")
+    ]
+    out = files.concat(frames)
+    assert dict(out.dtypes)["whole"] == "bigint" and dict(out.dtypes)["fraction"] == "double"
+    return as_doubles(out.select("source", "id", "whole", "fraction", "added"), ["whole"])
+
+
+@REG.add("file_listing", "SELECT CAST(n_regionkey AS BIGINT) AS n_regionkey, true AS has_bytes, CAST(1 AS BIGINT) AS n_files FROM nation GROUP BY 1")
+def file_listing(spark: SparkSession, folder: str) -> DataFrame:
+    """The files of a partitioned table; without any, the gate raises."""
+    path = shared_folder(spark, "nations")
+    files.write_table(table(spark, folder, "nation").coalesce(1), path, "parquet", partition_by=["n_regionkey"])
+    files.data_exists(spark, path, "*.parquet")
+    key = F.regexp_extract("path", "n_regionkey=([0-9]+)", 1).cast("long").alias("n_regionkey")
+    return files.list_files(spark, path, "*.parquet").groupBy(key).agg(
+        (F.min("length") > 0).alias("has_bytes"), F.count(F.lit(1)).alias("n_files")
+    )
+
+
+@REG.add(
+    "catalog_table",
+    "SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1",
+)
+def catalog_table(spark: SparkSession, folder: str) -> DataFrame:
+    """A registered table with partitions, asked by SQL."""
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    path = shared_folder(spark, "registered")
+    files.write_table(orders, path, "parquet", partition_by=["o_orderstatus"])
+    name = "orders_" + path[-12:]
+    catalog.register_database(spark, "loomtide_catalog")
+    catalog.register_table(spark, "loomtide_catalog", name, orders.schema, "parquet", path, partitioned_by=["o_orderstatus"])
+    return spark.sql(
+        f"SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM loomtide_catalog.{name} "
+        "WHERE o_orderstatus <> 'P' GROUP BY o_orderstatus"
+    )
+
+
+@REG.add("current_by_query", "SELECT event_type, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-20' GROUP BY 1")
+def current_by_query(spark: SparkSession, folder: str) -> DataFrame:
+    """A model's current data given by a query."""
+    return files.current_data(
+        spark, query=f"SELECT event_type, count(*) AS n FROM parquet.`{folder}/events.parquet` WHERE ts >= TIMESTAMP_NTZ '2024-01-20' GROUP BY 1"
+    )
+
+
+@REG.add("inline_rows", "SELECT n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation")
+def inline_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Records that come with a request: the nations, as a client would send them."""
+    asked = [row.asDict() for row in table(spark, folder, "nation").select("n_name", "n_regionkey").collect()]
+    return files.inline_records(spark, asked, "n_name string, n_regionkey long")

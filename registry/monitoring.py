@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtide.operators import drift, health
+from loomtide.session import shared_folder
 from registry.common import Registry, rounded, table
 from registry.evaluation import ORDER_PREDICTIONS_SQL, _scores_sql, order_predictions
 
@@ -95,6 +96,39 @@ def wasserstein_drift(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(stats.select("model_name", "column_name", "wasserstein"))
 
 
+EXACT_ROWS = 60
+
+
+@REG.add(
+    "ks_exact_p",
+    f"""WITH RECURSIVE v AS (SELECT c_nationkey AS model_name, c_acctbal AS value, (c_mktsegment = 'BUILDING')::INT AS r, (c_mktsegment = 'MACHINERY')::INT AS c
+  FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')),
+cum AS (SELECT model_name, sum(r) OVER o / sum(r) OVER p AS fr, sum(c) OVER o / sum(c) OVER p AS fc, sum(r) OVER p AS n, sum(c) OVER p AS m FROM v
+  WINDOW o AS (PARTITION BY model_name ORDER BY value RANGE UNBOUNDED PRECEDING), p AS (PARTITION BY model_name)),
+ks AS (SELECT model_name, max(abs(fr - fc)) AS d, max(n)::BIGINT AS n, max(m)::BIGINT AS m FROM cum GROUP BY 1 HAVING max(n) > 0 AND max(m) > 0),
+paths AS (
+  SELECT model_name, n, m, round(d * n * m)::BIGINT AS h, 0::BIGINT AS i, 0::BIGINT AS j, 1.0::DOUBLE AS p FROM ks WHERE n <= {EXACT_ROWS} AND m <= {EXACT_ROWS}
+  UNION ALL SELECT model_name, n, m, h, i, j, sum(w) AS p FROM (
+    SELECT model_name, n, m, h, i + move AS i, j + 1 - move AS j, p * CASE move WHEN 1 THEN i + 1 ELSE j + 1 END / (i + j + 1) AS w
+    FROM (SELECT *, unnest([0, 1]) AS move FROM paths)) WHERE i <= n AND j <= m AND abs(i * m - j * n) < h GROUP BY model_name, n, m, h, i, j),
+done AS (SELECT model_name, p AS inside FROM paths WHERE i = n AND j = m),
+series AS (SELECT model_name, d * sqrt(n * m / (n + m)) AS x FROM ks)
+SELECT ks.model_name, CASE WHEN n <= {EXACT_ROWS} AND m <= {EXACT_ROWS} THEN round(greatest(0, 1 - coalesce(inside, 0)), 6)
+  ELSE round(CASE WHEN x < 0.2 THEN 1 ELSE least(1, greatest(0, 2 * list_sum([CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END * exp(-2 * k * k * x * x) FOR k IN range(1, 101)]))) END, 6) END AS drift_score,
+ n AS n_ref, m AS n_cur FROM ks LEFT JOIN done ON ks.model_name = done.model_name JOIN series ON ks.model_name = series.model_name""",
+)
+def ks_exact_p(spark: SparkSession, folder: str) -> DataFrame:
+    """Balances of two market segments per nation: exact p-values of small samples, the series for large ones."""
+    customers = table(spark, folder, "customer").where(F.col("c_mktsegment").isin("BUILDING", "MACHINERY")).select(
+        F.col("c_nationkey").alias("model_name"), F.col("c_acctbal").alias("value"),
+        F.when(F.col("c_mktsegment") == "BUILDING", "reference").otherwise("current").alias("dataset"),
+    )
+    stats = drift.numeric_drift(customers, ["value"], ["model_name"])
+    scores = drift.drift_scores(stats, F.lit("ks"), by=["model_name"], methods=["ks"], exact_rows=EXACT_ROWS)
+    both = scores.where("drift_score is not null").select("model_name", "drift_score").join(stats.select("model_name", "n_ref", "n_cur"), "model_name")
+    return rounded(both)
+
+
 @REG.add(
     "chi2_drift",
     f"""WITH {CAT_LONG_SQL}
@@ -164,6 +198,18 @@ def column_drift_scores(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(_distance_scores(spark, folder))
 
 
+@REG.add(
+    "drift_requested_columns",
+    f"""WITH {_SCORES_SQL} SELECT model_name, column_name, method, round(score, 6) AS drift_score, CAST(0.1 AS DOUBLE) AS threshold, score >= 0.1 AS drift_detected
+ FROM scores WHERE column_name IN ('order_day', 'label', 'is_large')""",
+)
+def drift_requested_columns(spark: SparkSession, folder: str) -> DataFrame:
+    """Drift of the columns that were asked for, of which the table lacks one."""
+    data = order_features(spark, folder)
+    numeric, categorical = drift.compared_columns(data, ["order_day", "label", "is_large", "not_there"])
+    return rounded(_scored(drift.drift_statistics(data, numeric, categorical, ["model_name"]), _distance()))
+
+
 _SUMMARY_SQL = """SELECT model_name, count(*) AS number_of_columns, count(*) FILTER (score >= 0.1) AS number_of_drifted_columns,
  count(*) FILTER (score >= 0.1) / count(*) AS drift_share, count(*) FILTER (score >= 0.1) / count(*) >= 0.5 AS dataset_drift,
  count(*) FILTER (score >= 0.1) / count(*) > 0.1 AS drift_gate,
@@ -447,6 +493,19 @@ def latest_run(spark: SparkSession, folder: str) -> DataFrame:
     return health.latest_run(daily_runs(spark, folder)).select("model_name", "run_ts", "samples_analyzed", "health_status")
 
 
+@REG.add(
+    "exported_latest_run",
+    f"""WITH {RUNS_SQL} SELECT model_name, samples_analyzed, round(drift_share, 6) AS drift_share, health_status FROM hruns
+ QUALIFY row_number() OVER (PARTITION BY model_name ORDER BY run_ts DESC) = 1""",
+)
+def exported_latest_run(spark: SparkSession, folder: str) -> DataFrame:
+    """The newest run of each model, written as JSON and read again."""
+    path = shared_folder(spark, "export")
+    health.export_latest_json(daily_runs(spark, folder), path)
+    found = spark.read.schema("model_name string, samples_analyzed long, drift_share double, health_status string").json(path)
+    return rounded(found)
+
+
 @REG.add(
     "model_inventory",
     """SELECT o_orderpriority || ':' || o_orderstatus AS model_key, 'classification' AS model_type, CAST(6 AS BIGINT) AS n_features,

@@ -225,3 +225,17 @@ def test_point_in_time_keeps_maps(spark):
     view = fs.FeatureView("v", ("user_id",), timedelta(0), ("v",), f)
     got = {tuple(r["m"]): r["v"] for r in fs.point_in_time_join(e, [view]).collect()}
     assert got == {("a",): 3.0, ("b",): None}
+
+
+def test_folders_of_several_schemas_are_one_table(spark, tmp_path):
+    spark.sql("select cast(1 as int) as a, cast(1.5 as float) as b, 'x' as old").write.parquet(str(tmp_path / "1"))
+    spark.sql("select cast(5000000000 as long) as a, 2.5D as b, true as fresh").write.parquet(str(tmp_path / "2"))
+    spark.sql("select cast(3 as short) as a").write.parquet(str(tmp_path / "3"))
+    got = catalog.read_versions(spark, [str(tmp_path / i) for i in "123"])
+    assert dict(got.dtypes) == {"a": "bigint", "b": "double", "old": "string", "fresh": "boolean"}
+    assert sorted(map(tuple, got.collect())) == [(1, 1.5, "x", None), (3, None, None, None), (5000000000, 2.5, None, True)]
+    spark.sql("select 'text' as a").write.parquet(str(tmp_path / "4"))
+    with pytest.raises(ValueError, match="column a changed from bigint to string"):
+        catalog.read_versions(spark, [str(tmp_path / i) for i in "24"])
+    with pytest.raises(ValueError):
+        catalog.read_versions(spark, [])
