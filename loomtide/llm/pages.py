@@ -6,6 +6,7 @@ import hashlib
 import html
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -47,9 +48,16 @@ NOISE_NAMES = frozenset(
     "share sharing social related recommended recommendations trending comment comments commentlist respond reply replies disqus "
     "discussion login form search widget widgets pagination pager copyright skip".split()
 )
-#: Names of layouts that have such a part beside the text, and of the parts of an article that aren't its text.
-LAYOUT_NAMES = frozenset("has with no without layout".split())
+#: Names of the parts of an article that aren't its text, and of those that are never taken for it.
+COMMENTS = frozenset("comment comments commentlist respond reply replies disqus discussion ad ads advert advertisement sponsored".split())
 NOT_ARTICLE = frozenset("ad ads advert advertisement sponsored promo comment comments reply replies related".split())
+#: Words that only say what kind of part a name means. A name means noise if it has a word of noise and no others but these.
+PART_NAMES = frozenset(
+    "area bar block body bottom box btn button buttons card center col column container content cta desktop dropdown fixed "
+    "global group icon icons inner item items left link links list lists main mini mobile outer page panel post posts "
+    "primary right row secondary section site slot small sticky text title toggle top unit wrap wrapper".split()
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
 TOKEN = re.compile(
@@ -62,51 +70,105 @@ NAME_PART = re.compile(r"[a-z]+")
 BLANK = re.compile(r"\s+")
 
 
-class Node:
-    """An open element: its name, path in the site's style tree, and what is known of its place."""
+#: Clean text; text in parts whose names say noise; text in elements that never hold main text, in comments and adverts.
+CLEAN, NAMED, NEVER = 0, 1, 2
+MASK = (1 << 64) - 1
+
+
+def _mix(h: int, x: int) -> int:
+    h = ((h ^ x) * 0x9E3779B97F4A7C15) & MASK
+    return h ^ (h >> 29)
+
+
+def _digest(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big")
+
+
+def _signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
 
-    __slots__ = ("name", "path", "noise", "article", "block")
 
-    def __init__(self, name: str, path: str, noise: bool, article: bool, block: int) -> None:
-        self.name, self.path, self.noise, self.article, self.block = name, path, noise, article, block
+class Element:
+    """An open element: its name, its place in the page's tree, how far it is noise, the place it stands in."""
 
+    __slots__ = ("name", "node", "noise", "kind", "block")
 
-def _named_noise(name: str, named: str, in_article: bool) -> bool:
+    def __init__(self, name: str, node: int, noise: int, kind: str, block: bool) -> None:
+        self.name, self.node, self.noise, self.kind, self.block = name, node, noise, kind, block
+
+
+@dataclass
+class Block:
+    """A text block: its node, how far it is noise, ``article``, ``main`` or empty, and the text with white space joined."""
+
+    node: int
+    noise: int
+    kind: str
+    text: str
+
+
+@dataclass
+class Page:
+    """A page's tree of block elements and its text blocks, in order.
+
+    Of each node: its parent, its branch (a hash of the names on the path to it), a hash of its own name, and whether it
+    lies below an article or main element. A node comes after its parent.
+    """
+
+    parent: list[int] = field(default_factory=lambda: [-1])
+    branch: list[int] = field(default_factory=lambda: [1])
+    label: list[int] = field(default_factory=lambda: [0])
+    inner: list[bool] = field(default_factory=lambda: [False])
+    blocks: list[Block] = field(default_factory=list)
+
+    def add(self, parent: int, label: str, inner: bool) -> int:
+        h = _digest(label)
+        self.parent.append(parent)
+        self.branch.append(_mix(self.branch[parent], h))
+        self.label.append(h)
+        self.inner.append(inner)
+        return len(self.parent) - 1
+
+
+def _named_noise(name: str, names: list[str], in_article: bool) -> int:
     """Whether class or id name a part that isn't main text. Of articles only some names count, of the page none."""
     if name in ("html", "body", "main"):
-        return False
+        return CLEAN
     noise = NOT_ARTICLE if name == "article" else NOISE_NAMES - {"header"} if in_article else NOISE_NAMES
-    for token in named.split():
+    found = CLEAN
+    for token in names:
         parts = NAME_PART.findall(token)
-        if not noise.isdisjoint(parts) and LAYOUT_NAMES.isdisjoint(parts):
-            return True
-    return False
+        if not noise.isdisjoint(parts) and all(p in NOISE_NAMES or p in PART_NAMES for p in parts):
+            found = max(found, NAMED if COMMENTS.isdisjoint(parts) else NEVER)
+    return found
 
 
-def _signature(name: str, rest: str, in_article: bool) -> tuple[str, bool]:
-    """Name with class and id (without digits), and whether these or the role or a hidden mark say noise."""
+def _signature(name: str, rest: str, in_article: bool) -> tuple[str, int]:
+    """Name with class and id (without digits), and how far these, the role or a hidden mark say noise."""
     if "=" not in rest and "hidden" not in rest:
-        return name, False
+        return name, CLEAN
     of = {k.lower(): (a or b or c or "") for k, a, b, c in ATTRIBUTE.findall(rest)}
-    named = f"{of.get('class', '')} {of.get('id', '')}".lower()
-    noise = (
-        _named_noise(name, named, in_article) or of.get("role", "").lower() in NOISE_ROLES
-        or "hidden" in of or of.get("aria-hidden", "").lower() == "true"
+    names = of.get("class", "").lower().split()
+    anchor = of.get("id", "").lower().split()
+    # a heading's id says what its text is about
+    noise = CLEAN if name in HEADINGS else _named_noise(name, names + anchor, in_article)
+    if (
+        of.get("role", "").lower() in NOISE_ROLES or "hidden" in of or of.get("aria-hidden", "").lower() == "true"
         or "display:none" in of.get("style", "").replace(" ", "").lower()
-    )
-    label = " ".join(sorted(set(re.sub(r"[0-9]+", "", named).split())))
+    ):
+        noise = NEVER
+    label = " ".join(sorted({re.sub(r"[0-9]+", "", n) for n in names + anchor}))
     return (f"{name}.{label}" if label else name), noise
 
 
-def blocks(page: str | None) -> list[tuple[str, bool, str, str, int]]:
-    """The text blocks of a page in order: (path, known noise, kind of place, text with white space joined, root).
+def parsed(page: str | None) -> Page:
+    """The tree and the text blocks of a page. Unclosed and wrongly nested elements are closed as browsers do it.
 
-    The place is ``article``, ``main`` or empty; the first ``root`` characters of the path are those of its element. Known noise are elements that never hold main text, and those whose
-    class, id or role names such a part. Unclosed and wrongly nested elements are closed as browsers do it.
+    Work and memory grow with the length of the page, however deep its elements are nested.
     """
-    out: list[tuple[str, bool, str, str, int]] = []
-    stack = [Node("", "", False, False, 0)]
-    place = [("", 0)]
+    out = Page()
+    stack = [Element("", 0, CLEAN, "", False)]
+    opened: dict[str, int] = {}
     text: list[str] = []
 
     def flush() -> None:
@@ -114,15 +176,19 @@ def blocks(page: str | None) -> list[tuple[str, bool, str, str, int]]:
             joined = BLANK.sub(" ", html.unescape("".join(text))).strip()
             text.clear()
             if joined:
-                kind, root = place[-1]
-                out.append((stack[-1].path, stack[-1].noise, kind, joined, root))
+                top = stack[-1]
+                out.blocks.append(Block(top.node, top.noise, top.kind, joined))
 
     def close_to(depth: int) -> None:
-        if any(n.block for n in stack[depth:]):
+        if any(stack[i].block for i in range(depth, len(stack))):
             flush()
-        del stack[depth:], place[depth:]
+        for e in stack[depth:]:
+            opened[e.name] -= 1
+        del stack[depth:]
 
     def close(names: tuple[str, ...], stop: tuple[str, ...]) -> None:
+        if not any(opened.get(n) for n in names):
+            return
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].name in names:
                 close_to(i)
@@ -143,10 +209,8 @@ def blocks(page: str | None) -> list[tuple[str, bool, str, str, int]]:
             continue
         name = name.lower()
         if token["end"]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].name == name:
-                    close_to(i)
-                    break
+            if opened.get(name):
+                close((name,), ())
             continue
         if name in CLOSES_P:
             close(("p",), SCOPES["p"])
@@ -165,128 +229,162 @@ def blocks(page: str | None) -> list[tuple[str, bool, str, str, int]]:
             end = re.compile(rf"</{name}\s*>", re.IGNORECASE).search(page, at)
             at = end.end() if end else len(page)
             continue
-        top, (inside, root) = stack[-1], place[-1]
-        label, noise = _signature(name, token["rest"], top.article)
-        noise = top.noise or noise or name in HIDDEN or (name == "header" and not inside)
-        path = f"{top.path}/{label}" if block else top.path
-        if name == "article" or name == "main" or 'role="main"' in token["rest"]:
-            kind = "article" if name == "article" or inside == "article" else "main"
-            if kind != inside:
-                inside, root = kind, len(path)
-        stack.append(Node(name, path, noise, inside == "article", block))
-        place.append((inside, root))
+        top = stack[-1]
+        label, noise = _signature(name, token["rest"], top.kind == "article")
+        if name in HIDDEN or (name == "header" and not top.kind):
+            noise = NEVER
+        kind = top.kind
+        if name == "article" or kind != "article" and (name == "main" or 'role="main"' in token["rest"]):
+            kind = "article" if name == "article" else "main"
+        node = out.add(top.node, label, kind != "" and kind == top.kind) if block else top.node
+        stack.append(Element(name, node, max(top.noise, noise), kind, block))
+        opened[name] = opened.get(name, 0) + 1
     flush()
     return out
 
 
-def branch_paths(path: str) -> list[str]:
-    """A path and the branches it lies in, from the widest."""
-    parts = path.split("/")
-    return ["/".join(parts[: i + 1]) for i in range(1, len(parts))]
-
-
-def inner_branches(block: tuple[str, bool, str, str, int]) -> list[str]:
-    """The branches below its article or main element that a block lies in; in the tree they are named by that kind."""
-    path, _, kind, _, root = block
-    return [f"{kind}:{b}" for b in branch_paths(path) if len(b) > root]
+def place(kind: str, branch: int) -> int:
+    """A branch below an article or main element as one of that kind's tree."""
+    return _mix(branch, _digest(kind)) if kind else branch
 
 
-def leaf_of(block: tuple[str, bool, str, str, int]) -> str:
+def leaf_of(page: Page, block: Block) -> int:
     """A block of an article or main element as a branch of its own, by its path and text."""
-    return f"{block[2]}:{block[0]}#{_long(block[3])}"
+    return _mix(place(block.kind, page.branch[block.node]), _digest(block.text))
 
 
-def main_text(found: list[tuple[str, bool, str, str, int]], low: frozenset[str]) -> str:
-    """The blocks that aren't noise or in ``low`` branches, of the article if there is one, else of main, else of the page."""
-    clean = [b for b in found if not b[1]]
-    for kind in ("article", "main"):
-        if any(b[2] == kind for b in clean):
-            own = [b for b in clean if b[2] == kind]
-            return "\n\n".join(b[3] for b in own if not low or low.isdisjoint([*inner_branches(b), leaf_of(b)]))
-    return "\n\n".join(b[3] for b in clean if not low or low.isdisjoint(branch_paths(b[0])))
+def chosen(page: Page) -> list[Block]:
+    """The blocks that aren't noise, of the article if there is one, else of main, else of the page.
+
+    A page of which nothing would be left keeps the parts that are noise by their names only.
+    """
+    for worst in (CLEAN, NAMED):
+        found = [b for b in page.blocks if b.noise <= worst]
+        for kind in ("article", "main"):
+            if any(b.kind == kind for b in found):
+                return [b for b in found if b.kind == kind]
+        if found:
+            return found
+    return []
+
+
+def main_text(page: Page, low: frozenset[int]) -> str:
+    """The chosen blocks that aren't in ``low`` branches; all of them if they all are."""
+    own = chosen(page)
+    if not low or not own:
+        return "\n\n".join(b.text for b in own)
+    kind = own[0].kind
+    inside = [False] * len(page.parent)
+    for node, parent in enumerate(page.parent):
+        judged = not kind or page.inner[node]
+        inside[node] = parent >= 0 and (inside[parent] or judged and _signed(place(kind, page.branch[node])) in low)
+    kept = [b for b in own if not inside[b.node] and not (kind and _signed(leaf_of(page, b)) in low)]
+    return "\n\n".join(b.text for b in kept or own)
 
 
 def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][-+.a-zA-Z0-9]*://([^/?#\s]*)", 1), F.lit("")))
 
 
-OBSERVED = "host string, path string, kind string, value long, copy long"
+OBSERVED = "host string, branch long, inner boolean, kind string, value long, copy long"
+
 
+def branch_hashes(page: Page, blocks: list[Block], kind: str) -> dict[int, tuple[int, int]]:
+    """Of every branch that holds some of the blocks: a hash of its style (the order of its parts, repeats left out) and
+    of its content.
 
-def _long(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+    Hashes are put together from the leaves to the root, so a block is looked at once, however deep it stands. A branch
+    may have several elements in a page, which are joined in order. With a kind, only branches below its element count.
+    """
+    # parts of each node in page order: (place in that order, style, content)
+    parts: dict[int, list[tuple[int, int, int]]] = {}
+    for i, b in enumerate(blocks):
+        parts.setdefault(b.node, []).append((i, 1, _digest(b.text)))
+    found: dict[int, list[tuple[int, int]]] = {}
+    for node in range(len(page.parent) - 1, 0, -1):
+        own = parts.pop(node, None)
+        if own is None:
+            continue
+        own.sort()
+        style, content = 2, 2
+        for x in dict.fromkeys(s for _, s, _ in own):
+            style = _mix(style, x)
+        for _, _, x in own:
+            content = _mix(content, x)
+        if not kind or page.inner[node]:
+            found.setdefault(place(kind, page.branch[node]), []).append((style, content))
+        parts.setdefault(page.parent[node], []).append((own[0][0], _mix(page.label[node], style), content))
+    out = {}
+    for branch, elements in found.items():
+        style, content = 3, 3
+        for x in dict.fromkeys(s for s, _ in reversed(elements)):
+            style = _mix(style, x)
+        for _, x in reversed(elements):
+            content = _mix(content, x)
+        out[branch] = style, content
+    return out
 
 
-def observed(found: list[tuple[str, bool, str, str, int]]) -> list[tuple[str, str, int, int | None]]:
-    """(branch, kind, value, copy) of a page: of each branch its style (the order of its blocks' paths) and its content.
+def observed(page: Page) -> list[tuple[int, bool, str, int, int]]:
+    """(branch, inner, kind, value, copy) of a page: of each branch its style and its content.
 
-    The branches below an article or main element are apart from those of the page around it. They leave known noise
-    out, have the texts of their single blocks as well, and ``copy``, a digest of the page's main text.
+    Branches of the page around articles hold all text but that of articles. Those below an article or main element
+    leave noise out, and have the texts of their single blocks as well. ``copy`` is a digest of the page's main text.
     """
-    styles: dict[str, list] = {}
-    inner: dict[str, list] = {}
-    texts = set()
-    for block in found:
-        path, noise, kind, text, _ = block
-        if kind != "article":
-            for branch in branch_paths(path):
-                styles.setdefault(branch, []).append((path[len(branch) :], text))
-        if kind and not noise:
-            for branch in inner_branches(block):
-                inner.setdefault(branch, []).append((path[len(branch) - len(kind) - 1 :], text))
-            texts.add((f"{kind}:{path}", _long(text)))
-    copy = _long(main_text(found, frozenset())) if texts else None
-    rows = [(branch, "text", text, copy) for branch, text in texts]
-    # a path that has blocks of its own is counted even if it is the article's, for its blocks to be compared with
-    for branch in {b for b, _ in texts} - inner.keys():
-        rows.append((branch, "page", 0, copy))
-    for of, own in ((styles, None), (inner, copy)):
-        for branch, x in of.items():
-            rows.append((branch, "style", _long("|".join(dict.fromkeys(p for p, _ in x))), own))
-            rows.append((branch, "content", _long("\n".join(t for _, t in x)), own))
+    copy = _signed(_digest(main_text(page, frozenset())))
+    rows = []
+    for kind in ("", "main", "article"):
+        own = [b for b in page.blocks if (b.kind == kind and b.noise == CLEAN if kind else b.kind != "article")]
+        found = branch_hashes(page, own, kind)
+        for branch, (style, content) in found.items():
+            rows.append((_signed(branch), kind != "", "style", _signed(style), copy))
+            rows.append((_signed(branch), kind != "", "content", _signed(content), copy))
+        if kind:
+            texts = {(place(kind, page.branch[b.node]), leaf_of(page, b)) for b in own}
+            rows += [(_signed(branch), True, "text", _signed(leaf), copy) for branch, leaf in texts]
+            # a path that has blocks of its own is counted even if it is the article's, for its blocks to be compared with
+            rows += [(_signed(branch), True, "page", 0, copy) for branch in {b for b, _ in texts} - found.keys()]
     return rows
 
 
 def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_count: int = 2) -> DataFrame:
-    """The style trees of all sites, a row per branch: host, path, n_pages, presentation, content, importance.
-
-    The pages of a host are merged by the paths of their elements (names with class and id). ``presentation`` is the
-    entropy of the styles in which a branch is laid out, ``content`` that of what stands in it, both over the pages
-    that have the branch and as a share of the most possible: 0 if all pages agree, 1 if no two do. ``importance`` is the
-    larger of them: text that the site repeats in one layout is noise.
-
-    Branches below an article or main element have ``article:`` or ``main:`` before their path. There, pages of one
-    main text count once: a site that shows an article at several addresses doesn't repeat its parts. A block that stands
-    beside others of its path is a branch as well (path, ``#`` and its text's digest) if ``min_count`` pages hold it;
-    its ``content`` is the share of the pages with the path that don't, its ``presentation`` null.
-    Counts are combined before they are moved, so a large host is no hot key.
+    """The style trees of all sites, a row per branch: host, branch, inner, n_pages, presentation, content, importance.
+
+    The pages of a host are merged by the paths of their elements (names with class and id), which ``branch`` is a hash
+    of. ``presentation`` is the entropy of the styles in which a branch is laid out, ``content`` that of what stands in
+    it, both over the pages that have the branch and as a share of the most possible: 0 if all pages agree, 1 if no two
+    do. ``importance`` is the larger of them: text that the site repeats in one layout is noise. Pages of one main text
+    count once: a site that shows a text at several addresses doesn't repeat its parts.
+
+    Branches below an article or main element (``inner``) are apart from those of the page. There, a block that stands
+    beside others of its path is a branch as well if ``min_count`` pages hold it; its ``content`` is the share of the
+    pages with the path that don't, its ``presentation`` null. Counts are combined before they are moved, so a large host
+    is no hot key.
     """
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(host, *row) for host, page in zip(batch["host"], batch["html"]) for row in observed(blocks(page))]
-            out = pd.DataFrame(rows, columns=["host", "path", "kind", "value", "copy"])
-            yield out.astype({"copy": "Int64"})
+            rows = [(host, *row) for host, page in zip(batch["host"], batch["html"]) for row in observed(parsed(page))]
+            yield pd.DataFrame(rows, columns=["host", "branch", "inner", "kind", "value", "copy"])
 
     seen = pages.select(host_of(column(url_col)).alias("host"), column(html_col).alias("html")).mapInPandas(look, OBSERVED)
-    # n counts pages outside of articles; inside, the rows of copies are one row before they are counted
-    once = seen.groupBy("host", "path", "kind", "value", "copy").count()
-    weight = F.when(F.col("copy").isNull(), F.col("count")).otherwise(F.lit(1))
-    counts = stored(once.groupBy("host", "path", "kind", "value").agg(F.sum(weight).alias("count")), "style-counts")
+    of = ["host", "branch", "inner"]
+    once = seen.groupBy(*of, "kind", "value", "copy").agg(F.lit(1).alias("one"))
+    counts = stored(once.groupBy(*of, "kind", "value").agg(F.count("one").alias("count")), "style-counts")
     n = F.col("count").cast("double")
-    per = counts.filter(F.col("kind") != "text").groupBy("host", "path", "kind").agg(F.sum(n).alias("pages"), F.sum(n * F.log2(n)).alias("terms"))
+    per = counts.filter(F.col("kind") != "text").groupBy(*of, "kind").agg(F.sum(n).alias("pages"), F.sum(n * F.log2(n)).alias("terms"))
     entropy = F.when(F.col("pages") <= 1, 1.0).otherwise((F.log2("pages") - F.col("terms") / F.col("pages")) / F.log2("pages"))
-    paths = per.groupBy("host", "path").agg(
+    branches = per.groupBy(*of).agg(
         F.max("pages").cast("long").alias("n_pages"),
         F.max(F.when(F.col("kind") == "style", entropy)).alias("presentation"),
         F.max(F.when(F.col("kind") == "content", entropy)).alias("content"),
     )
-    texts = counts.filter((F.col("kind") == "text") & (F.col("count") >= min_count)).select("host", "path", "value", "count")
-    leaves = texts.join(paths.select("host", "path", "n_pages"), ["host", "path"]).select(
-        "host", F.concat("path", F.lit("#"), F.col("value").cast("string")).alias("path"), "n_pages",
+    texts = counts.filter((F.col("kind") == "text") & (F.col("count") >= min_count)).select(*of, "value", "count")
+    leaves = texts.join(branches.select(*of, "n_pages"), of).select(
+        "host", F.col("value").alias("branch"), "inner", "n_pages",
         F.lit(None).cast("double").alias("presentation"), (1 - F.col("count") / F.col("n_pages")).alias("content"),
     )
-    every = paths.filter(F.col("content").isNotNull()).unionByName(leaves)
+    every = branches.filter(F.col("content").isNotNull()).unionByName(leaves)
     return every.withColumn("importance", F.greatest("presentation", "content"))
 
 
@@ -303,22 +401,23 @@ def extract(
     of the missing pages are taken to agree with no other, so that few pages have to agree more. These branches are a
     small written table per host; Spark joins it by its size.
 
-    Null and empty pages have an empty text. Pages without a host share one tree. Repeated pages count as often as they
-    are there, but once inside article and main. An empty table gives an empty one. Other columns are kept;
-    ``main_text`` is replaced.
+    A page keeps its text where all of it would go; names of classes and ids (whole words of them, of headings none) only
+    decide while something else is left. Null and empty pages have an empty text. Pages without a host share one tree.
+    Pages with one main text count once, repeated rows too. An empty table gives an empty one. Other columns are kept;
+    ``main_text`` is replaced. Time and memory of a page grow with its length, however deep its elements are nested.
     """
-    asked = F.when(F.col("path").startswith("/"), min_pages).otherwise(INSIDE_PAGES * min_pages)
+    asked = F.when(F.col("inner"), INSIDE_PAGES * min_pages).otherwise(min_pages)
     unseen = F.greatest(asked - F.col("n_pages"), F.lit(0)) / 2
     judged = (F.col("n_pages") * F.col("importance") + unseen) / (F.col("n_pages") + unseen)
     tree = style_tree(pages, url_col, html_col).filter(judged < min_importance)
     host, branches = unused(pages, "_host", "_low")
-    low = stored(tree.groupBy(F.col("host").alias(host)).agg(F.sort_array(F.collect_list("path")).alias(branches)), "style-tree")
+    low = stored(tree.groupBy(F.col("host").alias(host)).agg(F.sort_array(F.collect_list("branch")).alias(branches)), "style-tree")
 
     @F.pandas_udf("string")
     def text_of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for page, paths in batches:
             yield pd.Series(
-                [main_text(blocks(p), frozenset(x) if x is not None else frozenset()) for p, x in zip(page, paths)], dtype=object
+                [main_text(parsed(p), frozenset(x.tolist()) if x is not None else frozenset()) for p, x in zip(page, paths)], dtype=object
             )
 
     keep = [column(c) for c in pages.columns if c != "main_text"]
