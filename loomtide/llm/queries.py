@@ -224,8 +224,9 @@ def op10(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return secrets.scan(docs).select(
         "doc_id",
-        *[_count(found, kind).alias(f"n_{kind}") for kind in secrets.KINDS],
+        *[_count(found, kind).alias(f"n_{kind}") for kind in secrets.KINDS if kind != "entropy"],
         F.sha2(spans_text(base).cast("binary"), 256).alias("base_sha256"), spans_text(found).alias("spans"),
+        _count(found, "entropy").alias("n_entropy"),
     )
 
 
