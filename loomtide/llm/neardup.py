@@ -356,7 +356,7 @@ class NearDuplicates:
         return stored(self.confirmed(pairs, texts).unionByName(across), "more-links")
 
     def labels(self) -> DataFrame:
-        """(node, component_id) for every set of shingles."""
+        """(node, comp, component_id) for every set of shingles; different components may have one smallest id."""
         links = self.first_links()
         comps = stored(components(links), "components")
         more = self.other_links(comps)
@@ -366,7 +366,7 @@ class NearDuplicates:
         joined = nodes.join(comps.select(F.col("node").alias("_n"), "comp"), F.col("node") == F.col("_n"), "left")
         joined = joined.select("node", "rep", F.coalesce("comp", "node").alias("comp"))
         least = joined.groupBy(F.col("comp").alias("_c")).agg(F.min("rep").alias("component_id"))
-        return joined.join(stored(least, "component-ids"), F.col("comp") == F.col("_c")).select("node", "component_id")
+        return joined.join(stored(least, "component-ids"), F.col("comp") == F.col("_c")).select("node", "comp", "component_id")
 
 
 def near_duplicates(
@@ -400,11 +400,27 @@ def near_duplicates(
     )
 
 
-def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` of which ``near_duplicates`` keeps one per component; of rows that repeat an id, one."""
-    labels = near_duplicates(docs, id_col, **options)
-    (name,) = unused(docs, "_kept")
-    kept = labels.filter(F.col("kept") & column(id_col).isNotNull()).select(column(id_col).alias(name)).distinct()
-    kept = stored(kept, "kept-ids")
-    own = docs.filter(column(id_col).isNotNull()).join(kept, column(id_col) == F.col(name), "left_semi")
-    return own.dropDuplicates([id_col]).unionByName(docs.filter(column(id_col).isNull()))
+def without_near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD,
+) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: one row of each component of ``near_duplicates``.
+
+    A row is known by its id and its text: rows that repeat an id but not the text are judged by their own texts, and all
+    of them stay if nothing resembles them. Of a component the row with the smallest id stays, of several with that id
+    the one whose text has the smallest hash, of equal rows one. Rows without an id stay; so do rows without a set of
+    shingles, of equal ones one.
+    """
+    work = NearDuplicates(docs, id_col, text_col, shingle, threshold)
+    labels = stored(work.labels().select(F.col("node").alias("_n"), "comp"), "labels")
+    first = work.sets.join(labels, F.col("node") == F.col("_n")).groupBy("comp").agg(
+        F.min(F.struct("_id", "_hash")).alias("_first")
+    ).select(F.col("_first._id").alias("_id"), F.col("_first._hash").alias("_hash"))
+    alone = work.rows.filter("node is null and _id is not null").select("_id", "_hash")
+    name, text = unused(docs, "_kept", "_text_hash")
+    # a null text hashes like a number, so every row has a key
+    kept = stored(first.unionByName(alone).distinct().select(F.col("_id").alias(name), F.col("_hash").alias(text)), "kept-rows")
+    here = F.xxhash64(column(text_col))
+    own = docs.filter(column(id_col).isNotNull()).join(kept, (column(id_col) == F.col(name)) & (here == F.col(text)), "left_semi")
+    (key,) = unused(docs, "_key")
+    own = own.withColumn(key, here).dropDuplicates([id_col, key]).drop(key)
+    return own.unionByName(docs.filter(column(id_col).isNull()))

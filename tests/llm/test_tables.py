@@ -345,6 +345,17 @@ def test_op8(spark, small, documents):
     assert got == clusters(pairs(documents, "doc_id", "text"), 2)
 
 
+def test_rows_are_kept_by_id_and_text(spark):
+    a, b, c, d = (sentence(900 + i, 60) for i in range(4))
+    near = a.split()
+    rows = [(1, a), (1, b), (2, c), (3, " ".join([*near[:30], "other", *near[31:]])), (4, b), (1, a), (5, None), (5, ""), (5, None), (None, d), (None, d)]
+    df = clash(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = neardup.without_near_duplicates(df)
+    assert got.columns == df.columns
+    assert sorted(pairs(got, "doc_id", "text"), key=str) == sorted([(1, a), (1, b), (2, c), (5, None), (5, ""), (None, d), (None, d)], key=str)
+    assert neardup.without_near_duplicates(df.limit(0)).count() == 0
+
+
 # --- page text
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body class="has-sidebar">
@@ -372,10 +383,10 @@ def test_large_draws_follow_the_law():
 
 def test_page_text():
     want = "A & b\n\nOne two bold <x> three\n\nFour\n\na\n\nb\n\n1\n\n2\n\n3\n\n5 < 6 éé🙂"
-    assert pages.main_text(pages.blocks(PAGE), frozenset()) == want
-    assert pages.main_text(pages.blocks("<p>a<p>b <i>c"), frozenset()) == "a\n\nb c"
+    assert pages.main_text(pages.parsed(PAGE), frozenset()) == want
+    assert pages.main_text(pages.parsed("<p>a<p>b <i>c"), frozenset()) == "a\n\nb c"
     for odd in (None, "", "<", "<p", "<p class='x", "</p></div>", "<!--", "<script>x", "&amp", "<a <b>"):
-        assert isinstance(pages.main_text(pages.blocks(odd), frozenset()), str)
+        assert isinstance(pages.main_text(pages.parsed(odd), frozenset()), str)
 
 
 def test_style_tree_removes_what_a_site_repeats(spark):
@@ -412,6 +423,88 @@ def test_style_tree_judges_inside_articles_and_on_few_pages(spark):
     assert all(got[300 + i] == whole(300) for i in range(20)) and all(got[i] == whole(i) for i in range(400, 404))
 
 
+def extracted(spark, rows):
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    return {r[0]: r[1] for r in pages.extract(df).select("page_id", "main_text").collect()}
+
+
+def test_no_page_loses_all_its_text(spark):
+    real = {i: f"{sentence(i, 8)}\n\n{sentence(50 + i, 30)}" for i in range(5)}
+    rows = [(100 + i, f"http://gone.example/x{i}", "<html><body><div><p>Not found</p><p>Go home</p></div></body></html>") for i in range(60)]
+    rows += [(i, f"http://gone.example/{i}", f"<html><body><div><p>{sentence(i, 8)}</p><p>{sentence(50 + i, 30)}</p></div></body></html>") for i in real]
+    rows += [(200 + i, f"http://same.example/{i}", f"<body><div class=text><p>{sentence(7, 30)}</p></div></body>") for i in range(10)]
+    got = extracted(spark, rows)
+    assert {i: got[i] for i in real} == real
+    assert all(got[100 + i] == "Not found\n\nGo home" for i in range(60)) and all(got[200 + i] == sentence(7, 30) for i in range(10))
+
+
+def test_names_of_real_text_keep_it():
+    text = lambda page: pages.main_text(pages.parsed(page), frozenset())
+    assert text('<article><h2 id="search-algorithms">A</h2><h2 id="comments">B</h2><h2 id="form-and-function">C</h2><p>d</article>') == "A\n\nB\n\nC\n\nd"
+    assert text('<article><section id="alert-rules"><p>a</section><div class="side-by-side"><p>b</div><div class="entry social-science"><p>c</div></article>') == "a\n\nb\n\nc"
+    assert text('<body><div class="content login-optional"><p>a</div></body>') == "a"
+    assert text('<body><div class="login"><p>a</div></body>') == "a"  # nothing else is left
+    for name in ("ad-slot", "site-header", "main-nav", "left sidebar", "cookie-consent-banner", "related-posts", "share-buttons", "comments-area", "page-footer", "widget_search"):
+        assert text(f'<body><p>a</p><div class="{name}"><p>b</div></body>') == "a", name
+    assert text('<body><div id="comments"><p>only readers</div></body>') == ""
+
+
+def test_deep_pages_take_time_and_memory_by_their_length():
+    import time
+    import tracemalloc
+
+    page = "".join(f"<div><b>word{i} " for i in range(20_000)) + "</i>" * 20_000
+    start = time.perf_counter()
+    tree = pages.parsed(page)
+    rows = pages.observed(tree)
+    low = frozenset(r[0] for r in rows[5000:5002])
+    kept = pages.main_text(tree, low)
+    assert time.perf_counter() - start < 4
+    assert len(tree.blocks) == 20_000 and kept.startswith("word0\n\nword1\n\n") and len(rows) == 40_000
+    assert kept.endswith("word17498")  # the branch that is low, and all that is in it
+    tracemalloc.start()
+    pages.observed(pages.parsed(page))
+    assert tracemalloc.get_traced_memory()[1] < 100 * 2**20
+    tracemalloc.stop()
+
+
+def test_style_tree_against_brute_force(spark):
+    """Entropies of branches from the texts and layouts themselves, written as strings."""
+    import math
+
+    def page(i):
+        extra = "<p>two</p>" if i % 3 else ""
+        return f"<body><div class=top><p>hello {i % 2}</p></div><div class=body><p>{sentence(i // 2, 6)}</p>{extra}</div><div class=end><p>bye</p></div></body>"
+
+    rows = [(i, "http://h.example/", page(i)) for i in range(24)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["branch"]: (r["n_pages"], r["presentation"], r["content"]) for r in pages.style_tree(df).collect()}
+    layouts, texts = collections.defaultdict(dict), collections.defaultdict(dict)
+    for _, _, page_html in rows:
+        parts = re.findall(r"<div class=(\w+)>(.*?)</div>", page_html)
+        key = page_html
+        for name, inside in parts:
+            ps = re.findall("<p>(.*?)</p>", inside)
+            layouts[f"/body/div.{name}"][key] = "p" if ps else ""
+            texts[f"/body/div.{name}"][key] = "\n".join(ps)
+            layouts[f"/body/div.{name}/p"][key], texts[f"/body/div.{name}/p"][key] = "", "\n".join(ps)
+        layouts["/body"][key], texts["/body"][key] = "|".join(n for n, _ in parts), page_html
+
+    def entropy(values):
+        n, of = len(values), collections.Counter(values)
+        return 1.0 if n <= 1 else sum(-c / n * math.log2(c / n) for c in of.values()) / math.log2(n)
+
+    want = {}
+    for path in layouts:
+        h = 1
+        for name in path.strip("/").split("/"):
+            h = pages._mix(h, pages._digest(name))
+        want[pages._signed(h)] = (len(texts[path]), entropy(list(layouts[path].values())), entropy(list(texts[path].values())))
+    assert got.keys() == want.keys()
+    for branch, (n, presentation, content) in want.items():
+        assert got[branch] == (n, pytest.approx(presentation), pytest.approx(content))
+
+
 def test_op2_gives_the_articles(spark, small):
     import html
 
