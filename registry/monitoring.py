@@ -389,7 +389,7 @@ FULL_RUNS_SQL = """
 full_runs AS (SELECT event_type AS model_name, '1.0' AS model_version, date_trunc('day', ts)::TIMESTAMP AS run_ts,
   avg(CASE WHEN value < 70 THEN 1.0 ELSE 0.0 END) AS f1, avg(CASE WHEN value < 90 THEN 1.0 ELSE 0.0 END) AS prec,
   avg(CASE WHEN value < 60 THEN 1.0 ELSE 0.0 END) AS rec, count(*) / 4.0 AS secs,
-  avg(value) / 50 AS value_score, avg(user_id % 10) / 5 AS user_score FROM events GROUP BY ALL),
+  avg(value) / 70 AS value_score, avg(user_id % 10) / 7 AS user_score FROM events GROUP BY ALL),
 full_base AS (SELECT *, 'model_name=' || model_name || ',model_version=' || model_version AS l,
   sum(secs) OVER (PARTITION BY model_name ORDER BY run_ts) AS total_secs, count(*) OVER (PARTITION BY model_name ORDER BY run_ts) AS n_runs
   FROM full_runs)"""
@@ -413,8 +413,8 @@ def full_samples(spark: SparkSession, folder: str) -> DataFrame:
         F.col("event_type").alias("model_name"), F.date_trunc("day", "ts").cast("timestamp_ntz").alias("run_ts")
     ).agg(
         share(value < 70).alias("current_f1"), share(value < 90).alias("current_precision"), share(value < 60).alias("current_recall"),
-        (F.count(F.lit(1)) / 4.0).alias("duration_seconds"), (F.avg(value) / 50).alias("value_score"),
-        (F.avg(F.col("user_id") % 10) / 5).alias("user_score"),
+        (F.count(F.lit(1)) / 4.0).alias("duration_seconds"), (F.avg(value) / 70).alias("value_score"),
+        (F.avg(F.col("user_id") % 10) / 7).alias("user_score"),
     )
     runs = daily_runs(spark, folder).join(more, ["model_name", "run_ts"])
     entry = lambda name, c: F.struct(F.lit(name).alias("column_name"), F.col(c).alias("drift_score"))
@@ -433,10 +433,10 @@ def metric_export_full(spark: SparkSession, folder: str) -> DataFrame:
 @REG.add(
     "exposition_lines",
     f"""WITH {_ALL_SAMPLES_SQL} SELECT metric || '{{' || array_to_string([split_part(x, '=', 1) || '="' || split_part(x, '=', 2) || '"' FOR x IN string_split(labels, ',')], ',')
-   || '}} ' || CAST(round(CAST(value AS DOUBLE), 4) AS VARCHAR) AS line FROM every""",
+   || '}} ' || CAST(round(CAST(value AS DOUBLE), 9) AS VARCHAR) AS line FROM every""",
 )
 def exposition_lines(spark: SparkSession, folder: str) -> DataFrame:
-    return health.exposition_lines(rounded(full_samples(spark, folder), 4))
+    return health.exposition_lines(rounded(full_samples(spark, folder), 9))
 
 
 @REG.add(
