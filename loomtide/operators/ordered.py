@@ -152,50 +152,58 @@ def bracketed_quantiles(
     spark = df.sparkSession
     values = df.select(*groups, *[present(df, c).cast("double").alias(f"_x{i}") for i, c in enumerate(columns)])
     cuts = [f for p in wanted for f in (max(0.0, p - MARGIN), min(1.0, p + MARGIN))]
-    sketches = []
+    # long lists of expressions are written as SQL, which costs one call where each piece of a column costs several
+    fractions = ",".join(map(repr, cuts))
+    facts_of, slots_of = [], []
     for i, c in enumerate(columns):
-        x = F.col(f"_x{i}")
-        found = F.percentile_approx(x, F.array(*[F.lit(f) for f in cuts]), ACCURACY)
-        n, lowest, highest = F.count(x), F.min(x), F.max(x)
-        whole = n <= 2 / MARGIN
-        sketches += [
-            F.struct(
-                F.lit(c).alias("column_name"), n.alias("n"),
-                F.when(whole | (p <= MARGIN), lowest).otherwise(found[2 * k]).alias("low"),
-                F.when(whole | (p >= 1 - MARGIN), highest).otherwise(found[2 * k + 1]).alias("high"),
-            )
-            for k, p in enumerate(F.lit(p) for p in wanted)
+        facts_of += [
+            F.expr(f"percentile_approx(_x{i}, cast(split('{fractions}', ',') as array<double>), {ACCURACY}) as _q{i}"),
+            F.expr(f"count(_x{i}) as _n{i}"), F.expr(f"min(_x{i}) as _min{i}"), F.expr(f"max(_x{i}) as _max{i}"),
         ]
-    slots = range(len(sketches))
-    of = [F.col(f"_x{j // len(wanted)}") for j in slots]
+        few = f"_n{i} <= {2 / MARGIN}"
+        for k, p in enumerate(wanted):
+            low = f"_min{i}" if p <= MARGIN else f"if({few}, _min{i}, _q{i}[{2 * k}])"
+            high = f"_max{i}" if p >= 1 - MARGIN else f"if({few}, _max{i}, _q{i}[{2 * k + 1}])"
+            slots_of.append(f"named_struct('column', {i}, 'n', _n{i}, 'low', {low}, 'high', {high})")
+    slots = range(len(slots_of))
+    of = [f"_x{j // len(wanted)}" for j in slots]
+    sketched = values.groupBy(*groups).agg(*facts_of).select(*groups, F.expr(f"array({', '.join(slots_of)}) as _slots"))
     path = shared_folder(spark, "quantiles")
-    values.groupBy(*groups).agg(F.array(*sketches).alias("_slots")).write.parquet(f"{path}/brackets")
-    brackets = spark.read.parquet(f"{path}/brackets")
+
+    def table(df: DataFrame, name: str) -> DataFrame:
+        """Written and read back; without groups it is one row, which the driver may hold."""
+        if not groups:
+            return spark.createDataFrame(df.collect(), df.schema)
+        df.write.parquet(f"{path}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{path}/{name}")
+
+    brackets = table(sketched, "brackets")
     if groups:
-        edges = [F.col("_slots")[j][side].alias(f"_{side}{j}") for j in slots for side in ("low", "high")]
+        edges = [F.expr(f"_slots[{j}].{side} as _{side}{j}") for j in slots for side in ("low", "high")]
         values = join_on(values, brackets.select(*groups, *edges), groups)
-        low, high = ([F.col(f"_{side}{j}") for j in slots] for side in ("low", "high"))
+        low, high = ([f"_{side}{j}" for j in slots] for side in ("low", "high"))
     else:
         row = brackets.first()["_slots"]
-        low, high = ([F.lit(slot[side]).cast("double") for slot in row] for side in ("low", "high"))
-    inside = [(x >= low[j]) & (x <= high[j]) for j, x in enumerate(of)]
-    values.groupBy(*groups).agg(
-        F.array(*[F.count_if(x < low[j]) for j, x in enumerate(of)]).alias("_below"),
-        F.array_max(F.array(*[F.count_if(c) for c in inside])).alias("_most"),
-    ).write.parquet(f"{path}/below")
-    below = spark.read.parquet(f"{path}/below")
-    entries = F.array_compact(F.array(*[
-        F.when(c, F.struct(F.lit(j).alias("_slot"), x.alias("value"))) for j, (c, x) in enumerate(zip(inside, of))
-    ]))
+        number = lambda v: "cast(null as double)" if v is None else f"cast('{v!r}' as double)"
+        low, high = ([number(slot[side]) for slot in row] for side in ("low", "high"))
+    inside = [f"{x} >= {low[j]} and {x} <= {high[j]}" for j, x in enumerate(of)]
+    below = table(values.groupBy(*groups).agg(
+        F.expr("array(" + ", ".join(f"count_if({x} < {low[j]})" for j, x in enumerate(of)) + ") as _below"),
+        F.expr("array_max(array(" + ", ".join(f"count_if({c})" for c in inside) + ")) as _most"),
+    ), "below")
+    entries = F.expr("array_compact(array(" + ", ".join(
+        f"case when {c} then named_struct('_slot', {j}, 'value', {x}) end" for j, (c, x) in enumerate(zip(inside, of))
+    ) + "))")
     keys = [*groups, "_slot"]
     held = values.select(*groups, F.inline(entries))
     counts = held.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"))
     many = (below.agg(F.max("_most")).first()[0] or 0) > hot_rows
     heavy = hot_keys(held, keys, hot_rows) if many else Hot(counts, 0, hot_rows)
     ordered = running_totals(counts, keys, "value", ["n"], heavy)
+    name_of = F.get(F.array(*[F.lit(c) for c in columns]), F.col("_facts.column"))
     facts = join_on(brackets, below if groups else F.broadcast(below), groups).select(
         *groups, F.posexplode("_slots").alias("_slot", "_facts"), "_below"
-    ).select(*keys, "_facts.column_name", F.col("_facts.n").alias("_all"), F.get("_below", F.col("_slot")).alias("_under"))
+    ).select(*keys, name_of.alias("column_name"), F.col("_facts.n").alias("_all"), F.get("_below", F.col("_slot")).alias("_under"))
     placed = join_on(facts, ordered, keys, "left")
     share = F.element_at(F.array(*[F.lit(p) for p in wanted]), F.col("_slot") % len(wanted) + 1)
     position = (F.col("_all") - 1) * share
