@@ -416,11 +416,16 @@ def without_near_duplicates(
         F.min(F.struct("_id", "_hash")).alias("_first")
     ).select(F.col("_first._id").alias("_id"), F.col("_first._hash").alias("_hash"))
     alone = work.rows.filter("node is null and _id is not null").select("_id", "_hash")
-    name, text = unused(docs, "_kept", "_text_hash")
-    # a null text hashes like a number, so every row has a key
-    kept = stored(first.unionByName(alone).distinct().select(F.col("_id").alias(name), F.col("_hash").alias(text)), "kept-rows")
+    again = work.rows.filter("_id is not null").groupBy("_id", "_hash").count().filter("count > 1")
+    again = again.select(F.col("_id").alias("_ai"), F.col("_hash").alias("_ah"))
+    kept = first.unionByName(alone).distinct().join(again, (F.col("_id") == F.col("_ai")) & (F.col("_hash") == F.col("_ah")), "left")
+    name, text, key = unused(docs, "_kept", "_text_hash", "_key")
+    kept = stored(kept.select(F.col("_id").alias(name), F.col("_hash").alias(text), F.col("_ai").isNotNull().alias("several")), "kept-rows")
+    # a null text hashes like a number, so every row has a key; only rows that are there several times are brought together
     here = F.xxhash64(column(text_col))
-    own = docs.filter(column(id_col).isNotNull()).join(kept, (column(id_col) == F.col(name)) & (here == F.col(text)), "left_semi")
-    (key,) = unused(docs, "_key")
-    own = own.withColumn(key, here).dropDuplicates([id_col, key]).drop(key)
-    return own.unionByName(docs.filter(column(id_col).isNull()))
+    same = (column(id_col) == F.col(name)) & (here == F.col(text))
+    own = docs.filter(column(id_col).isNotNull())
+    once = own.join(kept.filter(~F.col("several")).drop("several"), same, "left_semi")
+    several = own.join(kept.filter("several").drop("several"), same, "left_semi")
+    several = several.withColumn(key, here).dropDuplicates([id_col, key]).drop(key)
+    return once.unionByName(several).unionByName(docs.filter(column(id_col).isNull()))
