@@ -5,17 +5,20 @@ Building blocks:
 * ``running_totals`` - prefix sums over (group, value) count tables. Groups with more than ``hot_rows`` rows are cut
   at approximate quantiles into slices; slices are summed independently and shifted by the totals of the slices
   before them. Rank tests and curves are small aggregations on top of it.
+  A group gets more than ``SLICES`` slices only where they would hold more than ``HOT_ROWS`` rows otherwise: every row is
+  looked up among its group's cut points, so their number must not grow with the rows.
 * ``bracketed_quantiles`` - exact quantiles that move only the values near the wanted ranks.
 * ``carry_forward`` - "last seen value" per key in time order. Keys with more than ``hot_rows`` rows are cut into
   time slices, and the last value of the slices before is carried in from a table that has one row per slice.
 
 The cut points only decide where work runs; results are exact whatever they are. Hot groups are counted first, which
-costs one pre-combined pass over the key columns. There are at most rows/hot_rows of them, with about
-rows/hot_rows cut points in all; these tables are broadcast when the measured number says that they are small.
+costs one pre-combined pass over the key columns. There are at most rows/hot_rows of them, with at most
+about rows/hot_rows cut points in all; these tables are broadcast when the measured number says that they are small.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -28,6 +31,8 @@ from loomtide.session import shared_folder
 
 BLOCK = 32
 HOT_ROWS = 2_000_000
+#: Slices of a group, however few rows make it hot, unless they would pass HOT_ROWS rows.
+SLICES = 256
 #: Cut points of a hot group at least, before they are thinned; a larger group gets as many as it needs.
 FINE_CUTS = 2048
 BROADCAST_CUTS = 2_000_000
@@ -123,8 +128,8 @@ def running_totals(
 
 
 def _thinned(cuts: str, heavy: Hot) -> Column:
-    """Every n-th cut point only, so that slices hold about ``hot_rows`` rows (needs the row count as ``_n``)."""
-    every = F.greatest(F.lit(1), F.floor(F.lit(heavy.cuts * heavy.hot_rows) / F.col("_n"))).cast("int")
+    """Every n-th cut point only, so that slices hold about ``_slice_rows`` rows (needs the row count as ``_n``)."""
+    every = F.greatest(F.lit(1), F.floor(F.lit(heavy.cuts) * _slice_rows(heavy.hot_rows) / F.col("_n"))).cast("int")
     return F.filter(cuts, lambda e, i: (i + 1) % every == 0)
 
 
@@ -239,6 +244,11 @@ class Hot:
         return F.broadcast(side) if self.slices <= BROADCAST_CUTS else side
 
 
+def _slice_rows(hot_rows: int) -> Column:
+    """Rows in a slice of a hot group of ``_n`` rows."""
+    return F.greatest(F.lit(hot_rows), F.least(F.lit(HOT_ROWS), F.col("_n") / F.lit(SLICES)))
+
+
 def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> Hot:
     """Find the hot groups, in one pass over the key columns that is combined before its shuffle.
 
@@ -247,12 +257,12 @@ def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> Ho
     if not keys:
         total = df.count()
         one = df.sparkSession.createDataFrame([(0, total)], "_all int, _n long")
-        parts = -(-total // hot_rows)
+        parts = math.ceil(total / max(hot_rows, min(HOT_ROWS, total / SLICES)))
         return Hot(one, parts if total > hot_rows else 0, hot_rows, max(FINE_CUTS, parts))
     heavy = (
         df.select(*keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
     )
-    parts = F.ceil(F.col("_n") / F.lit(hot_rows))
+    parts = F.ceil(F.col("_n") / _slice_rows(hot_rows))
     slices, most = heavy.agg(F.coalesce(F.sum(parts), F.lit(0)), F.coalesce(F.max(parts), F.lit(0))).first()
     return Hot(heavy, int(slices), hot_rows, max(FINE_CUTS, int(most)))
 
@@ -271,7 +281,7 @@ def column_quantiles(
 
 
 def hot_key_cuts(df: DataFrame, heavy: Hot, keys: Sequence[str], order: str) -> DataFrame:
-    """Time cut points of the hot keys, about ``hot_rows`` rows apart.
+    """Time cut points of the hot keys, about ``_slice_rows`` rows apart.
 
     There are at most rows/hot_rows hot keys and about as many cut points in all. Cut points repeat where one
     instant holds many rows.

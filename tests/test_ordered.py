@@ -37,6 +37,19 @@ def test_running_totals(spark, hot_rows):
         assert r["next_value"] == min((x for x in values if x > r["v"]), default=None)
 
 
+@pytest.mark.parametrize("keys", [[], ["g"]])
+def test_cut_points_do_not_grow_with_the_rows(spark, monkeypatch, keys):
+    rows = 3000
+    df = spark.range(rows).select(F.lit("hot").alias("g"), (F.col("id") % 1500).cast("double").alias("v"))
+    counts = o.value_counts(df, keys, "v")
+    for hot_rows, most_rows, slices in ((2, o.HOT_ROWS, 256), (2, 6, 500), (100, 6, 30)):
+        monkeypatch.setattr(o, "HOT_ROWS", most_rows)
+        heavy = o.hot_keys(df, keys, hot_rows)
+        assert heavy.slices == slices
+        got = {r["v"]: (r["cum_n"], r["total_n"], r["next_value"]) for r in o.running_totals(counts, keys, "v", ["n"], heavy).collect()}
+        assert got == {float(v): (2 * v + 2, rows, v + 1.0 if v < 1499 else None) for v in range(1500)}
+
+
 @pytest.mark.parametrize("hot_rows", [10**9, 10])
 def test_quantiles(spark, hot_rows):
     rng = np.random.default_rng(2)
