@@ -143,3 +143,16 @@ def test_ks_and_wasserstein(spark, hot_rows):
     area = float((np.abs(f - g)[:-1] * np.diff(grid)).sum())
     assert got["wasserstein"] == pytest.approx(area / ref.std())
     assert (got["n_ref"], got["n_cur"]) == (180, 90)
+
+
+def test_drift_slices_do_not_grow_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(o, "SLICES", 8)
+    df = spark.range(900).selectExpr("if(id % 3 = 0, 'current', 'reference') as dataset", "double(id) as x", "double(id % 7) as z")
+    seen = []
+    monkeypatch.setattr(drift, "per_column", lambda *a: seen.append(o.per_column(*a)) or seen[-1])
+    got = {r["column_name"]: r for r in drift.numeric_drift(df, ["x", "z"], hot_rows=2).collect()}
+    assert seen[0].slices == 2 * 8
+    for name, of in (("x", lambda i: i), ("z", lambda i: i % 7)):
+        ref, cur = [of(i) for i in range(900) if i % 3], [of(i) for i in range(0, 900, 3)]
+        gaps = [abs(sum(v <= at for v in ref) / 600 - sum(v <= at for v in cur) / 300) for at in {*ref, *cur}]
+        assert got[name]["ks"] == pytest.approx(max(gaps))
