@@ -17,7 +17,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtide.functions.columns import present
+from loomtide.functions.columns import join_on, present
 from loomtide.operators import evaluation, splitting
 
 INPUT = {"featuresCol": "_features", "labelCol": "_label"}
@@ -212,8 +212,13 @@ def cross_validate(
     df: DataFrame, key: str | Sequence[str], features: Sequence[str], target: str, task: str,
     algorithm: str = "random_forest", folds: int = 5, **params: object,
 ) -> DataFrame:
-    """Metrics per fold; each fold is fitted once and all metrics come from one scoring."""
+    """Metrics per fold; each fold is fitted once and all metrics come from one scoring.
+
+    Linear regressions are fitted from the moments of one pass and scored in a second one, for all folds at once.
+    """
     marked = splitting.cv_folds(df, key, folds)
+    if (task, algorithm) == ("regression", "linear"):
+        return _linear_folds(marked, list(features), target, folds)
     parts = []
     for fold in range(folds):
         fitted = train(marked.where(F.col("fold") != fold), features, target, task, algorithm, **params)
@@ -241,7 +246,10 @@ class Moments:
         """Coefficients and intercept of the (ridge) regression of the target on some of the columns."""
         at = list(features)
         x = self.products[np.ix_(at, at)] + alpha * np.eye(len(at))
-        weights = np.linalg.lstsq(x, self.products[at, target], rcond=None)[0]
+        # in units of each column's deviation, so that a column of small numbers does not pass for a dependent one
+        unit = np.sqrt(np.diag(x))
+        unit[unit == 0] = 1.0
+        weights = np.linalg.lstsq(x / np.outer(unit, unit), self.products[at, target] / unit, rcond=None)[0] / unit
         return weights, float(self.mean[target] - weights @ self.mean[at])
 
 
@@ -267,6 +275,28 @@ def column_moments(df: DataFrame, columns: Sequence[str], by: str | None = None)
     return out
 
 
+def _left_out_fits(parts: dict[object, Moments], alpha: float = 0.0) -> dict[object, tuple[np.ndarray, float]]:
+    """Per fold, coefficients and intercept fitted on the rows of the other folds, where there are any."""
+    rest = {fold: [m for f, m in parts.items() if f != fold] for fold in sorted(parts)}
+    return {
+        fold: reduce(Moments.__add__, others).fit(range(len(others[0].mean) - 1), alpha=alpha)
+        for fold, others in rest.items() if others
+    }
+
+
+def _linear_folds(marked: DataFrame, features: Sequence[str], target: str, folds: int) -> DataFrame:
+    """Regression metrics per ``fold`` of linear models that leave the fold out; rows that lack a value are left out."""
+    prediction = F.lit(None).cast("double")
+    for fold, (weights, intercept) in _left_out_fits(column_moments(marked, [*features, target], "fold")).items():
+        terms = [F.lit(float(w)) * present(marked, f).cast("double") for w, f in zip(weights, features)]
+        prediction = F.when(F.col("fold") == fold, sum(terms, F.lit(intercept))).otherwise(prediction)
+    scored = marked.select("fold", present(marked, target).cast("double").alias("_y"), prediction.alias("_p"))
+    metrics = evaluation.regression_metrics(scored, "_y", "_p", ["fold"])
+    every = marked.sparkSession.range(folds).select(F.col("id").cast("int").alias("fold"))
+    out = join_on(every, metrics, ["fold"], "left")
+    return out.select(F.coalesce("n", F.lit(0)).alias("n"), *[c for c in metrics.columns if c not in ("fold", "n")], "fold")
+
+
 def cross_validate_linear(
     df: DataFrame, key: str | Sequence[str], features: Sequence[str], target: str, folds: int = 5, alpha: float = 0.0
 ) -> DataFrame:
@@ -278,11 +308,8 @@ def cross_validate_linear(
     """
     parts = column_moments(splitting.cv_folds(df, key, folds), [*features, target], "fold")
     at, rows = list(range(len(features))), []
-    for fold, own in sorted(parts.items()):
-        others = [m for f, m in parts.items() if f != fold]
-        if not others:
-            continue
-        weights, intercept = reduce(Moments.__add__, others).fit(at, alpha=alpha)
+    for fold, (weights, intercept) in _left_out_fits(parts, alpha).items():
+        own = parts[fold]
         xx, xy, yy = own.products[np.ix_(at, at)], own.products[at, -1], own.products[-1, -1]
         spread = (yy - 2 * weights @ xy + weights @ xx @ weights) / own.n
         mse = float(max(0.0, spread) + (own.mean[-1] - intercept - weights @ own.mean[at]) ** 2)

@@ -189,6 +189,33 @@ def test_linear_folds_from_moments_are_those_of_refits(spark):
     assert models.cross_validate_linear(df.limit(0), "id", ["a"], "y").count() == 0
 
 
+def test_linear_cross_validation_fits_all_folds_at_once(spark, monkeypatch):
+    from loomtide.operators import splitting
+
+    rng = np.random.default_rng(11)
+    # the second column is tiny, the third constant
+    x = np.c_[rng.normal(1e6, 1e5, 200), rng.normal(0, 1e-5, 200), np.full(200, 3.0)]
+    y = 1e-5 * x[:, 0] + 2e5 * x[:, 1] + rng.normal(0, 0.1, 200)
+    rows = [(i, *map(float, x[i]), float(y[i])) for i in range(200)]
+    df = spark.createDataFrame([*rows, (900, None, 1.0, 3.0, 1.0), (901, 1.0, 1.0, 3.0, None), (902, float("nan"), 1.0, 3.0, 1.0)],
+                               "id long, a double, b double, c double, y double")
+    fold = {r["id"]: r["fold"] for r in splitting.cv_folds(df, "id", 3).collect()}
+    monkeypatch.setattr(models, "train", None)
+    out = models.cross_validate(df, "id", ["a", "b", "c"], "y", "regression", "linear", folds=3)
+    assert out.columns == ["n", "mse", "rmse", "mae", "r2", "mape", "fold"]
+    got, of = {r["fold"]: r for r in out.collect()}, np.array([fold[i] for i in range(200)])
+    z = (x[:, :2] - x[:, :2].mean(0)) / x[:, :2].std(0)
+    for f in range(3):
+        inside = of == f
+        w = np.linalg.lstsq(np.c_[np.ones((~inside).sum()), z[~inside]], y[~inside], rcond=None)[0]
+        e = y[inside] - np.c_[np.ones(inside.sum()), z[inside]] @ w
+        assert got[f]["n"] == inside.sum()
+        for name, value in (("mse", (e**2).mean()), ("mae", np.abs(e).mean()), ("r2", 1 - (e**2).mean() / y[inside].var())):
+            assert got[f][name] == pytest.approx(value, rel=1e-6)
+    few = models.cross_validate(df.where("id < 2"), "id", ["a"], "y", "regression", "linear", folds=3).collect()
+    assert sorted((r["fold"], r["n"]) for r in few) == [(0, 1), (1, 1), (2, 0)]
+
+
 def test_bracketed_quantiles_of_groups_and_columns(spark):
     from loomtide.operators import ordered as o
 
