@@ -1,8 +1,8 @@
 """Exact, repeatable splits: rows are ranked by a hash of seed and key, and only the cut points are searched for.
 
 Counting rows per hash prefix finds the prefix in which a cut falls; ranking the rows of that prefix alone finds the
-exact hash at the cut. The split itself is then a comparison per row, with no shuffle of the data. Keys must be
-unique, or rows of one key move together.
+exact hash at the cut. The search runs when a split is asked for, not each time its rows are read. The split itself is then
+a comparison per row, with no shuffle of the data. Keys must be unique, or rows of one key move together.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomtide.functions.columns import join_on
+from loomtide.session import shared_folder
 
 PREFIX_DIGITS = 4
 
@@ -58,11 +59,16 @@ def assign_parts(
     """Add the number of the part each row falls into; part i ends at the i-th rank of its group's hash order."""
     groups = list(groups)
     h = row_hash(key, seed)
-    hashed = df.select(*groups, h.alias("_hash"))
-    cuts = _cut_hashes(hashed, groups, ranks)
-    # without groups the cuts are one row; with groups Spark joins them by their size
-    joined = join_on(df, cuts if groups else F.broadcast(cuts), groups, "left")
-    return joined.select(*df.columns, F.size(F.filter("_cuts", lambda e: h > e)).cast("int").alias(name))
+    cuts = _cut_hashes(df.select(*groups, h.alias("_hash")), groups, ranks)
+    if groups:
+        path = shared_folder(df.sparkSession, "cuts")
+        cuts.write.parquet(path)
+        joined = join_on(df, df.sparkSession.read.schema(cuts.schema).parquet(path), groups, "left").withColumn("_at", h)
+        return joined.select(*df.columns, F.size(F.filter("_cuts", lambda e: F.col("_at") > e)).cast("int").alias(name))
+    # one row, with an entry per cut
+    found = cuts.first()
+    part = sum([(F.col("_at") > cut).cast("int") for cut in (found["_cuts"] if found else [])], F.lit(0))
+    return df.withColumn("_at", h).select(*df.columns, part.alias(name))
 
 
 def random_split(df: DataFrame, key: str | Sequence[str], test_size: float = 0.2, seed: int = 42) -> DataFrame:

@@ -189,6 +189,18 @@ def test_linear_folds_from_moments_are_those_of_refits(spark):
     assert models.cross_validate_linear(df.limit(0), "id", ["a"], "y").count() == 0
 
 
+def test_a_split_is_searched_for_once(table, capsys):
+    from loomtide.operators import splitting
+
+    splitting.random_split(splitting.cv_folds(table, "id", 3), "id").explain()
+    plan = capsys.readouterr().out
+    assert "Scan" in plan and "Join" not in plan and "Aggregate" not in plan
+    splitting.stratified_split(table, "id", "cat").explain()
+    assert "Window" not in capsys.readouterr().out
+    empty = table.limit(0)
+    assert splitting.cv_folds(empty, "id").count() == 0 and splitting.stratified_split(empty, "id", "cat").count() == 0
+
+
 def test_linear_cross_validation_fits_all_folds_at_once(spark, monkeypatch):
     from loomtide.operators import splitting
 
