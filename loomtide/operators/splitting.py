@@ -36,20 +36,19 @@ def _cut_hashes(hashed: DataFrame, groups: Sequence[str], ranks: Callable[[Colum
     every = across.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     placed = counts.withColumn("_upto", F.sum("_n").over(upto)).withColumn("_total", F.sum("_n").over(every))
     wanted = F.array(*[F.struct(F.lit(i).alias("cut"), r.cast("long").alias("rank")) for i, r in enumerate(ranks(F.col("_total")))])
+    # a rank of 0 is looked up in the first prefix: one table of prefixes, so that the rows are counted once
     slices = (
         placed.select(*keys, "_prefix", (F.col("_upto") - F.col("_n")).alias("_before"), "_upto", F.inline(wanted))
-        .where((F.col("rank") > F.col("_before")) & (F.col("rank") <= F.col("_upto")))
+        .where((F.greatest("rank", F.lit(1)) > F.col("_before")) & (F.greatest("rank", F.lit(1)) <= F.col("_upto")))
         .select(*keys, "_prefix", "cut", (F.col("rank") - F.col("_before")).alias("_need"))
     )
-    ranked = join_on(hashed.select(*keys, "_hash", prefix.alias("_prefix")), slices, [*keys, "_prefix"]).withColumn(
+    # without groups there is a row per cut; Spark would shuffle all hashes before it knew that
+    ranked = join_on(hashed.select(*keys, "_hash", prefix.alias("_prefix")), slices if keys else F.broadcast(slices), [*keys, "_prefix"]).withColumn(
         "_rank", F.row_number().over(W.partitionBy(*keys, "_prefix", "cut").orderBy("_hash"))
     )
-    found = ranked.where("_rank = _need").select(*keys, "_hash")
-    none = placed.groupBy(*keys).agg(F.max("_total").alias("_total")).select(*keys, F.inline(wanted)).where("rank = 0")
+    found = ranked.where("_rank = greatest(_need, 1)").select(*keys, F.when(F.col("_need") > 0, F.col("_hash")).otherwise("").alias("_hash"))
     # as many entries as there are cuts
-    return found.unionByName(none.select(*keys, F.lit("").alias("_hash"))).groupBy(*keys).agg(
-        F.array_sort(F.collect_list("_hash")).alias("_cuts")
-    )
+    return found.groupBy(*keys).agg(F.array_sort(F.collect_list("_hash")).alias("_cuts"))
 
 
 def assign_parts(
@@ -77,6 +76,15 @@ def random_split(df: DataFrame, key: str | Sequence[str], test_size: float = 0.2
     return out.withColumn("split", F.when(F.col("_part") == 0, "test").otherwise("train")).drop("_part")
 
 
+def written_parts(marked: DataFrame, labels: Sequence[str], name: str = "split") -> list[DataFrame]:
+    """The rows of each part, from a table written once: a fit reads its rows many times, and each reading of a split
+    hashes every row again."""
+    path = shared_folder(marked.sparkSession, "parts")
+    marked.write.parquet(path)
+    rows = marked.sparkSession.read.schema(marked.schema).parquet(path)
+    return [rows.where(F.col(name) == label).drop(name) for label in labels]
+
+
 def stratified_split(
     df: DataFrame, key: str | Sequence[str], target: str, test_size: float = 0.2, validation_size: float = 0.1, seed: int = 42
 ) -> DataFrame:

@@ -49,15 +49,16 @@ def lasso_regression(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(fitted.importance().select("feature", "coefficient"), 2)
 
 
-def _split_lines(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    marked = splitting.random_split(lines(spark, folder), KEY)
-    return marked.where("split = 'train'").drop("split"), marked.where("split = 'test'").drop("split")
+def _split_lines(spark: SparkSession, folder: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    marked = splitting.random_split(lines(spark, folder), KEY).select(*columns, "split")
+    train, test = splitting.written_parts(marked, ["train", "test"])
+    return train, test
 
 
 @REG.add("train_score_rf")
 def train_score_rf(spark: SparkSession, folder: str) -> DataFrame:
     """Forest on four fifths of all lines, weighted metrics on the rest."""
-    train, test = _split_lines(spark, folder)
+    train, test = _split_lines(spark, folder, [*FEATS, "l_returnflag"])
     fitted = models.train(train, FEATS, "l_returnflag", "classification", **FOREST)
     return models.evaluate(fitted, test)
 
@@ -70,7 +71,7 @@ def feature_importance(spark: SparkSession, folder: str) -> DataFrame:
 
 @REG.add("prediction_intervals")
 def prediction_intervals(spark: SparkSession, folder: str) -> DataFrame:
-    train, test = _split_lines(spark, folder)
+    train, test = _split_lines(spark, folder, [*FEATS, "l_extendedprice"])
     fitted = models.train(train, FEATS, "l_extendedprice", "regression", **FOREST)
     return fitted.predict_interval(test.select(*FEATS, "l_extendedprice"))
 
@@ -79,9 +80,9 @@ def prediction_intervals(spark: SparkSession, folder: str) -> DataFrame:
 def batch_score(spark: SparkSession, folder: str) -> DataFrame:
     """Fitted preparation and model applied to all lines, with class probabilities and the confidence gate."""
     data = lines(spark, folder).select("l_quantity", "l_extendedprice", "l_linestatus", "l_returnflag")
-    train, _ = _split_lines(spark, folder)
+    train, _ = _split_lines(spark, folder, data.columns)
     prep = encoding.Preprocessor(numeric=["l_quantity", "l_extendedprice"], categorical=["l_linestatus"])
-    prepared = prep.fit_transform(train.select(data.columns), exclude=["l_returnflag"], keep=["l_returnflag"])
+    prepared = prep.fit_transform(train, exclude=["l_returnflag"], keep=["l_returnflag"])
     fitted = models.train(prepared, prep.output_names(), "l_returnflag", "classification", "logistic_regression", max_iter=20)
     return scoring.with_class_columns(scoring.score(data, fitted, prep, threshold=0.34), len(fitted.labels))
 

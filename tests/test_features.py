@@ -197,10 +197,30 @@ def test_a_split_is_searched_for_once(table, capsys):
     assert "Scan" in plan and "Join" not in plan and "Aggregate" not in plan
     splitting.stratified_split(table, "id", "cat").explain()
     assert "Window" not in capsys.readouterr().out
+    parts = splitting.written_parts(splitting.random_split(table, "id"), ["train", "test"])
+    assert [p.count() for p in parts] == [192, 48] and all(p.columns == table.columns for p in parts)
+    parts[0].explain()
+    assert "md5" not in capsys.readouterr().out
     empty = table.limit(0)
     assert splitting.cv_folds(empty, "id").count() == 0 and splitting.stratified_split(empty, "id", "cat").count() == 0
 
 
+def test_cuts_at_every_rank(spark):
+    from loomtide.operators import splitting
+
+    df = spark.range(40).selectExpr("id", "id % 3 as g").where("g < 2 or id = 2")
+    hashed = df.select("g", splitting.row_hash("id", 42).alias("_hash"))
+    found = splitting._cut_hashes(hashed, ["g"], lambda n: [n * 0, F.lit(1), F.floor(n / 2), n])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range") == 2
+    hashes = {}
+    for r in hashed.collect():
+        hashes.setdefault(r["g"], []).append(r["_hash"])
+    for r in found.collect():
+        of = sorted(hashes[r["g"]])
+        assert r["_cuts"] == sorted(["", of[0], of[len(of) // 2 - 1] if len(of) > 1 else "", of[-1]])
+
+
 def test_linear_cross_validation_fits_all_folds_at_once(spark, monkeypatch):
     from loomtide.operators import splitting
 
