@@ -23,9 +23,11 @@ REFERENCE, CURRENT = "reference", "current"
 
 def _pair_counts(df: DataFrame, columns: Sequence[str], by: Sequence[str], dataset: str, numeric: bool) -> DataFrame:
     kind = "double" if numeric else "string"
-    melted = df.select(
-        *by, dataset, *[(present(df, c) if numeric else quoted(c)).cast(kind).alias(c) for c in columns]
-    ).unpivot([*by, dataset], list(columns), "column_name", "value")
+    # not unpivot: Spark would not see that several readers of these counts can share one shuffle
+    melted = df.select(*by, dataset, F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), (present(df, c) if numeric else quoted(c)).cast(kind).alias("value"))
+        for c in columns
+    ])))
     of = lambda side: F.count_if(F.col(dataset) == side)
     return melted.where("value is not null").groupBy(*by, "column_name", "value").agg(
         of(REFERENCE).alias("n_ref"), of(CURRENT).alias("n_cur")

@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from loomtide.functions.columns import join_on, present, row_draw
 from loomtide.session import shared_folder
 
-BLOCK = 32
+#: Parts of each pass of a search among cut points.
+RADIX = 8
 HOT_ROWS = 2_000_000
 #: Slices of a group, however few rows make it hot, unless they would pass HOT_ROWS rows.
 SLICES = 256
@@ -41,16 +42,22 @@ ACCURACY = 10_000
 MARGIN = 10 / ACCURACY
 
 
-def _with_blocks(edges: Column) -> Column:
-    """Sorted cut points plus every 32nd of them, so that a lookup compares tens of values and not thousands."""
-    return F.struct(F.filter(edges, lambda e, i: i % BLOCK == BLOCK - 1).alias("coarse"), edges.alias("fine"))
+def _placed(df: DataFrame, edges: str, value: str, most: int, name: str, equal: bool = True) -> DataFrame:
+    """Add the number of sorted cut points that are not above the value (``equal=False``: that are below it).
 
-
-def _slice_of(edges: Column, value: Column) -> Column:
-    """Number of cut points that are not above the value."""
-    block = F.size(F.filter(edges["coarse"], lambda e: e <= value))
-    inside = F.slice(edges["fine"], block * BLOCK + 1, F.lit(BLOCK))
-    return block * BLOCK + F.size(F.filter(inside, lambda e: e <= value))
+    ``most`` is the largest number of cut points. Each pass narrows the search to one in ``RADIX`` parts. These are plain
+    comparisons that Spark compiles; a lambda over the array would be interpreted for each cut point it looks at.
+    """
+    found, step = df.withColumn(name, F.lit(0)), 1
+    while step * RADIX <= most:
+        step *= RADIX
+    while step:
+        passed = [
+            f"if(get(`{edges}`, `{name}` + {i * step - 1}) {'<=' if equal else '<'} `{value}`, {step}, 0)" for i in range(1, RADIX)
+        ]
+        found = found.withColumn(name, F.expr(f"`{name}` + {' + '.join(passed)}"))
+        step //= RADIX
+    return found
 
 
 def _quantile_cuts(column: str, parts: int, where: str | None = None) -> Column:
@@ -59,7 +66,7 @@ def _quantile_cuts(column: str, parts: int, where: str | None = None) -> Column:
     The fractions are written as one folded string: a thousand separate literals slow down every planning step.
     """
     fractions = ",".join(repr(i / parts) for i in range(1, parts))
-    accuracy = max(10_000, 20 * parts)
+    accuracy = max(10_000, 4 * parts)
     kept = f" FILTER (WHERE {where})" if where else ""
     return F.expr(f"percentile_approx(`{column}`, cast(split('{fractions}', ',') as array<double>), {accuracy}){kept}")
 
@@ -93,21 +100,20 @@ def running_totals(
         join_on(base, small(heavy.groups), keys)
         .groupBy(*keys)
         .agg(_quantile_cuts(value, heavy.cuts, kept).alias("_cuts"), F.first("_n").alias("_n"))
-        .select(*keys, _with_blocks(_thinned("_cuts", heavy)).alias("_edges"))
-    )
-    sliced = join_on(base, small(cuts), keys, "left").select(
-        *base.columns,
-        F.col("_edges").isNotNull().alias("_hot"),
-        F.when(F.col("_edges").isNull(), F.lit(0)).otherwise(_slice_of(F.col("_edges"), F.col(value))).alias("_slice"),
+        .select(*keys, _thinned("_cuts", heavy).alias("_edges"))
     )
+    # -1: the group is not hot. Both readers below start from this one shuffle, so that no row is looked up twice
+    sliced = _placed(join_on(base, small(cuts), keys, "left"), "_edges", value, heavy.cuts, "_cuts_upto").select(
+        *base.columns, F.when(F.col("_edges").isNull(), F.lit(-1)).otherwise(F.col("_cuts_upto")).alias("_slice")
+    ).repartition(*keys, "_slice")
     across = W.partitionBy(*keys).orderBy("_slice")
     before = across.rowsBetween(W.unboundedPreceding, -1)
     every = across.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    # one row per slice of a hot group
+    # one row per slice of a hot group; a test of the slice itself, or a branch without values, would be a shuffle of its own
     offsets = (
-        sliced.where("_hot")
-        .groupBy(*keys, "_slice")
-        .agg(F.min(value).alias("_first"), *[F.sum(s).alias(f"_sum_{s}") for s in sums])
+        sliced.groupBy(*keys, "_slice")
+        .agg(F.min(value).alias("_first"), F.max("_slice").alias("_hot"), *[F.sum(s).alias(f"_sum_{s}") for s in sums])
+        .where("_hot >= 0 or _first is null")
         .select(
             *keys,
             "_slice",
@@ -119,11 +125,18 @@ def running_totals(
     inside = W.partitionBy(*keys, "_slice").orderBy(value)
     upto = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
     own = inside.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    return join_on(sliced, small(offsets), [*keys, "_slice"], "left").select(
+    # the slices' totals are joined after the sort, which then moves narrow rows
+    summed = sliced.select(
+        "*",
+        *[F.sum(s).over(own).alias(f"_own_{s}") for s in sums],
+        *[F.sum(s).over(upto).alias(f"_upto_{s}") for s in sums],
+        F.lead(value).over(inside).alias("_next_inside"),
+    )
+    return join_on(summed, small(offsets), [*keys, "_slice"], "left").select(
         *counts.columns,
-        *[F.coalesce(F.col(f"_whole_{s}"), F.sum(s).over(own)).alias(f"total_{s}") for s in sums],
-        *[(F.sum(s).over(upto) + F.coalesce(F.col(f"_before_{s}"), F.lit(0))).alias(f"cum_{s}") for s in sums],
-        F.coalesce(F.lead(value).over(inside), F.col("_next_first")).alias("next_value"),
+        *[F.coalesce(f"_whole_{s}", f"_own_{s}").alias(f"total_{s}") for s in sums],
+        *[(F.col(f"_upto_{s}") + F.coalesce(F.col(f"_before_{s}"), F.lit(0))).alias(f"cum_{s}") for s in sums],
+        F.coalesce("_next_inside", "_next_first").alias("next_value"),
     )
 
 
@@ -291,7 +304,7 @@ def hot_key_cuts(df: DataFrame, heavy: Hot, keys: Sequence[str], order: str) ->
         .groupBy(*keys)
         .agg(_quantile_cuts(order, heavy.cuts).alias("_cuts"), F.first("_n").alias("_n"))
     )
-    return cuts.select(*keys, _with_blocks(_thinned("_cuts", heavy)).alias("_edges"))
+    return cuts.select(*keys, _thinned("_cuts", heavy).alias("_edges"))
 
 
 def carry_forward(
@@ -324,13 +337,14 @@ def carry_forward(
 
     small = heavy.small
     cuts = hot_key_cuts(df, heavy, keys, order)
-    at = _slice_of(F.col("_edges"), F.col(order))
-    same = F.size(F.filter(F.col("_edges")["fine"], lambda e: e == F.col(order)))
-    hot_slice = at
+    placed = _placed(join_on(df, small(cuts), keys, "left"), "_edges", order, heavy.cuts, "_cuts_upto")
+    hot_slice = F.col("_cuts_upto")
     if spread is not None:
+        placed = _placed(placed, "_edges", order, heavy.cuts, "_cuts_below", equal=False)
+        same = F.col("_cuts_upto") - F.col("_cuts_below")
         draw = F.pmod(row_draw(df), F.greatest(same, F.lit(1))).cast("int")
-        hot_slice = at - F.when(spread, draw).otherwise(F.greatest(same - 1, F.lit(0)))
-    sliced = join_on(df, small(cuts), keys, "left").select(
+        hot_slice = F.col("_cuts_upto") - F.when(spread, draw).otherwise(F.greatest(same - 1, F.lit(0)))
+    sliced = placed.select(
         *columns,
         F.col("_edges").isNotNull().alias("_hot"),
         F.when(F.col("_edges").isNull(), F.lit(0)).otherwise(hot_slice).alias("_slice"),

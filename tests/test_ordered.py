@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import random
+import re
+from bisect import bisect_left, bisect_right
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -156,3 +158,28 @@ def test_drift_slices_do_not_grow_with_the_rows(spark, monkeypatch):
         ref, cur = [of(i) for i in range(900) if i % 3], [of(i) for i in range(0, 900, 3)]
         gaps = [abs(sum(v <= at for v in ref) / 600 - sum(v <= at for v in cur) / 300) for at in {*ref, *cur}]
         assert got[name]["ks"] == pytest.approx(max(gaps))
+
+
+def test_drift_moves_and_places_its_counts_once(spark):
+    df = spark.range(900).selectExpr("if(id % 3 = 0, 'current', 'reference') as dataset", "double(id) as x", "double(id % 7) as z")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = drift.numeric_drift(df, ["x", "z"], hot_rows=20).select("column_name", "ks")
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        rows = found.count()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    made = [line for line in plan.splitlines() if " Exchange " in line and "ReusedExchange" not in line]
+    for of in ("value", "_slice"):
+        assert len([line for line in made if re.search(rf"hashpartitioning\(column_name#\d+, {of}#", line)]) == 1, plan
+    assert not re.search(r"lambda [^\n]* <= value#", plan) and rows == 2
+
+
+@pytest.mark.parametrize("cuts", [0, 1, 7, 8, 9, 63, 64, 65, 511, 512, 520])
+def test_place_among_cut_points(spark, cuts):
+    edges = sorted(random.Random(cuts).choices(range(0, 600, 2), k=cuts))
+    df = spark.range(-1, 602).select("id", F.array(*map(F.lit, edges)).cast("array<bigint>").alias("e"))
+    df = o._placed(o._placed(df, "e", "id", cuts, "upto"), "e", "id", max(cuts, 2048), "below", equal=False)
+    for r in df.collect():
+        assert (r["upto"], r["below"]) == (bisect_right(edges, r["id"]), bisect_left(edges, r["id"]))
